@@ -63,3 +63,8 @@ def text_of(col: str = "text") -> Column:
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased and nothing else. lower() is the fast way where all is ASCII."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once: Catalyst may copy an expression into a lambda, never a lambda's variable."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

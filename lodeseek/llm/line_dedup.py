@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, ascii_lower, new_path, remove, stage, text_of
+from .common import ASCII_SPACE, ascii_lower, let, new_path, remove, stage, text_of
 
 KEY = ["key_a", "key_b"]
 
@@ -88,26 +88,23 @@ def _occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
             F.xxhash64(x["key"]).alias("key_a"), F.xxhash64(F.lit(1), x["key"]).alias("key_b"), x["position"].alias("position")
         ),
     )
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.array_sort(hashed).alias("lines"))
-    return rows.select(
-        "doc_id",
-        "text_hash",
-        F.explode(
-            F.transform(
-                "lines",
-                lambda x, i: F.struct(
-                    x["key_a"].alias("key_a"),
-                    x["key_b"].alias("key_b"),
-                    x["position"].alias("position"),
-                    F.when(i == 0, True)
-                    .otherwise(
-                        (F.get("lines", i - 1)["key_a"] != x["key_a"]) | (F.get("lines", i - 1)["key_b"] != x["key_b"])
-                    )
-                    .alias("first"),
-                ),
-            )
-        ).alias("line"),
-    ).select("doc_id", "text_hash", "line.*")
+    marked = let(
+        F.array_sort(hashed),
+        lambda lines: F.transform(
+            lines,
+            lambda x, i: F.struct(
+                x["key_a"].alias("key_a"),
+                x["key_b"].alias("key_b"),
+                x["position"].alias("position"),
+                F.when(i == 0, True)
+                .otherwise((F.get(lines, i - 1)["key_a"] != x["key_a"]) | (F.get(lines, i - 1)["key_b"] != x["key_b"]))
+                .alias("first"),
+            ),
+        ),
+    )
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(marked).alias("line")).select(
+        "doc_id", "text_hash", "line.*"
+    )
 
 
 def dedup_lines(
@@ -151,13 +148,15 @@ def dedup_lines(
         d, F.col("doc_id").eqNullSafe(F.col("d_id")) & (F.col("text_hash") == F.col("d_hash")), "left"
     )
     n_lines = F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
-    split = F.split("text", "\n", -1)
-    left = F.transform(
-        F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("dropped")), lambda i: F.get(F.col("split"), i)
+    left = let(
+        F.split("text", "\n", -1),
+        lambda lines: F.array_join(
+            F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("dropped")), lambda i: F.get(lines, i)), "\n"
+        ),
     )
-    return joined.withColumn("split", F.when(F.col("dropped").isNotNull(), split)).select(
+    return joined.select(
         "doc_id",
-        F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text"),
+        F.when(F.col("dropped").isNull(), F.col("text")).otherwise(left).alias("text"),
         n_lines.cast("long").alias("n_lines"),
         F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
         *[F.col(f"kept__{c}").alias(c) for c in keep],

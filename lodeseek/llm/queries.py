@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import licenses, line_dedup, mixing
 
 
 def queries() -> dict:
-    return {"op1_line_dedup": line_dedup.op1_line_dedup}
+    return {
+        "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op3_license_scan": licenses.op3_license_scan,
+        "op4_mix_sources": mixing.op4_mix_sources,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.OP1_SQL}
+    return {
+        "op1_line_dedup": line_dedup.OP1_SQL,
+        "op3_license_scan": licenses.OP3_SQL,
+        "op4_mix_sources": mixing.OP4_SQL,
+    }
