@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, line_dedup, media, mixing, packing, simhash
+from . import licenses, line_dedup, media, mixing, packing, quality, simhash, token_counts
 
 
 def queries() -> dict:
@@ -10,9 +10,11 @@ def queries() -> dict:
         "op1_line_dedup": line_dedup.op1_line_dedup,
         "op3_license_scan": licenses.op3_license_scan,
         "op4_mix_sources": mixing.op4_mix_sources,
+        "op5_token_counts": token_counts.op5_token_counts,
         "op6_packing": packing.op6_packing,
         "op8_simhash_dedup": simhash.op8_simhash_dedup,
         "op9_media_columns": media.op9_media_columns,
+        "op10_quality_classifier": quality.op10_quality_classifier,
     }
 
 
