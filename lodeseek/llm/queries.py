@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, line_dedup, media, mixing, packing, quality, simhash, token_counts
+from . import ann, licenses, line_dedup, media, mixing, packing, quality, simhash, token_counts
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_mix_sources": mixing.op4_mix_sources,
         "op5_token_counts": token_counts.op5_token_counts,
         "op6_packing": packing.op6_packing,
+        "op7_ann_search": ann.op7_ann_search,
         "op8_simhash_dedup": simhash.op8_simhash_dedup,
         "op9_media_columns": media.op9_media_columns,
         "op10_quality_classifier": quality.op10_quality_classifier,
