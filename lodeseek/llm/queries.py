@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import ann, licenses, line_dedup, media, mixing, packing, quality, simhash, token_counts
+from . import ann, licenses, line_dedup, lm_scoring, media, mixing, packing, quality, simhash, token_counts
 
 
 def queries() -> dict:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op2_lm_scoring": lm_scoring.op2_lm_scoring,
         "op3_license_scan": licenses.op3_license_scan,
         "op4_mix_sources": mixing.op4_mix_sources,
         "op5_token_counts": token_counts.op5_token_counts,
