@@ -62,9 +62,10 @@ def _fingerprints(shingle: int):
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fingerprint (long) for each row of docs; null and empty texts have 0."""
+    """doc_id, text_hash, fingerprint (longs) for each row of docs; null and empty texts have fingerprint 0."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(_fingerprints(shingle), f"doc_id {id_type}, fingerprint long")
+    rows = docs.select("doc_id", F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text"))
+    return rows.mapInArrow(_fingerprints(shingle), f"doc_id {id_type}, text_hash long, fingerprint long")
 
 
 @cache
@@ -135,7 +136,7 @@ def near_fingerprints(points: DataFrame, threshold: int = THRESHOLD) -> DataFram
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fingerprint (long), component_id for each row of docs.
+    """doc_id, fingerprint (long), component_id, text_hash, component (its smallest fingerprint) for each row of docs.
 
     docs: doc_id, text; other columns are ignored. Documents are linked if their
     fingerprints differ in at most `threshold` bits; component_id is the smallest doc_id
@@ -153,8 +154,23 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, shingle: int =
     )
     grouped = stage(grouped, "grouped-fingerprints")
     least = grouped.groupBy(F.col("component").alias("c")).agg(F.min("first_id").alias("component_id"))
-    named = stage(grouped.join(least, F.col("component") == F.col("c")).select("point", "component_id"), "named-fingerprints")
-    return marked.join(named, F.col("fingerprint") == F.col("point")).select("doc_id", "fingerprint", "component_id")
+    named = stage(grouped.join(least, F.col("component") == F.col("c")).select("point", "component_id", "component"), "named-fingerprints")
+    return marked.join(named, F.col("fingerprint") == F.col("point")).select("doc_id", "fingerprint", "component_id", "text_hash", "component")
+
+
+def one_of_each(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of docs without their near duplicates: of each component the one with the smallest doc_id.
+
+    docs: doc_id, text and any other columns, all returned. Of rows that repeat that
+    doc_id within a component one stays, the one with the smallest hash of its text.
+    """
+    found = near_duplicates(docs, threshold, shingle).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = found.groupBy("component").agg(F.min("text_hash").alias("kept_hash"), F.min("doc_id").alias("kept_id"))
+    first = stage(first.select("kept_id", "kept_hash").distinct(), "kept-documents")
+    kept = docs.withColumn("own_hash", F.xxhash64(text_of())).join(
+        first, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("own_hash") == F.col("kept_hash")), "left_semi"
+    )
+    return kept.dropDuplicates(["doc_id", "own_hash"]).select(*docs.columns)
 
 
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
