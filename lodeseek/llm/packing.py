@@ -8,6 +8,7 @@ each piece. No row is shuffled.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -18,70 +19,110 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stage, text_of
+from .words import per_text, slices, split_words
 
-#: Words of at most so many bytes are remembered, and at most so many of them; longer ones are encoded afresh.
-MEMO_BYTES, MEMO_WORDS = 64, 300_000
+#: Words are remembered until there are so many, then only those of the last rows; longer ones than MEMO_BYTES never are.
+MEMO_WORDS, MEMO_BYTES, WORDS_A_CALL = 600_000, 64, 256
+PLAIN = re.compile("[a-zß-öø-ÿ]+")
 ROWS = 512
 
 
 class WordEncoder:
-    """Ids of whole texts, word by word.
+    """Ids of whole texts by those of their distinct words.
 
     The tokenizer drops ASCII white space and no token spans it, so a text's ids are
-    those of its words one after another; most words have been seen before. Ids are
-    kept as little-endian bytes, two for vocabularies below 2^16, else four.
+    those of its words one after another. It lower-cases and keeps punctuation apart
+    from letters, so a word and its form with capitals or with a last comma or full
+    stop share the work; words with a special string in them are left to the tokenizer
+    as they stand. New words are encoded together, with a special token between them;
+    those of lower-case Latin letters, on which the normalizer and the pattern have no
+    effect, by the bare model. Ids are kept as little-endian bytes, two for vocabularies
+    below 2^16, else four.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() < 1 << 16 else "<u4")
+        special = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
+        self.between = max(special.items())[1]
+        self.special = [content.encode() for content in special.values()]
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.add_special_tokens([self.between])
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
         self.memo: dict[bytes, bytes] = {}
 
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.memo) + len(words) > MEMO_WORDS:
-            self.memo.clear()
-        for i in range(0, len(words), 4096):
-            part = words[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                self.memo[w] = np.array(e.ids, self.dtype).tobytes()
-
-    def encode(self, text: bytes) -> bytes:
-        words = text.split()
-        memo = self.memo
-        try:
-            return b"".join([memo[w] for w in words])
-        except KeyError:
-            pass
-        new = list({w for w in words if w not in memo and len(w) <= MEMO_BYTES})
-        out: list[bytes] = []
-        if len(new) <= MEMO_WORDS // 2:
-            self._learn(new)
-            memo = self.memo
-        for w in words:
-            ids = memo.get(w)
-            if ids is None:
-                ids = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, self.dtype).tobytes()
-                if len(w) <= MEMO_BYTES and len(memo) < MEMO_WORDS:
-                    memo[w] = ids
-            out.append(ids)
-        return b"".join(out)
+    def _learn(self, words: list[str], tokenizer) -> None:
+        width, mark = self.dtype.itemsize, tokenizer.token_to_id(self.between)
+        for i in range(0, len(words), WORDS_A_CALL):
+            part = words[i : i + WORDS_A_CALL]
+            text = f" {self.between} ".join(part)
+            ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+            cuts = [0, *(np.flatnonzero(ids == mark) + 1).tolist(), len(ids) + 1]
+            data = ids.tobytes()
+            for w, a, b in zip(part, cuts, cuts[1:]):
+                self.memo[w.encode()] = data[a * width : (b - 1) * width]
+
+    def word_ids(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each of these distinct words."""
+        memo, stems, ends, odd = self.memo, [], [], {}
+        for i, w in enumerate(words):
+            low = w.lower()
+            end = b""
+            if low[-1:] in (b",", b".") and low[-2:-1].isalnum():
+                low, end = low[:-1], low[-1:]
+            elif b"<|" in low and any(s in low for s in self.special):
+                odd[i] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, self.dtype).tobytes()
+                low = b""
+            stems.append(low)
+            ends.append(end)
+        if b"<|" in b" ".join(words):  # a special string before a last full stop
+            for i, w in enumerate(words):
+                if i not in odd and any(s in w.lower() for s in self.special):
+                    odd[i] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, self.dtype).tobytes()
+                    stems[i] = ends[i] = b""
+        new = [w.decode() for w in {w for w in (*stems, b".", b",") if w not in memo and w}]
+        plain = [w for w in new if PLAIN.fullmatch(w)]
+        self._learn(plain, self.bare)
+        self._learn([w for w in new if not PLAIN.fullmatch(w)], self.tokenizer)
+        memo[b""] = b""
+        out = [memo[w] + memo[e] if e else memo[w] for w, e in zip(stems, ends)]
+        for i, ids in odd.items():
+            out[i] = ids
+        for w in new:
+            if len(w) > MEMO_BYTES:
+                del memo[w.encode()]
+        if len(memo) > MEMO_WORDS:
+            self.memo = {w: memo[w] for w in stems if w in memo}
+        return out
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each followed by end_id, and how many each has."""
+        number, words, sizes = split_words(texts)
+        of = self.word_ids(words)
+        length = np.array([len(x) for x in of], np.int64) // self.dtype.itemsize
+        ids, first = np.frombuffer(b"".join(of), self.dtype), np.cumsum(length) - length
+        n = length[number]
+        flat = ids[np.repeat(first[number] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        totals = per_text(n, sizes)
+        return np.insert(flat, np.cumsum(totals), end_id), totals + 1
 
 
 def _tokenize(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, at = WordEncoder(path), TaskContext.get().partitionId(), 0
-        width, end = encoder.dtype.itemsize, np.array([end_id], encoder.dtype).tobytes()
         for whole in batches:
-            for i in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(i, ROWS)
-                ids = [encoder.encode(t.encode()) + end for t in batch.column(1).to_pylist()]
-                lengths = np.array([len(x) // width for x in ids], np.int64)
+            for batch in slices(whole, 1):
+                ids, lengths = encoder.encode(batch.column(1), end_id)
                 starts = at + np.cumsum(lengths) - lengths
                 at += int(lengths.sum())
+                bounds = np.concatenate([[0], np.cumsum(lengths)]) * encoder.dtype.itemsize
+                binary = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(np.full(len(ids), part)), pa.array(starts), pa.array(lengths), pa.array(ids, pa.binary())],
+                    [batch.column(0), pa.array(np.full(len(lengths), part)), pa.array(starts), pa.array(lengths), binary],
                     names=["doc_id", "part", "part_start", "doc_tokens", "ids"],
                 )
 
