@@ -83,17 +83,19 @@ def _python_words(text: str) -> list[str]:
     return [w for w in re.split(r"[^0-9a-z]+", text.lower()) if w]
 
 
-def hitting_words(templates: dict[str, str], shingle: int) -> list[str]:
-    """Words of which each template shingle has at least one: longest first, until all are hit.
+def hitting_words(templates: dict[str, str], shingle: int, min_containment: float) -> list[str]:
+    """Words without any of which a document can't hold min_containment of a template's shingles.
 
-    A document without any of them shares no shingle with a template.
+    For each template the longest words first, until the shingles without any of them
+    are fewer than min_containment.
     """
-    left = {tuple(w[i : i + shingle]) for w in map(_python_words, templates.values()) for i in range(len(w) - shingle + 1)}
-    found = []
-    while left:
-        word = max({w for s in left for w in s}, key=lambda w: (len(w), sum(w in s for s in left), w))
-        found.append(word)
-        left = {s for s in left if word not in s}
+    found: set[str] = set()
+    for words in map(_python_words, templates.values()):
+        shingles = {tuple(words[i : i + shingle]) for i in range(len(words) - shingle + 1)}
+        left = {s for s in shingles if not found & set(s)}
+        while left and len(left) >= min_containment * len(shingles):
+            found.add(max({w for s in left for w in s}, key=lambda w: (len(w), w)))
+            left = {s for s in left if not found & set(s)}
     return sorted(found)
 
 
@@ -129,7 +131,7 @@ def scan_licenses(
         F.lit(json.dumps([r.asDict() for r in known])), "array<struct<license:string,shingles:array<bigint>,keys:array<bigint>>>"
     )
     all_keys = F.from_json(F.lit(json.dumps(sorted({k for r in known for k in r["keys"]}))), "array<bigint>")
-    any_word = r"(?i)(?<![\p{L}\p{N}])(?:" + "|".join(hitting_words(templates, shingle)) + r")(?![\p{L}\p{N}])"
+    any_word = r"(?i)(?<![\p{L}\p{N}])(?:" + "|".join(hitting_words(templates, shingle, min_containment)) + r")(?![\p{L}\p{N}])"
 
     def checked(shingles: Column, hits: Column) -> Column:
         """The exact step: containment of each retrieved template."""
