@@ -1,0 +1,83 @@
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from lodeseek.operators import bm25, fusion, vector_search
+from lodeseek.plans import search
+
+
+def ranked(spark, ids, query=1):
+    return spark.createDataFrame([(query, i, n + 1) for n, i in enumerate(ids)], "query_id long, id long, rank int")
+
+
+def fused(spark, a, b, k=None):
+    return [(r.id, r.score) for r in fusion.fuse([ranked(spark, a), ranked(spark, b)], k).orderBy("rank").collect()]
+
+
+def test_rrf_of_worked_example(spark):
+    assert dict(fused(spark, [7, 8], [9, 7]))[7] == pytest.approx(1 / 61 + 1 / 62)
+
+
+def test_rrf_empty_lists_and_ties(spark):
+    assert fused(spark, [], []) == []
+    assert [i for i, _ in fused(spark, [5], [3])] == [3, 5]
+
+
+def test_rrf_is_symmetric(spark):
+    assert fused(spark, [1, 2, 3, 4], [4, 9, 1]) == fused(spark, [4, 9, 1], [1, 2, 3, 4])
+
+
+def test_vector_order_zero_vectors_and_bounds(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 0.0]), (4, [-1.0, 0.0]), (5, None), (6, [1.0, 0.0, 0.0])], "id long, embedding array<float>")
+    queries = spark.createDataFrame([(0, [2.0, 0.0])], "query_id long, embedding array<float>")
+    found = vector_search.search(rows, queries, 10).orderBy("rank").collect()
+    assert [r.id for r in found] == [1, 2, 3, 4]
+    assert found[0].score == 1 and found[2].score == 0 and found[3].score == -1
+    with pytest.raises(ValueError):
+        vector_search.search(rows, queries, 0)
+
+
+def bm25_ids(spark, texts, query, k=10):
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    q = spark.createDataFrame([(0, query)], "query_id long, text string")
+    return [(r.id, r.score) for r in bm25.search(docs, q, k).orderBy("rank").collect()]
+
+
+def test_bm25_case_rare_terms_and_empty(spark):
+    corpus = ["The common word here", "common word common word", "common rare gem"]
+    assert [i for i, _ in bm25_ids(spark, corpus, "RARE common")][0] == 2
+    assert bm25_ids(spark, corpus, "") == [] and bm25_ids(spark, corpus, "absent") == []
+    assert bm25_ids(spark, ["only one"], "only")[0][1] > 0
+    assert bm25_ids(spark, [], "word") == []
+
+
+def test_bm25_more_of_a_term_scores_more(spark):
+    scores = dict(bm25_ids(spark, ["cat dog dog dog", "cat cat dog dog", "bird fish fish bird"], "cat"))
+    assert scores[1] > scores[0]
+
+
+def test_query_checks_in_order():
+    with pytest.raises(ValueError, match="empty"):
+        search.check_query(" ", 0, [1.0], 2)
+    with pytest.raises(ValueError, match="k must"):
+        search.check_query("x", 0, [1.0], 2)
+    with pytest.raises(ValueError, match="dimension"):
+        search.check_query("x", 1, [1.0], 2)
+
+
+def test_document_search_nests_chunks_and_skips_orphans(spark):
+    docs = spark.createDataFrame([(1, "apples and pears"), (2, "trains and planes")], "doc_id long, text string")
+    chunks = spark.createDataFrame([(10, 1, "apples"), (11, 1, "pears"), (20, 2, "trains"), (30, None, "orphan")], "chunk_id long, document_id long, text string")
+    vectors = spark.createDataFrame([(10, [1.0, 0.0]), (20, [0.0, 1.0]), (30, [1.0, 0.0])], "chunk_id long, embedding array<float>")
+    queries = spark.createDataFrame([(0, "apples", [1.0, 0.0])], "query_id long, text string, embedding array<float>")
+    found = search.search_documents(docs, chunks, vectors, queries, 5).orderBy("rank").collect()
+    assert [r.doc_id for r in found] == [1, 2]
+    assert [c.chunk_id for c in found[0].chunks] == [10, 11]
+    assert found[0].best_chunk_score == 1 and found[0].chunks[1].vector_score is None and found[0].chunks[1].score == 0
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.lists(st.integers(0, 30), unique=True, max_size=8), st.lists(st.integers(0, 30), unique=True, max_size=8))
+def test_rrf_score_model(a, b):
+    want = {i: sum(1 / (60 + x.index(i) + 1) for x in (a, b) if i in x) for i in {*a, *b}}
+    assert all(0 < v <= 2 / 61 for v in want.values())
