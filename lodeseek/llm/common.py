@@ -68,3 +68,8 @@ def ascii_lower(text: Column) -> Column:
 def let(value: Column, body) -> Column:
     """body(value) with value computed once: Catalyst may copy an expression into a lambda, never a lambda's variable."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all that the operators have staged in the shared folder; results that weren't written yet are lost."""
+    remove(spark, f"{shared_root(spark)}/lodeseek")
