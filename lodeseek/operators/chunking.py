@@ -9,6 +9,7 @@ Offsets are bytes into the trimmed text.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -33,9 +34,12 @@ DEFINITION = {
 }
 
 
+TOKEN = re.compile(r"\w+|[^\w\s]")
+
+
 def count_words(text: str) -> int:
     """The default size: words and single punctuation marks."""
-    return len(re.findall(r"\w+|[^\w\s]", text))
+    return len(TOKEN.findall(text))
 
 
 def levels_for(kind: str, language: str | None) -> list[str]:
@@ -46,8 +50,16 @@ def levels_for(kind: str, language: str | None) -> list[str]:
     return TEXT_LEVELS
 
 
-def split(text: str, levels: list[str], most: int = MAX_TOKENS, size: Callable[[str], int] = count_words) -> list[tuple[int, int]]:
-    """Spans (start, end) in characters. Neighbouring units of a level are joined while they fit."""
+def split(text: str, levels: list[str], most: int = MAX_TOKENS, size: Callable[[str], int] | None = None) -> list[tuple[int, int]]:
+    """Spans (start, end) in characters. Neighbouring units of a level are joined while they fit.
+
+    Without a size function words are counted, once for the whole text: a span has those
+    that start in it, as no cut falls inside a word.
+    """
+    starts = [] if size else [m.start() for m in TOKEN.finditer(text)]
+
+    def measure(a: int, b: int) -> int:
+        return size(text[a:b].strip()) if size else bisect_left(starts, b) - bisect_left(starts, a)
 
     def units(a: int, b: int, level: int) -> list[tuple[int, int]]:
         if level == len(levels):
@@ -66,12 +78,12 @@ def split(text: str, levels: list[str], most: int = MAX_TOKENS, size: Callable[[
         a, b = trimmed(a, b)
         if a >= b:
             continue
-        if size(text[a:b]) <= most or b - a == 1:
+        if measure(a, b) <= most or b - a == 1:
             out.append((a, b))
             continue
         todo, run = [], None
         for x, y in units(a, b, level):
-            if run and size(text[run[0] : y].strip()) <= most:
+            if run and measure(run[0], y) <= most:
                 run = (run[0], y)
                 continue
             if run:

@@ -107,3 +107,15 @@ def reassemble(chunks: DataFrame, key: str, order: Column) -> DataFrame:
     """key, text: its chunks in order (ties and gaps by text), with a blank line between."""
     parts = F.array_sort(F.collect_list(F.struct(order.alias("n"), F.col("text"))))
     return chunks.groupBy(key).agg(F.array_join(F.transform(parts, lambda p: p["text"]), "\n\n").alias("text"))
+
+
+def manifest(documents: DataFrame, chunks: DataFrame, embeddings: DataFrame, version: int) -> DataFrame:
+    """One row of what the store holds: version, counts, tokens, dimension (0 for none)."""
+    d = documents.agg(F.count("*").alias("n_docs"), F.min("created_at").alias("created_at"), F.max("updated_at").alias("modified_at"))
+    c = chunks.agg(F.count("*").alias("n_chunks"), F.coalesce(F.sum("token_count"), F.lit(0)).cast("long").alias("n_tokens"))
+    e = embeddings.agg(F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("dimension"))
+    return d.crossJoin(c).crossJoin(e).select(F.lit(version).alias("version"), "*")  # a row each
+
+
+def reduced_tokens(total: Column, removed: Column) -> Column:
+    return F.greatest(total - removed, F.lit(0))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from . import numbering
+
 NEWEST, PIPELINE_WINDOW_S, SEARCH_WINDOW_S = 1000, 60, 300
 
 
@@ -29,13 +31,52 @@ def snapshot(samples: DataFrame, by: str, window_s: int, keep: int = NEWEST) ->
 
 
 def trailing(samples: DataFrame, by: str, window_s: int) -> DataFrame:
-    """Each sample with the count and average over the window_s seconds up to it."""
-    w = W.partitionBy(by).orderBy(F.col("ts").cast("timestamp").cast("long")).rangeBetween(-window_s, 0)
-    return samples.withColumn("n", F.count("*").over(w)).withColumn("average", F.avg("duration_ms").over(w))
+    """Each sample with the count and average over the window_s seconds up to it.
+
+    A kind's history is cut into stretches of window_s seconds; each also gets the rows
+    of the one before as context, so that a task holds two stretches, not a whole kind.
+    """
+    second = F.floor(F.col("ts").cast("timestamp").cast("double")).cast("long")
+    timed = samples.withColumn("_s", second).withColumn("_own", F.floor(F.col("_s") / window_s).cast("long"))
+    placed = timed.withColumn("_stretch", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
+    w = W.partitionBy(by, "_stretch").orderBy("_s").rangeBetween(-window_s, 0)
+    rolled = placed.withColumn("n", F.count("*").over(w)).withColumn("average", F.avg("duration_ms").over(w))
+    return rolled.filter("_stretch = _own").drop("_s", "_own", "_stretch")
 
 
 def percentiles(samples: DataFrame, by: str, shares: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
-    """Exact order statistics: the sample at index floor(share * n) in ascending order."""
-    order = W.partitionBy(by).orderBy("duration_ms", "id")
-    placed = samples.select(by, "duration_ms", (F.row_number().over(order) - 1).alias("i"), F.count("*").over(W.partitionBy(by)).alias("n"))
-    return placed.groupBy(by).agg(*[F.max(F.when(F.col("i") == F.floor(F.col("n") * s), F.col("duration_ms"))).alias(f"p{round(s * 100)}") for s in shares])
+    """Exact order statistics: the sample at index floor(share * n) in ascending order.
+
+    All samples are numbered in order of kind and duration over ranges, so that a large
+    kind spreads over tasks; the wanted ones are then joined by number.
+    """
+    placed = numbering.number(samples.select(by, "duration_ms", "id"), [by, "duration_ms", "id"], "_i")
+    groups = placed.groupBy(by).agg(F.min("_i").alias("_start"), F.count("*").alias("_n"))
+    wanted = groups.select(
+        F.col(by).alias("_kind"), F.explode(F.array(*[F.struct((F.col("_start") + F.floor(F.col("_n") * s)).alias("_i"), F.lit(s).alias("share")) for s in shares])).alias("x")
+    ).select("_kind", "x.*")
+    return placed.join(wanted, "_i").groupBy(F.col("_kind").alias(by)).agg(*[F.max(F.when(F.col("share") == s, F.col("duration_ms"))).alias(f"p{round(s * 100)}") for s in shares])
+
+
+def batch_totals(batches: DataFrame) -> DataFrame:
+    """Sums over batches and the average in whole milliseconds; batches: n_chunks, n_tokens, total_ms (long)."""
+    summed = batches.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("n_chunks", "n_tokens", "total_ms")])
+    return summed.withColumn("ms_per_chunk", F.when(F.col("n_chunks") > 0, F.expr("total_ms div n_chunks")).otherwise(0))
+
+
+def live_rates(batches: DataFrame) -> DataFrame:
+    """tokens and chunks a second, milliseconds a chunk, of the active batch, else of the one completed last.
+
+    batches: batch_id, active (boolean), completed_at, n_chunks, n_tokens, total_ms.
+    """
+    current = F.max_by(F.struct("n_chunks", "n_tokens", "total_ms"), F.struct("active", "completed_at", "batch_id"))
+    b = batches.agg(current.alias("b")).select("b.*")
+    seconds = F.col("total_ms") / 1000.0
+    return b.select(
+        F.try_divide("n_tokens", seconds).alias("tokens_per_s"), F.try_divide("n_chunks", seconds).alias("chunks_per_s"), F.try_divide("total_ms", "n_chunks").alias("ms_per_chunk")
+    )
+
+
+def search_records(records: DataFrame) -> DataFrame:
+    """total_ms: the sum of a search's four parts; records: vector_ms, keyword_ms, fusion_ms, hydrate_ms."""
+    return records.withColumn("total_ms", sum((F.coalesce(F.col(c), F.lit(0.0)) for c in ("vector_ms", "keyword_ms", "fusion_ms", "hydrate_ms")), F.lit(0.0)))

@@ -1,4 +1,4 @@
-"""The reference's operators as queries over the test tables, with SQL for those that SQL can express.
+"""The retrieval operators as queries over the test tables, with SQL for those that SQL can express.
 
 Conventions: a document's row in `documents` with the id of a row in `embeddings` is a
 chunk; its parent document is chunk_id div 4; the queries are the vectors whose id is

@@ -106,3 +106,38 @@ def test_pages_are_indexed_by_batches(spark, tmp_path):
     q = streams.index_pages(spark.readStream.schema(pages.schema).parquet(str(tmp_path / "in")), lambda b: seen.append(b.count()), str(tmp_path / "check"))
     q.awaitTermination(60)
     assert sum(seen) == 1
+
+
+def test_batch_figures_and_manifest(spark):
+    batches = spark.createDataFrame([(1, False, 10, 4, 100, 1000), (2, False, 20, 3, 50, 500), (3, True, None, 2, 10, 2000)], "batch_id int, active boolean, completed_at long, n_chunks long, n_tokens long, total_ms long")
+    assert rolling.batch_totals(batches).first().ms_per_chunk == 3500 // 9
+    assert rolling.live_rates(batches).first().tokens_per_s == 5
+    assert rolling.live_rates(batches.filter("NOT active")).first().chunks_per_s == 6
+    assert rolling.search_records(spark.createDataFrame([(1.0, 2.0, None, 4.0)], "vector_ms double, keyword_ms double, fusion_ms double, hydrate_ms double")).first().total_ms == 7
+    none = {t: spark.createDataFrame([], schemas.TABLES[t]) for t in schemas.TABLES}
+    row = lifecycle.manifest(none["documents"], none["chunks"], none["embeddings"], schemas.SCHEMA_VERSION).first()
+    assert (row.version, row.n_docs, row.n_chunks, row.dimension) == (2, 0, 0, 0)
+    assert schemas.compatible(1) and not schemas.compatible(3) and schemas.needs_migration(1)
+
+
+def test_query_batch_is_seeded(spark):
+    from lodeseek.operators import synthetic
+
+    docs = spark.createDataFrame([(i, f"word{i} other{i % 3} common") for i in range(12)], "id long, text string")
+    first = synthetic.query_batch(docs, 4)[0].orderBy("query_id").collect()
+    assert len(first) == 4 and first == synthetic.query_batch(docs, 4)[0].orderBy("query_id").collect()
+    assert synthetic.query_batch(docs, 4, seed=7)[0].orderBy("query_id").collect() != first
+
+
+def test_tokenize(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from lodeseek.operators.tokenize import tokenize
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = spark.createDataFrame([(1, "some words here " * 50), (2, "x")], "id long, text string")
+    got = {r.id: r.ids for r in tokenize(docs, path, 20).collect()}
+    assert got[1] == Tokenizer.from_file(path).encode("some words here " * 50).ids[:20] and len(got[2]) == 1
+    with pytest.raises(Exception):
+        tokenize(spark.createDataFrame([(1, " ")], "id long, text string"), path).collect()
