@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,3 +77,24 @@ def let(value: Column, body) -> Column:
 def clear_scratch(spark: SparkSession) -> None:
     """Delete all that the operators have staged in the shared folder; results that weren't written yet are lost."""
     remove(spark, f"{shared_root(spark)}/lodeseek")
+
+
+def tidy(run):
+    """A function of Arrow batches that gives its memory back to the system when a task ends.
+
+    Python workers outlive their tasks; what they keep counts against the executor's
+    memory in every later stage.
+    """
+
+    @wraps(run)
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim:
+                trim(0)
+
+    return tidied

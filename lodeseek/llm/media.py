@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import text_of, tidy
 
 #: A payload row is 64 pixels of 3 samples; the tile and the hash grid in rows and columns.
 ROW_BYTES, WIDTH, TILE, GRID = 192, 64, (16, 16), (8, 9)
@@ -129,7 +129,7 @@ def store_media(docs: DataFrame) -> DataFrame:
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", text_of().alias("text")).mapInArrow(
-        _media, f"doc_id {id_type}, n_bytes long, media binary, payload binary, tile binary, dhash string"
+        tidy(_media), f"doc_id {id_type}, n_bytes long, media binary, payload binary, tile binary, dhash string"
     )
 
 

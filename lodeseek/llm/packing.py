@@ -18,11 +18,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, text_of
+from .common import stage, text_of, tidy
 from .words import per_text, slices, split_words
 
 #: Words are remembered until there are so many, then only those of the last rows; longer ones than MEMO_BYTES never are.
-MEMO_WORDS, MEMO_BYTES, WORDS_A_CALL = 300_000, 64, 256
+MEMO_WORDS, MEMO_BYTES, WORDS_A_CALL = 400_000, 64, 256
 PLAIN = re.compile("[a-zß-öø-ÿ]+")
 ROWS = 512
 
@@ -111,19 +111,9 @@ class WordEncoder:
         return np.insert(flat, np.cumsum(totals), end_id), totals + 1
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
-def encoder_of(path: str) -> WordEncoder:
-    """One for each process: what it remembers serves all its tasks."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
-
-
 def _tokenize(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, at = encoder_of(path), TaskContext.get().partitionId(), 0
+        encoder, part, at = WordEncoder(path), TaskContext.get().partitionId(), 0
         for whole in batches:
             for batch in slices(whole, 1):
                 ids, lengths = encoder.encode(batch.column(1), end_id)
@@ -136,7 +126,7 @@ def _tokenize(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], It
                     names=["doc_id", "part", "part_start", "doc_tokens", "ids"],
                 )
 
-    return run
+    return tidy(run)
 
 
 def _cut(offsets, size: int, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -168,7 +158,7 @@ def _cut(offsets, size: int, width: int) -> Callable[[Iterator[pa.RecordBatch]],
                     names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
                 )
 
-    return run
+    return tidy(run)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1) -> DataFrame:

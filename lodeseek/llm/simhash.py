@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, text_of
+from .common import stage, text_of, tidy
 from .components import components
 
 SHINGLE, THRESHOLD = 3, 2
@@ -58,7 +58,7 @@ def _fingerprints(shingle: int):
                     [*batch.columns[:-1], pa.array(np.array(found, np.uint64).view(np.int64))], names=[*batch.schema.names[:-1], "fingerprint"]
                 )
 
-    return run
+    return tidy(run)
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -122,7 +122,7 @@ def _replicas(homes_only: bool):
                     i, anchor = i[home], anchor[home]
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(points[i])], names=["anchor", "point"])
 
-    return run
+    return tidy(run)
 
 
 def near_fingerprints(points: DataFrame, threshold: int = THRESHOLD) -> DataFrame:

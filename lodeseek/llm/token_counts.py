@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import text_of, tidy
 
 SPACE = "▁"
 #: Columns of the transition table: a document's start, a space that begins or goes on, unknown characters by bytes.
@@ -255,7 +255,7 @@ def _count(path: str):
             tokens = np.concatenate(counts) if counts else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(tokens)], names=["doc_id", "n_bytes", "n_tokens"])
 
-    return run
+    return tidy(run)
 
 
 def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFrame:

@@ -39,7 +39,8 @@ def brute_quality(docs, labels):
     for d, p in zip(docs, ppl):
         if d.doc_id in trusted and p is not None:
             known.setdefault(d.lang, []).append(p)
-    limit = {lang: sorted(v)[max(math.ceil(quality.QUANTILE * len(v)) - 1, 0)] * quality.MARGIN for lang, v in known.items()}
+    step = lambda p: math.floor(math.log10(p) * quality.STEPS)
+    limit = {lang: 10 ** ((sorted(map(step, v))[max(math.ceil(quality.QUANTILE * len(v)) - 1, 0)] + 1) / quality.STEPS) * quality.MARGIN for lang, v in known.items()}
     top = max(limit.values(), default=math.inf)
     return [d for d, p in zip(docs, ppl) if p is not None and p <= limit.get(d.lang, top)]
 
