@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,22 @@ PLAIN = re.compile("[a-zß-öø-ÿ]+")
 ROWS = 512
 
 
+@cache
+def _tokenizers(path: str):
+    """Read once for each process: the tokenizer, its bare model, the token put between words, the special strings."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    whole = Tokenizer.from_file(path)
+    special = {i: t.content for i, t in whole.get_added_tokens_decoder().items() if t.special}
+    between = max(special.items())[1]
+    bare = Tokenizer(whole.model)
+    bare.add_special_tokens([between])
+    bare.pre_tokenizer = pre_tokenizers.Sequence(
+        [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+    )
+    return whole, bare, between, [content.encode() for content in special.values()]
+
+
 class WordEncoder:
     """Ids of whole texts by those of their distinct words.
 
@@ -41,18 +58,8 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, pre_tokenizers
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.bare, self.between, self.special = _tokenizers(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() < 1 << 16 else "<u4")
-        special = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
-        self.between = max(special.items())[1]
-        self.special = [content.encode() for content in special.values()]
-        self.bare = Tokenizer(self.tokenizer.model)
-        self.bare.add_special_tokens([self.between])
-        self.bare.pre_tokenizer = pre_tokenizers.Sequence(
-            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
-        )
         self.memo: dict[bytes, bytes] = {}
 
     def _learn(self, words: list[str], tokenizer) -> None:
@@ -115,7 +122,7 @@ def _tokenize(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], It
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, at = WordEncoder(path), TaskContext.get().partitionId(), 0
         for whole in batches:
-            for batch in slices(whole, 1):
+            for batch in slices(whole, 1, 6_000_000):
                 ids, lengths = encoder.encode(batch.column(1), end_id)
                 starts = at + np.cumsum(lengths) - lengths
                 at += int(lengths.sum())
