@@ -144,3 +144,8 @@ def progress(done: Column, total: Column, elapsed_ms: Column) -> Column:
     percent = F.when(total > 0, done * 100.0 / total).otherwise(0.0)
     eta = F.when((done > 0) & (done < total), F.floor(elapsed_ms / done) * (total - done))
     return F.struct(percent.alias("percent"), eta.alias("eta_ms"))
+
+
+def tokens_per_second(n: Column, elapsed_ms: Column) -> Column:
+    """0 where no time has passed."""
+    return F.when(elapsed_ms > 0, n / (elapsed_ms / 1000.0)).otherwise(0.0)

@@ -58,6 +58,12 @@ def ranking_metrics(results: DataFrame, qrels: DataFrame) -> DataFrame:
     )
 
 
+def median_scores(results: DataFrame) -> DataFrame:
+    """query_id, n, median_score: the score at place n div 2 (from 0), not a mean of two; results: query_id, rank (from 1, no gaps), score."""
+    sizes = results.groupBy("query_id").agg(F.max("rank").cast("long").alias("n"))
+    return results.join(sizes, "query_id").filter("rank = n div 2 + 1").select("query_id", "n", F.col("score").alias("median_score"))
+
+
 def means(metrics: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     return metrics.groupBy(*by).agg(*[F.avg(c).alias(c) for c in columns], F.count("*").alias("n_queries"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -59,22 +59,30 @@ def percentiles(samples: DataFrame, by: str, shares: tuple[float, ...] = (0.5, 0
 
 
 def batch_totals(batches: DataFrame) -> DataFrame:
-    """Sums over batches and the average in whole milliseconds; batches: n_chunks, n_tokens, total_ms (long)."""
-    summed = batches.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("n_chunks", "n_tokens", "total_ms")])
-    return summed.withColumn("ms_per_chunk", F.when(F.col("n_chunks") > 0, F.expr("total_ms div n_chunks")).otherwise(0))
+    """Sums over batches and the tokens a chunk as a whole number, 0 without chunks; batches: n_docs, n_chunks, n_tokens (long, null: no figures yet)."""
+    summed = batches.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("n_docs", "n_chunks", "n_tokens")])
+    return summed.withColumn("tokens_per_chunk", F.when(F.col("n_chunks") > 0, F.expr("n_tokens div n_chunks")).otherwise(0))
 
 
 def live_rates(batches: DataFrame) -> DataFrame:
-    """tokens and chunks a second, milliseconds a chunk, of the active batch, else of the one completed last.
+    """tokens_per_s, chunks_per_s, ms_per_chunk, is_live of the first active batch that has chunks, else of the batch completed last; no row without either.
 
-    batches: batch_id, active (boolean), completed_at, n_chunks, n_tokens, total_ms.
+    batches: batch_id (a number), active (boolean), completed_at, n_chunks, n_tokens,
+    total_ms (null: no figures yet). Rates are 0 where no time has passed.
     """
-    current = F.max_by(F.struct("n_chunks", "n_tokens", "total_ms"), F.struct("active", "completed_at", "batch_id"))
-    b = batches.agg(current.alias("b")).select("b.*")
+    is_live = F.col("active") & (F.coalesce("n_chunks", F.lit(0)) > 0)
+    able = batches.withColumn("is_live", is_live).filter("is_live OR (NOT active AND n_chunks IS NOT NULL)")
+    latest = F.struct("is_live", F.when(~F.col("is_live"), F.col("completed_at")), F.when(F.col("is_live"), -F.col("batch_id")).otherwise(F.col("batch_id")))
+    b = able.agg(F.max_by(F.struct("n_chunks", "n_tokens", "total_ms", "is_live"), latest).alias("b")).filter("b IS NOT NULL").select("b.*")
+
+    def rate(n: str, of: Column) -> Column:
+        return F.when(of > 0, F.col(n) / of).otherwise(0.0)
+
     seconds = F.col("total_ms") / 1000.0
     return b.select(
-        F.try_divide("n_tokens", seconds).alias("tokens_per_s"), F.try_divide("n_chunks", seconds).alias("chunks_per_s"), F.try_divide("total_ms", "n_chunks").alias("ms_per_chunk")
-    )
+        rate("n_tokens", seconds).alias("tokens_per_s"), rate("n_chunks", seconds).alias("chunks_per_s"),
+        rate("total_ms", F.col("n_chunks")).alias("ms_per_chunk"), "is_live",
+    )
 
 
 def search_records(records: DataFrame) -> DataFrame:

@@ -11,11 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import schemas
 from .functions import html
 from .functions import text as T
 from .functions import vectors as V
-from .operators import bm25, chunking, crawl, embedders, evaluate, fusion, lifecycle, rolling, synthetic, vector_search
+from .operators import bm25, chunking, crawl, embedders, evaluate, fusion, lifecycle, rolling, synthetic, tokenize, vector_search
 from .plans import search as plans
+from .sources import sinks
 from .streaming import rolling as streams
 
 K = 10
@@ -447,3 +449,108 @@ def rolling_windows(spark, d):
     """The batch form of the stream in streaming.rolling."""
     found = streams.windowed(_samples(spark, d), "event_type")
     return found.select("event_type", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n", F.round("average", 6).alias("average"))
+
+
+# Batches of indexing, the store as a whole, estimates
+
+
+def _batches(spark, d):
+    """A batch for each 50 ids; batch 3 is active, every seventh has no figures yet."""
+    some = F.expr("doc_id div 50 % 7 <> 6")
+    return _read(spark, d, "documents").groupBy(F.expr("doc_id div 50").alias("batch_id")).agg(
+        F.count_if(some).alias("docs"), F.sum(F.when(some, F.col("doc_id") % 4 + 1)).alias("n_chunks"),
+        F.sum(F.when(some, F.expr("n_chars div 5"))).alias("n_tokens"), F.sum(F.when(some, F.expr("n_chars div 7"))).alias("total_ms"),
+    ).select("batch_id", (F.col("batch_id") == 3).alias("active"), (F.col("batch_id") * 10).alias("completed_at"), F.nullif("docs", F.lit(0)).alias("n_docs"), "n_chunks", "n_tokens", "total_ms")
+
+
+BATCHES_SQL = """batches AS (SELECT doc_id // 50 AS batch_id, batch_id = 3 AS active, nullif(count(*) FILTER (WHERE doc_id // 50 % 7 <> 6), 0) AS n_docs,
+  (sum(doc_id % 4 + 1) FILTER (WHERE doc_id // 50 % 7 <> 6))::BIGINT AS n_chunks, (sum(n_chars // 5) FILTER (WHERE doc_id // 50 % 7 <> 6))::BIGINT AS n_tokens,
+  (sum(n_chars // 7) FILTER (WHERE doc_id // 50 % 7 <> 6))::BIGINT AS total_ms FROM documents GROUP BY 1)"""
+
+
+@query(f"WITH {BATCHES_SQL} SELECT sum(n_docs)::BIGINT AS n_docs, sum(n_chunks)::BIGINT AS n_chunks, sum(n_tokens)::BIGINT AS n_tokens, (sum(n_tokens) // sum(n_chunks))::BIGINT AS tokens_per_chunk FROM batches")
+def batch_totals(spark, d):
+    return rolling.batch_totals(_batches(spark, d))
+
+
+@query(f"""WITH {BATCHES_SQL}, picked AS (SELECT * FROM batches WHERE active UNION ALL (SELECT * FROM batches WHERE NOT active AND n_chunks IS NOT NULL ORDER BY batch_id DESC LIMIT 1))
+SELECT active AS is_live, round(n_tokens / (total_ms / 1000.0::DOUBLE), 6) AS tokens_per_s, round(n_chunks / (total_ms / 1000.0::DOUBLE), 6) AS chunks_per_s, round(total_ms / n_chunks, 6) AS ms_per_chunk FROM picked""")
+def live_indexing_rates(spark, d):
+    """With the active batch, and after it is gone."""
+    batches = _batches(spark, d)
+    found = rolling.live_rates(batches).unionByName(rolling.live_rates(batches.filter("NOT active")))
+    return _shown(found, "tokens_per_s", "chunks_per_s", "ms_per_chunk")
+
+
+@query(f"""WITH {BATCHES_SQL} SELECT batch_id, round(batch_id % 5 * 25.0::DOUBLE, 6) AS percent, CASE WHEN batch_id % 5 BETWEEN 1 AND 3 THEN total_ms // (batch_id % 5) * (4 - batch_id % 5) END AS eta_ms,
+round(CASE WHEN total_ms > 0 THEN n_tokens / (total_ms / 1000.0::DOUBLE) ELSE 0 END, 6) AS tokens_per_s FROM batches""")
+def job_progress(spark, d):
+    """Each batch with 0 to 4 of its 4 parts done."""
+    done, ms = F.expr("batch_id % 5"), F.col("total_ms")
+    found = _batches(spark, d).select("batch_id", T.progress(done, F.lit(4), ms).alias("p"), T.tokens_per_second(F.col("n_tokens"), ms).alias("tokens_per_s"))
+    return _shown(found.select("batch_id", "p.percent", "p.eta_ms", "tokens_per_s"), "percent", "tokens_per_s")
+
+
+@query("""SELECT event_id, round(value + coalesce(CASE WHEN event_id % 3 <> 0 THEN value * 2 END, 0) + value * 0.5::DOUBLE + 1, 6) AS total_ms FROM events""")
+def search_record_totals(spark, d):
+    v = F.col("value")
+    parts = {"vector_ms": v, "keyword_ms": F.when(F.expr("event_id % 3 <> 0"), v * 2), "fusion_ms": v * 0.5, "hydrate_ms": F.lit(1.0)}
+    records = _read(spark, d, "events").select("event_id", *[c.alias(n) for n, c in parts.items()])
+    return _shown(rolling.search_records(records).select("event_id", "total_ms"), "total_ms")
+
+
+@query("""SELECT 2 AS version, d.*, c.*, e.* FROM (SELECT count(*) AS n_docs, min(doc_id) AS created_at, max(doc_id) AS modified_at FROM documents) d,
+(SELECT count(*) AS n_chunks, sum(n_chars)::BIGINT AS n_tokens FROM documents) c, (SELECT max(len(embedding))::INT AS dimension FROM embeddings) e""")
+def store_manifest(spark, d):
+    docs = _read(spark, d, "documents")
+    stamped = docs.select(F.col("doc_id").alias("created_at"), F.col("doc_id").alias("updated_at"))
+    return lifecycle.manifest(stamped, docs.select(F.col("n_chars").alias("token_count")), _read(spark, d, "embeddings"), schemas.SCHEMA_VERSION)
+
+
+@query("SELECT vec_id AS chunk_id FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id WHERE vec_id // 4 % 5 <> 2 AND len(embedding) - (vec_id % 9 = 4)::INT = 64")
+def searchable_after_load(spark, d):
+    """Every fifth source is incomplete, every ninth vector is too short."""
+    chunks = _read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.expr("doc_id div 4").alias("document_id"))
+    docs = chunks.select(F.col("document_id").alias("doc_id"), F.concat(F.lit("s"), "document_id").alias("source_id")).distinct()
+    vectors = _read(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.when(F.expr("vec_id % 9 = 4"), F.slice("embedding", 1, 63)).otherwise(F.col("embedding")).alias("embedding"))
+    sources = docs.select("source_id", F.expr("doc_id % 5 <> 2").alias("complete"))
+    return lifecycle.load({"documents": docs, "chunks": chunks, "embeddings": vectors, "sources": sources}, 64)["embeddings"].select("chunk_id")
+
+
+@query("SELECT doc_id, 8 * (n_chars % 3000) * (n_chars % 3000) * 4 AS attention_bytes, (doc_id * 512 * 4 * 12 // 10)::BIGINT AS vector_bytes, (doc_id + n_chars) * 100 AS keyword_bytes FROM documents")
+def memory_estimates(spark, d):
+    return _read(spark, d, "documents").select(
+        "doc_id", T.alibi_bytes(F.lit(8), F.expr("n_chars % 3000")).alias("attention_bytes"), T.vector_index_bytes(F.col("doc_id")).alias("vector_bytes"),
+        T.keyword_index_bytes(F.col("doc_id"), F.col("n_chars")).alias("keyword_bytes"),
+    )
+
+
+@query(f"WITH {QUERIES_SQL}, {_vector_sql('embeddings', K)} SELECT query_id, {K}::BIGINT AS n, round(score, 6) AS median_score FROM near WHERE rank = {K // 2 + 1}")
+def median_search_scores(spark, d):
+    return _shown(evaluate.median_scores(vector_search.search(_vectors(spark, d), _queries(spark, d), K)), "median_score")
+
+
+@query("SELECT to_json({'doc_id': doc_id, 'lang': lang, 'source': source})::VARCHAR AS json FROM documents")
+def results_as_json(spark, d):
+    return sinks.as_json(_read(spark, d, "documents").select("doc_id", "lang", "source"))
+
+
+@query()
+def synthetic_query_batch(spark, d):
+    return synthetic.query_batch(_read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), 50)[0]
+
+
+@query()
+def token_ids(spark, d):
+    import public_tokenizers
+
+    docs = _read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text").filter("trim(coalesce(text, '')) <> ''")
+    return tokenize.tokenize(docs, public_tokenizers.path("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
+
+
+@query()
+def bootstrap_of_ndcg(spark, d):
+    """Of each system; the values are one for each of the queries, whose number has a limit."""
+    by_system = _systems(spark, d).filter("k = 10").groupBy("system").agg(F.array_sort(F.collect_list(F.struct("query_id", "ndcg"))).alias("v"))
+    rows = [(r.system, *evaluate.bootstrap_interval([v.ndcg for v in r.v])) for r in by_system.orderBy("system").collect()]
+    return spark.createDataFrame(rows, "system string, mean double, low double, high double")

@@ -109,10 +109,18 @@ def test_pages_are_indexed_by_batches(spark, tmp_path):
 
 
 def test_batch_figures_and_manifest(spark):
-    batches = spark.createDataFrame([(1, False, 10, 4, 100, 1000), (2, False, 20, 3, 50, 500), (3, True, None, 2, 10, 2000)], "batch_id int, active boolean, completed_at long, n_chunks long, n_tokens long, total_ms long")
-    assert rolling.batch_totals(batches).first().ms_per_chunk == 3500 // 9
-    assert rolling.live_rates(batches).first().tokens_per_s == 5
-    assert rolling.live_rates(batches.filter("NOT active")).first().chunks_per_s == 6
+    schema = "batch_id int, active boolean, completed_at long, n_docs long, n_chunks long, n_tokens long, total_ms long"
+    rows = [(1, False, 10, 2, 4, 100, 1000), (2, False, 20, 1, 3, 50, 500), (3, True, None, 1, 2, 10, 2000), (4, False, 30, None, None, None, None)]
+    batches = spark.createDataFrame(rows, schema)
+    assert tuple(rolling.batch_totals(batches).first()) == (4, 9, 160, 160 // 9)
+    assert tuple(rolling.batch_totals(batches.limit(0)).first()) == (0, 0, 0, 0)
+    assert tuple(rolling.live_rates(batches).first()) == (5, 1, 1000, True)
+    assert tuple(rolling.live_rates(batches.filter("NOT active")).first()) == (100, 6, 500 / 3, False)  # the latest with figures
+    idle = spark.createDataFrame([(9, True, None, 0, 0, 0, 100)], schema)  # an active batch without chunks doesn't count
+    assert rolling.live_rates(batches.filter("NOT active").union(idle)).first().chunks_per_s == 6
+    assert rolling.live_rates(idle).count() == 0
+    instant = spark.createDataFrame([(1, True, None, 1, 2, 9, 0), (5, True, None, 1, 7, 9, 7)], schema)
+    assert tuple(rolling.live_rates(instant).first()) == (0, 0, 0, True)
     assert rolling.search_records(spark.createDataFrame([(1.0, 2.0, None, 4.0)], "vector_ms double, keyword_ms double, fusion_ms double, hydrate_ms double")).first().total_ms == 7
     none = {t: spark.createDataFrame([], schemas.TABLES[t]) for t in schemas.TABLES}
     row = lifecycle.manifest(none["documents"], none["chunks"], none["embeddings"], schemas.SCHEMA_VERSION).first()
