@@ -8,6 +8,11 @@ most 2 bits, d1 of them in the first stretch and d2 in the second, then the one
 within 3 + d1 and 3 + d2 of the other's home, so they meet there. That is at most 69
 copies of a distinct fingerprint whatever the corpus, and the last 18 bits take part in
 the comparison alone.
+
+A few bits of one fingerprint are too strict for copies with edits: texts that share 0.8
+of their shingles of five words differ in 3 to 11 bits. `similar_texts` therefore makes
+several fingerprints of each text's distinct words, whose bits an edit hardly moves,
+takes pairs that meet at an anchor of any of them, and checks shingles exactly.
 """
 
 from __future__ import annotations
@@ -29,6 +34,8 @@ GOLAY_BITS, GOLAY_RADIUS = 23, 3
 #: Fixed value: the generator polynomial of the Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GOLAY_POLYNOMIAL = 0b110001110101
 ROWS, POINTS = 512, 4096
+#: Of similar_texts: words a shingle, similarity, fingerprints a text, bits to the farthest anchor beyond the radius, bits of a candidate pair.
+SIMILAR_SHINGLE, SIMILARITY, TABLES, REACH, MOST_BITS = 5, 0.8, 8, 1, 12
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -99,8 +106,8 @@ def _golay() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return low, high, words, excess
 
 
-def anchors(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For fingerprints (unsigned): index of the fingerprint, anchor, and whether it is the home."""
+def anchors(points: np.ndarray, reach: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For fingerprints (unsigned): index of the fingerprint, anchor up to `reach` bits beyond the radius, and whether it is the home."""
     low, high, words, excess = _golay()
     halves = [(points >> np.uint64(s)).astype(np.int64) & (1 << GOLAY_BITS) - 1 for s in (0, GOLAY_BITS)]
     near, over = [], []
@@ -108,7 +115,7 @@ def anchors(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         s = low[half & 4095] ^ high[half >> 12]
         near.append(half[:, None] ^ words[s])
         over.append(excess[s])
-    i, a, b = np.nonzero(over[0][:, :, None] + over[1][:, None, :] <= THRESHOLD)
+    i, a, b = np.nonzero(over[0][:, :, None] + over[1][:, None, :] <= reach)
     return i, near[0][i, a] | near[1][i, b] << GOLAY_BITS, (a == 0) & (b == 0)
 
 
@@ -158,19 +165,164 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, shingle: int =
     return marked.join(named, F.col("fingerprint") == F.col("point")).select("doc_id", "fingerprint", "component_id", "text_hash", "component")
 
 
-def one_of_each(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of docs without their near duplicates: of each component the one with the smallest doc_id.
+def _mixed(hashes: np.ndarray, table: int) -> np.ndarray:
+    """Other 64-bit hashes of the same words for each table (the splitmix64 finaliser)."""
+    x = hashes + np.uint64(0x9E3779B97F4A7C15 * (table + 1) & 2**64 - 1)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def word_fingerprints(words: list[bytes], tables: int = TABLES) -> np.ndarray:
+    """`tables` fingerprints of the distinct words; zeros for no words."""
+    hashes = np.array([xxhash.xxh64_intdigest(w) for w in set(words)], np.uint64)
+    out = np.zeros(tables, np.uint64)
+    for table in range(tables if words else 0):
+        counts = np.zeros(64, np.int64)
+        for i in range(0, len(hashes), 1 << 16):
+            bits = np.unpackbits(_mixed(hashes[i : i + (1 << 16)], table).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            counts += bits.sum(axis=0, dtype=np.int64)
+        out[table] = np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0]
+    return out
+
+
+def _text_key(words: list[bytes]) -> int:
+    return xxhash.xxh64_intdigest(b" ".join(words)) - 2**63
+
+
+def _texts(tables: int):
+    """From doc_id, text_hash, text: doc_id, text_hash, key of the words, fingerprints."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(i, ROWS)
+                keys, prints = np.zeros(batch.num_rows, np.int64), np.zeros((batch.num_rows, tables), np.uint64)
+                for j, text in enumerate(batch.column(2)):
+                    words = text.as_py().encode().lower().split()
+                    keys[j], prints[j] = _text_key(words), word_fingerprints(words, tables)
+                columns = [pa.array(prints[:, t].copy().view(np.int64)) for t in range(tables)]
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[:2], pa.array(keys), *columns], names=["doc_id", "text_hash", "key", *[f"print_{t}" for t in range(tables)]]
+                )
+
+    return tidy(run)
+
+
+def _shingle_sets(shingle: int):
+    """From text: key of the words, sorted distinct hashes of the shingles (of the whole text, if it is shorter)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, ROWS):
+                keys, sets = [], []
+                for text in whole.slice(i, ROWS).column(0):
+                    words = text.as_py().encode().lower().split()
+                    k = min(shingle, len(words))
+                    found = [xxhash.xxh64_intdigest(b" ".join(words[a : a + k])) for a in range(len(words) - k + 1)] if words else []
+                    keys.append(_text_key(words))
+                    sets.append(np.unique(np.array(found, np.uint64).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["key", "shingles"])
+
+    return tidy(run)
+
+
+def _table_replicas(reach: int, homes_only: bool):
+    """From key and fingerprints: anchor (its table in the upper bits), key, fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, POINTS):
+                batch = whole.slice(k, POINTS)
+                keys = batch.column(0).to_numpy()
+                for table in range(batch.num_columns - 1):
+                    points = batch.column(table + 1).to_numpy()
+                    i, anchor, home = anchors(points.view(np.uint64), reach)
+                    if homes_only:
+                        i, anchor = i[home], anchor[home]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(anchor | table << 2 * GOLAY_BITS), pa.array(keys[i]), pa.array(points[i])], names=["anchor", "key", "print"]
+                    )
+
+    return tidy(run)
+
+
+def candidate_texts(texts: DataFrame, tables: int = TABLES, reach: int = REACH, most_bits: int = MOST_BITS) -> DataFrame:
+    """a < b: keys of the texts (key, print_0, print_1, ...; no key twice) that meet at an anchor and differ in at most most_bits there."""
+    texts = texts.select("key", *[f"print_{t}" for t in range(tables)])
+    homes = texts.mapInArrow(_table_replicas(reach, True), "anchor long, key long, print long")
+    visits = texts.mapInArrow(_table_replicas(reach, False), "anchor long, key long, print long").toDF("anchor", "other", "other_print")
+    close = (F.col("key") != F.col("other")) & (F.bit_count(F.col("print").bitwiseXOR(F.col("other_print"))) <= most_bits)
+    return homes.join(visits, "anchor").filter(close).select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs a, b whose sets of shingles have a Jaccard similarity of at least `similarity`."""
+    both = pairs.join(sets.toDF("a", "of_a"), "a").join(sets.toDF("b", "of_b"), "b")
+    shared = F.size(F.array_intersect("of_a", "of_b"))
+    return both.filter(shared >= similarity * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b")
+
+
+def _linked(edges: DataFrame) -> DataFrame:
+    """node, component of edges, which may be none."""
+    if edges.isEmpty():
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return stage(components(edges), "text-components")
+
+
+def similar_texts(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
+    """doc_id, text_hash, key, component for each row of docs: rows with one component are copies or linked by similar texts.
+
+    docs: doc_id, text; other columns are ignored. A text is its words (between ASCII
+    white space, A-Z lower-cased), known by a 64-bit hash; texts without words are one
+    text. Two texts are linked if their sets of shingles have a Jaccard similarity of at
+    least `similarity`; a text shorter than a shingle is one shingle.
+
+    Candidates meet at anchors of any of the fingerprints, which misses about 1 % of the
+    links. Checks are in two rounds: first each text with the smallest candidate, which joins up
+    large groups, then the candidates whose texts are in different groups still.
+    """
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text"))
+    prints = [f"print_{t}" for t in range(TABLES)]
+    marked = stage(
+        rows.mapInArrow(_texts(TABLES), f"doc_id {id_type}, text_hash long, key long, " + ", ".join(f"{p} long" for p in prints)), "text-fingerprints"
+    )
+    first = F.coalesce(F.min_by("text_hash", "doc_id"), F.min("text_hash")).alias("first_hash")
+    texts = stage(marked.groupBy("key").agg(F.min("doc_id").alias("first_id"), first, *[F.max(p).alias(p) for p in prints]), "distinct-texts")
+    pairs = stage(candidate_texts(texts), "candidate-texts")
+
+    asked = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    asked = texts.join(asked, "key", "left_semi").select("first_id", "first_hash")
+    one = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))
+    sets = rows.join(asked, one, "left_semi").select("text").mapInArrow(_shingle_sets(shingle), "key long, shingles array<long>")
+    sets = stage(sets.dropDuplicates(["key"]), "shingle-sets")
+
+    nearest = stage(_similar(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, similarity), "links-to-smallest")
+    grouped = _linked(nearest)
+    group = lambda side: grouped.select(F.col("node").alias(side), F.col("component").alias(f"group_{side}"))
+    apart = pairs.join(group("a"), "a", "left").join(group("b"), "b", "left")
+    apart = apart.filter(F.coalesce("group_a", "a") != F.coalesce("group_b", "b")).select("a", "b")
+    links = stage(nearest.union(_similar(apart, sets, similarity)), "text-links")
+    of = _linked(links)
+    named = marked.select("doc_id", "text_hash", "key").join(of, F.col("key") == F.col("node"), "left")
+    return named.select("doc_id", "text_hash", "key", F.coalesce("component", "key").alias("component"))
+
+
+def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
+    """The rows of docs without their near duplicates: of each group of similar texts the row with the smallest doc_id.
 
     docs: doc_id, text and any other columns, all returned. Of rows that repeat that
-    doc_id within a component one stays, the one with the smallest hash of its text.
+    doc_id within a group one stays, the one with the smallest hash of its text. A null
+    doc_id stays only where its group has no other. See similar_texts.
     """
-    found = near_duplicates(docs, threshold, shingle).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    first = found.groupBy("component").agg(F.min("text_hash").alias("kept_hash"), F.min("doc_id").alias("kept_id"))
-    first = stage(first.select("kept_id", "kept_hash").distinct(), "kept-documents")
-    kept = docs.withColumn("own_hash", F.xxhash64(text_of())).join(
-        first, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("own_hash") == F.col("kept_hash")), "left_semi"
+    found = stage(similar_texts(docs, similarity, shingle).select("doc_id", "text_hash", "component"), "similar-texts")
+    smallest = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("kept__id"), F.col("text_hash").alias("kept__hash")))
+    first = found.groupBy("component").agg(smallest.alias("first")).select("first.kept__id", "first.kept__hash").distinct()
+    kept = docs.withColumn("own__hash", F.xxhash64(text_of())).join(
+        stage(first, "kept-documents"), F.col("doc_id").eqNullSafe(F.col("kept__id")) & (F.col("own__hash") == F.col("kept__hash")), "left_semi"
     )
-    return kept.dropDuplicates(["doc_id", "own_hash"]).select(*docs.columns)
+    return kept.dropDuplicates(["doc_id", "own__hash"]).select(*docs.columns)
 
 
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from ..conftest import DATA
 from .fixtures import clashing, rows
 from .test_licenses_mixing import waterfill
 from .test_line_dedup import brute as brute_lines
-from .test_near import brute_components, brute_fingerprint
+from .test_near import brute_one_of_each
 from .test_tokens import check_pieces
 
 
@@ -49,8 +49,7 @@ def brute(docs, labels):
     docs = brute_quality(docs, labels)
     source = {d.doc_id: d.source for d in docs}
     lines = [(i, t) for i, t, _, _ in brute_lines([(d.doc_id, d.text) for d in docs])]
-    groups = brute_components([(i, brute_fingerprint(t)) for i, t in lines])
-    kept = [(i, t) for (i, t), (_, _, c) in zip(lines, groups) if i == c]
+    kept = [lines[at] for at in brute_one_of_each(lines)]
     size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t)) for i, t in kept}
     total = Counter()
     for i, _ in kept:
