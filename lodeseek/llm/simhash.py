@@ -228,32 +228,45 @@ def _shingle_sets(shingle: int):
 
 
 def _table_replicas(reach: int, homes_only: bool):
-    """From key and fingerprints: anchor (its table in the upper bits), key, fingerprint."""
+    """From key, component and fingerprints: anchor (its table in the upper bits), key, component, fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, POINTS):
                 batch = whole.slice(k, POINTS)
-                keys = batch.column(0).to_numpy()
-                for table in range(batch.num_columns - 1):
-                    points = batch.column(table + 1).to_numpy()
+                keys, components_ = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                for table in range(batch.num_columns - 2):
+                    points = batch.column(table + 2).to_numpy()
                     i, anchor, home = anchors(points.view(np.uint64), reach)
                     if homes_only:
                         i, anchor = i[home], anchor[home]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(anchor | table << 2 * GOLAY_BITS), pa.array(keys[i]), pa.array(points[i])], names=["anchor", "key", "print"]
+                        [pa.array(anchor | table << 2 * GOLAY_BITS), pa.array(keys[i]), pa.array(components_[i]), pa.array(points[i])],
+                        names=["anchor", "key", "component", "print"],
                     )
 
     return tidy(run)
 
 
-def candidate_texts(texts: DataFrame, tables: int = TABLES, reach: int = REACH, most_bits: int = MOST_BITS) -> DataFrame:
-    """a < b: keys of the texts (key, print_0, print_1, ...; no key twice) that meet at an anchor and differ in at most most_bits there."""
-    texts = texts.select("key", *[f"print_{t}" for t in range(tables)])
-    homes = texts.mapInArrow(_table_replicas(reach, True), "anchor long, key long, print long")
-    visits = texts.mapInArrow(_table_replicas(reach, False), "anchor long, key long, print long").toDF("anchor", "other", "other_print")
-    close = (F.col("key") != F.col("other")) & (F.bit_count(F.col("print").bitwiseXOR(F.col("other_print"))) <= most_bits)
-    return homes.join(visits, "anchor").filter(close).select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
+def meetings(texts: DataFrame, by: list[str], reach: int = REACH) -> DataFrame:
+    """a < b, bits: keys of texts of different components that meet at an anchor, and how many bits of its fingerprint they differ in.
+
+    texts: key, component, print_0, print_1, ...; no key twice. For each group `by`
+    (anchor, or anchor and component) the smallest and the largest key at home there
+    stand for all: a text meets a few others at each of its anchors, however many are there.
+    """
+    schema = "anchor long, key long, component long, print long"
+    ends = texts.mapInArrow(_table_replicas(reach, True), schema).groupBy(*by).agg(
+        *[
+            F.struct(least("key").alias("key"), *[of(c, "key").alias(c) for c in ("component", "print")]).alias(name)
+            for name, least, of in (("low", F.min, F.min_by), ("high", F.max, F.max_by))
+        ]
+    )
+    stands = ends.select("anchor", F.explode(F.array_distinct(F.array("low", "high"))).alias("one")).select("anchor", "one.*")
+    visits = texts.mapInArrow(_table_replicas(reach, False), schema).toDF("anchor", "other", "other_component", "other_print")
+    met = stands.join(visits, "anchor").filter(F.col("component") != F.col("other_component"))
+    bits = F.bit_count(F.col("print").bitwiseXOR(F.col("other_print")))
+    return met.groupBy(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).agg(F.min(bits).alias("bits"))
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -279,8 +292,9 @@ def similar_texts(docs: DataFrame, similarity: float = SIMILARITY, shingle: int
     least `similarity`; a text shorter than a shingle is one shingle.
 
     Candidates meet at anchors of any of the fingerprints, which misses about 1 % of the
-    links. Checks are in two rounds: first each text with the smallest candidate, which joins up
-    large groups, then the candidates whose texts are in different groups still.
+    links. Two rounds keep a large group from being all its pairs: first every text meets
+    the smallest and the largest key at each of its anchors, then those of each component
+    of the links so far. A text that has its only link into a large component can be missed.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text"))
@@ -290,21 +304,19 @@ def similar_texts(docs: DataFrame, similarity: float = SIMILARITY, shingle: int
     )
     first = F.coalesce(F.min_by("text_hash", "doc_id"), F.min("text_hash")).alias("first_hash")
     texts = stage(marked.groupBy("key").agg(F.min("doc_id").alias("first_id"), first, *[F.max(p).alias(p) for p in prints]), "distinct-texts")
-    pairs = stage(candidate_texts(texts), "candidate-texts")
-
-    asked = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    asked = texts.join(asked, "key", "left_semi").select("first_id", "first_hash")
-    one = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))
-    sets = rows.join(asked, one, "left_semi").select("text").mapInArrow(_shingle_sets(shingle), "key long, shingles array<long>")
-    sets = stage(sets.dropDuplicates(["key"]), "shingle-sets")
-
-    nearest = stage(_similar(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, similarity), "links-to-smallest")
-    grouped = _linked(nearest)
-    group = lambda side: grouped.select(F.col("node").alias(side), F.col("component").alias(f"group_{side}"))
-    apart = pairs.join(group("a"), "a", "left").join(group("b"), "b", "left")
-    apart = apart.filter(F.coalesce("group_a", "a") != F.coalesce("group_b", "b")).select("a", "b")
-    links = stage(nearest.union(_similar(apart, sets, similarity)), "text-links")
-    of = _linked(links)
+    sets, links, grouped = None, None, texts.select("key", F.col("key").alias("component"), *prints)
+    for by in (["anchor"], ["anchor", "component"]):
+        met = stage(meetings(grouped, by), "text-meetings")
+        if sets is None:  # who meets nobody now won't later
+            asked = met.select(F.col("a").alias("key")).union(met.select("b")).distinct()
+            asked = texts.join(asked, "key", "left_semi").select("first_id", "first_hash")
+            one = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))
+            sets = rows.join(asked, one, "left_semi").select("text").mapInArrow(_shingle_sets(shingle), "key long, shingles array<long>")
+            sets = stage(sets.dropDuplicates(["key"]), "shingle-sets")
+        found = stage(_similar(met.filter(F.col("bits") <= MOST_BITS).select("a", "b"), sets, similarity), "text-links")
+        links = found if links is None else links.union(found)
+        of = _linked(links)
+        grouped = texts.join(of, F.col("key") == F.col("node"), "left").select("key", F.coalesce("component", "key").alias("component"), *prints)
     named = marked.select("doc_id", "text_hash", "key").join(of, F.col("key") == F.col("node"), "left")
     return named.select("doc_id", "text_hash", "key", F.coalesce("component", "key").alias("component"))
 
