@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Spark's setting to remove a query's shuffle files when it has ended.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own_root: list[str] = []
 
 
@@ -43,7 +46,12 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    was = spark.conf.get(CLEAN_SHUFFLES)
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_SHUFFLES, was)
     out = spark.read.schema(df.schema).parquet(path)
     out._lodeseek_path = path
     return out

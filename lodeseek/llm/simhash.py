@@ -294,7 +294,8 @@ def similar_texts(docs: DataFrame, similarity: float = SIMILARITY, shingle: int
     Candidates meet at anchors of any of the fingerprints, which misses about 1 % of the
     links. Two rounds keep a large group from being all its pairs: first every text meets
     the smallest and the largest key at each of its anchors, then those of each component
-    of the links so far. A text that has its only link into a large component can be missed.
+    of the links so far, for texts that met any close one. A text that has its only link
+    into a large component can be missed.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text"))
@@ -307,13 +308,14 @@ def similar_texts(docs: DataFrame, similarity: float = SIMILARITY, shingle: int
     sets, links, grouped = None, None, texts.select("key", F.col("key").alias("component"), *prints)
     for by in (["anchor"], ["anchor", "component"]):
         met = stage(meetings(grouped, by), "text-meetings")
-        if sets is None:  # who meets nobody now won't later
-            asked = met.select(F.col("a").alias("key")).union(met.select("b")).distinct()
+        near = met.filter(F.col("bits") <= MOST_BITS)
+        if sets is None:
+            asked = near.select(F.col("a").alias("key")).union(near.select("b")).distinct()
             asked = texts.join(asked, "key", "left_semi").select("first_id", "first_hash")
             one = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))
             sets = rows.join(asked, one, "left_semi").select("text").mapInArrow(_shingle_sets(shingle), "key long, shingles array<long>")
             sets = stage(sets.dropDuplicates(["key"]), "shingle-sets")
-        found = stage(_similar(met.filter(F.col("bits") <= MOST_BITS).select("a", "b"), sets, similarity), "text-links")
+        found = stage(_similar(near.select("a", "b"), sets, similarity), "text-links")
         links = found if links is None else links.union(found)
         of = _linked(links)
         grouped = texts.join(of, F.col("key") == F.col("node"), "left").select("key", F.coalesce("component", "key").alias("component"), *prints)
