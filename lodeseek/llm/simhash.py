@@ -10,9 +10,9 @@ copies of a distinct fingerprint whatever the corpus, and the last 18 bits take
 the comparison alone.
 
 A few bits of one fingerprint are too strict for copies with edits: texts that share 0.8
-of their shingles of five words differ in 3 to 11 bits. `similar_texts` therefore makes
-several fingerprints of each text's distinct words, whose bits an edit hardly moves,
-takes pairs that meet at an anchor of any of them, and checks shingles exactly.
+of their shingles of five words differ in 3 to 11 bits. `similar_texts` therefore joins
+texts by their rare shingles (prefix filtering), which finds any kind of edit alike, and
+checks shingles exactly.
 """
 
 from __future__ import annotations
@@ -21,21 +21,27 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stage, text_of, tidy
 from .components import components
+from .words import slices, split_words
 
 SHINGLE, THRESHOLD = 3, 2
 GOLAY_BITS, GOLAY_RADIUS = 23, 3
 #: Fixed value: the generator polynomial of the Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GOLAY_POLYNOMIAL = 0b110001110101
 ROWS, POINTS = 512, 4096
-#: Of similar_texts: words a shingle, similarity, fingerprints a text, bits to the farthest anchor beyond the radius, bits of a candidate pair.
-SIMILAR_SHINGLE, SIMILARITY, TABLES, REACH, MOST_BITS = 5, 0.8, 8, 1, 12
+#: Of similar_texts: words a shingle, similarity.
+SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
+#: Shingles are counted in 2^BUCKET_BITS buckets, which are added up in chunks and slots; bytes of text taken together.
+BUCKET_BITS, CHUNKS, SLOTS, SLICE = 18, 16, 64, 4_000_000
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -165,108 +171,127 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, shingle: int =
     return marked.join(named, F.col("fingerprint") == F.col("point")).select("doc_id", "fingerprint", "component_id", "text_hash", "component")
 
 
-def _mixed(hashes: np.ndarray, table: int) -> np.ndarray:
-    """Other 64-bit hashes of the same words for each table (the splitmix64 finaliser)."""
-    x = hashes + np.uint64(0x9E3779B97F4A7C15 * (table + 1) & 2**64 - 1)
+def _mixed(hashes: np.ndarray, salt: int) -> np.ndarray:
+    """Other 64-bit hashes for each salt (the splitmix64 finaliser)."""
+    x = hashes + np.uint64(0x9E3779B97F4A7C15 * (salt + 1) & 2**64 - 1)
     x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
     return x ^ x >> np.uint64(31)
 
 
-def word_fingerprints(words: list[bytes], tables: int = TABLES) -> np.ndarray:
-    """`tables` fingerprints of the distinct words; zeros for no words."""
-    hashes = np.array([xxhash.xxh64_intdigest(w) for w in set(words)], np.uint64)
-    out = np.zeros(tables, np.uint64)
-    for table in range(tables if words else 0):
-        counts = np.zeros(64, np.int64)
-        for i in range(0, len(hashes), 1 << 16):
-            bits = np.unpackbits(_mixed(hashes[i : i + (1 << 16)], table).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            counts += bits.sum(axis=0, dtype=np.int64)
-        out[table] = np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0]
-    return out
+def shingle_hashes(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each shingle, the text it is of, and the key of each text; a text shorter than a shingle is one shingle, one without words none."""
+    number, words, sizes = split_words(pc.ascii_lower(texts))
+    hashes = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
+    tokens, ends = hashes[number], np.cumsum(sizes)
+    keys = np.array([xxhash.xxh64_intdigest(tokens[e - n : e]) for e, n in zip(ends.tolist(), sizes.tolist())], np.uint64).view(np.int64)
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    width = np.minimum(sizes, shingle)[text]
+    starts = np.flatnonzero(np.arange(len(number)) + width <= ends[text])
+    total, width = np.zeros(len(starts), np.uint64), width[starts]
+    for j in range(shingle):
+        inside = width > j
+        total[inside] += _mixed(hashes, j)[number[starts[inside] + j]]
+    return _mixed(total + width.astype(np.uint64), shingle), text[starts], keys
 
 
-def _text_key(words: list[bytes]) -> int:
-    return xxhash.xxh64_intdigest(b" ".join(words)) - 2**63
-
-
-def _texts(tables: int):
-    """From doc_id, text_hash, text: doc_id, text_hash, key of the words, fingerprints."""
+def _counts(shingle: int):
+    """From text: how many shingles fall into each bucket of hashes, in chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << BUCKET_BITS, np.int64)
         for whole in batches:
-            for i in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(i, ROWS)
-                keys, prints = np.zeros(batch.num_rows, np.int64), np.zeros((batch.num_rows, tables), np.uint64)
-                for j, text in enumerate(batch.column(2)):
-                    words = text.as_py().encode().lower().split()
-                    keys[j], prints[j] = _text_key(words), word_fingerprints(words, tables)
-                columns = [pa.array(prints[:, t].copy().view(np.int64)) for t in range(tables)]
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:2], pa.array(keys), *columns], names=["doc_id", "text_hash", "key", *[f"print_{t}" for t in range(tables)]]
-                )
+            for batch in slices(whole, 0, SLICE):
+                found, _, _ = shingle_hashes(batch.column(0), shingle)
+                total += np.bincount((found >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(total))
+        rows, slot = [part.tobytes() for part in np.split(total, CHUNKS)], TaskContext.get().partitionId() % SLOTS
+        yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([slot] * CHUNKS, pa.int32()), pa.array(rows, pa.binary())], names=["chunk", "slot", "n"])
 
     return tidy(run)
 
 
-def _shingle_sets(shingle: int):
-    """From text: key of the words, sorted distinct hashes of the shingles (of the whole text, if it is shorter)."""
+def bucket_counts(rows: DataFrame, shingle: int) -> np.ndarray:
+    """Shingles of the texts in each bucket of hashes: how common a shingle is at most."""
+
+    def added(group: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.frombuffer(b, np.int64) for b in group.n], axis=0)
+        return pd.DataFrame({"chunk": [group.chunk.iloc[0]], "slot": [group.slot.iloc[0]], "n": [total.tobytes()]})
+
+    schema = "chunk int, slot int, n binary"
+    by_slot = rows.select("text").mapInArrow(_counts(shingle), schema).groupBy("chunk", "slot").applyInPandas(added, schema)
+    out = np.zeros((CHUNKS, (1 << BUCKET_BITS) // CHUNKS), np.int64)
+    for r in by_slot.groupBy("chunk").applyInPandas(added, schema).collect():  # CHUNKS rows
+        out[r.chunk] = np.frombuffer(r.n, np.int64)
+    return out.ravel()
+
+
+def _rare_shingles(common, shingle: int, similarity: float):
+    """From doc_id, text_hash, text: doc_id, text_hash, key, number of shingles, and the rarest of them, any of which a similar text shares."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = common.value
         for whole in batches:
-            for i in range(0, whole.num_rows, ROWS):
-                keys, sets = [], []
-                for text in whole.slice(i, ROWS).column(0):
-                    words = text.as_py().encode().lower().split()
-                    k = min(shingle, len(words))
-                    found = [xxhash.xxh64_intdigest(b" ".join(words[a : a + k])) for a in range(len(words) - k + 1)] if words else []
-                    keys.append(_text_key(words))
-                    sets.append(np.unique(np.array(found, np.uint64).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["key", "shingles"])
+            for batch in slices(whole, 2, SLICE):
+                found, text, keys = shingle_hashes(batch.column(2), shingle)
+                order = np.lexsort((found, counts[(found >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)], text))
+                found, text = found[order], text[order]
+                fresh = np.ones(len(found), bool)
+                fresh[1:] = (found[1:] != found[:-1]) | (text[1:] != text[:-1])
+                found, text = found[fresh], text[fresh]
+                sizes = np.bincount(text, minlength=len(keys))
+                at = np.arange(len(found)) - (np.cumsum(sizes) - sizes)[text]
+                first = np.where(sizes > 0, sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1, 0)
+                mine = at < first[text]
+                offsets = np.concatenate([[0], np.cumsum(np.minimum(first, sizes))]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found[mine].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(keys), pa.array(sizes.astype(np.int32)), lists], names=["doc_id", "text_hash", "key", "size", "rare"])
 
     return tidy(run)
 
 
-def _table_replicas(reach: int, homes_only: bool):
-    """From key, component and fingerprints: anchor (its table in the upper bits), key, component, fingerprint."""
+def _shingle_sets(shingle: int):
+    """From text: key of the words, sorted distinct hashes of the shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for k in range(0, whole.num_rows, POINTS):
-                batch = whole.slice(k, POINTS)
-                keys, components_ = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                for table in range(batch.num_columns - 2):
-                    points = batch.column(table + 2).to_numpy()
-                    i, anchor, home = anchors(points.view(np.uint64), reach)
-                    if homes_only:
-                        i, anchor = i[home], anchor[home]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(anchor | table << 2 * GOLAY_BITS), pa.array(keys[i]), pa.array(components_[i]), pa.array(points[i])],
-                        names=["anchor", "key", "component", "print"],
-                    )
+            for batch in slices(whole, 0, SLICE):
+                found, text, keys = shingle_hashes(batch.column(0), shingle)
+                ends = np.cumsum(np.bincount(text, minlength=len(keys)))
+                sets = [np.unique(part.view(np.int64)) for part in np.split(found, ends[:-1])]
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sets, pa.list_(pa.int64()))], names=["key", "shingles"])
 
     return tidy(run)
 
 
-def meetings(texts: DataFrame, by: list[str], reach: int = REACH) -> DataFrame:
-    """a < b, bits: keys of texts of different components that meet at an anchor, and how many bits of its fingerprint they differ in.
+def _can_be_similar(similarity: float):
+    """Of a meeting of (size, at) with (other_size, other_at): were this their first shared shingle, enough could follow."""
+    after = F.least(F.col("size") - F.col("at"), F.col("other_size") - F.col("other_at"))
+    return after + 1e-9 >= (F.col("size") + F.col("other_size")) * (similarity / (1 + similarity))
+
+
+def _others(postings: DataFrame) -> DataFrame:
+    return postings.select("shingle", *[F.col(c).alias(f"other_{c}") for c in ("key", "component", "size", "at")])
 
-    texts: key, component, print_0, print_1, ...; no key twice. For each group `by`
-    (anchor, or anchor and component) the smallest and the largest key at home there
-    stand for all: a text meets a few others at each of its anchors, however many are there.
+
+def _pairs(met: DataFrame) -> DataFrame:
+    return met.select(F.least("key", "other_key").alias("a"), F.greatest("key", "other_key").alias("b")).distinct()
+
+
+def meetings(postings: DataFrame, by: list[str], similarity: float) -> DataFrame:
+    """a < b: keys of texts of different components that share a rare shingle and can be similar.
+
+    postings: shingle, key, component, size, at. For each group `by` (shingle, or shingle
+    and component) the smallest and the largest key stand for all.
     """
-    schema = "anchor long, key long, component long, print long"
-    ends = texts.mapInArrow(_table_replicas(reach, True), schema).groupBy(*by).agg(
+    ends = postings.groupBy(*by).agg(
         *[
-            F.struct(least("key").alias("key"), *[of(c, "key").alias(c) for c in ("component", "print")]).alias(name)
+            F.struct(least("key").alias("key"), *[of(c, "key").alias(c) for c in ("component", "size", "at")]).alias(name)
             for name, least, of in (("low", F.min, F.min_by), ("high", F.max, F.max_by))
         ]
     )
-    stands = ends.select("anchor", F.explode(F.array_distinct(F.array("low", "high"))).alias("one")).select("anchor", "one.*")
-    visits = texts.mapInArrow(_table_replicas(reach, False), schema).toDF("anchor", "other", "other_component", "other_print")
-    met = stands.join(visits, "anchor").filter(F.col("component") != F.col("other_component"))
-    bits = F.bit_count(F.col("print").bitwiseXOR(F.col("other_print")))
-    return met.groupBy(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).agg(F.min(bits).alias("bits"))
+    stands = ends.select("shingle", F.explode(F.array_distinct(F.array("low", "high"))).alias("one")).select("shingle", "one.*")
+    met = stands.join(_others(postings), "shingle").filter(F.col("component") != F.col("other_component"))
+    return _pairs(met.filter(_can_be_similar(similarity)))
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -291,34 +316,41 @@ def similar_texts(docs: DataFrame, similarity: float = SIMILARITY, shingle: int
     text. Two texts are linked if their sets of shingles have a Jaccard similarity of at
     least `similarity`; a text shorter than a shingle is one shingle.
 
-    Candidates meet at anchors of any of the fingerprints, which misses about 1 % of the
-    links. Two rounds keep a large group from being all its pairs: first every text meets
-    the smallest and the largest key at each of its anchors, then those of each component
-    of the links so far, for texts that met any close one. A text that has its only link
-    into a large component can be missed.
+    Shingles are put in one order for all texts, those of rare buckets first. A text of n
+    shingles shares `similarity` * n with a similar one at least, so one of its first
+    n - similarity * n + 1 shingles is among the first of the other: only these are
+    joined, and no link is missed for want of a meeting. The order decides how many
+    meet, not which links are found. Two rounds keep a large group from being all its
+    pairs: first every text meets the smallest and the largest key at each of its rare
+    shingles, then those of each component of the links so far. A text that has its only
+    link into a large component can be missed.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text"))
-    prints = [f"print_{t}" for t in range(TABLES)]
-    marked = stage(
-        rows.mapInArrow(_texts(TABLES), f"doc_id {id_type}, text_hash long, key long, " + ", ".join(f"{p} long" for p in prints)), "text-fingerprints"
-    )
+    common = docs.sparkSession.sparkContext.broadcast(bucket_counts(rows, shingle))
+    schema = f"doc_id {id_type}, text_hash long, key long, size int, rare array<long>"
+    marked = stage(rows.mapInArrow(_rare_shingles(common, shingle, similarity), schema), "rare-shingles")
     first = F.coalesce(F.min_by("text_hash", "doc_id"), F.min("text_hash")).alias("first_hash")
-    texts = stage(marked.groupBy("key").agg(F.min("doc_id").alias("first_id"), first, *[F.max(p).alias(p) for p in prints]), "distinct-texts")
-    sets, links, grouped = None, None, texts.select("key", F.col("key").alias("component"), *prints)
-    for by in (["anchor"], ["anchor", "component"]):
-        met = stage(meetings(grouped, by), "text-meetings")
-        near = met.filter(F.col("bits") <= MOST_BITS)
+    texts = stage(marked.groupBy("key").agg(F.min("doc_id").alias("first_id"), first), "distinct-texts")
+    each = marked.select("key", F.explode("rare").alias("shingle"))
+    shared = each.groupBy("shingle").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high").select("shingle")
+    shared = stage(shared, "shared-shingles")
+    each = marked.select("key", "size", F.posexplode("rare").alias("at", "shingle")).join(shared, "shingle")
+    postings = stage(each.distinct().withColumn("component", F.col("key")), "postings")
+    sets, links, grouped = None, None, postings
+    for by in (["shingle"], ["shingle", "component"]):
+        near = stage(meetings(grouped, by, similarity), "text-meetings")
         if sets is None:
             asked = near.select(F.col("a").alias("key")).union(near.select("b")).distinct()
             asked = texts.join(asked, "key", "left_semi").select("first_id", "first_hash")
             one = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))
             sets = rows.join(asked, one, "left_semi").select("text").mapInArrow(_shingle_sets(shingle), "key long, shingles array<long>")
             sets = stage(sets.dropDuplicates(["key"]), "shingle-sets")
-        found = stage(_similar(near.select("a", "b"), sets, similarity), "text-links")
+        found = stage(_similar(near, sets, similarity), "text-links")
         links = found if links is None else links.union(found)
         of = _linked(links)
-        grouped = texts.join(of, F.col("key") == F.col("node"), "left").select("key", F.coalesce("component", "key").alias("component"), *prints)
+        placed = postings.drop("component").join(of, F.col("key") == F.col("node"), "left")
+        grouped = placed.select("shingle", "key", "size", "at", F.coalesce("component", "key").alias("component"))
     named = marked.select("doc_id", "text_hash", "key").join(of, F.col("key") == F.col("node"), "left")
     return named.select("doc_id", "text_hash", "key", F.coalesce("component", "key").alias("component"))
 

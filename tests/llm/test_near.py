@@ -104,6 +104,40 @@ def test_edited_copies_are_found_and_others_stay(spark):
     assert want <= got and len(got) <= len(want) + 1  # about one link in a hundred may be missed
 
 
+def edited_pairs():
+    """Pairs of texts of similarity 0.8 or a little more by kind of edit."""
+    rng = np.random.default_rng(11)
+    vocabulary, chances = [f"w{i}" for i in range(3000)], 1 / np.arange(1, 3001)
+    new = lambda n: list(rng.choice(vocabulary, n, p=chances / chances.sum()))
+    out = {"appended": [], "cut": [], "short": [], "long": [], "scattered": []}
+    for _ in range(40):
+        base = new(100)
+        out["appended"].append((base, base + new(20)))
+        base = new(300)
+        out["cut"].append((base, base[58:]))
+        base = new(24)
+        out["short"].append((base, base + new(5)))
+        base = new(1000)
+        out["long"].append((base, new(200) + base))
+        base = new(300)
+        copy = list(base)
+        for at in rng.choice(300, 6, replace=False):
+            copy[at] = "edited"
+        out["scattered"].append((base, copy))
+    return out
+
+
+def test_links_are_found_for_any_kind_of_edit(spark):
+    kinds = edited_pairs()
+    pairs = [p for found in kinds.values() for p in found]
+    table = [(2 * i + j, " ".join(w)) for i, pair in enumerate(pairs) for j, w in enumerate(pair)]
+    want = brute_similar(table)
+    of = {r.doc_id: r.component for r in simhash.similar_texts(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    linked = [i for i in range(0, len(table), 2) if want[i] == want[i + 1]]
+    assert len(linked) > 150
+    assert [i for i in linked if of[i] != of[i + 1]] == []
+
+
 def test_every_close_pair_meets_once(spark):
     rng = np.random.default_rng(2)
     points = {int(x) for x in rng.integers(0, 2**63, 40)}
