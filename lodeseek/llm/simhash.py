@@ -340,12 +340,14 @@ def similar_texts(docs: DataFrame, similarity: float = SIMILARITY, shingle: int
     sets, links, grouped = None, None, postings
     for by in (["shingle"], ["shingle", "component"]):
         near = stage(meetings(grouped, by, similarity), "text-meetings")
-        if sets is None:
-            asked = near.select(F.col("a").alias("key")).union(near.select("b")).distinct()
-            asked = texts.join(asked, "key", "left_semi").select("first_id", "first_hash")
-            one = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))
-            sets = rows.join(asked, one, "left_semi").select("text").mapInArrow(_shingle_sets(shingle), "key long, shingles array<long>")
-            sets = stage(sets.dropDuplicates(["key"]), "shingle-sets")
+        asked = near.select(F.col("a").alias("key")).union(near.select("b")).distinct()
+        if sets is not None:  # of texts that met none in the round before
+            asked = asked.join(sets, "key", "left_anti")
+        asked = texts.join(asked, "key", "left_semi").select("first_id", "first_hash")
+        one = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))
+        made = rows.join(asked, one, "left_semi").select("text").mapInArrow(_shingle_sets(shingle), "key long, shingles array<long>")
+        made = stage(made.dropDuplicates(["key"]), "shingle-sets")
+        sets = made if sets is None else sets.union(made)
         found = stage(_similar(near, sets, similarity), "text-links")
         links = found if links is None else links.union(found)
         of = _linked(links)

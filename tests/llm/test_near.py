@@ -138,6 +138,22 @@ def test_links_are_found_for_any_kind_of_edit(spark):
     assert [i for i in linked if of[i] != of[i + 1]] == []
 
 
+def test_texts_that_first_meet_in_the_second_round_are_compared(spark, monkeypatch):
+    """Where the first round has no meetings, the second makes the sets that it needs."""
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in rng.integers(0, 2000, 200)]
+    table = [(1, " ".join(base)), (2, " ".join([*base, "more"])), (3, "others altogether")]
+    whole, rounds = simhash.meetings, []
+
+    def none_at_first(*args):
+        rounds.append(args)
+        return whole(*args).limit(0) if len(rounds) == 1 else whole(*args)
+
+    monkeypatch.setattr(simhash, "meetings", none_at_first)
+    of = {r.doc_id: r.component for r in simhash.similar_texts(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    assert rounds and of[1] == of[2] != of[3]
+
+
 def test_every_close_pair_meets_once(spark):
     rng = np.random.default_rng(2)
     points = {int(x) for x in rng.integers(0, 2**63, 40)}
