@@ -277,13 +277,12 @@ def _pairs(met: DataFrame) -> DataFrame:
     return met.select(F.least("key", "other_key").alias("a"), F.greatest("key", "other_key").alias("b")).distinct()
 
 
-def meetings(postings: DataFrame, by: list[str], similarity: float) -> DataFrame:
-    """a < b: keys of texts of different components that share a rare shingle and can be similar.
+def meetings(postings: DataFrame, similarity: float) -> DataFrame:
+    """a < b: keys of texts that share a rare shingle and can be similar, one of them the smallest or the largest key at that shingle.
 
-    postings: shingle, key, component, size, at. For each group `by` (shingle, or shingle
-    and component) the smallest and the largest key stand for all.
+    postings: shingle, key, component, size, at.
     """
-    ends = postings.groupBy(*by).agg(
+    ends = postings.groupBy("shingle").agg(
         *[
             F.struct(least("key").alias("key"), *[of(c, "key").alias(c) for c in ("component", "size", "at")]).alias(name)
             for name, least, of in (("low", F.min, F.min_by), ("high", F.max, F.max_by))
@@ -294,6 +293,20 @@ def meetings(postings: DataFrame, by: list[str], similarity: float) -> DataFrame
     return _pairs(met.filter(_can_be_similar(similarity)))
 
 
+def all_meetings(postings: DataFrame, similarity: float) -> DataFrame:
+    """a < b: keys of all texts of different components that share a rare shingle and can be similar.
+
+    postings as of meetings. At each shingle the texts of the largest component meet the
+    others only, so that a large group is not compared with itself.
+    """
+    of_each = postings.groupBy("shingle", "component").agg(F.count("*").alias("n"))
+    largest = of_each.groupBy("shingle").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("n"))
+    small = postings.join(largest.filter("n > 1").drop("n"), "shingle").filter(F.col("component") != F.col("largest"))
+    once = (F.col("other_component") == F.col("largest")) | (F.col("key") < F.col("other_key"))
+    met = small.join(_others(postings), "shingle").filter((F.col("component") != F.col("other_component")) & once)
+    return _pairs(met.filter(_can_be_similar(similarity)))
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs a, b whose sets of shingles have a Jaccard similarity of at least `similarity`."""
     both = pairs.join(sets.toDF("a", "of_a"), "a").join(sets.toDF("b", "of_b"), "b")
@@ -322,8 +335,8 @@ def similar_texts(docs: DataFrame, similarity: float = SIMILARITY, shingle: int
     joined, and no link is missed for want of a meeting. The order decides how many
     meet, not which links are found. Two rounds keep a large group from being all its
     pairs: first every text meets the smallest and the largest key at each of its rare
-    shingles, then those of each component of the links so far. A text that has its only
-    link into a large component can be missed.
+    shingles, then all texts there that are not of its component yet. So the components
+    are those of all links.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text"))
@@ -337,9 +350,12 @@ def similar_texts(docs: DataFrame, similarity: float = SIMILARITY, shingle: int
     shared = stage(shared, "shared-shingles")
     each = marked.select("key", "size", F.posexplode("rare").alias("at", "shingle")).join(shared, "shingle")
     postings = stage(each.distinct().withColumn("component", F.col("key")), "postings")
-    sets, links, grouped = None, None, postings
-    for by in (["shingle"], ["shingle", "component"]):
-        near = stage(meetings(grouped, by, similarity), "text-meetings")
+    sets, links, grouped, compared = None, None, postings, None
+    for meet in (meetings, all_meetings):
+        near = meet(grouped, similarity)
+        if compared is not None:
+            near = near.join(compared, ["a", "b"], "left_anti")
+        near = compared = stage(near, "text-meetings")
         asked = near.select(F.col("a").alias("key")).union(near.select("b")).distinct()
         if sets is not None:  # of texts that met none in the round before
             asked = asked.join(sets, "key", "left_anti")

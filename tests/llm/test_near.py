@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -154,6 +155,28 @@ def test_texts_that_first_meet_in_the_second_round_are_compared(spark, monkeypat
     assert rounds and of[1] == of[2] != of[3]
 
 
+def test_links_between_middle_members_of_two_groups_are_found(spark):
+    """Of each group the middle key alone is similar to that of the other; the smallest and the largest, longer by common words, aren't."""
+    rng = np.random.default_rng(6)
+    new = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 10**6, n))
+    key = lambda text: int(simhash.shingle_hashes(pa.array([text]), 5)[2][0])
+    base, table = new(200), []
+    for _ in range(2):
+        middle = f"{base} {new(10)}"
+        for less in (True, False):
+            while True:
+                common = new(32)
+                if (key(f"{middle} {common}") < key(middle)) == less:
+                    break
+            table += [f"{middle} {common}"] + [common] * 20
+        table.append(middle)
+    table = list(enumerate(table))
+    want = brute_similar(table)
+    of = {r.doc_id: r.component for r in simhash.similar_texts(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    assert len({of[i] for i, t in table if base in t}) == len({want[i] for i, t in table if base in t}) == 1
+    assert len({(want[i], of[i]) for i, _ in table}) == len(set(want)) == 5
+
+
 def test_every_close_pair_meets_once(spark):
     rng = np.random.default_rng(2)
     points = {int(x) for x in rng.integers(0, 2**63, 40)}
