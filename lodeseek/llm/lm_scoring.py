@@ -4,9 +4,9 @@ Words of all documents are counted exactly. The commonest HEAD words, a bounded
 travel to every task; the others, of which none makes up more than 1/HEAD of the text,
 are joined with their counts in a shuffle. The gated recurrent model predicts units: the
 commonest words, the end of a text, and buckets of rarer words by their last letters; a
-word of a bucket then has its smoothed share of the bucket. Training takes one document
-in SHARE by hash, so it grows with the corpus, in rounds: each task trains on its
-documents from the weights of the round before, and the weights are averaged by shuffle.
+word of a bucket then has its smoothed share of the bucket. Training reads every document
+to learn from once, in rounds by hash: each task trains on its documents from the weights
+of the round before, and the weights are averaged by shuffle.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from . import gru
 from .common import discard, stage, text_of, tidy
 from .words import per_text, slices, split_words
 
-HEAD, CLASSES, BUCKETS, SHARE, ROUNDS = 1 << 18, 64, 512, 8, 6
+HEAD, CLASSES, BUCKETS, SHARE, ROUNDS = 1 << 18, 64, 512, 1, 6
 WEIGHTS_A_ROW, SLOTS = 1 << 14, 64
 #: Documents are read and scored together up to so many bytes.
 SLICE = 12_000_000
@@ -216,6 +216,7 @@ def score_documents(docs: DataFrame, head: int = HEAD, share: int = SHARE, round
 
     docs: doc_id, text; other columns are ignored. Documents whose crc32(doc_id as text)
     mod 7 is 2 are held out, the others are learnt from; a null doc_id is learnt from.
+    The model trains on one in `share` of those by hash, on all by default.
     Tokens are the words, A-Z lower-cased, and one end; null, empty and wordless texts
     are an end alone. base_score adds log10((c + 1) / (N + V + 1)) of the tokens, score
     is the recurrent model's log10 probability of the whole text. Repeated rows count
@@ -229,7 +230,8 @@ def score_documents(docs: DataFrame, head: int = HEAD, share: int = SHARE, round
     lex, tail = lexicon(counts, head)
     shared_lex = spark.sparkContext.broadcast(lex)
 
-    learnt = docs.filter(~is_held_out()).withColumn("round", F.pmod(F.xxhash64("doc_id"), F.lit(share * rounds)))
+    # by the text too, so that rows without an id, or with the same, are spread
+    learnt = docs.filter(~is_held_out()).withColumn("round", F.pmod(F.xxhash64("doc_id", "text"), F.lit(share * rounds)))
     texts = stage(learnt.filter(F.col("round") < rounds).select(text_of().alias("text"), "round"), "training-texts", ["round"])
     flat = train(texts, lex, shared_lex, rounds)
     discard(texts)

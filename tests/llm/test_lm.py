@@ -48,6 +48,22 @@ def test_model_beats_the_base_on_held_out_documents(spark):
     assert sum(r.score for r in scored) > sum(r.base_score for r in scored)
 
 
+def test_training_reads_all_documents_to_learn_from_in_every_round(spark, monkeypatch):
+    """By default; rows without an id, or with the same, are spread over the rounds."""
+    table = [(None, f"null {i}") for i in range(60)] + [(0, f"same {i}") for i in range(60)] + [(i, f"own {i}") for i in range(1, 60)]
+    seen, whole = [], lm_scoring.train
+
+    def watched(texts, *rest):
+        seen.extend(texts.collect())
+        return whole(texts, *rest)
+
+    monkeypatch.setattr(lm_scoring, "train", watched)
+    lm_scoring.score_documents(spark.createDataFrame(table, "doc_id long, text string")).count()
+    assert sorted(r.text for r in seen) == sorted(t for i, t in table if not held_out(i))
+    for kind in ("null", "same", "own"):
+        assert {r["round"] for r in seen if r.text.startswith(kind)} == set(range(lm_scoring.ROUNDS))
+
+
 def test_probabilities_of_units_sum_to_one():
     flat = gru.initial(np.arange(128.0)[::-1] + 1, seed=3)
     scorer = gru.Scorer(flat, 2, 0)
