@@ -3,7 +3,8 @@
 A bounded sample of vectors gives a neighbour graph, which is cut into partitions of
 equal size; a small classifier learns a vector's partition and those of its neighbours.
 Every row is indexed in its most probable partition, a query goes to the most probable
-ones, as many as a held-out part of the sample needs for the recall aimed at. Within a
+ones, as many as a held-out part of the sample needs for the recall aimed at, and to
+all where those hold too few other vectors. Within a
 partition, blocks of queries meet blocks of rows, each of bounded size, in double
 precision. Equal vectors are indexed once, with their smallest ids.
 """
@@ -220,34 +221,46 @@ def search(vectors: DataFrame, query_every: int = 50, k: int = 5, parts: int = P
     wanted = classes.join(queries.select(F.col("query_rep").alias("rep")).distinct(), "rep", "left_semi")
     probes = stage(wanted.select(*columns).mapInArrow(_route(model, None), schema), "vector-probes")
 
-    counts = spark.createDataFrame(
-        [
-            (p, -(-n // BLOCK_ROWS), -(-m // BLOCK_QUERIES))
-            for p, n, m in rows.groupBy("part").count().join(probes.groupBy("part").agg(F.count("*").alias("asked")), "part").collect()
-        ],
-        "part int, row_blocks int, query_blocks int",
-    )  # a row for each partition
-
-    def dealt(side: DataFrame, own: str, other: str, is_query: bool) -> DataFrame:
-        block = F.pmod(F.xxhash64("rep"), F.col(own)).cast("int").alias(own)
-        every = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other)
-        placed = side.join(F.broadcast(counts), "part").select("rep", "embedding", "part", block, every)
-        return placed.select("rep", "embedding", "part", "row_blocks", "query_blocks", F.lit(is_query).alias("is_query"))
-
-    met = dealt(rows, "row_blocks", "query_blocks", False).unionByName(dealt(probes, "query_blocks", "row_blocks", True))
-    found = met.groupBy("part", "row_blocks", "query_blocks").applyInPandas(_compare(k + 1), "query_rep long, rep long, score double")
-    best = W.partitionBy("query_rep").orderBy(F.desc("score"), "rep")
-    nearest = found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1).select("query_rep", "rep", "score")
-    expanded = stage(nearest, "vector-nearest").join(members, "rep")
-    best = W.partitionBy("query_rep").orderBy(F.desc("score"), "vec_id")
-    lists = (
-        expanded.withColumn("n", F.row_number().over(best))
-        .filter(F.col("n") <= k + 1)
-        .groupBy("query_rep")
-        .agg(F.array_sort(F.collect_list(F.struct("n", "vec_id", "score"))).alias("near"))
-    )
-    others = F.slice(F.filter("near", lambda c: c["vec_id"] != F.col("query_id")), 1, k)
-    answered = queries.join(stage(lists, "vector-answers"), "query_rep").select("query_id", F.posexplode(others).alias("at", "c"))
+    def answers(probes: DataFrame, name: str) -> DataFrame:
+        """query_id, query_rep, near: up to k nearest others in the partitions probed."""
+        counts = spark.createDataFrame(
+            [
+                (p, -(-n // BLOCK_ROWS), -(-m // BLOCK_QUERIES))
+                for p, n, m in rows.groupBy("part").count().join(probes.groupBy("part").agg(F.count("*").alias("asked")), "part").collect()
+            ],
+            "part int, row_blocks int, query_blocks int",
+        )  # a row for each partition
+
+        def dealt(side: DataFrame, own: str, other: str, is_query: bool) -> DataFrame:
+            block = F.pmod(F.xxhash64("rep"), F.col(own)).cast("int").alias(own)
+            every = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other)
+            placed = side.join(F.broadcast(counts), "part").select("rep", "embedding", "part", block, every)
+            return placed.select("rep", "embedding", "part", "row_blocks", "query_blocks", F.lit(is_query).alias("is_query"))
+
+        met = dealt(rows, "row_blocks", "query_blocks", False).unionByName(dealt(probes, "query_blocks", "row_blocks", True))
+        found = met.groupBy("part", "row_blocks", "query_blocks").applyInPandas(_compare(k + 1), "query_rep long, rep long, score double")
+        best = W.partitionBy("query_rep").orderBy(F.desc("score"), "rep")
+        nearest = found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1).select("query_rep", "rep", "score")
+        expanded = stage(nearest, f"{name}-nearest").join(members, "rep")
+        best = W.partitionBy("query_rep").orderBy(F.desc("score"), "vec_id")
+        lists = (
+            expanded.withColumn("n", F.row_number().over(best))
+            .filter(F.col("n") <= k + 1)
+            .groupBy("query_rep")
+            .agg(F.array_sort(F.collect_list(F.struct("n", "vec_id", "score"))).alias("near"))
+        )
+        others = F.slice(F.filter("near", lambda c: c["vec_id"] != F.col("query_id")), 1, k)
+        return queries.join(stage(lists, f"{name}-answers"), "query_rep").select("query_id", "query_rep", others.alias("near"))
+
+    answered = answers(probes, "vector")
+    if router.probes < len(router.out_bias):
+        full = answered.filter(F.size("near") >= k).select("query_id")
+        short = stage(queries.join(full, "query_id", "left_anti").select(F.col("query_rep").alias("rep")).distinct(), "vector-short")
+        if not short.isEmpty():  # few rows where these queries look: they look everywhere
+            again = classes.join(short, "rep", "left_semi").select(*columns).mapInArrow(_route(model, len(router.out_bias)), schema)
+            rest = answered.join(short.toDF("query_rep"), "query_rep", "left_anti").select(*answered.columns)
+            answered = rest.unionByName(answers(stage(again, "vector-further-probes"), "vector-further"))
+    answered = answered.select("query_id", F.posexplode("near").alias("at", "c"))
     return answered.select("query_id", (F.col("at") + 1).alias("rank"), F.col("c.vec_id").alias("vec_id"), F.col("c.score").alias("score"))
 
 

@@ -234,6 +234,18 @@ def test_recall_of_the_query(spark):
     assert got.keys() == want.keys() and np.mean([len(got[q] & set(w)) / len(w) for q, w in want.items()]) >= 0.9
 
 
+def test_queries_of_small_partitions_look_further(spark, monkeypatch):
+    """Of two partitions one holds three vectors, and one is probed."""
+    monkeypatch.setattr(ann, "fit_router", lambda *_: ann.Router(np.eye(2), np.zeros(2), np.eye(2), np.zeros(2)))
+    vectors = [[1.0, 0.01 * i] for i in range(3)] + [[0.02 * i, 1.0] for i in range(1, 21)]
+    got = {}
+    for r in ann.search(spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>"), 1).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    cosine = ann._unit(np.array(vectors)) @ ann._unit(np.array(vectors)).T
+    for i in range(len(vectors)):
+        assert got[i] == [j for j in np.argsort(-cosine[i]).tolist() if j != i][:5]
+
+
 def test_partitions_are_balanced():
     rng = np.random.default_rng(0)
     x = ann._unit(np.concatenate([rng.normal(m, 0.3, (250, 8)) for m in np.eye(8)[:4]]))
