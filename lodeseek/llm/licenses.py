@@ -1,10 +1,18 @@
 """License scan: MinHash bands over overlapping windows, then exact containment. DataFrame functions only.
 
-The templates are few and fixed, so their band keys travel as literals and a scan needs
-no shuffle. Windows are short (two shingles of five words at every word), and one row
-per band: a shingle that a document shares with a template is the smallest of one of
-its two windows in a band with probability 2/3, so with 8 bands a template of a single
-shingle is found with probability 1 - (1/3)^8 = 0.9998, longer ones practically always.
+A window is `window` adjacent shingles, one at every shingle; a band's key is the smallest
+of the window's hashes under that band's permutation. Templates with fewer shingles have
+windows of their own size, of which documents make keys too. So wherever a document holds
+adjacent shingles enough to fill one window of a template, the two windows are the same
+set and have the same key in every band: such a template is retrieved with certainty,
+at either end of a text as in the middle. Only where no two of a template's shingles stand
+side by side is retrieval a matter of chance: such a shingle is the smallest of one of its two
+windows in the document, and of one of those in the template, with probability 4/9 a band,
+so with 8 bands it retrieves its template with probability 1 - (5/9)^8 = 0.99, two of them
+with 0.9999.
+
+Few templates travel as literals, and a scan needs no shuffle; more than LITERAL_WORDS are
+joined as tables.
 """
 
 from __future__ import annotations
@@ -15,7 +23,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let, text_of
+from .common import ascii_lower, let, stage, text_of
 
 #: Short notices of public licences, each as it is commonly written.
 TEMPLATES = {
@@ -52,6 +60,8 @@ TEMPLATES = {
 
 WORD_SPLIT = r"[^\p{L}\p{N}]+"
 SHINGLE, WINDOW, BANDS = 5, 2, 8
+#: Templates of so many words in all are put into the plan; of more, or not in ASCII, tables are joined.
+LITERAL_WORDS = 10_000
 
 
 def _words(text: Column) -> Column:
@@ -66,17 +76,30 @@ def _shingles(words: Column, size: int) -> Column:
     ).otherwise(F.array().cast("array<bigint>"))
 
 
-def _band_keys(shingles: Column, window: int, bands: int) -> Column:
-    """For each band and window the smallest permuted shingle hash, keyed by band."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size(shingles) - window + 1, F.lit(1)))
+def _keys(shingles: Column, size: int, bands: int) -> Column:
+    """For each band and window of `size` shingles the smallest permuted hash; of fewer shingles one window."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(shingles) - size + 1, F.lit(1)))
 
     def band(b: int) -> Column:
         return let(
             F.transform(shingles, lambda x: F.xxhash64(F.lit(b), x)),
-            lambda permuted: F.transform(starts, lambda i: F.array_min(F.slice(permuted, i, window))),
+            lambda permuted: F.transform(starts, lambda i: F.array_min(F.slice(permuted, i, size))) if size > 1 else permuted,
         )
 
-    return F.array_distinct(F.concat(*[band(b) for b in range(bands)]))
+    return F.array_distinct(F.concat(*[band(b) for b in range(bands if size > 1 else 1)]))
+
+
+def _window_keys(shingles: Column, sizes: list[int], bands: int) -> Column:
+    """The keys of the windows of each of these sizes."""
+    return F.array_distinct(F.concat(*[_keys(shingles, size, bands) for size in sizes]))
+
+
+def _template_keys(shingles: Column, window: int, bands: int) -> Column:
+    """The keys of the largest windows that the template fills."""
+    keys = _keys(shingles, window, bands)
+    for size in range(window - 1, 0, -1):
+        keys = F.when(F.size(shingles) == size, _keys(shingles, size, bands)).otherwise(keys)
+    return keys
 
 
 def _python_words(text: str) -> list[str]:
@@ -99,36 +122,45 @@ def hitting_words(templates: dict[str, str], shingle: int, min_containment: floa
     return sorted(found)
 
 
+def _containment(rows: DataFrame, min_containment: float) -> DataFrame:
+    return rows.withColumn("containment", F.col("n_shared") / F.col("n_template")).filter(F.col("containment") >= min_containment)
+
+
 def scan_licenses(
     docs: DataFrame,
-    templates: dict[str, str] | None = None,
+    templates: dict[str, str] | DataFrame | None = None,
     min_containment: float = 0.8,
     shingle: int = SHINGLE,
     window: int = WINDOW,
     bands: int = BANDS,
+    literal_words: int = LITERAL_WORDS,
 ) -> DataFrame:
     """Licences whose template shingles a document holds to min_containment or more.
 
-    docs: doc_id, text; other columns are ignored. templates: id to ASCII text of at
-    least `shingle` words, at most 10,000 words in all (they travel as literals).
-    Returns a row for each row of docs and template found: doc_id, license, n_shared,
-    n_template (distinct shingles), containment. Words are runs of letters and digits,
-    A-Z lower-cased. Null, empty and shorter texts have no shingles and give no row;
-    repeated rows give theirs each; an empty table gives an empty one.
+    docs: doc_id, text; other columns are ignored. templates: id to text, or a table
+    license, text (of an id that is repeated, the smallest text counts); those of fewer words
+    than a shingle are never found. Returns a row for each row of docs and template found: doc_id,
+    license, n_shared, n_template (distinct shingles), containment. Words are runs of
+    letters and digits, A-Z lower-cased. Null, empty and shorter texts have no shingles and
+    give no row; repeated rows give theirs each; an empty table gives an empty one.
     """
+    if isinstance(templates, DataFrame):
+        return _scan_by_join(docs, templates, min_containment, shingle, window, bands)
     templates = TEMPLATES if templates is None else templates
-    if sum(len(_python_words(t)) for t in templates.values()) > 10_000:
-        raise ValueError("templates are limited to 10,000 words")
     spark = docs.sparkSession
-    rows = spark.createDataFrame(sorted(templates.items()), "license string, text string")
+    table = spark.createDataFrame(sorted(templates.items()), "license string, text string")
+    if sum(len(_python_words(t)) for t in templates.values()) > literal_words or not all(t.isascii() for t in templates.values()):
+        return _scan_by_join(docs, table, min_containment, shingle, window, bands)
     s = _shingles(F.col("words"), shingle)
     known = (
-        rows.select("license", _words(F.col("text")).alias("words"))
-        .select("license", F.array_distinct(s).alias("shingles"), _band_keys(s, window, bands).alias("keys"))
+        table.select("license", _words(F.col("text")).alias("words"))
+        .select("license", F.array_distinct(s).alias("shingles"), _template_keys(s, window, bands).alias("keys"), F.size(s).alias("n"))
+        .filter("n > 0")
         .collect()
     )
+    sizes = sorted({min(window, r.n) for r in known}) or [1]
     literal = F.from_json(
-        F.lit(json.dumps([r.asDict() for r in known])), "array<struct<license:string,shingles:array<bigint>,keys:array<bigint>>>"
+        F.lit(json.dumps([{"license": r.license, "shingles": r.shingles, "keys": r["keys"]} for r in known])), "array<struct<license:string,shingles:array<bigint>,keys:array<bigint>>>"
     )
     all_keys = F.from_json(F.lit(json.dumps(sorted({k for r in known for k in r["keys"]}))), "array<bigint>")
     any_word = r"(?i)(?<![\p{L}\p{N}])(?:" + "|".join(hitting_words(templates, shingle, min_containment)) + r")(?![\p{L}\p{N}])"
@@ -148,12 +180,40 @@ def scan_licenses(
         _words(F.col("text")),
         lambda words: let(
             _shingles(words, shingle),
-            lambda s: let(F.array_intersect(_band_keys(s, window, bands), all_keys), lambda hits: checked(s, hits)),
+            lambda s: let(F.array_intersect(_window_keys(s, sizes, bands), all_keys), lambda hits: checked(s, hits)),
         ),
     )
     texts = docs.select("doc_id", text_of().alias("text")).filter(F.col("text").rlike(any_word))
     rows = texts.select("doc_id", F.explode(found).alias("found")).select("doc_id", "found.*")
-    return rows.withColumn("containment", F.col("n_shared") / F.col("n_template")).filter(F.col("containment") >= min_containment)
+    return _containment(rows, min_containment)
+
+
+def _scan_by_join(docs: DataFrame, templates: DataFrame, min_containment: float, shingle: int, window: int, bands: int) -> DataFrame:
+    """The scan with the templates' keys and shingles as tables; equal texts are compared once.
+
+    Documents' keys are joined with the templates' (a shuffle of the keys unless Spark finds
+    the templates small enough to broadcast, or leaves out keys by a Bloom filter).
+    """
+    s = _shingles(F.col("words"), shingle)
+    known = templates.filter("license IS NOT NULL").groupBy("license").agg(F.min("text").alias("text"))
+    known = known.select("license", _words(text_of()).alias("words")).select("license", s.alias("s")).filter(F.size("s") > 0)
+    known = stage(known.select("license", F.array_distinct("s").alias("of_template"), _template_keys(F.col("s"), window, bands).alias("keys")), "templates")
+    text_key = [F.xxhash64("text").alias("text_a"), F.xxhash64(F.lit(1), F.col("text")).alias("text_b")]
+    rows = docs.select("doc_id", text_of().alias("text"))
+    sized = rows.select(*text_key, _words(F.col("text")).alias("words")).select("text_a", "text_b", s.alias("s")).filter(F.size("s") > 0)
+    keys = sized.select("text_a", "text_b", F.explode(_window_keys(F.col("s"), list(range(1, window + 1)), bands)).alias("key")).distinct()
+    pairs = keys.join(known.select("license", F.explode("keys").alias("key")), "key").select("text_a", "text_b", "license").distinct()
+    pairs = stage(pairs, "license-pairs")
+    of_text = sized.select("text_a", "text_b", F.array_distinct("s").alias("of_text"))
+    of_text = of_text.join(pairs.select("text_a", "text_b").distinct(), ["text_a", "text_b"], "left_semi").dropDuplicates(["text_a", "text_b"])
+    both = pairs.join(of_text, ["text_a", "text_b"]).join(known.select("license", "of_template"), "license")
+    counted = both.select(
+        "text_a", "text_b", "license",
+        F.size(F.array_intersect("of_text", "of_template")).cast("long").alias("n_shared"),
+        F.size("of_template").cast("long").alias("n_template"),
+    )
+    found = stage(_containment(counted, min_containment), "licenses-found")
+    return rows.select("doc_id", *text_key).join(found, ["text_a", "text_b"]).select("doc_id", "license", "n_shared", "n_template", "containment")
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import re
 
+import numpy as np
 import pytest
 
 from lodeseek.llm import licenses, mixing, queries
@@ -38,9 +39,49 @@ def test_every_template_is_found_inside_other_text_and_nearly_whole(spark):
     assert {(r.doc_id, r.license) for r in found.collect()} == brute_scan(texts, licenses.TEMPLATES)
 
 
-def test_templates_have_a_bound(spark):
-    with pytest.raises(ValueError):
-        licenses.scan_licenses(documents(spark), {"x": "word " * 10_001})
+def test_notices_at_either_end_and_in_the_middle_are_all_found(spark):
+    """Thousands of texts, other words beside the notice in each."""
+    rng = np.random.default_rng(3)
+    notices, texts = ["Released under the MIT License.", "Licensed under CC BY-NC 4.0.", licenses.TEMPLATES["Unlicense"]], []
+    for k in range(2000):
+        other = [f"w{i}" for i in rng.integers(0, 10**6, 10)]
+        for j, notice in enumerate(notices):
+            for at in (0, 5, 10):
+                texts.append((len(texts), " ".join([*other[:at], notice, *other[at:]]), j))
+    found = licenses.scan_licenses(spark.createDataFrame(texts, "doc_id long, text string, j int")).collect()
+    names = ["MIT", "CC-BY-NC-4.0", "Unlicense"]
+    assert sorted((r.doc_id, r.license) for r in found) == [(i, names[j]) for i, _, j in texts]
+
+
+def scattered(rng, pieces, between):
+    """Texts with each of the pieces once, in random order, random words between them."""
+    other = lambda: [f"w{i}" for i in rng.integers(0, 10**6, between)]
+    return " ".join(w for i in rng.permutation(len(pieces)) for w in [*other(), pieces[i], *other()])
+
+
+def test_shingles_apart_from_one_another_are_found_as_stated(spark):
+    """No two of the template's shingles side by side: two of them, so 0.9999."""
+    rng, template = np.random.default_rng(4), "alpha beta gamma delta epsilon zeta"
+    texts = [(i, scattered(rng, ["alpha beta gamma delta epsilon", "beta gamma delta epsilon zeta"], 4)) for i in range(3000)]
+    found = licenses.scan_licenses(spark.createDataFrame(texts, "doc_id long, text string"), {"x": template}).count()
+    assert found >= 2990
+
+
+def test_templates_as_a_table_give_the_same(spark):
+    texts = [(k, f"before {body} behind") for k, body in enumerate(licenses.TEMPLATES.values())]
+    texts += [(50 + k, body) for k, body in enumerate(licenses.TEMPLATES.values())] + [(0, licenses.TEMPLATES["MIT"]), (None, licenses.TEMPLATES["ISC"]), (70, None), (71, ""), (72, "too few")]
+    docs = spark.createDataFrame(texts * 2, "doc_id long, text string").selectExpr("*", "'x' AS license", "'x' AS key", "'x' AS text_a")
+    table = spark.createDataFrame([*licenses.TEMPLATES.items(), ("short", "four words are few"), (None, "a b c d e f"), ("null", None)], "license string, text string")
+    of = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    want = of(licenses.scan_licenses(docs))
+    assert of(licenses.scan_licenses(docs, table)) == of(licenses.scan_licenses(docs, literal_words=0)) == want and len(want) > 50
+    assert licenses.scan_licenses(docs, table.limit(0)).count() == licenses.scan_licenses(docs, {}).count() == licenses.scan_licenses(empty(spark), table).count() == 0
+
+
+def test_many_templates_and_others_than_ascii(spark):
+    templates = {f"t{i}": " ".join(f"word{i}x{j}" for j in range(60)) for i in range(200)} | {"é": "un texte écrit à la légère"}
+    docs = spark.createDataFrame([(i, f"a b c {t} d e f") for i, t in enumerate(templates.values())], "doc_id long, text string")
+    assert sorted((r.doc_id, r.license) for r in licenses.scan_licenses(docs, templates).collect()) == list(enumerate(templates))
 
 
 def waterfill(sizes, weights=(5, 2, 1)):
