@@ -8,6 +8,7 @@ each piece. No row is shuffled.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -25,15 +26,25 @@ from .words import per_text, slices, split_words
 #: Words are remembered until there are so many, then only those of the last rows; longer ones than MEMO_BYTES never are.
 MEMO_WORDS, MEMO_BYTES, WORDS_A_CALL = 400_000, 64, 256
 PLAIN = re.compile("[a-zß-öø-ÿ]+")
-ROWS = 512
+#: Bytes of text, and of ids, taken together.
+TEXT_SLICE, IDS_SLICE = 6_000_000, 8_000_000
+#: The steps before the model of tokenizers whose words can be taken one by one.
+WORD_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORD_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
 
 
 @cache
 def _tokenizers(path: str):
-    """Read once for each process: the tokenizer, its bare model, the token put between words, the special strings."""
+    """Read once for each process: the tokenizer, and if it takes words one by one its bare model, the token put between words, the special strings."""
     from tokenizers import Tokenizer, pre_tokenizers
 
     whole = Tokenizer.from_file(path)
+    whole.no_truncation()
+    whole.no_padding()
+    steps = json.loads(whole.to_str())
+    split = (steps["pre_tokenizer"] or {}).get("pretokenizers") or [None]
+    if steps["normalizer"] != WORD_NORMALIZER or split[0] != WORD_SPLIT or len(split) != 2 or split[1]["type"] != "ByteLevel" or not any(t["special"] for t in steps["added_tokens"]):
+        return whole, None, None, []
     special = {i: t.content for i, t in whole.get_added_tokens_decoder().items() if t.special}
     between = max(special.items())[1]
     bare = Tokenizer(whole.model)
@@ -108,6 +119,11 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by end_id, and how many each has."""
+        if self.bare is None:
+            found = [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            totals = np.array([len(x) for x in found], np.int64)
+            flat = np.concatenate([np.zeros(0, self.dtype), *found])
+            return np.insert(flat, np.cumsum(totals), end_id), totals + 1
         number, words, sizes = split_words(texts)
         of = self.word_ids(words)
         length = np.array([len(x) for x in of], np.int64) // self.dtype.itemsize
@@ -122,7 +138,7 @@ def _tokenize(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], It
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, at = WordEncoder(path), TaskContext.get().partitionId(), 0
         for whole in batches:
-            for batch in slices(whole, 1, 6_000_000):
+            for batch in slices(whole, 1, TEXT_SLICE):
                 ids, lengths = encoder.encode(batch.column(1), end_id)
                 starts = at + np.cumsum(lengths) - lengths
                 at += int(lengths.sum())
@@ -140,8 +156,7 @@ def _cut(offsets, size: int, width: int) -> Callable[[Iterator[pa.RecordBatch]],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = offsets.value
         for whole in batches:
-            for k in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(k, ROWS)
+            for batch in slices(whole, 4, IDS_SLICE):
                 rows, start, length, crc, place = [], [], [], [], []
                 parts, starts, tokens = (batch.column(i).to_numpy() for i in (1, 2, 3))
                 for i, ids in enumerate(batch.column(4)):

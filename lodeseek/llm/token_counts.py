@@ -12,9 +12,12 @@ state from everywhere.
 
 Texts of a batch are laid end to end and cut into chunks of equal length that run side
 by side. A chunk starts in an unknown state, in which only those synchronizing symbols
-count, so its state map is: a head that depends on the entry state, then a constant.
-Composing the maps is a prefix scan: the last constant before a chunk gives its entry
-state, its head is run from there, and counts are prefix sums.
+count, so its state map is: a head that depends on the entry state, then a constant. A
+chunk without such a symbol is all head. Of such a chunk the map is kept for the few states
+that can reach it: the exits of the chunk before, beginning with the one that a run over the
+last characters before it predicts, closed under exits. A state soon forgets what
+was before it, so these are one or two. The maps are composed by a parallel prefix
+scan (doubling), which gives each chunk's entry state, and counts are prefix sums.
 """
 
 from __future__ import annotations
@@ -32,7 +35,11 @@ SPACE = "▁"
 #: Columns of the transition table: a document's start, a space that begins or goes on, unknown characters by bytes.
 BOS, SPACE_BEGINS, SPACE_GOES_ON, UNKNOWN, FIRST_CHAR = 0, 1, 2, 3, 7
 UNSET = -1
-CHUNK, BATCH, TABLE_LIMIT = 512, 2_000_000, 1 << 25
+CHUNK, TABLE_LIMIT = 512, 1 << 25
+#: Characters taken together; a longer text is run in parts, each from the state that the one before leaves. Characters that predict a state.
+BATCH, WARM = CHUNK * 4096, 64
+#: A transition holds the state it leads to and the tokens it adds, in so many bits.
+ADDED_BITS = 6
 
 
 class CountingTransducer:
@@ -147,7 +154,10 @@ class CountingTransducer:
             to, added = state, 0
         else:
             to, added = self._step(state, self.chars[column])
-        self.table[state, column] = to << 6 | added + 32
+        half = 1 << ADDED_BITS - 1
+        if not -half <= added < half or to >= 1 << 31 - ADDED_BITS:
+            raise OverflowError(f"a transition that adds {added} tokens and leads to state {to} has no room")
+        self.table[state, column] = to << ADDED_BITS | added + half
 
     # running
 
@@ -179,30 +189,65 @@ class CountingTransducer:
             for pair in set(zip(state[step < 0].tolist(), column[step < 0].tolist())):
                 self._compile(*pair)
             step = self.table.ravel().take(state * self.width + column)
-        return step >> 6, (step & 63) - 32
+        return step >> ADDED_BITS, (step & (1 << ADDED_BITS) - 1) - (1 << ADDED_BITS - 1)
 
     def count(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text; the dummy prefix makes every text that isn't empty start with a space."""
-        if len(self.states) * self.width > TABLE_LIMIT:
-            self.reset()
+        out = np.zeros(len(texts), np.int64)
+        at, room = 0, 0
+        for i, text in enumerate(texts):
+            if len(text) >= BATCH:
+                out[at:i] = self._count_short(texts[at:i])
+                out[i], at, room = self._count_long(text), i + 1, 0
+                continue
+            room += len(text) + 1
+            if room >= BATCH:
+                out[at : i + 1] = self._count_short(texts[at : i + 1])
+                at, room = i + 1, 0
+        out[at:] = self._count_short(texts[at:])
+        return out
+
+    def _count_short(self, texts: list[str]) -> np.ndarray:
         sizes = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
         ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        if not total:
+        if not len(ends) or not ends[-1]:
             return np.zeros(len(texts), np.int64)
-        codes = np.frombuffer("".join(f"\0{t}" for t in texts if t).encode("utf-32-le"), "<u4")
-        columns = self._columns(codes)
+        columns = self._laid_out("".join(f"\0{t}" for t in texts if t), (ends - sizes)[sizes > 0])
+        sums, _ = self._scan(columns, self.unknown_entry)
+        return sums[ends] - sums[ends - sizes]
+
+    def _count_long(self, text: str) -> int:
+        total, state, before = 0, self.unknown_entry, ""
+        for a in range(0, len(text) + 1, BATCH):  # the start is a character more
+            part = text[max(a - 1, 0) : a + BATCH - 1]
+            if not a:
+                columns = self._laid_out("\0" + part, np.zeros(1, np.int64))
+            else:
+                # the character before tells whether a space goes on
+                columns = self._laid_out(before + part, np.zeros(0, np.int64))[len(before) :]
+            sums, state = self._scan(columns, state)
+            total += int(sums[-1])
+            before = text[max(a + BATCH - 3, 0) : a + BATCH - 1]
+        return total
+
+    def _laid_out(self, chars: str, begin: np.ndarray) -> np.ndarray:
+        """The columns of the characters; at `begin` stands a document's start."""
+        if len(self.states) * self.width > TABLE_LIMIT and len(begin):
+            self.reset()
+        columns = self._columns(np.frombuffer(chars.encode("utf-32-le"), "<u4"))
         space = columns == SPACE_GOES_ON
         columns[1:][space[1:] & ~space[:-1]] = SPACE_BEGINS
         # behind the document's start, which stands for a space, a space goes on
-        begin = (ends - sizes)[sizes > 0]
-        second = begin[begin + 1 < total] + 1
+        second = begin[begin + 1 < len(columns)] + 1
         columns[second[columns[second] == SPACE_BEGINS]] = SPACE_GOES_ON
         columns[begin] = BOS
+        return columns
 
-        lanes = -(-total // CHUNK)
+    def _scan(self, columns: np.ndarray, entry: int) -> tuple[np.ndarray, int]:
+        """Prefix sums of the tokens, and the state at the end (if the columns fill their chunks)."""
+        lanes = -(-len(columns) // CHUNK)
         grid = np.full(lanes * CHUNK, SPACE_GOES_ON, np.int32)
-        grid[:total] = columns
+        grid[: len(columns)] = columns
         by_step = np.ascontiguousarray(grid.reshape(lanes, CHUNK).T)
         added = np.empty((CHUNK, lanes), np.int8)
         state = np.full(lanes, self.unknown_entry, np.int64)
@@ -210,25 +255,71 @@ class CountingTransducer:
             state, added[t] = self._advance(state, by_step[t])
         synced = (by_step <= SPACE_BEGINS) | (by_step >= UNKNOWN) & (by_step < FIRST_CHAR)
         head = np.where(synced.any(axis=0), synced.argmax(axis=0), CHUNK)
-        self._heads(by_step, added, state, head)
-        sums = np.concatenate([[0], np.cumsum(added.T.ravel()[:total], dtype=np.int64)])
-        return sums[ends] - sums[ends - sizes]
-
-    def _heads(self, by_step: np.ndarray, added: np.ndarray, state: np.ndarray, head: np.ndarray) -> None:
-        """Run the heads from the exit states before them; a chunk that is all head passes its own exit state on."""
-        constant = np.where(head < CHUNK, np.arange(len(head)), -1)
-        depth = np.arange(len(head)) - np.maximum.accumulate(constant)  # chunks since the last constant map
-        depth[1:] = np.where(head[1:] > 0, np.where(constant[1:] < 0, depth[1:], depth[:-1] + 1), 0)
-        depth[0] = 0
-        for d in range(1, int(depth.max(initial=0)) + 1):
-            lane = np.flatnonzero(depth == d)
-            lane = lane[np.argsort(-head[lane], kind="stable")]
-            length, now = head[lane], state[lane - 1]
-            for t in range(int(length.max(initial=0))):
-                n = int(np.searchsorted(-length, -t, side="left"))
-                now[:n], added[t, lane[:n]] = self._advance(now[:n], by_step[t, lane[:n]])
-            passed = length == CHUNK
-            state[lane[passed]] = now[passed]
+        head[-1] = min(head[-1], len(columns) - (lanes - 1) * CHUNK)
+        sums = np.zeros(len(columns) + 1, np.int64)
+        flat = added.T.ravel()[: len(columns)].astype(np.int64)
+        flat[::CHUNK] += self._heads(by_step, state, head, entry)  # a head lies within one text
+        np.cumsum(flat, out=sums[1:])
+        return sums, int(state[-1])
+
+    def _run(self, by_step: np.ndarray, lane: np.ndarray, entry: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The state behind, and the tokens of, the steps from first to last of these lanes from these states."""
+        order = np.argsort(first - last, kind="stable")  # longest first
+        lane, now, first, length = lane[order], entry[order].copy(), first[order], (last - first)[order]
+        tokens = np.zeros(len(lane), np.int64)
+        for t in range(int(length.max(initial=0))):
+            n = int(np.searchsorted(-length, -t, side="left"))
+            now[:n], more = self._advance(now[:n], by_step[first[:n] + t, lane[:n]])
+            tokens[:n] += more
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        return now[back], tokens[back]
+
+    def _heads(self, by_step: np.ndarray, state: np.ndarray, head: np.ndarray, entry: int) -> np.ndarray:
+        """The tokens of each chunk's head. `state`, of each chunk's exit, is set right for chunks that are all head."""
+        n, whole = len(head), head == CHUNK
+        before = np.concatenate([[entry], state[:-1]])
+        after_whole = np.concatenate([[False], whole[:-1]])  # entered from a chunk that is all head
+        out = np.zeros(n, np.int64)
+        sure = np.flatnonzero((head > 0) & ~after_whole)
+        exits, out[sure] = self._run(by_step, sure, before[sure], np.zeros(len(sure), np.int64), head[sure])
+        state[sure[whole[sure]]] = exits[whole[sure]]
+        unsure = np.flatnonzero(after_whole)
+        if not len(unsure):
+            return out
+        # maps from few entry states to exit states and tokens, the predicted entry first
+        guess, _ = self._run(by_step, unsure - 1, np.full(len(unsure), self.start), np.full(len(unsure), CHUNK - WARM), np.full(len(unsure), CHUNK))
+        maps: dict[int, dict[int, tuple[int, int]]] = {i: {} for i in unsure.tolist()}
+        asked = set(zip(unsure.tolist(), guess.tolist()))
+        asked |= {(i + 1, int(state[i])) for i in sure[whole[sure]].tolist() if i + 1 < n}
+        while asked:
+            lane, entries = (np.array(x, np.int64) for x in zip(*sorted(asked)))
+            exits, tokens = self._run(by_step, lane, entries, np.zeros(len(lane), np.int64), head[lane])
+            for i, e, x, k in zip(lane.tolist(), entries.tolist(), exits.tolist(), tokens.tolist()):
+                maps[i][e] = x, k
+            reached = {(i + 1, x) for i, x in zip(lane.tolist(), exits.tolist()) if whole[i] and i + 1 < n}
+            asked = {(i, x) for i, x in reached if x not in maps[i]}
+        # prefix scan: to[i] takes the place of an entry among the chunk before's to that of its exit among this one's
+        width = max(map(len, maps.values()))
+        place = {i: {e: k for k, e in enumerate(m)} for i, m in maps.items()}
+        to = np.zeros((n, width), np.int64)
+        depth = np.zeros(n, np.int64)  # chunks since the one that was entered from a known state
+        for i in unsure.tolist():
+            depth[i] = depth[i - 1] + 1
+            if depth[i] == 1:
+                to[i] = place[i][int(state[i - 1])]
+            else:
+                to[i, : len(maps[i - 1])] = [place[i][x] for x, _ in maps[i - 1].values()]
+        step = 1
+        while step < int(depth.max()):
+            far = np.flatnonzero(depth > step)
+            to[far] = np.take_along_axis(to[far], to[far - step], 1)
+            step *= 2
+        for i in unsure.tolist():
+            exit_state, out[i] = list(maps[i].values())[int(to[i, 0])]
+            if whole[i]:
+                state[i] = exit_state
+        return out
 
 
 _compiled: dict[str, CountingTransducer] = {}
@@ -245,14 +336,7 @@ def _count(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(path)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            counts, at, room = [], 0, 0
-            for i, text in enumerate(texts):
-                room += len(text)
-                if room >= BATCH or i + 1 == len(texts):
-                    counts.append(machine.count(texts[at : i + 1]))
-                    at, room = i + 1, 0
-            tokens = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+            tokens = machine.count(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(tokens)], names=["doc_id", "n_bytes", "n_tokens"])
 
     return tidy(run)

@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -31,6 +32,47 @@ def test_transducer_equals_the_library():
     assert [int(token_counts.transducer(PIECES).count([t])[0]) for t in texts[:20]] == want[:20]  # chunk borders elsewhere
 
 
+def unspaced(n, seed=2):
+    rnd = random.Random(seed)
+    return "".join(rnd.choice("abcdehinorstABé日1") for _ in range(n))
+
+
+def test_text_without_spaces_equals_the_library_and_takes_little_longer():
+    """Chunks that are all head: their maps are composed."""
+    machine, plain = token_counts.transducer(PIECES), unspaced(200_000)
+    spaced = "".join(" " if i % 7 == 6 else c for i, c in enumerate(plain))
+    want = [len(LIBRARY.encode(t)) for t in (plain, spaced)]
+
+    def seconds(text):
+        best = 1e9
+        for _ in range(3):
+            began = time.perf_counter()
+            machine.count([text])
+            best = min(best, time.perf_counter() - began)
+        return best
+
+    assert machine.count([plain, spaced]).tolist() == want
+    assert machine.count([spaced, "x", plain[:50_001], "", plain[50_000:]]).tolist() == [len(LIBRARY.encode(t)) for t in (spaced, "x", plain[:50_001], "", plain[50_000:])]
+    assert seconds(plain) < 10 * seconds(spaced)
+
+
+def test_wrong_predictions_are_mended(monkeypatch):
+    """A state predicted from one character, or from none, is wrong at times; chunks are short."""
+    monkeypatch.setattr(token_counts, "CHUNK", 8)
+    texts = [unspaced(3000, s) for s in range(4)] + ["a" * 500, "ab" * 300, "the" * 200 + " " + "the" * 200]
+    for warm in (0, 1, 8):
+        monkeypatch.setattr(token_counts, "WARM", warm)
+        assert token_counts.transducer(PIECES).count(texts).tolist() == [len(LIBRARY.encode(t)) for t in texts]
+
+
+def test_long_texts_are_run_in_parts(monkeypatch):
+    monkeypatch.setattr(token_counts, "BATCH", token_counts.CHUNK * 2)
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice("abcdehinorst   \né日🙂▁") for _ in range(n)) for n in (1022, 1023, 1024, 1025, 2047, 2048, 5000)]
+    texts += [unspaced(4000), " " * 3000, "x" * 1023 + "  y" + " " * 1022 + "z", "short"]
+    assert token_counts.transducer(PIECES).count(texts).tolist() == [len(LIBRARY.encode(t)) for t in texts]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(max_size=80), max_size=6))
 def test_transducer_on_any_text(texts):
@@ -90,6 +132,18 @@ def test_packing_awkward_rows(spark):
     assert packing.pack(empty(spark), WORDS).count() == 0
 
 
+def test_packing_with_a_tokenizer_that_spans_words(spark):
+    """No lower-casing, white space in its tokens: whole texts are encoded."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole, table = Tokenizer.from_file(path), [(i, t) for i, t in enumerate(["Some Words, here. ", "", None, " two  spaces\n", "x" * 3000])]
+    got = defaultdict(list)
+    for r in packing.pack(spark.createDataFrame(table, "doc_id long, text string"), path, 64).collect():
+        got[r.doc_id].append((r.start, r.length, r.ids_crc32))
+    for i, t in table:
+        ids = np.array([*whole.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        assert sum(n for _, n, _ in got[i]) == len(ids) and all(zlib.crc32(ids[a : a + n]) == crc for a, n, crc in got[i])
+
+
 def test_packing_query(spark):
     table = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     check_pieces(packing.op6_packing(spark, DATA).collect(), table)
