@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import wraps
 
 import pyarrow as pa
@@ -25,11 +28,15 @@ _own_root: list[str] = []
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    Where the session names none, as in tests in local mode, a folder of our own.
+    Where the session names none, in local mode a folder of our own; on a cluster that is
+    an error, as executors would not share it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not re.match(r"local(\[|$)", master):
+        raise ValueError(f"spark.checkpoint.dir isn't set: name a folder that the driver and the executors of {master or 'the cluster'} share")
     if not _own_root:
         _own_root.append(tempfile.mkdtemp(prefix="lodeseek-"))
     return _own_root[0]
@@ -39,6 +46,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/lodeseek/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """Settings of the session that hold inside."""
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, outlives executors."""
     spark = df.sparkSession
@@ -46,12 +66,8 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    was = spark.conf.get(CLEAN_SHUFFLES)
-    spark.conf.set(CLEAN_SHUFFLES, "true")
-    try:
+    with settings(spark, {CLEAN_SHUFFLES: "true"}):
         writer.parquet(path)
-    finally:
-        spark.conf.set(CLEAN_SHUFFLES, was)
     out = spark.read.schema(df.schema).parquet(path)
     out._lodeseek_path = path
     return out

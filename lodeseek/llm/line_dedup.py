@@ -1,12 +1,14 @@
 """Line dedup on levelled sorted runs of line hashes, DataFrame functions only.
 
-A run is a table (key_a, key_b, n_docs, keep_doc) sorted by the 128-bit hash of a
-line key: one row per key, with the number of documents that hold it and the largest
-doc_id among them. Batches of documents arrive in descending doc_id. Each batch is
-reduced to one row per key (map-side combined, so a line in a third of all documents
-costs a row per task), merge-anti-joined with the runs to leave out keys whose fate
-they settle already, and added as a run of level 0. When a level holds `fanout` runs
-they are merged into one run of the next level.
+A run is a table (key_a, key_b, n_docs, keep_doc), bucketed and sorted by the 128-bit hash
+of a line key: one row per key, with the number of documents that hold it and the largest
+doc_id among them, in this run and all before. Batches of documents arrive in descending
+doc_id. Each batch is reduced to one row per key (map-side combined, so a line in a third
+of all documents costs a row per task), which is the only shuffle; it is merge-anti-joined
+with the runs, bucket by bucket and without shuffling or sorting them, to leave out keys whose
+fate they settle already, takes over the counts of the others by merge joins, and is added
+as a run of level 0. When a level holds `fanout` runs they are compacted, again bucket by
+bucket, into one run of the next level.
 """
 
 from __future__ import annotations
@@ -16,59 +18,81 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, ascii_lower, let, new_path, remove, stage, text_of
+from .common import ASCII_SPACE, CLEAN_SHUFFLES, ascii_lower, let, new_path, remove, settings, stage, text_of
 
 KEY = ["key_a", "key_b"]
+#: Spark's settings: a bucketed table of one file a bucket is read in its order; the largest number of buckets.
+IN_ORDER, MAX_BUCKETS = "spark.sql.legacy.bucketedTableScan.outputOrdering", "spark.sql.sources.bucketing.maxBuckets"
 
 
 class LineRuns:
-    """The levels of sorted runs. `add` takes batches in descending doc_id."""
+    """The levels of sorted runs. `add` takes batches in descending doc_id.
+
+    A run has as many buckets as a shuffle has partitions, so that a batch comes out of
+    its aggregation dealt like the runs. Runs are external tables of the session's catalog.
+    """
 
     def __init__(self, spark: SparkSession, min_docs: int = 3, fanout: int = 3):
         self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
-        self.levels: list[list[str]] = []
+        self.buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), int(spark.conf.get(MAX_BUCKETS)))
+        self.levels: list[list[tuple[str, str]]] = []
 
     def add(self, occurrences: DataFrame) -> None:
         """occurrences: key_a, key_b, doc_id, first (true once for each key of a row)."""
-        run = occurrences.groupBy(*KEY).agg(
-            F.count_if("first").alias("n_docs"), F.max("doc_id").alias("keep_doc")
-        )
-        if any(self.levels):
-            run = run.join(self.settled(), KEY, "left_anti")
-        self._put(0, run)
+        self._put(0, self.joined(occurrences))
+
+    def joined(self, occurrences: DataFrame) -> DataFrame:
+        """The batch's run."""
+        run = occurrences.groupBy(*KEY).agg(F.count_if("first").alias("n_docs"), F.max("doc_id").alias("keep_doc"))
+        for old in self._runs():
+            settled = old.filter(F.col("n_docs") >= self.min_docs).toDF("old_a", "old_b", "old_n", "old_keep").hint("merge")
+            # the last condition always holds: it keeps Catalyst from joining before the batch is aggregated
+            same = (F.col("key_a") == F.col("old_a")) & (F.col("key_b") == F.col("old_b")) & (F.col("n_docs") > 0)
+            run = run.join(settled, same, "left_anti")
+        runs = self._runs()
+        for i, old in enumerate(runs):
+            run = run.join(old.toDF(*KEY, f"n_{i}", f"keep_{i}").hint("merge"), KEY, "left")
+        if not runs:
+            return run
+        before = [F.coalesce(f"n_{i}", F.lit(0)) for i in range(len(runs))]
+        keep = F.greatest("keep_doc", *[f"keep_{i}" for i in range(len(runs))])
+        return run.select(*KEY, (F.col("n_docs") + (F.greatest(*before) if len(runs) > 1 else before[0])).alias("n_docs"), keep.alias("keep_doc"))
 
     def settled(self) -> DataFrame:
-        """Keys in at least min_docs documents so far: all documents to come lose these lines."""
-        return self.merged().filter(F.col("n_docs") >= self.min_docs)
+        """Keys in at least min_docs documents so far, each once, and the largest doc_id that holds them."""
+        found = [r.filter(F.col("n_docs") >= self.min_docs).select(*KEY, "keep_doc") for r in self._runs()]
+        return reduce(DataFrame.unionByName, found)
 
-    def merged(self) -> DataFrame:
-        runs = [p for level in self.levels for p in level]
-        return self._merge(runs)
+    def compacted(self, runs: list[DataFrame]) -> DataFrame:
+        """One run of several: of a key's rows the newest has all documents."""
+        return reduce(DataFrame.unionByName, runs).groupBy(*KEY).agg(F.max("n_docs").alias("n_docs"), F.max("keep_doc").alias("keep_doc"))
 
-    def _merge(self, paths: list[str]) -> DataFrame:
-        read = [self.spark.read.parquet(p) for p in paths]
-        if len(read) == 1:
-            return read[0]
-        return reduce(DataFrame.unionByName, read).groupBy(*KEY).agg(
-            F.sum("n_docs").alias("n_docs"), F.max("keep_doc").alias("keep_doc")
-        )
+    def _runs(self) -> list[DataFrame]:
+        return [self.spark.table(name) for level in self.levels for name, _ in level]
 
     def _put(self, level: int, run: DataFrame) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
         path = new_path(self.spark, f"line-run-{level}")
-        run.sortWithinPartitions(*KEY).write.parquet(path)
-        self.levels[level].append(path)
+        name = "lodeseek_" + path.rsplit("/", 1)[-1].replace("-", "_")
+        with settings(self.spark, {IN_ORDER: "true", CLEAN_SHUFFLES: "true"}):
+            run.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", path).format("parquet").saveAsTable(name)
+        self.levels[level].append((name, path))
         if len(self.levels[level]) >= self.fanout:  # compaction
-            old, self.levels[level] = self.levels[level], []
-            self._put(level + 1, self._merge(old))
-            for p in old:
-                remove(self.spark, p)
+            old = self.levels[level]
+            merged = self.compacted([self.spark.table(name) for name, _ in old])
+            self.levels[level] = []
+            self._put(level + 1, merged)
+            self._drop(old)
+
+    def _drop(self, runs: list[tuple[str, str]]) -> None:
+        for name, path in runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            remove(self.spark, path)
 
     def close(self) -> None:
         for level in self.levels:
-            for p in level:
-                remove(self.spark, p)
+            self._drop(level)
         self.levels = []
 
 
@@ -134,7 +158,7 @@ def dedup_lines(
     runs = LineRuns(spark, min_docs, fanout)
     for i in range(len(cuts) + 1):
         runs.add(lines.filter(F.col("batch") == i))
-    settled = stage(runs.settled().select(*KEY, "keep_doc"), "settled-lines")
+    settled = stage(runs.settled(), "settled-lines")
     runs.close()
 
     dropped = (
@@ -170,19 +194,19 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = r"""
 WITH lines AS (
-  SELECT doc_id, i, list_extract(ls, i) AS line,
+  SELECT doc_id, r, i, list_extract(ls, i) AS line,
          translate(trim(list_extract(ls, i), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
-  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i
-        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))
+  FROM (SELECT doc_id, r, ls, unnest(range(1, len(ls) + 1)) AS i
+        FROM (SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))
 ), common AS (
   SELECT key, max(doc_id) AS keep_doc FROM lines WHERE length(key) >= 20
-  GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+  GROUP BY key HAVING count(DISTINCT r) >= 3
 ), marked AS (
-  SELECT l.doc_id, l.i, l.line, c.key IS NOT NULL AND l.doc_id <> c.keep_doc AS gone
+  SELECT l.doc_id, l.r, l.i, l.line, c.key IS NOT NULL AND l.doc_id IS DISTINCT FROM c.keep_doc AS gone
   FROM lines l LEFT JOIN common c ON l.key = c.key
 )
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM marked GROUP BY doc_id
+FROM marked GROUP BY r, doc_id
 """

@@ -2,6 +2,7 @@ import hashlib
 from collections import defaultdict
 
 from lodeseek.llm import line_dedup, queries
+from lodeseek.llm.common import settings
 
 from ..conftest import DATA
 from ..support import assert_same, connect
@@ -41,6 +42,26 @@ def test_batches_and_compaction_do_not_change_the_result(spark):
         assert sorted_rows(got, "doc_id", "text", "n_lines", "n_dropped") == want
 
 
+def test_runs_are_merged_without_shuffling_or_sorting_them(spark):
+    runs = line_dedup.LineRuns(spark, fanout=9)
+    lines = lambda k: spark.range(300).selectExpr(f"xxhash64(id % {k}) AS key_a", f"xxhash64(1, id % {k}) AS key_b", "id AS doc_id", "true AS first")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    try:
+        for k in (200, 170, 290):
+            runs.add(lines(k))
+        with settings(spark, {line_dedup.IN_ORDER: "true"}):
+            added, compacted = plan(runs.joined(lines(50))), plan(runs.compacted(runs._runs()))
+        assert compacted.count("Exchange") == 0 and compacted.count("FileScan") == 3
+        assert added.count("Exchange") == 1 and added.count("LeftAnti") == 3 and added.count("LeftOuter") == 3
+        assert added.count("SortMergeJoin") == 6 and added.count("Sort [") == 1  # of the batch
+        assert added.index("LeftAnti") < added.index("HashAggregate")  # joined once aggregated
+        keys = runs.settled()
+        assert keys.count() == keys.select("key_a", "key_b").distinct().count()
+    finally:
+        runs.close()
+    assert runs.levels == [] and not [t for t in spark.catalog.listTables() if t.name.startswith("lodeseek_line_run")]
+
+
 def test_empty_table_and_kept_columns(spark):
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
     assert line_dedup.dedup_lines(documents(spark), keep=("lang",)).columns == ["doc_id", "text", "n_lines", "n_dropped", "lang"]
