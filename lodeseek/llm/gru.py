@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import numpy as np
 
-CLASS, HIDDEN, EMBED, STEPS, LANES = 64, 32, 24, 16, 64
+CLASS, HIDDEN, EMBED, STEPS = 64, 32, 24, 16
+#: Texts are read in so many lanes at most, and in so few that a pass has UPDATES updates if the text allows it.
+LANES, UPDATES = 512, 100
 
 
 def shapes(classes: int) -> dict[str, tuple[int, ...]]:
@@ -57,101 +59,151 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def _log_normalize(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(axis=1, keepdims=True)
-    logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
+def _less_target(logits: np.ndarray, target: np.ndarray, scale: np.ndarray, safe: bool) -> np.ndarray:
+    """scale times (softmax less one at the target) of each row; overwrites logits. safe: exp() needs no shift."""
+    if not safe:
+        logits -= logits.max(axis=1, keepdims=True)
+    np.exp(logits, out=logits)
+    logits *= (scale / (logits @ np.ones(logits.shape[1], logits.dtype)))[:, None]
+    logits[np.arange(len(logits)), target] -= scale
     return logits
 
 
+def _safe(w: dict[str, np.ndarray]) -> bool:
+    """Hidden states lie within [-1, 1], so the logits have bounds; whether exp() of these needs no shift."""
+    bounds = [np.abs(w["to_class"]).sum(axis=0) + np.abs(w["class_bias"]), np.abs(w["to_unit"]).sum(axis=1) + np.abs(w["unit_bias"])]
+    return max(float(b.max()) for b in bounds) < 80
+
+
 def _by_class(classes: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     order = np.argsort(classes.astype(np.uint16), kind="stable")
     found, first = np.unique(classes[order], return_index=True)
     return order, list(zip(found.tolist(), first.tolist(), [*first[1:].tolist(), len(order)]))
 
 
-def train(flat: np.ndarray, classes: int, documents: list[np.ndarray], bos: int, rate: float = 0.004) -> tuple[np.ndarray, int]:
-    """One pass of truncated backpropagation (Adam); documents are arrays of units. Returns the weights and the units read.
+def fresh(flat: np.ndarray) -> np.ndarray:
+    """The state of training: the weights, Adam's two moments, and the updates so far."""
+    return np.concatenate([flat, np.zeros(2 * len(flat) + 1, flat.dtype)])
+
+
+def weights(state: np.ndarray) -> np.ndarray:
+    return state[: len(state) // 3]
+
+
+def _summed(rows: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct places and the sums of the rows at each."""
+    order = np.argsort(at.astype(np.uint16), kind="stable")
+    placed = at[order]
+    first = np.flatnonzero(np.concatenate([[True], placed[1:] != placed[:-1]]))
+    return placed[first], np.add.reduceat(rows[order], first, axis=0)
 
-    Documents follow one another in LANES lanes. The hidden state is carried from window
-    to window and set to zero where a document begins; gradients stop at the window.
+
+def train(state: np.ndarray, classes: int, documents: list[np.ndarray], bos: int, rate: float = 0.008) -> tuple[np.ndarray, int]:
+    """One pass of truncated backpropagation (Adam); documents are arrays of units. Returns the new state and the units read.
+
+    Documents follow one another in lanes. The hidden state is carried from window to
+    window and set to zero where a document begins; gradients stop at the window.
     """
-    flat = flat.copy()
+    state = state.copy()
+    size = len(state) // 3
+    flat, m, v, tick = state[:size], state[size : 2 * size], state[2 * size : 3 * size], int(state[-1])
     w = unpack(flat, classes)
     total = sum(map(len, documents))
     if not total:
-        return flat, 0
+        return state, 0
     units = np.concatenate(documents).astype(np.int64)
     before = np.empty_like(units)
     before[0], before[1:] = bos, units[:-1]
-    fresh = np.zeros(total, bool)
-    fresh[np.concatenate([[0], np.cumsum([len(d) for d in documents])[:-1]])] = True
-    before[fresh] = bos
-    lanes = min(LANES, total)
-    length = total // lanes
+    begins = np.zeros(total, bool)
+    begins[np.concatenate([[0], np.cumsum([len(d) for d in documents])[:-1]])] = True
+    before[begins] = bos
+    lanes = max(1, min(LANES, total, max(8, total // (STEPS * UPDATES))))
+    length = -(-total // lanes)  # the last lanes can be shorter
     grid = np.arange(lanes) * length
-    m, v, tick = np.zeros_like(flat), np.zeros_like(flat), 0
-    h = np.zeros((lanes, HIDDEN), np.float32)
+    grad, work = np.empty_like(flat), np.empty_like(flat)
+    g, ones = unpack(grad, classes), np.ones(lanes * STEPS, flat.dtype)
+    h = np.zeros((lanes, HIDDEN), flat.dtype)
     for t0 in range(0, length, STEPS):
         steps = min(STEPS, length - t0)
         at = grid[None, :] + np.arange(t0, t0 + steps)[:, None]
-        x, y, carry = before[at], units[at], (~fresh[at]).astype(np.float32)[:, :, None]
+        counts = (at < total).ravel()
+        at = np.minimum(at, total - 1)
+        x, y, carry = before[at], units[at], (~begins[at]).astype(flat.dtype)[:, :, None]
         e = w["embed"][x]
         pre = e @ w["gates"] + w["gates_bias"]
         tape = []
-        hs = np.empty((steps, lanes, HIDDEN), np.float32)
+        hs = np.empty((steps, lanes, HIDDEN), flat.dtype)
         for t in range(steps):
             h = h * carry[t]
-            zr = _sigmoid(pre[t, :, : 2 * HIDDEN] + h @ w["recur"])
+            zr = h @ w["recur"]
+            zr += pre[t, :, : 2 * HIDDEN]
+            zr = _sigmoid(zr)
             z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-            n = np.tanh(pre[t, :, 2 * HIDDEN :] + (r * h) @ w["recur_new"])
+            n = (r * h) @ w["recur_new"]
+            n += pre[t, :, 2 * HIDDEN :]
+            np.tanh(n, out=n)
             tape.append((h, z, r, n))
-            h = hs[t] = (1 - z) * n + z * h
+            h = hs[t] = n + z * (h - n)
         flat_h, target = hs.reshape(-1, HIDDEN), y.ravel()
-        cls, inside, scale = target // CLASS, target % CLASS, np.float32(1 / target.size)
-        grad = np.zeros_like(flat)
-        g = unpack(grad, classes)
-        d = np.exp(_log_normalize(flat_h @ w["to_class"] + w["class_bias"]))
-        d[np.arange(len(d)), cls] -= 1
-        d *= scale
-        g["to_class"][:] = flat_h.T @ d
-        g["class_bias"][:] = d.sum(axis=0)
+        cls, inside = target // CLASS, target % CLASS
+        scale, safe = (counts / counts.sum()).astype(flat.dtype), _safe(w)
+        grad[:] = 0
+        d = flat_h @ w["to_class"]
+        d += w["class_bias"]
+        d = _less_target(d, cls, scale, safe)
+        np.matmul(flat_h.T, d, out=g["to_class"])
+        g["class_bias"][:] = ones[: len(d)] @ d
         dh_out = d @ w["to_class"].T
         order, parts = _by_class(cls)
+        sorted_h, sorted_in, scale = flat_h[order], inside[order], scale[order]
+        sorted_dh = np.empty_like(sorted_h)
         for c, a, b in parts:
-            rows = order[a:b]
-            d = np.exp(_log_normalize(flat_h[rows] @ w["to_unit"][c] + w["unit_bias"][c]))
-            d[np.arange(len(rows)), inside[rows]] -= 1
-            d *= scale
-            g["to_unit"][c] = flat_h[rows].T @ d
-            g["unit_bias"][c] = d.sum(axis=0)
-            dh_out[rows] += d @ w["to_unit"][c].T
+            d = sorted_h[a:b] @ w["to_unit"][c]
+            d += w["unit_bias"][c]
+            d = _less_target(d, sorted_in[a:b], scale[a:b], safe)
+            np.matmul(sorted_h[a:b].T, d, out=g["to_unit"][c])
+            g["unit_bias"][c] = ones[: b - a] @ d
+            np.matmul(d, w["to_unit"][c].T, out=sorted_dh[a:b])
+        dh_out[order] += sorted_dh
         dh_out = dh_out.reshape(steps, lanes, HIDDEN)
-        d_pre = np.empty_like(pre)
-        dh = np.zeros((lanes, HIDDEN), np.float32)
+        d_pre, rh = np.empty_like(pre), np.empty_like(hs)
+        dh = np.zeros((lanes, HIDDEN), flat.dtype)
         for t in range(steps - 1, -1, -1):
             h0, z, r, n = tape[t]
             dh = dh + dh_out[t]
             dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (h0 - n) * z * (1 - z)
             d_rh = dn @ w["recur_new"].T
-            dr = d_rh * h0 * r * (1 - r)
-            d_zr = np.concatenate([dz, dr], axis=1)
-            g["recur_new"] += (r * h0).T @ dn
-            g["recur"] += h0.T @ d_zr
-            d_pre[t, :, : 2 * HIDDEN], d_pre[t, :, 2 * HIDDEN :] = d_zr, dn
+            d_zr = d_pre[t, :, : 2 * HIDDEN]
+            d_zr[:, :HIDDEN] = dh * (h0 - n) * z * (1 - z)
+            d_zr[:, HIDDEN:] = d_rh * h0 * r * (1 - r)
+            d_pre[t, :, 2 * HIDDEN :], rh[t] = dn, r * h0
             dh = (dh * z + d_rh * r + d_zr @ w["recur"].T) * carry[t]
         d_flat = d_pre.reshape(-1, 3 * HIDDEN)
+        g["recur_new"][:] = rh.reshape(-1, HIDDEN).T @ d_flat[:, 2 * HIDDEN :]
+        g["recur"][:] = np.concatenate([s[0] for s in tape]).T @ d_flat[:, : 2 * HIDDEN]
         g["gates"][:] = e.reshape(-1, EMBED).T @ d_flat
         g["gates_bias"][:] = d_flat.sum(axis=0)
-        np.add.at(g["embed"], x.ravel(), d_flat @ w["gates"].T)
+        found, sums = _summed(d_flat @ w["gates"].T, x.ravel())
+        g["embed"][found] = sums
         norm = float(np.sqrt(np.dot(grad, grad)))
         if norm > 1:
             grad /= norm
         tick += 1
-        m += 0.1 * (grad - m)
-        v += 0.01 * (grad * grad - v)
-        flat -= rate / (1 - 0.9**tick) * m / (np.sqrt(v / (1 - 0.99**tick)) + 1e-6)
-    return flat, total
+        m *= 0.9
+        np.multiply(grad, 0.1, out=work)
+        m += work
+        v *= 0.99
+        np.multiply(grad, grad, out=work)
+        work *= 0.01
+        v += work
+        np.divide(v, 1 - 0.99**tick, out=work)
+        np.sqrt(work, out=work)
+        work += 1e-6
+        np.divide(m, work, out=work)
+        work *= rate / (1 - 0.9**tick)
+        flat -= work
+    state[-1] = tick
+    return state, total
 
 
 class Scorer:
@@ -162,10 +214,7 @@ class Scorer:
         self.pre = self.w["embed"] @ self.w["gates"] + self.w["gates_bias"]
         self.pre[:, : 2 * HIDDEN] *= -1  # sigmoid(x) is 1 / (1 + exp(-x))
         self.recur = -self.w["recur"]
-        # a hidden state lies within [-1, 1], so the logits have bounds; within these exp() needs no shift
-        w = self.w
-        bounds = [np.abs(w["to_class"]).sum(axis=0) + np.abs(w["class_bias"]), np.abs(w["to_unit"]).sum(axis=1) + np.abs(w["unit_bias"])]
-        self.safe = max(float(b.max()) for b in bounds) < 80
+        self.safe = _safe(self.w)
 
     def score(self, units: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """units: of all documents one after another; sizes: units of each. All documents advance together, longest first."""

@@ -5,8 +5,10 @@ travel to every task; the others, of which none makes up more than 1/HEAD of the
 are joined with their counts in a shuffle. The gated recurrent model predicts units: the
 commonest words, the end of a text, and buckets of rarer words by their last letters; a
 word of a bucket then has its smoothed share of the bucket. Training reads every document
-to learn from once, in rounds by hash: each task trains on its documents from the weights
-of the round before, and the weights are averaged by shuffle.
+to learn from once, in rounds and shards by hash, whose number follows from the tokens and
+not from partitions: in a round each shard trains from the same state (weights and Adam's
+moments), and the states are averaged in a tree. So a score depends on the table
+alone.
 """
 
 from __future__ import annotations
@@ -16,7 +18,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -27,8 +28,9 @@ from . import gru
 from .common import discard, stage, text_of, tidy
 from .words import per_text, slices, split_words
 
-HEAD, CLASSES, BUCKETS, SHARE, ROUNDS = 1 << 18, 64, 512, 1, 6
-WEIGHTS_A_ROW, SLOTS = 1 << 14, 64
+HEAD, CLASSES, BUCKETS, ROUNDS = 1 << 18, 64, 512, 6
+#: Tokens of a shard, on average; parts of a state, and states added up in one task.
+SHARD_TOKENS, STATE_A_ROW, FAN_IN = 2_000_000, 1 << 16, 64
 #: Documents are read and scored together up to so many bytes.
 SLICE = 12_000_000
 #: The end of a text; no word is empty.
@@ -144,45 +146,73 @@ def lexicon(counts: DataFrame, head: int) -> tuple[Lexicon, DataFrame]:
     return Lexicon(words, n, bucket_n, bucket_words), tail
 
 
-def train(texts: DataFrame, lex: Lexicon, shared_lex, rounds: int) -> np.ndarray:
-    """texts: text, round (0 to rounds - 1). Each task of a round trains from the same weights; they are averaged by units read."""
-    spark = texts.sparkSession
-    flat = gru.initial(lex.mass)
-
-    def fit(weights):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            lex, own, read = shared_lex.value, weights.value, 0
-            for batch in batches:
-                for part in slices(batch, 0, SLICE):
-                    tokens = lex.read(part.column(0))
-                    documents = np.split(tokens.units[tokens.number], np.cumsum(tokens.sizes)[:-1])
-                    own, n = gru.train(own, CLASSES, documents, lex.bos)
-                    read += n
-            if not read:
-                return
-            rows = [(own[i : i + WEIGHTS_A_ROW] * np.float64(read)).astype(np.float32).tobytes() for i in range(0, len(own), WEIGHTS_A_ROW)]
-            slot = TaskContext.get().partitionId() % SLOTS
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(len(rows)), pa.int32()), pa.array([slot] * len(rows), pa.int32()), pa.array([read] * len(rows), pa.int64()), pa.array(rows, pa.binary())],
-                names=["part", "slot", "n_read", "weights"],
-            )
+def _units(shared_lex):
+    """From copy_key, text: copy_key, units (little-endian, two bytes each) of a document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex = shared_lex.value
+        for batch in batches:
+            for part in slices(batch, 1, SLICE):
+                tokens = lex.read(part.column(1))
+                flat, ends = tokens.units[tokens.number].astype("<u2"), np.concatenate([[0], np.cumsum(tokens.sizes)]) * 2
+                units = pa.Array.from_buffers(pa.binary(), len(tokens.sizes), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(flat)])
+                yield pa.RecordBatch.from_arrays([part.column(0), units], names=["copy_key", "units"])
+
+    return tidy(run)
+
+
+def training_units(docs: DataFrame, shared_lex, shards: int, rounds: int) -> DataFrame:
+    """round, shard, place, units of each document to learn from.
+
+    Round and shard are by hash of id and text; rows that repeat both go to one shard after
+    another, so that a shard's size is bounded however often a row is repeated.
+    """
+    rows = docs.filter(~is_held_out()).select(F.xxhash64("doc_id", "text").alias("copy_key"), text_of().alias("text"))
+    each = rows.mapInArrow(_units(shared_lex), "copy_key long, units binary").groupBy("copy_key").agg(F.count("*").alias("n"), F.min("units").alias("units"))
+    copies = each.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    place = F.pmod(F.pmod(F.col("copy_key"), F.lit(rounds * shards)) + F.col("copy"), F.lit(rounds * shards))
+    return copies.select((place % rounds).cast("int").alias("round"), F.floor(place / rounds).alias("shard"), F.col("copy_key").alias("place"), "units")
+
+
+def _fit(shared, bos: int):
+    """Train on one shard from the shared state: its state in parts, and the units read."""
+
+    def run(shard: pa.Table) -> pa.Table:
+        shard = shard.sort_by([("place", "ascending")])
+        documents = [np.frombuffer(u.as_buffer(), "<u2") for u in shard.column("units").combine_chunks()]
+        state, read = gru.train(shared.value, CLASSES, documents, bos)
+        rows = [state[i : i + STATE_A_ROW].tobytes() for i in range(0, len(state), STATE_A_ROW)]
+        n, slot = len(rows), shard.column("shard")[0].as_py()
+        return pa.table({"part": pa.array(range(n), pa.int32()), "slot": pa.array([slot] * n, pa.int64()), "n_read": pa.array([read] * n, pa.int64()), "state": pa.array(rows, pa.binary())})
+
+    return run
+
 
-        return tidy(run)
+def _averaged(rows: pa.Table) -> pa.Table:
+    """The mean of up to FAN_IN states' parts by units read, in the order of their slots."""
+    rows = rows.sort_by([("slot", "ascending")])
+    read = rows.column("n_read").to_numpy()
+    mean = sum(np.frombuffer(b, np.float32) * (n / read.sum()) for b, n in zip(rows.column("state").to_pylist(), read.astype(np.float64)))
+    slot = rows.column("slot")[0].as_py() // FAN_IN
+    return pa.table({"part": rows.column("part").slice(0, 1), "slot": pa.array([slot], pa.int64()), "n_read": pa.array([int(read.sum())]), "state": pa.array([mean.astype(np.float32).tobytes()], pa.binary())})
 
-    def added(group: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(b, np.float32) for b in group.weights], axis=0, dtype=np.float64).astype(np.float32)
-        return pd.DataFrame({"part": [group.part.iloc[0]], "slot": [group.slot.iloc[0]], "n_read": [group.n_read.sum()], "weights": [total.tobytes()]})
 
-    schema = "part int, slot int, n_read long, weights binary"
+def train(units: DataFrame, lex: Lexicon, shards: int, rounds: int) -> np.ndarray:
+    """The weights. units: round (0 to rounds - 1), shard, place, units."""
+    spark = units.sparkSession
+    state, schema = gru.fresh(gru.initial(lex.mass)), "part int, slot long, n_read long, state binary"
     for r in range(rounds):
-        shared = spark.sparkContext.broadcast(flat)
-        trained = texts.filter(F.col("round") == r).select("text").mapInArrow(fit(shared), schema)
-        by_slot = trained.groupBy("part", "slot").applyInPandas(added, schema)
-        whole = by_slot.groupBy("part").applyInPandas(added, schema).toArrow().sort_by("part")  # one model
+        shared = spark.sparkContext.broadcast(state)  # one model
+        states = units.filter(F.col("round") == r).groupBy("shard").applyInArrow(_fit(shared, lex.bos), schema)
+        left = shards
+        while left > 1:
+            states = states.groupBy("part", F.expr(f"slot div {FAN_IN}")).applyInArrow(_averaged, schema)
+            left = -(-left // FAN_IN)
+        whole = states.toArrow().sort_by("part")
         if whole.num_rows:
-            flat = np.concatenate([np.frombuffer(b, np.float32) / np.float32(n) for b, n in zip(whole.column("weights").to_pylist(), whole.column("n_read").to_pylist())])
+            state = np.concatenate([np.frombuffer(b, np.float32) for b in whole.column("state").to_pylist()])
         shared.destroy()
-    return flat
+    return gru.weights(state)
 
 
 def _score(shared_lex, weights):
@@ -211,12 +241,13 @@ def _score(shared_lex, weights):
     return tidy(run)
 
 
-def score_documents(docs: DataFrame, head: int = HEAD, share: int = SHARE, rounds: int = ROUNDS) -> DataFrame:
+def score_documents(docs: DataFrame, head: int = HEAD, rounds: int = ROUNDS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs.
 
     docs: doc_id, text; other columns are ignored. Documents whose crc32(doc_id as text)
     mod 7 is 2 are held out, the others are learnt from; a null doc_id is learnt from.
-    The model trains on one in `share` of those by hash, on all by default.
+    The model trains on all of those, in `rounds` rounds of shards of about shard_tokens
+    tokens.
     Tokens are the words, A-Z lower-cased, and one end; null, empty and wordless texts
     are an end alone. base_score adds log10((c + 1) / (N + V + 1)) of the tokens, score
     is the recurrent model's log10 probability of the whole text. Repeated rows count
@@ -230,11 +261,10 @@ def score_documents(docs: DataFrame, head: int = HEAD, share: int = SHARE, round
     lex, tail = lexicon(counts, head)
     shared_lex = spark.sparkContext.broadcast(lex)
 
-    # by the text too, so that rows without an id, or with the same, are spread
-    learnt = docs.filter(~is_held_out()).withColumn("round", F.pmod(F.xxhash64("doc_id", "text"), F.lit(share * rounds)))
-    texts = stage(learnt.filter(F.col("round") < rounds).select(text_of().alias("text"), "round"), "training-texts", ["round"])
-    flat = train(texts, lex, shared_lex, rounds)
-    discard(texts)
+    shards = max(1, -(-int(total) // (rounds * shard_tokens)))
+    units = stage(training_units(docs, shared_lex, shards, rounds), "training-units", ["round"])
+    flat = train(units, lex, shards, rounds)
+    discard(units)
 
     rows = docs.select("doc_id", is_held_out().alias("held_out"), text_of().alias("text"))
     scored = stage(

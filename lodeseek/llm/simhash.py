@@ -31,13 +31,13 @@ from pyspark.sql import functions as F
 
 from .common import stage, text_of, tidy
 from .components import components
-from .words import slices, split_words
+from .words import mixed, slices, split_words
 
 SHINGLE, THRESHOLD = 3, 2
 GOLAY_BITS, GOLAY_RADIUS = 23, 3
 #: Fixed value: the generator polynomial of the Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GOLAY_POLYNOMIAL = 0b110001110101
-ROWS, POINTS = 512, 4096
+POINTS = 4096
 #: Of similar_texts: words a shingle, similarity.
 SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
 #: Shingles are counted in 2^BUCKET_BITS buckets, which are added up in chunks and slots; bytes of text taken together.
@@ -64,8 +64,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 def _fingerprints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for i in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(i, ROWS)
+            for batch in slices(whole, whole.num_columns - 1, SLICE):
                 found = [fingerprint(t.encode().lower(), shingle) for t in batch.column(batch.num_columns - 1).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns[:-1], pa.array(np.array(found, np.uint64).view(np.int64))], names=[*batch.schema.names[:-1], "fingerprint"]
@@ -171,14 +170,6 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, shingle: int =
     return marked.join(named, F.col("fingerprint") == F.col("point")).select("doc_id", "fingerprint", "component_id", "text_hash", "component")
 
 
-def _mixed(hashes: np.ndarray, salt: int) -> np.ndarray:
-    """Other 64-bit hashes for each salt (the splitmix64 finaliser)."""
-    x = hashes + np.uint64(0x9E3779B97F4A7C15 * (salt + 1) & 2**64 - 1)
-    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return x ^ x >> np.uint64(31)
-
-
 def shingle_hashes(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash of each shingle, the text it is of, and the key of each text; a text shorter than a shingle is one shingle, one without words none."""
     number, words, sizes = split_words(pc.ascii_lower(texts))
@@ -191,8 +182,8 @@ def shingle_hashes(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarra
     total, width = np.zeros(len(starts), np.uint64), width[starts]
     for j in range(shingle):
         inside = width > j
-        total[inside] += _mixed(hashes, j)[number[starts[inside] + j]]
-    return _mixed(total + width.astype(np.uint64), shingle), text[starts], keys
+        total[inside] += mixed(hashes, j)[number[starts[inside] + j]]
+    return mixed(total + width.astype(np.uint64), shingle), text[starts], keys
 
 
 def _counts(shingle: int):

@@ -51,3 +51,11 @@ def per_text(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     ends = np.cumsum(sizes)
     sums = np.concatenate([np.zeros(1, values.dtype), np.cumsum(values)])
     return sums[ends] - sums[ends - sizes]
+
+
+def mixed(hashes: np.ndarray, salt: int) -> np.ndarray:
+    """Other 64-bit hashes for each salt (the splitmix64 finaliser)."""
+    x = hashes + np.uint64(0x9E3779B97F4A7C15 * (salt + 1) & 2**64 - 1)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)

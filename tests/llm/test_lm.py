@@ -33,7 +33,7 @@ def check_base(scored, table):
 def test_base_equals_brute_force_on_awkward_rows(spark):
     table = [(r[0], r[1]) for r in rows()]
     for docs in (documents(spark), clashing(spark)):
-        scored = lm_scoring.score_documents(docs, head=6, share=1, rounds=1).collect()  # a small head: most words go through the join
+        scored = lm_scoring.score_documents(docs, head=6, rounds=1).collect()  # a small head: most words go through the join
         check_base(scored, table)
         assert all(r.score < 0 and math.isfinite(r.score) for r in scored)
 
@@ -44,24 +44,80 @@ def test_empty_table(spark):
 
 def test_model_beats_the_base_on_held_out_documents(spark):
     docs = spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/documents.parquet")
-    scored = lm_scoring.score_documents(docs, share=2, rounds=3).filter("held_out").collect()
+    scored = lm_scoring.score_documents(docs).filter("held_out").collect()
     assert sum(r.score for r in scored) > sum(r.base_score for r in scored)
 
 
-def test_training_reads_all_documents_to_learn_from_in_every_round(spark, monkeypatch):
-    """By default; rows without an id, or with the same, are spread over the rounds."""
-    table = [(None, f"null {i}") for i in range(60)] + [(0, f"same {i}") for i in range(60)] + [(i, f"own {i}") for i in range(1, 60)]
+def watched(monkeypatch):
+    """What train() is given and gives."""
     seen, whole = [], lm_scoring.train
 
-    def watched(texts, *rest):
-        seen.extend(texts.collect())
-        return whole(texts, *rest)
+    def train(units, lex, *rest):
+        seen.append((units.collect(), lex, whole(units, lex, *rest)))
+        return seen[-1][2]
+
+    monkeypatch.setattr(lm_scoring, "train", train)
+    return seen
 
-    monkeypatch.setattr(lm_scoring, "train", watched)
-    lm_scoring.score_documents(spark.createDataFrame(table, "doc_id long, text string")).count()
-    assert sorted(r.text for r in seen) == sorted(t for i, t in table if not held_out(i))
-    for kind in ("null", "same", "own"):
-        assert {r["round"] for r in seen if r.text.startswith(kind)} == set(range(lm_scoring.ROUNDS))
+
+def test_training_reads_all_documents_to_learn_from_in_every_round(spark, monkeypatch):
+    """Rows without an id, or with the same, are spread over rounds and shards; so are repeated rows."""
+    learnt = next(i for i in range(1, 60) if not held_out(i))
+    table = [(None, f"null {i}") for i in range(60)] + [(0, f"same {i}") for i in range(60)] + [(i, f"own {i}") for i in range(1, 60)] + [(learnt, "copies")] * 60
+    seen = watched(monkeypatch)
+    lm_scoring.score_documents(spark.createDataFrame(table, "doc_id long, text string"), shard_tokens=30).count()
+    units, lex, _ = seen[0]
+    number = {w: i for w, i in lex.index.items()}
+    ids = lambda text: np.array([lex.unit[number[w]] for w in tokens(text)], "<u2").tobytes()
+    assert sorted(bytes(r.units) for r in units) == sorted(ids(t) for i, t in table if not held_out(i))
+    shards = -(-sum(len(tokens(t)) for i, t in table if not held_out(i)) // (30 * lm_scoring.ROUNDS))
+    assert shards > 1 and {r["round"] for r in units} == set(range(lm_scoring.ROUNDS)) and {r.shard for r in units} == set(range(shards))
+    copies = [(r["round"], r.shard) for r in units if bytes(r.units) == ids("copies")]
+    assert len(copies) == 60 and max(copies.count(c) for c in set(copies)) <= 60 // (lm_scoring.ROUNDS * shards) + 1
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    of = lambda n: {r.doc_id: r for r in lm_scoring.score_documents(docs.repartition(n, "doc_id"), shard_tokens=2000).collect()}
+    one, eight = of(1), of(8)
+    assert one.keys() == eight.keys()
+    assert max(abs(one[i].score - eight[i].score) / one[i].n_tokens for i in one) < 1e-6
+
+
+def plain_score(text, lex, flat):
+    """Token by token in double precision."""
+    w = {k: v.astype(np.float64) for k, v in gru.unpack(flat, lm_scoring.CLASSES).items()}
+    h, last, out = np.zeros(gru.HIDDEN), lex.bos, 0.0
+    for word in tokens(text):
+        place = lex.index.get(word)
+        held = lex.bucket_of[place] if place is not None else lm_scoring.bucket(word)
+        unit = lex.unit[place] if place is not None else lex.bucket_unit[held]
+        pre = w["embed"][last] @ w["gates"] + w["gates_bias"]
+        gate = 1 / (1 + np.exp(-(pre[: 2 * gru.HIDDEN] + h @ w["recur"])))
+        z, r = gate[: gru.HIDDEN], gate[gru.HIDDEN :]
+        new = np.tanh(pre[2 * gru.HIDDEN :] + (r * h) @ w["recur_new"])
+        h, last = (1 - z) * new + z * h, unit
+        c, u = divmod(int(unit), gru.CLASS)
+        for logits, at in ((h @ w["to_class"] + w["class_bias"], c), (h @ w["to_unit"][c] + w["unit_bias"][c], u)):
+            out += math.log10(math.e) * (logits[at] - np.log(np.exp(logits).sum()))
+        if held >= 0:
+            n = 10 ** lex.log_n[place] if place is not None else None
+            out += math.log10(n if n is not None else lex.tail_n[word] + 1) - lex.bucket_log[held]
+    return out
+
+
+def test_scores_equal_a_plain_model(spark, monkeypatch):
+    """With a head of 20 words, so that most words are of buckets and go through the join."""
+    monkeypatch.setattr(lm_scoring, "CLASSES", 9)
+    monkeypatch.setattr(lm_scoring.Lexicon.__init__, "__defaults__", (9,))
+    table = [(i, f"w{i % 7} w{i % 11} rare{i} w{i % 3} w1 w2") for i in range(80)] + [(100, None), (101, ""), (102, "never seen here w1")]
+    seen = watched(monkeypatch)
+    scored = lm_scoring.score_documents(spark.createDataFrame(table, "doc_id long, text string"), head=20).collect()
+    _, lex, flat = seen[0]
+    lex.tail_n = Counter(w for i, t in table if not held_out(i) for w in tokens(t))
+    texts = dict(table)
+    for r in scored:
+        assert r.score == pytest.approx(plain_score(texts[r.doc_id], lex, flat), rel=1e-4)
 
 
 def test_probabilities_of_units_sum_to_one():
@@ -90,7 +146,8 @@ def test_training_gradient_equals_finite_differences():
     # one window, one lane: Adam's first step has the sign of the gradient
     lanes, gru.LANES = gru.LANES, 1
     try:
-        after, n = gru.train(flat.astype(np.float32), 2, [doc], 0, rate=1e-3)
+        after, n = gru.train(gru.fresh(flat.astype(np.float32)), 2, [doc], 0, rate=1e-3)
+        after = gru.weights(after)
     finally:
         gru.LANES = lanes
     moved = np.flatnonzero(np.abs(after - flat) > 9e-4)
@@ -108,9 +165,11 @@ def test_training_learns_a_pattern():
     docs = [np.tile([3, 70, 9, 101], 50) for _ in range(40)]
     flat = gru.initial(np.ones(128))
     before = gru.Scorer(flat, 2, 0).score(docs[0], np.array([200]))[0]
+    state = gru.fresh(flat)
     for _ in range(6):
-        flat, _ = gru.train(flat, 2, docs, 0, rate=0.01)
-    assert gru.Scorer(flat, 2, 0).score(docs[0], np.array([200]))[0] > before / 2
+        state, n = gru.train(state, 2, docs, 0, rate=0.01)
+        assert n == 8000
+    assert gru.Scorer(gru.weights(state), 2, 0).score(docs[0], np.array([200]))[0] > before / 2
 
 
 def test_a_bucket_is_a_distribution():
