@@ -1,31 +1,38 @@
 """Approximate nearest neighbours by learned partitions.
 
 A bounded sample of vectors gives a neighbour graph, which is cut into partitions of
-equal size; a small classifier learns a vector's partition and those of its neighbours.
-Every row is indexed in its most probable partition, a query goes to the most probable
-ones, as many as a held-out part of the sample needs for the recall aimed at, and to
-all where those hold too few other vectors. Within a
-partition, blocks of queries meet blocks of rows, each of bounded size, in double
-precision. Equal vectors are indexed once, with their smallest ids.
+equal size, whose number grows with the table; a small classifier learns a vector's
+partition and those of its neighbours. Every row is indexed in its most probable
+partition, a query goes to the most probable ones, as many as a held-out part of the
+sample needs for the recall aimed at, and to all where those hold too few other vectors.
+Within a partition, blocks of queries meet blocks of rows, each of bounded size, in double
+precision. Equal vectors are indexed once, with their smallest ids. Vectors can be compared
+only with those of their own length: those of the commonest length are routed, those of
+each other length are a partition of their own.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .common import stage
 
-#: The sample that the graph and the classifier are fitted on, and the part of it held out to choose the number of probes.
-SAMPLE, HELD_OUT = 12_000, 1_000
-PARTITIONS, NEIGHBOURS, HIDDEN, EPOCHS, RECALL = 32, 10, 96, 30, 0.97
+#: Distinct vectors a partition should hold, and the most partitions; larger tables have larger ones.
+PARTITION_ROWS, MOST_PARTITIONS = 512, 1024
+#: The sample that the graph and the classifier are fitted on: so many vectors, or so many a partition, within so many bytes;
+#: and the part of it held out to choose the number of probes.
+SAMPLE, SAMPLE_A_PARTITION, SAMPLE_BYTES, HELD_OUT = 12_000, 64, 64_000_000, 1_000
+NEIGHBOURS, HIDDEN, EPOCHS, RECALL = 10, 96, 30, 0.97
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 1024
 
 
@@ -115,7 +122,12 @@ def train_router(x: np.ndarray, target: np.ndarray, epochs: int = EPOCHS, hidden
     return Router(*w)
 
 
-def fit_router(x: np.ndarray, parts: int = PARTITIONS, k: int = 5, recall: float = RECALL) -> Router:
+def partitions_for(n: int) -> int:
+    """A power of two, of about PARTITION_ROWS rows each."""
+    return min(MOST_PARTITIONS, 1 << max(0, round(math.log2(max(n, 1) / PARTITION_ROWS))))
+
+
+def fit_router(x: np.ndarray, parts: int, k: int = 5, recall: float = RECALL) -> Router:
     """The router of a sample of unit vectors, with the probes that its held-out vectors need."""
     held = min(HELD_OUT, len(x) // 4)
     learn = x[held:]
@@ -146,10 +158,18 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _route(router, most: int | None):
+def _route(router, width: int, most: int | None):
+    """rep, embedding and the most probable partitions of each; vectors of another length than width go to that of their length."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = router.value
-        for batch in batches:
+        for whole in batches:
+            sizes = pc.list_value_length(whole.column(1)).to_numpy(zero_copy_only=False)
+            other = whole.filter(pa.array(sizes != width))
+            if other.num_rows:
+                parts = pa.array(-sizes[sizes != width], pa.int32())
+                yield pa.RecordBatch.from_arrays([*other.columns, parts], names=["rep", "embedding", "part"])
+            batch = whole.filter(pa.array(sizes == width))
             if not batch.num_rows:
                 continue
             n = most or model.probes
@@ -168,7 +188,7 @@ def _compare(keep: int):
         if mine.empty or queries.empty:
             return pd.DataFrame({"query_rep": [], "rep": [], "score": []}).astype({"query_rep": "int64", "rep": "int64"})
         # double precision throughout, on the original vectors
-        rows, asked = (np.array(g.embedding.tolist(), np.float64) for g in (mine, queries))
+        rows, asked = (np.stack(g.embedding.to_list()).astype(np.float64) for g in (mine, queries))
         score = (asked @ rows.T) / (np.linalg.norm(asked, axis=1)[:, None] * np.linalg.norm(rows, axis=1))
         ids = mine.rep.to_numpy()
         order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :keep]
@@ -190,20 +210,18 @@ def valid_vectors(vectors: DataFrame) -> DataFrame:
     return rows.filter(F.coalesce(finite & F.exists("embedding", lambda x: x != 0), F.lit(False)))
 
 
-def search(vectors: DataFrame, query_every: int = 50, k: int = 5, parts: int = PARTITIONS, recall: float = RECALL) -> DataFrame:
+def search(vectors: DataFrame, query_every: int = 50, k: int = 5, parts: int | None = None, recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose vec_id is divisible by query_every.
 
-    vectors: vec_id, embedding; other columns are ignored. Candidates are all rows but
-    the query's own; score is the cosine in double precision; ties go to the smaller
-    vec_id; with fewer candidates, all of them. Vectors that are null, empty or zero or
-    hold null or non-finite components take no part, nor do rows without a vec_id, rows
-    that repeat another, and vectors of another length than the commonest. An empty
-    table gives an empty one.
+    vectors: vec_id, embedding; other columns are ignored. Candidates are all rows of the
+    query's length but its own; score is the cosine in double precision; ties go to the
+    smaller vec_id; with fewer candidates, all of them. Vectors that are null, empty or
+    zero or hold null or non-finite components take no part, nor do rows without a vec_id
+    and rows that repeat another. parts: partitions, by default as the table needs. An
+    empty table gives an empty one.
     """
     spark = vectors.sparkSession
     valid = valid_vectors(vectors)
-    size = valid.agg(F.mode(F.size("embedding"), deterministic=True)).first()[0]
-    valid = valid.filter(F.size("embedding") == F.lit(size or 0))
     classes = stage(valid.groupBy("embedding").agg(F.min("vec_id").alias("rep")), "vector-classes")
     by_id = W.partitionBy("embedding").orderBy("vec_id")
     distinct = valid.withColumn("n", F.dense_rank().over(by_id)).filter(F.col("n") <= k + 1).select("vec_id", "embedding").distinct()
@@ -211,15 +229,19 @@ def search(vectors: DataFrame, query_every: int = 50, k: int = 5, parts: int = P
     asked = valid.filter(F.col("vec_id") % query_every == 0)
     queries = stage(asked.join(classes, "embedding").select(F.col("vec_id").alias("query_id"), F.col("rep").alias("query_rep")).distinct(), "vector-queries")
 
-    sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).toArrow()  # bounded
+    commonest = classes.groupBy(F.size("embedding").alias("width")).count().orderBy(F.desc("count"), "width").first()
+    width, n = commonest if commonest else (0, 0)
+    parts = parts or partitions_for(n)
+    drawn = min(max(SAMPLE, SAMPLE_A_PARTITION * parts), max(SAMPLE_BYTES // (8 * max(width, 1)), 1))
+    sample = classes.filter(F.size("embedding") == width).orderBy(F.xxhash64("rep"), "rep").limit(drawn).toArrow()  # bounded
     x = _unit(_matrix(sample.column("embedding").combine_chunks())) if sample.num_rows else np.zeros((0, 1))
     router = fit_router(x, parts, k, recall)
     model = spark.sparkContext.broadcast(router)
     schema = "rep long, embedding array<double>, part int"
     columns = ["rep", "embedding"]
-    rows = stage(classes.select(*columns).mapInArrow(_route(model, 1), schema), "vector-index")
+    rows = stage(classes.select(*columns).mapInArrow(_route(model, width, 1), schema), "vector-index")
     wanted = classes.join(queries.select(F.col("query_rep").alias("rep")).distinct(), "rep", "left_semi")
-    probes = stage(wanted.select(*columns).mapInArrow(_route(model, None), schema), "vector-probes")
+    probes = stage(wanted.select(*columns).mapInArrow(_route(model, width, None), schema), "vector-probes")
 
     def answers(probes: DataFrame, name: str) -> DataFrame:
         """query_id, query_rep, near: up to k nearest others in the partitions probed."""
@@ -255,9 +277,11 @@ def search(vectors: DataFrame, query_every: int = 50, k: int = 5, parts: int = P
     answered = answers(probes, "vector")
     if router.probes < len(router.out_bias):
         full = answered.filter(F.size("near") >= k).select("query_id")
-        short = stage(queries.join(full, "query_id", "left_anti").select(F.col("query_rep").alias("rep")).distinct(), "vector-short")
+        routed = classes.filter(F.size("embedding") == width).select(F.col("rep").alias("query_rep"))
+        short = queries.join(full, "query_id", "left_anti").join(routed, "query_rep", "left_semi")
+        short = stage(short.select(F.col("query_rep").alias("rep")).distinct(), "vector-short")
         if not short.isEmpty():  # few rows where these queries look: they look everywhere
-            again = classes.join(short, "rep", "left_semi").select(*columns).mapInArrow(_route(model, len(router.out_bias)), schema)
+            again = classes.filter(F.size("embedding") == width).join(short, "rep", "left_semi").select(*columns).mapInArrow(_route(model, width, len(router.out_bias)), schema)
             rest = answered.join(short.toDF("query_rep"), "query_rep", "left_anti").select(*answered.columns)
             answered = rest.unionByName(answers(stage(again, "vector-further-probes"), "vector-further"))
     answered = answered.select("query_id", F.posexplode("near").alias("at", "c"))

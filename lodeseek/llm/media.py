@@ -14,10 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import text_of, tidy
+from .words import slices
 
 #: A payload row is 64 pixels of 3 samples; the tile and the hash grid in rows and columns.
 ROW_BYTES, WIDTH, TILE, GRID = 192, 64, (16, 16), (8, 9)
-ROWS = 256
+#: Rows of an image worked on at a time, bytes of text taken together.
+BLOCK, SLICE = 1 << 14, 2_000_000
 
 
 def encode_ppm(pixels: np.ndarray) -> bytes:
@@ -73,16 +75,32 @@ def _cumulative(n: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return whole, edge - whole
 
 
-def area_resize(plane: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean over each cell's area, cells of any fraction of a pixel: differences of the interpolated integral image."""
-    h, w = plane.shape
-    integral = np.zeros((h + 2, w + 2))
-    np.cumsum(np.cumsum(plane, 0, dtype=np.float64), 1, out=integral[1:-1, 1:-1])
-    integral[-1], integral[:, -1] = integral[-2], integral[:, -2]
+def _grey(pixels: np.ndarray) -> np.ndarray:
+    return pixels.mean(axis=2) if pixels.ndim == 3 else pixels.astype(np.float64)
+
+
+def integral_rows(pixels: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Rows of the integral image of the grey levels (row r sums the r rows above), made block by block so that a large image needs little memory."""
+    h, w = pixels.shape[:2]
+    out, above = np.zeros((len(wanted), w + 1)), np.zeros(w + 1)
+    for a in range(0, h, BLOCK):
+        sums = np.zeros((min(BLOCK, h - a) + 1, w + 1))
+        np.cumsum(np.cumsum(_grey(pixels[a : a + BLOCK]), 0), 1, out=sums[1:, 1:])
+        sums += above
+        inside = (wanted > a) & (wanted <= a + BLOCK)
+        out[inside] = sums[wanted[inside] - a]
+        above = sums[-1]
+    return out
+
+
+def area_resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Mean grey level over each cell's area, cells of any fraction of a pixel: differences of the interpolated integral image."""
+    h, w = pixels.shape[:2]
     y, fy = _cumulative(h, height)
     x, fx = _cumulative(w, width)
-    rows = integral[y] + fy[:, None] * (integral[y + 1] - integral[y])
-    at = rows[:, x] + fx * (rows[:, x + 1] - rows[:, x])
+    low, high = (integral_rows(pixels, np.minimum(r, h)) for r in (y, y + 1))
+    rows = low + fy[:, None] * (high - low)
+    at = rows[:, x] + fx * (rows[:, np.minimum(x + 1, w)] - rows[:, x])
     return np.diff(np.diff(at, axis=0), axis=1) / ((h / height) * (w / width))
 
 
@@ -94,16 +112,14 @@ def npy(array: np.ndarray) -> bytes:
 
 def features(pixels: np.ndarray) -> tuple[bytes, str]:
     """An NPY tile of 8-bit grey levels and the 64-bit difference hash (a bit for each cell darker than its right neighbour)."""
-    grey = pixels.mean(axis=2) if pixels.ndim == 3 else pixels.astype(np.float64)
-    tile = np.clip(np.rint(area_resize(grey, *TILE)), 0, 255).astype(np.uint8)
-    grid = area_resize(grey, *GRID)
+    tile = np.clip(np.rint(area_resize(pixels, *TILE)), 0, 255).astype(np.uint8)
+    grid = area_resize(pixels, *GRID)
     return npy(tile), np.packbits(grid[:, 1:] > grid[:, :-1] + 1e-9).tobytes().hex()
 
 
 def _media(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for i in range(0, whole.num_rows, ROWS):
-            batch = whole.slice(i, ROWS)
+        for batch in slices(whole, 1, SLICE):
             out: tuple[list, ...] = ([], [], [], [], [])
             for text in batch.column(1).to_pylist():
                 raw = text.encode()

@@ -1,144 +1,183 @@
 """Quality by the perplexity of an interpolated modified Kneser-Ney model of characters.
 
-Counts: the 4-grams of trusted texts are counted in every task, summed by gram (a sharded
-count join of partial counts) and give the model, a table over all 4-grams of an alphabet
-of 48 symbols, so its size has a bound whatever the corpus: 48^4 numbers. Scoring: the
-table goes to the executors in shards by leading symbol; every task joins its documents'
-grams with shard after shard. Thresholds: the quantile of perplexity among all trusted
-documents of the language.
+Counts: the 4-grams of trusted texts are counted in every task and summed by gram; the
+lower orders, discounts and probabilities are groupings and joins of these tables by gram.
+The model is a table with a row for each gram that trusted texts hold: its probability,
+and the weight that it leaves to lower orders as a context. Scoring: documents are taken
+in slices. A slice's distinct grams are joined with the model by gram, so the join is
+sharded by gram and a gram costs a row a slice, however common it is; what is found goes
+back to the slice, where its documents' probabilities are added up. No table of all grams
+is in any one place. Every character is a symbol of its own, but upper-case letters, which are
+one, and digits. Thresholds: the quantile of perplexity among all trusted documents of the
+language.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import discard, stage, text_of, tidy
+from .words import mixed, slices
 
-ORDER, SYMBOLS, SHARDS = 4, 48, 4
-#: Symbols: around a text, rare characters, any upper-case letter, any digit; then the commonest characters.
-EDGE, RARE, UPPER, DIGIT, FIRST = 0, 1, 2, 3, 4
+ORDER = 4
+#: Symbols: around a text, any upper-case letter, any digit; others are their code point + FIRST.
+EDGE, UPPER, DIGIT, FIRST = 0, 1, 2, 3
+N_SYMBOLS = 0x110000 + FIRST
 FIT_ROWS, QUANTILE, MARGIN = 20_000, 0.99, 1.1
-CHARS, STEPS = 1_000_000, 10_000
+#: Characters worked on at a time, bytes of text in a slice, codes up to which a table is quicker than sorting, steps of log10 perplexity.
+CHARS, SLICE, TABLE, STEPS = 1_000_000, 16_000_000, 1 << 25, 10_000
 
 
-def _codes(texts: list[str]) -> np.ndarray:
-    return np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
-
-
-def _kinds() -> np.ndarray:
-    """Symbol of each code point before the common characters have theirs."""
-    table = np.full(0x110000, RARE, np.uint8)
-    for code in range(0x3000):
-        if chr(code).isupper():
+@cache
+def _symbols_of() -> np.ndarray:
+    """Symbol of each code point."""
+    table = np.arange(FIRST, N_SYMBOLS, dtype=np.int32)
+    for code in range(0x110000):
+        char = chr(code)
+        if char.isupper():
             table[code] = UPPER
-        elif chr(code).isdigit():
+        elif char.isdigit():
             table[code] = DIGIT
     return table
 
 
-def symbol_table(common: list[int]) -> np.ndarray:
-    table = _kinds()
-    for i, code in enumerate(common):
-        table[code] = FIRST + i
-    return table
-
-
-def grams(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the 4-grams of all texts, one for each character and one for the end; where each text's begin."""
+def _laid_out(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of all texts, each with ORDER - 1 edges before and one behind; the texts' sizes."""
     sizes = np.array([len(t) for t in texts], np.int64)
-    lead = ORDER - 1
-    starts = np.cumsum(sizes + lead + 1) - (sizes + lead + 1)
-    symbols = np.zeros(int((sizes + lead + 1).sum()), np.int32)
-    inside = np.repeat(starts + lead - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-    symbols[inside] = table[_codes(texts)]
-    code = symbols[lead:].copy()
-    for k in range(1, ORDER):
-        code += symbols[lead - k : len(symbols) - k] * SYMBOLS**k
-    # keep those that end at a character or at the end of their own text
-    own = np.repeat(starts - (np.cumsum(sizes + 1) - (sizes + 1)), sizes + 1) + np.arange(int((sizes + 1).sum()))
-    return code[own], np.cumsum(sizes + 1) - (sizes + 1)
-
-
-def _groups(texts: list[str]) -> Iterator[tuple[int, int]]:
-    at, room = 0, 0
-    for i, t in enumerate(texts):
-        room += len(t)
-        if room >= CHARS or i + 1 == len(texts):
-            yield at, i + 1
-            at, room = i + 1, 0
-
-
-def _count_chars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, kinds = np.zeros(0x110000, np.int64), _kinds()
-    for batch in batches:
-        texts = batch.column(0).to_pylist()
-        for a, b in _groups(texts):
-            seen = np.bincount(_codes(texts[a:b]))
-            total[: len(seen)] += seen
-    total[kinds != RARE] = 0
-    found = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], names=["code", "n"])
-
-
-def _count_grams(table):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, symbols = np.zeros(SYMBOLS**ORDER, np.int64), table.value
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in _groups(texts):
-                np.add.at(total, *np.unique(grams(texts[a:b], symbols)[0], return_counts=True))
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], names=["code", "n"])
-
-    return tidy(run)
-
-
-def kneser_ney(counts: np.ndarray) -> np.ndarray:
-    """P(last | before) for counts of n-grams with an axis for each place; interpolated, with three discounts an order."""
-    if counts.ndim == 1:
-        lower = np.full(len(counts), 1 / len(counts))
-    else:
-        lower = kneser_ney((counts > 0).sum(axis=0))  # continuation counts
-    of = [int((counts == i).sum()) for i in range(5)]
-    share = of[1] / (of[1] + 2 * of[2]) if of[1] else 0.5
-    discount = np.zeros(4)
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    out = np.full(int((sizes + ORDER).sum()), EDGE, np.int32)
+    begin = np.cumsum(sizes + ORDER) - (sizes + ORDER) + ORDER - 1
+    out[np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(codes))] = _symbols_of()[codes]
+    return out, sizes
+
+
+def pieces(texts: list[str], chars: int = CHARS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """About `chars` symbols at a time: symbols, where the 4-grams end (at a character or a text's end), and the text of each."""
+    at = 0
+    while at < len(texts):
+        to, room = at, chars
+        while to < len(texts) and room > 0:
+            room -= len(texts[to]) + 1
+            to += 1
+        symbols, sizes = _laid_out(texts[at:to])
+        text = np.repeat(np.arange(at, to), sizes + 1)
+        ends = np.arange(len(text)) + (ORDER - 1) * (text - at + 1)
+        lead = ORDER - 1
+        for a in range(0, len(text), chars):  # more than once for a long text only
+            mine = ends[a : a + chars]
+            yield symbols[mine[0] - lead : mine[-1] + 1], mine - (mine[0] - lead), text[a : a + chars]
+        at = to
+
+
+def _renumbered(codes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the codes, which are below limit, and the distinct codes in order."""
+    if limit > TABLE:
+        distinct, number = np.unique(codes, return_inverse=True)
+        return number, distinct
+    number = np.zeros(limit, np.int32)
+    number[codes] = 1
+    distinct = np.flatnonzero(number)
+    number[distinct] = np.arange(len(distinct), dtype=np.int32)
+    return number[codes], distinct
+
+
+def distinct_grams(symbols: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Number of the 4-gram at each end, and the four symbols of each distinct one."""
+    number, alphabet = _renumbered(symbols, N_SYMBOLS)
+    n = len(alphabet)
+    pair, pairs = _renumbered(number[:-1].astype(np.int64) * n + number[1:], n * n)
+    m = len(pairs)
+    gram, grams = _renumbered(pair[ends - 3].astype(np.int64) * m + pair[ends - 1], m * m)
+    first, second = pairs[grams // m], pairs[grams % m]
+    return gram, [alphabet[x] for x in (first // n, first % n, second // n, second % n)]
+
+
+def gram_key(symbols: list[np.ndarray]) -> np.ndarray:
+    """64-bit keys (signed) of grams of one to four symbols."""
+    key = np.full(len(symbols[0]), len(symbols), np.uint64)
+    for s in symbols:
+        key = mixed(key + s.astype(np.uint64), len(symbols))
+    return key.view(np.int64)
+
+
+#: Of a 4-gram a b c d: the grams that end it, and the contexts of those.
+PARTS = {"k4": (0, 4), "k3": (1, 4), "k2": (2, 4), "k1": (3, 4), "h3": (0, 3), "h2": (1, 3), "h1": (2, 3)}
+
+
+def _part_keys(symbols: list[np.ndarray]) -> dict[str, np.ndarray]:
+    return {name: gram_key(symbols[a:b]) for name, (a, b) in PARTS.items()}
+
+
+def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From text: the keys of distinct 4-grams and their counts, a row for each in each piece."""
+    for whole in batches:
+        for batch in slices(whole, 0, CHARS):
+            for symbols, ends, _ in pieces(batch.column(0).to_pylist()):
+                gram, found = distinct_grams(symbols, ends)
+                columns = [*_part_keys(found).values(), np.bincount(gram, minlength=len(found[0]))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[*PARTS, "n"])
+
+
+def discounts(of: tuple[int, int, int, int]) -> tuple[float, float, float]:
+    """For counts of 1, 2 and more, from how many grams have counts 1 to 4."""
+    share = of[0] / (of[0] + 2 * of[1]) if of[0] else 0.5
+    out = []
     for i in (1, 2, 3):
-        d = i - (i + 1) * share * of[i + 1] / of[i] if of[i] else i / 2
-        discount[i] = min(max(d, 0.05), i - 0.05)
-    level = np.minimum(counts, 3).astype(np.int8)
-    total = counts.sum(axis=-1, keepdims=True).astype(np.float64)
-    kept = counts - discount[level]
-    left = sum(discount[i] * (level == i).sum(axis=-1, keepdims=True) for i in (1, 2, 3))
-    safe = np.where(total > 0, total, 1)
-    return np.where(total > 0, (kept + left * lower) / safe, lower)
+        d = i - (i + 1) * share * of[i] / of[i - 1] if of[i - 1] else i / 2
+        out.append(min(max(d, 0.05), i - 0.05))
+    return tuple(out)
 
 
-class CharModel:
-    """symbols: of each code point; logs: log10 P of each 4-gram's last symbol."""
+@dataclass
+class Model:
+    """table: key, p (of a gram), left (the weight of lower orders behind a context); floor: the probability of a symbol never seen."""
 
-    def __init__(self, symbols: np.ndarray, logs: np.ndarray):
-        self.symbols, self.logs = symbols, logs
+    table: DataFrame
+    floor: float
 
-    def score(self, texts: list[str]) -> np.ndarray:
-        """log10 of each text's probability, its end included."""
-        shards = np.array_split(self.logs, SHARDS)
-        return _score(texts, self.symbols, shards)
 
+def kneser_ney(counts: DataFrame) -> Model:
+    """The interpolated model, with three discounts an order. counts: the keys of PARTS and n, a row for each 4-gram.
 
-def _score(texts: list[str], symbols: np.ndarray, shards: list[np.ndarray]) -> np.ndarray:
-    code, starts = grams(texts, symbols)
-    logs, first = np.empty(len(code), np.float64), 0
-    for shard in shards:
-        mine = np.flatnonzero((code >= first) & (code < first + len(shard)))
-        logs[mine] = shard[code[mine] - first]
-        first += len(shard)
-    return np.add.reduceat(logs, starts) if len(starts) else np.zeros(0)
+    The count of a lower-order gram is the number of distinct symbols before it. The
+    lowest order is interpolated with 1 / (distinct symbols + 1).
+    """
+    grams = {4: counts.withColumnRenamed("n", "c")}
+    for n in (3, 2, 1):
+        keys = [f"k{i}" for i in range(n, 0, -1)] + [f"h{i}" for i in range(n - 1, 0, -1)]
+        grams[n] = grams[n + 1].groupBy(*keys).agg(F.count("*").alias("c"))
+    lower, floor, parts = None, 1.0, []
+    for n in (1, 2, 3, 4):
+        stats = grams[n].agg(*[F.count_if(F.col("c") == i) for i in (1, 2, 3, 4)], F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+        d = [F.lit(x) for x in discounts(tuple(stats[:4]))]
+        taken = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
+        rows = grams[n].select(*[k for k in PARTS if k in grams[n].columns], "c", taken.alias("d"))
+        if n == 1:
+            total, size = stats[4], stats[5]
+            left = rows.agg(F.coalesce(F.sum("d"), F.lit(0.0))).first()[0] / total if total else 1.0
+            floor = left / (size + 1)
+            lower = rows.select("k1", ((F.col("c") - F.col("d")) / F.lit(float(total or 1)) + F.lit(floor)).alias("p"))
+        else:
+            context = f"h{n - 1}"
+            of = rows.groupBy(context).agg(F.sum("c").alias("total"), F.sum("d").alias("d_sum"))
+            of = stage(of.select(context, "total", (F.col("d_sum") / F.col("total")).alias("left")), "kn-contexts")
+            below = lower.withColumnRenamed("p", "p_lower")
+            p = (F.col("c") - F.col("d")) / F.col("total") + F.col("left") * F.col("p_lower")
+            lower = rows.join(of, context).join(below, f"k{n - 1}").select(f"k{n}", p.alias("p"))
+            parts.append(of.select(F.col(context).alias("key"), F.lit(None).cast("double").alias("p"), "left"))
+        lower = stage(lower, "kn-grams")
+        parts.append(lower.select(F.col(f"k{n}").alias("key"), "p", F.lit(None).cast("double").alias("left")))
+    table = reduce(DataFrame.unionByName, parts).groupBy("key").agg(F.max("p").alias("p"), F.max("left").alias("left"))
+    return Model(stage(table, "kn-model"), floor)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -146,57 +185,134 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.filter("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> CharModel:
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """The model of trusted texts: of the fit_rows labelled ones with the smallest hash of their id, a bounded sample."""
-    spark = docs.sparkSession
     sample = trusted_ids(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    texts = stage(
-        docs.select("doc_id", text_of().alias("text")).join(F.broadcast(sample), "doc_id", "left_semi").select("text"), "trusted-texts"
-    )
-    kinds = texts.mapInArrow(tidy(_count_chars), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    common = [r.code for r in kinds.orderBy(F.desc("n"), "code").limit(SYMBOLS - FIRST).collect()]
-    symbols = symbol_table(common)
-    summed = texts.mapInArrow(_count_grams(spark.sparkContext.broadcast(symbols)), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    counts = np.zeros(SYMBOLS**ORDER, np.int64)
-    for batch in summed.toArrow().to_batches():  # at most SYMBOLS^ORDER rows
-        counts[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
-    discard(texts)
-    logs = np.log10(kneser_ney(counts.reshape((SYMBOLS,) * ORDER))).astype(np.float32).ravel()
-    return CharModel(symbols, logs)
-
-
-def perplexity(docs: DataFrame, model: CharModel) -> DataFrame:
+    texts = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(sample), "doc_id", "left_semi").select("text")
+    schema = ", ".join(f"{k} long" for k in [*PARTS, "n"])
+    counts = stage(texts.mapInArrow(tidy(_count_grams), schema).groupBy(*PARTS).agg(F.sum("n").alias("n")), "kn-counts")
+    model = kneser_ney(counts)
+    discard(counts)
+    return model
+
+
+def _pack(rows: pa.RecordBatch, keys: np.ndarray) -> bytes:
+    """Rows and the keys of their grams, compressed, behind the length of the keys."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as out:
+        out.write_batch(rows)
+    plain = sink.getvalue()
+    body = pa.Codec("zstd", compression_level=3).compress(plain, asbytes=True)
+    head = np.array([len(keys), plain.size], "<i8").tobytes()
+    return head + keys.astype("<i8").tobytes() + body
+
+
+def _unpack_keys(payload: memoryview) -> np.ndarray:
+    return np.frombuffer(payload, "<i8", int(np.frombuffer(payload, "<i8", 1)[0]), 16)
+
+
+def _unpack_rows(payload: memoryview) -> pa.Table:
+    n, size = np.frombuffer(payload, "<i8", 2).tolist()
+    body = pa.Codec("zstd").decompress(payload[16 + 8 * n :], decompressed_size=size)
+    return pa.ipc.open_stream(body).read_all()
+
+
+def _texts(rows: pa.RecordBatch | pa.Table) -> list[str]:
+    return [t or "" for t in rows.column("text").to_pylist()]
+
+
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """slice (a number), payload: a slice's rows and the keys of all their grams and contexts."""
+    number = TaskContext.get().partitionId() << 32
+    for whole in batches:
+        at = whole.schema.get_field_index("text")
+        filled = whole.set_column(at, "text", whole.column(at).fill_null(""))
+        for part, sized in _in_step(whole, filled, at):
+            keys = np.zeros(0, np.int64)
+            for symbols, ends, _ in pieces(_texts(sized)):
+                keys = np.unique(np.concatenate([keys, *_part_keys(distinct_grams(symbols, ends)[1]).values()]))
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([_pack(part, keys)], pa.binary())], names=["slice", "payload"])
+            number += 1
+
+
+def _in_step(whole: pa.RecordBatch, filled: pa.RecordBatch, at: int) -> Iterator[tuple[pa.RecordBatch, pa.RecordBatch]]:
+    done = 0
+    for part in slices(filled, at, SLICE):
+        yield whole.slice(done, part.num_rows), part
+        done += part.num_rows
+
+
+def _slice_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for number, payload in zip(batch.column(0), batch.column(1)):
+            keys = _unpack_keys(memoryview(payload.as_buffer()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), number.as_py())), pa.array(keys)], names=["slice", "key"])
+
+
+class Found:
+    """What a slice needs of the model: probabilities and weights by key."""
+
+    def __init__(self, keys: np.ndarray, p: np.ndarray, left: np.ndarray, floor: float):
+        """p and left are NaN where a key has none."""
+        order = np.argsort(keys)
+        self.keys, self.p, self.left, self.floor = keys[order], p[order], left[order], floor
+
+    def _of(self, values: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(len(keys), np.nan)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, values[at], np.nan)
+
+    def log_p(self, symbols: list[np.ndarray]) -> np.ndarray:
+        """log10 P(d | a b c) of 4-grams: the longest gram known, behind the weights left by longer contexts."""
+        keys = _part_keys(symbols)
+        own = self._of(self.p, keys["k1"])
+        p = np.where(np.isnan(own), self.floor, own)
+        for n in (2, 3, 4):
+            own, left = self._of(self.p, keys[f"k{n}"]), self._of(self.left, keys[f"h{n - 1}"])
+            p = np.where(np.isnan(own), np.where(np.isnan(left), 1.0, left) * p, own)
+        return np.log10(p)
+
+    def score(self, texts: list[str], chars: int = CHARS) -> np.ndarray:
+        """log10 of each text's probability, its end included."""
+        total = np.zeros(len(texts))
+        for symbols, ends, text in pieces(texts, chars):
+            gram, found = distinct_grams(symbols, ends)
+            first = int(text[0])
+            sums = np.bincount(text - first, weights=self.log_p(found)[gram])
+            total[first : first + len(sums)] += sums
+        return total
+
+
+def perplexity(docs: DataFrame, model: Model) -> DataFrame:
     """docs and perplexity: of a character, the end counted; null where there is no text."""
-    spark = docs.sparkSession
-    symbols = spark.sparkContext.broadcast(model.symbols)
-    shards = [spark.sparkContext.broadcast(s) for s in np.array_split(model.logs, SHARDS)]
-    at = docs.columns.index("text")
+    cut = docs.mapInArrow(tidy(_sliced), "slice long, payload binary").repartition("slice")  # read twice, made once
+    known = cut.mapInArrow(_slice_keys, "slice long, key long").join(model.table, "key").select("slice", "key", "p", "left")
+    schema, floor = StructType([*docs.schema.fields, StructField("perplexity", DoubleType())]), model.floor
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, parts = symbols.value, [s.value for s in shards]
-        for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            logs = np.concatenate([np.zeros(0), *[_score(texts[a:b], table, parts) for a, b in _groups(texts)]])
-            sizes = np.array([len(t) for t in texts], np.int64)
-            found = pa.array(10.0 ** (-logs / (sizes + 1)), mask=sizes == 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, "perplexity"])
+    def scored(own: pa.Table, found: pa.Table) -> pa.Table:
+        numbers = [found.column(c).to_numpy() for c in ("key", "p", "left")]
+        rows = _unpack_rows(memoryview(own.column("payload").combine_chunks()[0].as_buffer()))
+        texts = _texts(rows)
+        sizes = np.array([len(t) for t in texts], np.int64)
+        logs = Found(*numbers, floor).score(texts)
+        return rows.append_column("perplexity", pa.array(10.0 ** (-logs / (sizes + 1)), mask=sizes == 0))
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(tidy(run), f"{fields}, perplexity double")
+    return cut.groupBy("slice").cogroup(known.groupBy("slice")).applyInArrow(scored, schema)
 
 
 def thresholds(scored: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
     """lang, threshold: margin times the quantile of perplexity among all trusted documents of the language.
 
     The quantile is that of perplexities counted in steps of a ten-thousandth of their
-    log10, so that reruns agree and a language has a bounded number of rows however many
-    documents it has. A language without trusted documents has no row.
+    log10, the next step up, so that reruns agree; counts are added up by language and step
+    first, so that a language has a bounded number of rows however many documents it has.
+    A language without trusted documents has no row.
     """
     known = scored.filter("perplexity IS NOT NULL").select("doc_id", "lang", "perplexity").join(trusted_ids(labels), "doc_id", "left_semi")
     counted = known.groupBy("lang", F.floor(F.log10("perplexity") * STEPS).alias("step")).agg(F.count("*").alias("n"))
-    by_lang = W.partitionBy("lang")
-    placed = counted.withColumn("up_to", F.sum("n").over(by_lang.orderBy("step"))).withColumn("total", F.sum("n").over(by_lang))
-    reached = placed.filter(F.col("up_to") >= F.col("total") * quantile).groupBy("lang").agg(F.min("step").alias("step"))
+    step = F.ceil(F.round(F.percentile("step", quantile, F.col("n")), 6))
+    reached = counted.groupBy("lang").agg(step.alias("step"))
     return reached.select("lang", (F.pow(F.lit(10.0), (F.col("step") + 1) / float(STEPS)) * margin).alias("threshold"))
 
 
@@ -220,13 +336,14 @@ def judge(
     quality, toxic. keep is true where the perplexity is at most the language's
     threshold; languages without trusted documents (null too) have the largest of all
     thresholds. Null and empty texts have no perplexity and are not kept. Without any
-    trusted document all others are kept. Repeated rows are judged alike.
+    trusted document all others are kept. Repeated rows are judged alike. An empty table
+    gives an empty one.
     """
     docs = docs.drop("perplexity", "threshold", "keep")
     return with_thresholds(stage(perplexity(docs, fit(docs, labels, fit_rows)), "perplexities"), labels, quantile, margin)
 
 
-def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op10_quality_classifier(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     # the text isn't staged with the scores: the query gives digests only

@@ -11,6 +11,7 @@ from lodeseek.llm import media, quality
 
 from ..conftest import DATA
 from .fixtures import clashing, documents, empty, rows
+from .plain_kn import Plain
 
 
 @settings(max_examples=60, deadline=None)
@@ -57,27 +58,84 @@ def test_media_query(spark):
         assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
 
 
-def test_kneser_ney_is_a_distribution_and_equals_the_formula():
-    counts = np.random.default_rng(0).poisson(0.4, (5, 5, 5))
-    p = quality.kneser_ney(counts)
-    assert np.allclose(p.sum(axis=-1), 1) and (p > 0).all()
-    one = np.array([4, 2, 1, 0, 0])  # the lowest order: counts of counts 1, 1, 0, 1
-    share = 1 / (1 + 2 * 1)
-    d = [0, 1 - 2 * share * 1 / 1, min(max(2 - 3 * share * 0 / 1, 0.05), 1.95), 1.5]
-    left = d[1] + d[2] + d[3]
-    want = [(c - d[min(c, 3)] + left / 5) / 7 for c in one]
-    assert np.allclose(quality.kneser_ney(one), want)
-
-
-def test_scores_are_those_of_the_grams():
-    table = quality.symbol_table([ord(c) for c in "abc "])
-    texts = ["abc a", "", "BQ9日"]
-    logs = np.log10(np.random.default_rng(1).random(quality.SYMBOLS**quality.ORDER)).astype(np.float32)
-    model = quality.CharModel(table, logs)
-    for text, got in zip(texts, model.score(texts)):
-        symbols = [quality.EDGE] * 3 + [int(table[ord(c)]) for c in text] + [quality.EDGE]
-        want = sum(float(logs[sum(s * quality.SYMBOLS ** (3 - k) for k, s in enumerate(symbols[i : i + 4]))]) for i in range(len(symbols) - 3))
-        assert got == pytest.approx(want, rel=1e-5)
+def cells(n, parts):
+    """How much of each of n samples lies in each of parts equal stretches."""
+    edge = [i * n / parts for i in range(parts + 1)]
+    return np.array([[max(0.0, min(b, k + 1) - max(a, k)) for k in range(n)] for a, b in zip(edge, edge[1:])])
+
+
+def test_media_query_equals_brute_force(spark):
+    """Stored bytes, grey tile and difference hash, made with a weight for each sample and cell."""
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    tiles = {r.doc_id: r for r in media.store_media(spark.read.parquet(f"{DATA}/documents.parquet")).collect()}
+    kinds = set()
+    for r in media.op9_media_columns(spark, DATA).collect():
+        raw = texts[r.doc_id].encode()
+        payload = raw + b" " * (-len(raw) % 192 if raw else 192)
+        h = len(payload) // 192
+        ppm = b"P6\n64 %d\n255\n" % h + payload
+        rows = [payload[i * 192 : i * 192 + 192] for i in range(h)]
+        swapped = [b"".join(row[j + 2 : j + 3] + row[j + 1 : j + 2] + row[j : j + 1] for j in range(0, 192, 3)) for row in reversed(rows)]
+        head = b"BM" + (54 + len(payload)).to_bytes(4, "little") + bytes(4) + (54).to_bytes(4, "little") + (40).to_bytes(4, "little") + (64).to_bytes(4, "little")
+        head += h.to_bytes(4, "little") + (1).to_bytes(2, "little") + (24).to_bytes(2, "little") + bytes(4) + len(payload).to_bytes(4, "little") + (2835).to_bytes(4, "little") * 2 + bytes(8)
+        stored = {hashlib.sha256(x).hexdigest(): x for x in (ppm, head + b"".join(swapped))}
+        assert len(stored[r.media_sha256]) == r.media_bytes
+        kinds.add(stored[r.media_sha256][:2])
+        grey = np.frombuffer(payload, np.uint8).reshape(h, 64, 3).mean(axis=2)
+        mean = lambda a, b: cells(h, a) @ grey @ cells(64, b).T / (h / a * 64 / b)
+        tile, grid = np.load(io.BytesIO(tiles[r.doc_id].tile)), mean(8, 9)
+        assert np.abs(tile - mean(16, 16)).max() < 0.5 + 1e-6
+        assert r.feature == f"{tiles[r.doc_id].dhash}:{hashlib.sha256(tiles[r.doc_id].tile).hexdigest()[:16]}"
+        bits, step = np.unpackbits(np.frombuffer(bytes.fromhex(tiles[r.doc_id].dhash), np.uint8)).reshape(8, 8), np.diff(grid, axis=1)
+        assert (bits[np.abs(step) > 1e-6] == (step > 0)[np.abs(step) > 1e-6]).all()
+    assert kinds == {b"P6", b"BM"}
+
+
+def test_large_images_are_resized_in_blocks(monkeypatch):
+    pixels = np.random.default_rng(0).integers(0, 256, (100, 64, 3)).astype(np.uint8)
+    whole = media.features(pixels)
+    monkeypatch.setattr(media, "BLOCK", 7)
+    assert media.features(pixels) == whole
+
+
+TRUSTED = ["the cat sat on the mat", "the dog sat", "A cat, a Dog 12!", "日本語の文", "aaa", "", "the cat sat on the mat again and again"]
+OTHERS = ["the dog on the mat", "zzz unseen жж", "日本 x", "", "T9", "a" * 50, "completely other words, none of them known: qxj"]
+
+
+def fitted(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "1 AS quality", "0 AS toxic")
+    return quality.fit(docs, labels)
+
+
+def test_perplexity_equals_a_plain_model(spark):
+    model, plain = fitted(spark, TRUSTED), Plain(TRUSTED)
+    docs = spark.createDataFrame(list(enumerate([*TRUSTED, *OTHERS, None])), "doc_id long, text string").selectExpr("'x' AS slice", "*", "'y' AS payload", "'z' AS key")
+    for rows in (docs, docs.repartition(5)):
+        for r in quality.perplexity(rows, model).collect():
+            want = plain.perplexity(r.text or "")
+            assert r.perplexity == (None if want is None else pytest.approx(want, rel=1e-9))
+            assert (r.slice, r.payload, r.key) == ("x", "y", "z")
+    assert quality.perplexity(docs.limit(0), model).count() == 0
+
+
+def test_no_trusted_text_is_a_uniform_model(spark):
+    model = fitted(spark, [])
+    assert model.floor == 1 and model.table.count() == 0
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text(alphabet="ab AZ1é日\n", max_size=30), max_size=5), st.integers(1, 40))
+def test_pieces_hold_every_gram_once(texts, chars):
+    """However texts are cut; short and long alike."""
+    want = [sorted(g) for g in ([tuple(ord(c) + quality.FIRST if c and c not in "AZ1" else 0 if c is None else quality.UPPER if c != "1" else quality.DIGIT for c in s[i : i + 4]) for i in range(len(s) - 3)] for s in ([None] * 3 + list(t) + [None] for t in texts))]
+    got = [[] for _ in texts]
+    for symbols, ends, text in quality.pieces(texts, chars):
+        gram, found = quality.distinct_grams(symbols, ends)
+        assert len(gram) == len(ends) == len(text) and len(set(zip(*(x.tolist() for x in found)))) == len(found[0])
+        for g, t in zip(gram.tolist(), text.tolist()):
+            got[t].append(tuple(int(x[g]) for x in found))
+    assert [sorted(g) for g in got] == want
 
 
 def test_quality_keeps_clean_and_rejects_junk(spark):

@@ -201,21 +201,22 @@ def test_components_of_chains_and_stars(spark):
 
 
 def brute_search(rows, every=50, k=5):
+    """Vectors are compared with those of their own length."""
     ok = [(i, np.array(v, float)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and np.any(v)]
-    size = max({len(v) for _, v in ok}, key=lambda n: sum(len(v) == n for _, v in ok), default=0)
-    ok = sorted({(i, tuple(v)) for i, v in ok if len(v) == size})
+    ok = sorted({(i, tuple(v)) for i, v in ok})
     out = {}
     for q, v in ok:
         if q % every == 0:
-            score = [(-round(float(np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w)), 12), i) for i, w in ok if i != q]
-            out[q] = [i for _, i in sorted(score)[:k]]
+            score = [(-round(float(np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w)), 12), i) for i, w in ok if i != q and len(w) == len(v)]
+            if score:
+                out[q] = [i for _, i in sorted(score)[:k]]
     return out
 
 
 def test_search_of_awkward_vectors(spark):
     nan, inf = float("nan"), float("inf")
     table = [(i, [1.0 + i % 3, 2.0, float(i % 5)]) for i in range(30)] + [(30 + i, [1.0, 2.0, 0.0]) for i in range(21)]
-    table += [(60, None), (61, []), (62, [0.0, 0.0, 0.0]), (63, [nan, 1.0, 1.0]), (64, [inf, 1.0, 1.0]), (65, [None, 1.0, 1.0]), (66, [1.0]), (None, [1.0, 1.0, 1.0]), (3, [1.0, 2.0, 3.0]), (3, [1.0, 2.0, 3.0])]
+    table += [(60, None), (61, []), (62, [0.0, 0.0, 0.0]), (63, [nan, 1.0, 1.0]), (64, [inf, 1.0, 1.0]), (65, [None, 1.0, 1.0]), (66, [1.0]), (100, [1.0, 1.0]), (101, [1.0, 2.0]), (150, [5.0]), (200, [1.0] * 4), (None, [1.0, 1.0, 1.0]), (3, [1.0, 2.0, 3.0]), (3, [1.0, 2.0, 3.0])]
     df = spark.createDataFrame(table, "vec_id long, embedding array<float>").selectExpr("*", "'x' AS rep", "'y' AS part")
     got = {}
     for r in ann.search(df).orderBy("query_id", "rank").collect():
@@ -234,6 +235,33 @@ def test_recall_of_the_query(spark):
     assert got.keys() == want.keys() and np.mean([len(got[q] & set(w)) / len(w) for q, w in want.items()]) >= 0.9
 
 
+def test_routing_prunes_where_vectors_cluster(spark):
+    """64 clusters, 16 partitions: most neighbours are found in less than half of the partitions."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(64, 16))
+    vectors = (centres[rng.integers(0, 64, 6000)] + rng.normal(0, 0.15, (6000, 16))).astype(np.float32)
+    fitted, whole = [], ann.fit_router
+    ann.fit_router = lambda *a: fitted.append(whole(*a)) or fitted[0]
+    try:
+        rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+        got = {}
+        for r in ann.search(df).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+    finally:
+        ann.fit_router = whole
+    x = ann._unit(vectors.astype(np.float64))
+    score = x[::50] @ x.T
+    score[np.arange(len(score)), np.arange(0, 6000, 50)] = -2
+    want = np.argsort(-score, axis=1)[:, :5]
+    assert len(fitted[0].out_bias) == ann.partitions_for(6000) == 16 and fitted[0].probes < 8
+    assert np.mean([len(got[q] & set(w.tolist())) / 5 for q, w in zip(range(0, 6000, 50), want)]) >= 0.9
+
+
+def test_partitions_grow_with_the_table():
+    assert [ann.partitions_for(n) for n in (0, 500, 2000, 51_000, 10**9)] == [1, 1, 4, 128, 1024]
+
+
 def test_queries_of_small_partitions_look_further(spark, monkeypatch):
     """Of two partitions one holds three vectors, and one is probed."""
     monkeypatch.setattr(ann, "fit_router", lambda *_: ann.Router(np.eye(2), np.zeros(2), np.eye(2), np.zeros(2)))

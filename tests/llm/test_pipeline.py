@@ -12,6 +12,7 @@ from lodeseek.llm import quality
 
 from ..conftest import DATA
 from .fixtures import clashing, rows
+from .plain_kn import Plain
 from .test_licenses_mixing import waterfill
 from .test_line_dedup import brute as brute_lines
 from .test_near import brute_one_of_each
@@ -20,27 +21,14 @@ from .test_tokens import check_pieces
 
 def brute_quality(docs, labels):
     trusted = {l.doc_id for l in labels if l.quality == 1 and not l.toxic and l.doc_id is not None}
-    texts = [d.text or "" for d in docs if d.doc_id in trusted]
-    kinds, chars = quality._kinds(), Counter(c for t in texts for c in t)
-    common = sorted((c for c in chars if kinds[ord(c)] == quality.RARE), key=lambda c: (-chars[c], ord(c)))[: quality.SYMBOLS - quality.FIRST]
-    table = quality.symbol_table([ord(c) for c in common])
-    counts = np.zeros((quality.SYMBOLS,) * 4, np.int64)
-
-    def grams(text):
-        s = [quality.EDGE] * 3 + [int(table[ord(c)]) for c in text] + [quality.EDGE]
-        return [tuple(s[i : i + 4]) for i in range(len(s) - 3)]
-
-    for t in texts:
-        for g in grams(t):
-            counts[g] += 1
-    logs = np.log10(quality.kneser_ney(counts)).astype(np.float32)
-    ppl = [10 ** (-sum(float(logs[g]) for g in grams(d.text)) / (len(d.text) + 1)) if d.text else None for d in docs]
+    model = Plain([d.text or "" for d in docs if d.doc_id in trusted])
+    ppl = [model.perplexity(d.text or "") for d in docs]
     known = {}
     for d, p in zip(docs, ppl):
         if d.doc_id in trusted and p is not None:
-            known.setdefault(d.lang, []).append(p)
-    step = lambda p: math.floor(math.log10(p) * quality.STEPS)
-    limit = {lang: 10 ** ((sorted(map(step, v))[max(math.ceil(quality.QUANTILE * len(v)) - 1, 0)] + 1) / quality.STEPS) * quality.MARGIN for lang, v in known.items()}
+            known.setdefault(d.lang, []).append(math.floor(math.log10(p) * quality.STEPS))
+    reached = {lang: math.ceil(round(float(np.quantile(v, quality.QUANTILE)), 6)) for lang, v in known.items()}
+    limit = {lang: 10 ** ((step + 1) / quality.STEPS) * quality.MARGIN for lang, step in reached.items()}
     top = max(limit.values(), default=math.inf)
     return [d for d, p in zip(docs, ppl) if p is not None and p <= limit.get(d.lang, top)]
 
