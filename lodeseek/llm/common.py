@@ -23,6 +23,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _own_root: list[str] = []
+_collecting: list[list[str]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -70,6 +71,8 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
         writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lodeseek_path = path
+    for paths in _collecting:
+        paths.append(path)
     return out
 
 
@@ -78,6 +81,35 @@ def discard(df: DataFrame) -> None:
     remove(df.sparkSession, df._lodeseek_path)
 
 
+@contextmanager
+def collected(paths: list[str]) -> Iterator[None]:
+    """Add the paths of the tables that are staged inside."""
+    _collecting.append(paths)
+    try:
+        yield
+    finally:
+        _collecting.pop()
+
+
+def paths_read(df: DataFrame) -> set[str]:
+    """The folders and files that a plan scans."""
+    found, leaves = set(), df._jdf.queryExecution().analyzed().collectLeaves()
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            roots = leaf.relation().location().rootPaths()
+            found |= {roots.apply(k).toUri().getPath() for k in range(roots.size())}
+    return found
+
+
+def discard_unread(spark: SparkSession, paths: list[str], df: DataFrame) -> None:
+    """Delete the tables at these paths that df does not read, and take them off the list."""
+    read = paths_read(df)
+    for path in [p for p in paths if re.sub(r"^\w+:(//[^/]*)?", "", p) not in read]:
+        remove(spark, path)
+        paths.remove(path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)

@@ -10,9 +10,10 @@ copies of a distinct fingerprint whatever the corpus, and the last 18 bits take
 the comparison alone.
 
 A few bits of one fingerprint are too strict for copies with edits: texts that share 0.8
-of their shingles of five words differ in 3 to 11 bits. `similar_texts` therefore joins
-texts by their rare shingles (prefix filtering), which finds any kind of edit alike, and
-checks shingles exactly.
+of their shingles of five words differ in 3 to 11 bits. `similar_texts` therefore begins
+with the anchors, whose candidates it checks exactly, and then looks for all links that
+they leave by the texts' rare shingles (prefix filtering), which finds any kind of edit
+alike.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, text_of, tidy
+from .common import discard, stage, text_of, tidy
 from .components import components
 from .words import mixed, slices, split_words
 
@@ -186,6 +187,18 @@ def shingle_hashes(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarra
     return mixed(total + width.astype(np.uint64), shingle), text[starts], keys
 
 
+def majority_bits(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The fingerprint of each stretch of hashes: the bits set in over half of them, 0 for none."""
+    out, some = np.zeros(len(sizes), np.uint64), sizes > 0
+    if not some.any():
+        return out
+    first = (np.cumsum(sizes) - sizes)[some]
+    for bit in range(64):
+        n = np.add.reduceat(hashes >> np.uint64(bit) & np.uint64(1), first)
+        out[some] |= (2 * n.astype(np.int64) > sizes[some]).astype(np.uint64) << np.uint64(bit)
+    return out
+
+
 def _counts(shingle: int):
     """From text: how many shingles fall into each bucket of hashes, in chunks."""
 
@@ -217,13 +230,14 @@ def bucket_counts(rows: DataFrame, shingle: int) -> np.ndarray:
 
 
 def _rare_shingles(common, shingle: int, similarity: float):
-    """From doc_id, text_hash, text: doc_id, text_hash, key, number of shingles, and the rarest of them, any of which a similar text shares."""
+    """From doc_id, text_hash, text: doc_id, text_hash, key, number of shingles, fingerprint, and the rarest shingles, any of which a similar text shares."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = common.value
         for whole in batches:
             for batch in slices(whole, 2, SLICE):
                 found, text, keys = shingle_hashes(batch.column(2), shingle)
+                prints = majority_bits(found, np.bincount(text, minlength=len(keys)))
                 order = np.lexsort((found, counts[(found >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)], text))
                 found, text = found[order], text[order]
                 fresh = np.ones(len(found), bool)
@@ -235,7 +249,8 @@ def _rare_shingles(common, shingle: int, similarity: float):
                 mine = at < first[text]
                 offsets = np.concatenate([[0], np.cumsum(np.minimum(first, sizes))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found[mine].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(keys), pa.array(sizes.astype(np.int32)), lists], names=["doc_id", "text_hash", "key", "size", "rare"])
+                columns = [*batch.columns[:2], pa.array(keys), pa.array(sizes.astype(np.int32)), pa.array(prints.view(np.int64)), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "key", "size", "fingerprint", "rare"])
 
     return tidy(run)
 
@@ -268,17 +283,25 @@ def _pairs(met: DataFrame) -> DataFrame:
     return met.select(F.least("key", "other_key").alias("a"), F.greatest("key", "other_key").alias("b")).distinct()
 
 
-def meetings(postings: DataFrame, similarity: float) -> DataFrame:
-    """a < b: keys of texts that share a rare shingle and can be similar, one of them the smallest or the largest key at that shingle.
+def anchor_meetings(texts: DataFrame) -> DataFrame:
+    """a < b: keys of texts whose fingerprints are close, as links of classes: each text with the smallest key of its
+    fingerprint, and the smallest keys of close fingerprints with each other. texts: key, fingerprint."""
+    classes = stage(texts.groupBy(F.col("fingerprint").alias("point")).agg(F.min("key").alias("low")), "fingerprint-classes")
+    own = texts.join(classes, F.col("fingerprint") == F.col("point")).filter(F.col("key") != F.col("low")).select(F.col("low").alias("a"), F.col("key").alias("b"))
+    near = near_fingerprints(classes.select("point"))
+    of_a, of_b = (classes.select(F.col("point").alias(side), F.col("low").alias(f"key_{side}")) for side in ("a", "b"))
+    apart = near.join(of_a, "a").join(of_b, "b").select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b"))
+    return own.union(apart)
+
 
-    postings: shingle, key, component, size, at.
+def meetings(postings: DataFrame, similarity: float, salt: int = 0) -> DataFrame:
+    """a < b: keys of texts that share a rare shingle and can be similar, one of them the first or the last at that shingle.
+
+    postings: shingle, key, component, size, at. Keys stand in another order for each salt.
     """
-    ends = postings.groupBy("shingle").agg(
-        *[
-            F.struct(least("key").alias("key"), *[of(c, "key").alias(c) for c in ("component", "size", "at")]).alias(name)
-            for name, least, of in (("low", F.min, F.min_by), ("high", F.max, F.max_by))
-        ]
-    )
+    place = F.xxhash64("key", F.lit(salt))
+    columns = ("key", "component", "size", "at")
+    ends = postings.groupBy("shingle").agg(*[F.struct(*[of(c, place).alias(c) for c in columns]).alias(name) for name, of in (("low", F.min_by), ("high", F.max_by))])
     stands = ends.select("shingle", F.explode(F.array_distinct(F.array("low", "high"))).alias("one")).select("shingle", "one.*")
     met = stands.join(_others(postings), "shingle").filter(F.col("component") != F.col("other_component"))
     return _pairs(met.filter(_can_be_similar(similarity)))
@@ -320,47 +343,65 @@ def similar_texts(docs: DataFrame, similarity: float = SIMILARITY, shingle: int
     text. Two texts are linked if their sets of shingles have a Jaccard similarity of at
     least `similarity`; a text shorter than a shingle is one shingle.
 
-    Shingles are put in one order for all texts, those of rare buckets first. A text of n
-    shingles shares `similarity` * n with a similar one at least, so one of its first
-    n - similarity * n + 1 shingles is among the first of the other: only these are
-    joined, and no link is missed for want of a meeting. The order decides how many
-    meet, not which links are found. Two rounds keep a large group from being all its
-    pairs: first every text meets the smallest and the largest key at each of its rare
-    shingles, then all texts there that are not of its component yet. So the components
-    are those of all links.
+    The first candidates are texts with close fingerprints, met at anchors. The others
+    share a rare shingle: shingles are put in one order for all texts, those of rare
+    buckets first. A text of n shingles shares `similarity` * n with a similar one at
+    least, so one of its first n - similarity * n + 1 shingles is among the first of the
+    other: only these are joined, and no link is missed for want of a meeting. The order
+    decides how many meet, not which links are found. Rounds keep a large group from
+    being all its pairs: every text meets two texts at each of its rare shingles, then two
+    others, then all texts there that are not of its component yet. So the components are
+    those of all links.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text"))
     common = docs.sparkSession.sparkContext.broadcast(bucket_counts(rows, shingle))
-    schema = f"doc_id {id_type}, text_hash long, key long, size int, rare array<long>"
+    schema = f"doc_id {id_type}, text_hash long, key long, size int, fingerprint long, rare array<long>"
     marked = stage(rows.mapInArrow(_rare_shingles(common, shingle, similarity), schema), "rare-shingles")
+    members = stage(marked.select("doc_id", "text_hash", "key"), "texts-of-documents")
     first = F.coalesce(F.min_by("text_hash", "doc_id"), F.min("text_hash")).alias("first_hash")
-    texts = stage(marked.groupBy("key").agg(F.min("doc_id").alias("first_id"), first), "distinct-texts")
+    texts = stage(marked.groupBy("key").agg(F.min("doc_id").alias("first_id"), first, F.min("fingerprint").alias("fingerprint")), "distinct-texts")
     each = marked.select("key", F.explode("rare").alias("shingle"))
     shared = each.groupBy("shingle").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high").select("shingle")
     shared = stage(shared, "shared-shingles")
     each = marked.select("key", "size", F.posexplode("rare").alias("at", "shingle")).join(shared, "shingle")
-    postings = stage(each.distinct().withColumn("component", F.col("key")), "postings")
-    sets, links, grouped, compared = None, None, postings, None
-    for meet in (meetings, all_meetings):
-        near = meet(grouped, similarity)
-        if compared is not None:
-            near = near.join(compared, ["a", "b"], "left_anti")
-        near = compared = stage(near, "text-meetings")
-        asked = near.select(F.col("a").alias("key")).union(near.select("b")).distinct()
-        if sets is not None:  # of texts that met none in the round before
-            asked = asked.join(sets, "key", "left_anti")
-        asked = texts.join(asked, "key", "left_semi").select("first_id", "first_hash")
-        one = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))
-        made = rows.join(asked, one, "left_semi").select("text").mapInArrow(_shingle_sets(shingle), "key long, shingles array<long>")
-        made = stage(made.dropDuplicates(["key"]), "shingle-sets")
-        sets = made if sets is None else sets.union(made)
-        found = stage(_similar(near, sets, similarity), "text-links")
-        links = found if links is None else links.union(found)
-        of = _linked(links)
-        placed = postings.drop("component").join(of, F.col("key") == F.col("node"), "left")
-        grouped = placed.select("shingle", "key", "size", "at", F.coalesce("component", "key").alias("component"))
-    named = marked.select("doc_id", "text_hash", "key").join(of, F.col("key") == F.col("node"), "left")
+    postings = stage(each.distinct(), "postings")
+    discard(shared)
+    discard(marked)
+
+    # the sets of the texts that share a rare shingle with another: no other has a link
+    able = texts.join(postings.select("key").distinct(), "key", "left_semi")
+    one = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))
+    made = rows.join(able.select("first_id", "first_hash"), one, "left_semi").select("text").mapInArrow(_shingle_sets(shingle), "key long, shingles array<long>")
+    sets = stage(made.dropDuplicates(["key"]), "shingle-sets")
+
+    links, compared, of = None, [], None
+    rounds = (
+        lambda _: anchor_meetings(able.select("key", "fingerprint")),
+        lambda placed: meetings(placed, similarity),
+        lambda placed: meetings(placed, similarity, 1),
+        lambda placed: all_meetings(placed, similarity),
+    )
+    for meet in rounds:
+        if of is None:
+            placed = postings.withColumn("component", F.col("key"))
+        else:
+            joined = postings.join(of, F.col("key") == F.col("node"), "left")
+            placed = joined.select("shingle", "key", "size", "at", F.coalesce("component", "key").alias("component"))
+        near = meet(placed)
+        for before in compared:
+            near = near.join(before, ["a", "b"], "left_anti")
+        compared.append(stage(near, "text-meetings"))
+        found = _similar(compared[-1], sets, similarity)
+        before, links = links, stage(found if links is None else links.union(found), "text-links")
+        if before is not None:
+            discard(before)
+        before, of = of, _linked(links)
+        if before is not None and hasattr(before, "_lodeseek_path"):
+            discard(before)
+    for table in (postings, sets, *compared):
+        discard(table)
+    named = members.join(of, F.col("key") == F.col("node"), "left")
     return named.select("doc_id", "text_hash", "key", F.coalesce("component", "key").alias("component"))
 
 
