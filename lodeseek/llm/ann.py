@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import stage
+from .common import discard, one_blas_thread, stage
 
 #: Distinct vectors a partition should hold, and the most partitions; larger tables have larger ones.
 PARTITION_ROWS, MOST_PARTITIONS = 512, 1024
@@ -162,6 +162,7 @@ def _route(router, width: int, most: int | None):
     """rep, embedding and the most probable partitions of each; vectors of another length than width go to that of their length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_blas_thread()
         model = router.value
         for whole in batches:
             sizes = pc.list_value_length(whole.column(1)).to_numpy(zero_copy_only=False)
@@ -184,6 +185,7 @@ def _route(router, width: int, most: int | None):
 
 def _compare(keep: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
+        one_blas_thread()
         mine, queries = group[~group.is_query], group[group.is_query]
         if mine.empty or queries.empty:
             return pd.DataFrame({"query_rep": [], "rep": [], "score": []}).astype({"query_rep": "int64", "rep": "int64"})
@@ -263,7 +265,8 @@ def search(vectors: DataFrame, query_every: int = 50, k: int = 5, parts: int | N
         found = met.groupBy("part", "row_blocks", "query_blocks").applyInPandas(_compare(k + 1), "query_rep long, rep long, score double")
         best = W.partitionBy("query_rep").orderBy(F.desc("score"), "rep")
         nearest = found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1).select("query_rep", "rep", "score")
-        expanded = stage(nearest, f"{name}-nearest").join(members, "rep")
+        nearest = stage(nearest, f"{name}-nearest")
+        expanded = nearest.join(members, "rep")
         best = W.partitionBy("query_rep").orderBy(F.desc("score"), "vec_id")
         lists = (
             expanded.withColumn("n", F.row_number().over(best))
@@ -272,7 +275,9 @@ def search(vectors: DataFrame, query_every: int = 50, k: int = 5, parts: int | N
             .agg(F.array_sort(F.collect_list(F.struct("n", "vec_id", "score"))).alias("near"))
         )
         others = F.slice(F.filter("near", lambda c: c["vec_id"] != F.col("query_id")), 1, k)
-        return queries.join(stage(lists, f"{name}-answers"), "query_rep").select("query_id", "query_rep", others.alias("near"))
+        lists = stage(lists, f"{name}-answers")
+        discard(nearest)
+        return queries.join(lists, "query_rep").select("query_id", "query_rep", others.alias("near"))
 
     answered = answers(probes, "vector")
     if router.probes < len(router.out_bias):
@@ -284,6 +289,8 @@ def search(vectors: DataFrame, query_every: int = 50, k: int = 5, parts: int | N
             again = classes.filter(F.size("embedding") == width).join(short, "rep", "left_semi").select(*columns).mapInArrow(_route(model, width, len(router.out_bias)), schema)
             rest = answered.join(short.toDF("query_rep"), "query_rep", "left_anti").select(*answered.columns)
             answered = rest.unionByName(answers(stage(again, "vector-further-probes"), "vector-further"))
+    for table in (classes, members, rows, probes):
+        discard(table)
     answered = answered.select("query_id", F.posexplode("near").alias("at", "c"))
     return answered.select("query_id", (F.col("at") + 1).alias("rank"), F.col("c.vec_id").alias("vec_id"), F.col("c.score").alias("score"))
 

@@ -9,8 +9,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
-from functools import wraps
+from functools import cache, wraps
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,6 +92,18 @@ def collected(paths: list[str]) -> Iterator[None]:
         _collecting.pop()
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what is staged inside: write results before. Other queries' tables stay."""
+    paths: list[str] = []
+    try:
+        with collected(paths):
+            yield
+    finally:
+        for path in paths:
+            remove(spark, path)
+
+
 def paths_read(df: DataFrame) -> set[str]:
     """The folders and files that a plan scans."""
     found, leaves = set(), df._jdf.queryExecution().analyzed().collectLeaves()
@@ -131,10 +144,32 @@ def let(value: Column, body) -> Column:
 
 
 def clear_scratch(spark: SparkSession) -> None:
-    """Delete all that the operators have staged in the shared folder; results that weren't written yet are lost."""
+    """Delete all that any operator has staged in the shared folder; results that weren't written yet are lost. See scratch() too."""
     remove(spark, f"{shared_root(spark)}/lodeseek")
 
 
+@cache
+def one_blas_thread() -> None:
+    """Let numpy's matrix products use one thread in this process, as a task has one core.
+
+    Spark sets OMP_NUM_THREADS to all cores of the executor; idle threads of many small
+    products then spin beside those of the executor's other tasks. Nothing happens where
+    numpy has no OpenBLAS that can be told so.
+    """
+    np.ones((2, 2)) @ np.ones((2, 2))  # loads the library
+    try:
+        with open("/proc/self/maps") as maps:
+            found = {line.split(maxsplit=5)[5].strip() for line in maps if "openblas" in line}
+    except OSError:
+        return
+    for path in found:
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+                break
+
+
 def tidy(run):
     """A function of Arrow batches that gives its memory back to the system when a task ends.
 
@@ -144,6 +179,7 @@ def tidy(run):
 
     @wraps(run)
     def tidied(batches):
+        one_blas_thread()
         try:
             yield from run(batches)
         finally:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import discard, stage, text_of, tidy
+from .common import discard, one_blas_thread, stage, text_of, tidy
 from .words import per_text, slices, split_words
 
 HEAD, CLASSES, BUCKETS, ROUNDS = 1 << 18, 64, 512, 6
@@ -178,6 +178,7 @@ def _fit(shared, bos: int):
     """Train on one shard from the shared state: its state in parts, and the units read."""
 
     def run(shard: pa.Table) -> pa.Table:
+        one_blas_thread()
         shard = shard.sort_by([("place", "ascending")])
         documents = [np.frombuffer(u.as_buffer(), "<u2") for u in shard.column("units").combine_chunks()]
         state, read = gru.train(shared.value, CLASSES, documents, bos)

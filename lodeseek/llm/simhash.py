@@ -168,6 +168,9 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, shingle: int =
     grouped = stage(grouped, "grouped-fingerprints")
     least = grouped.groupBy(F.col("component").alias("c")).agg(F.min("first_id").alias("component_id"))
     named = stage(grouped.join(least, F.col("component") == F.col("c")).select("point", "component_id", "component"), "named-fingerprints")
+    for table in (distinct, edges, of, grouped):
+        if hasattr(table, "_lodeseek_path"):
+            discard(table)
     return marked.join(named, F.col("fingerprint") == F.col("point")).select("doc_id", "fingerprint", "component_id", "text_hash", "component")
 
 
