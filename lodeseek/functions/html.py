@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 #: Elements whose text isn't read, and elements without an end tag.
 SKIPPED = frozenset({"script", "style", "noscript", "iframe", "svg", "head"})
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Strings of which two in one piece of text tell of leaked script.
+#: Strings of which two in one piece of text tell of leaked script or style.
 SCRIPT_MARKS = (
-    "function(", "function (", "=>", "var ", "const ", "let ", "document.", "window.", "addEventListener", "getElementById",
-    "querySelector", "JSON.parse", "console.log", "return ", "typeof ", "undefined", "prototype", "});",
+    "function(", "const ", "let ", "var ", "=>", "document.", "window.", "typeof", "undefined", "null===", "!==",
+    "querySelector", "addEventListener", "{display:", "position:", "opacity:", "srcSet=", "data-",
 )
 
 

@@ -19,6 +19,16 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), TOKEN_SPLIT, -1), lambda t: F.octet_length(t) >= 2)
 
 
+def has_text(text: Column) -> Column:
+    """Holds anything but white space of any kind; false for null."""
+    return F.coalesce(text.rlike(r"(?U)\S"), F.lit(False))
+
+
+def trimmed(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def content_hash(text: Column) -> Column:
     return F.sha2(text, 256)
 

@@ -2,17 +2,22 @@
 
 score = sum over the query's distinct terms of idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / average)),
 idf = ln(1 + (N - df + 0.5) / (df + 0.5)). Only postings of the terms asked for are made.
+`analyze` makes tokens of a text column: functions.text.tokens by default,
+functions.stemming.english_tokens to find plurals and inflected forms too.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as T
 
 K1, B = 1.2, 0.75
+Analyzer = Callable[[Column], Column]
 #: Query terms are broadcast; a larger batch of queries is to be split.
 MAX_QUERIES = 10_000
 
@@ -25,17 +30,17 @@ def checked_queries(queries: DataFrame, most: int = MAX_QUERIES) -> DataFrame:
     return F.broadcast(queries)
 
 
-def term_statistics(docs: DataFrame) -> DataFrame:
+def term_statistics(docs: DataFrame, analyze: Analyzer = T.tokens) -> DataFrame:
     """term, df, cf over docs (id, text)."""
-    tf = docs.select("id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    tf = docs.select("id", F.explode(analyze(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
     return tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-def scores(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, average: float | None = None) -> DataFrame:
+def scores(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, average: float | None = None, analyze: Analyzer = T.tokens) -> DataFrame:
     """query_id, id, score for each document with a term of the query. docs: id, text; queries: query_id, text."""
-    terms = queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
+    terms = queries.select("query_id", F.explode(F.array_distinct(analyze(F.col("text")))).alias("term"))
     wanted = checked_queries(terms.select("term").distinct(), MAX_QUERIES * 10)
-    tokens = docs.select("id", T.tokens(F.col("text")).alias("tokens")).select("id", F.size("tokens").alias("length"), "tokens")
+    tokens = docs.select("id", analyze(F.col("text")).alias("tokens")).select("id", F.size("tokens").alias("length"), "tokens")
     stats = tokens.agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"))
     postings = (
         tokens.select("id", "length", F.explode("tokens").alias("term"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,13 +51,45 @@ def levels_for(kind: str, language: str | None) -> list[str]:
     return TEXT_LEVELS
 
 
-def split(text: str, levels: list[str], most: int = MAX_TOKENS, size: Callable[[str], int] | None = None) -> list[tuple[int, int]]:
+def token_starts(tokenizer) -> Callable[[str], list[int]]:
+    """Where the tokens of a text begin, special tokens left out, of a tokenizer of the tokenizers library."""
+    return lambda text: sorted(a for a, _ in tokenizer.encode(text, add_special_tokens=False).offsets)
+
+
+def token_count(tokenizer) -> Callable[[str], int]:
+    """Tokens without special tokens; 0 for a text that can't be encoded."""
+
+    def size(text: str) -> int:
+        try:
+            return len(tokenizer.encode(text, add_special_tokens=False).ids)
+        except Exception:  # the library raises nothing more special
+            return 0
+
+    return size
+
+
+def split_by_tokens(text: str, levels: list[str], most: int, tokenizer) -> list[tuple[int, int]]:
+    """Spans of at most `most` tokens each. Tokens are counted by where they begin in the whole text, and spans that
+    hold more on their own, as a cut can part a token, are split again by their own count."""
+    size, out = token_count(tokenizer), []
+    for a, b in split(text, levels, most, starts=token_starts(tokenizer)(text)):
+        if size(text[a:b]) <= most:
+            out.append((a, b))
+        else:
+            out += [(a + x, a + y) for x, y in split(text[a:b], levels, most, size)]
+    return out
+
+
+def split(
+    text: str, levels: list[str], most: int = MAX_TOKENS, size: Callable[[str], int] | None = None, starts: list[int] | None = None
+) -> list[tuple[int, int]]:
     """Spans (start, end) in characters. Neighbouring units of a level are joined while they fit.
 
-    Without a size function words are counted, once for the whole text: a span has those
-    that start in it, as no cut falls inside a word.
+    Without a size function the units that begin in a span are counted, by their starts in the whole
+    text: words by default, of which no cut falls inside one.
     """
-    starts = [] if size else [m.start() for m in TOKEN.finditer(text)]
+    if starts is None:
+        starts = [] if size else [m.start() for m in TOKEN.finditer(text)]
 
     def measure(a: int, b: int) -> int:
         return size(text[a:b].strip()) if size else bisect_left(starts, b) - bisect_left(starts, a)
@@ -94,18 +127,25 @@ def split(text: str, levels: list[str], most: int = MAX_TOKENS, size: Callable[[
     return out
 
 
-def chunks(docs: DataFrame, most: int = MAX_TOKENS) -> DataFrame:
-    """id, chunk_index, text, start_byte, end_byte, token_count. docs: id, path (may be null), text; blank texts give none."""
+def chunks(docs: DataFrame, most: int = MAX_TOKENS, tokenizer_path: str | None = None) -> DataFrame:
+    """id, chunk_index, text, start_byte, end_byte, token_count. docs: id, path (may be null), text; blank texts give none.
+
+    Sizes are words and punctuation marks, or with tokenizer_path (a file of the tokenizers
+    library that executors can read) its tokens without special ones: the same tokenizer
+    as that of the embedder keeps chunks from being cut there.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = _tokenizer(tokenizer_path) if tokenizer_path else None
+        count = token_count(tokenizer) if tokenizer else count_words
         for batch in batches:
             rows: list[tuple] = []
             for i, (kind, language, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)))):
-                at = place = 0
-                for n, (a, b) in enumerate(split(text, levels_for(kind, language), most)):
+                levels, at, place = levels_for(kind, language), 0, 0
+                for n, (a, b) in enumerate(split_by_tokens(text, levels, most, tokenizer) if tokenizer else split(text, levels, most)):
                     place += len(text[at:a].encode())
                     end = place + len(text[a:b].encode())
-                    rows.append((i, n, text[a:b], place, end, count_words(text[a:b])))
+                    rows.append((i, n, text[a:b], place, end, count(text[a:b])))
                     at, place = b, end
             columns = list(zip(*rows)) or [()] * 6
             kinds = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
@@ -114,5 +154,14 @@ def chunks(docs: DataFrame, most: int = MAX_TOKENS) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, names=["id", "chunk_index", "text", "start_byte", "end_byte", "token_count"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    typed = docs.filter(F.trim("text") != "").select("id", F.coalesce(T.file_type(F.col("path")), F.lit("text")).alias("kind"), T.code_language(F.col("path")).alias("language"), F.trim("text").alias("text"))
+    text = T.trimmed(F.col("text")).alias("text")
+    typed = docs.filter(T.has_text(F.col("text"))).select("id", F.coalesce(T.file_type(F.col("path")), F.lit("text")).alias("kind"), T.code_language(F.col("path")).alias("language"), text)
     return typed.mapInArrow(run, f"id {kind}, chunk_index int, text string, start_byte long, end_byte long, token_count long")
+
+
+@cache
+def _tokenizer(path: str):
+    """Read once a process."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)

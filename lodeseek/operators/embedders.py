@@ -29,8 +29,53 @@ def hash_embedder(dimension: int = 64) -> Callable[[list[str]], np.ndarray]:
     return embed
 
 
+def pooled_embedder(tokenizer, token_vectors: Callable[[list[int]], np.ndarray], max_length: int = 512, normalize: bool = True) -> Callable[[list[str]], np.ndarray]:
+    """The mean of a model's vectors of a text's tokens, then unit length.
+
+    tokenizer: of the tokenizers library; token_vectors: ids to an array (tokens,
+    dimension), the last layer of any model. Each text is pooled over its own tokens
+    alone, no padding. Ids are cut at max_length; a text without tokens is an error.
+    """
+
+    def embed(texts: list[str]) -> np.ndarray:
+        out = []
+        for text in texts:
+            ids = tokenizer.encode(text).ids[:max_length]
+            if not ids:
+                raise ValueError("a text without tokens")
+            mean = np.asarray(token_vectors(ids), np.float64).mean(axis=0)
+            norm = np.linalg.norm(mean) if normalize else 1.0
+            out.append(mean / (norm if norm > 0 else 1.0))
+        return np.stack(out) if out else np.zeros((0, 0))
+
+    return embed
+
+
+_loaded: dict[str, Callable[[list[str]], np.ndarray]] = {}
+
+
+def once(name: str, load: Callable[[], Callable[[list[str]], np.ndarray]]) -> Callable[[], Callable[[list[str]], np.ndarray]]:
+    """A `load` that reads its model once a process, known by its name, and not once a task."""
+
+    def cached() -> Callable[[list[str]], np.ndarray]:
+        from lodeseek.operators import embedders  # this module in the worker, whose dictionary outlives the task
+
+        if name not in embedders._loaded:
+            embedders._loaded[name] = load()
+        return embedders._loaded[name]
+
+    return cached
+
+
+def unload(name: str) -> None:
+    """In this process; an error if it isn't loaded."""
+    if name not in _loaded:
+        raise KeyError(f"model {name} is not loaded")
+    del _loaded[name]
+
+
 def embed(docs: DataFrame, load: Callable[[], Callable[[list[str]], np.ndarray]], text: str = "text") -> DataFrame:
-    """docs and embedding. load is called once a task, where a model is read; each text is embedded for itself."""
+    """docs and embedding. load is called once a task, where a model is read (see `once`); each text is embedded for itself."""
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

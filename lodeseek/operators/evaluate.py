@@ -13,16 +13,16 @@ from pyspark.sql import Window as W
 CUTOFFS = (1, 3, 5, 10, 20, 100)
 
 
-def metrics_at_k(results: DataFrame, qrels: DataFrame, cutoffs: tuple[int, ...] = CUTOFFS) -> DataFrame:
-    """query_id, k, ndcg, precision, recall, f1 for each query of results.
+def metrics_at_k(results: DataFrame, qrels: DataFrame, cutoffs: tuple[int, ...] = CUTOFFS, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """query_id, k, ndcg, precision, recall, f1 for each query of results (by: for each of these columns, query_id among them).
 
-    results: query_id, id, rank; qrels: query_id, id, relevance (unjudged: 0). Gain is
+    results: the columns of by, id, rank; qrels: query_id, id, relevance (unjudged: 0). Gain is
     2^relevance - 1; NDCG and recall are 1 where nothing is relevant; precision is of k.
     """
-    judged = results.join(qrels, ["query_id", "id"], "left").select("query_id", "rank", F.coalesce("relevance", F.lit(0)).alias("relevance"))
+    judged = results.join(qrels, ["query_id", "id"], "left").select(*by, "rank", F.coalesce("relevance", F.lit(0)).alias("relevance"))
     gain = (F.pow(F.lit(2.0), F.col("relevance")) - 1) / F.log2(F.col("rank") + 1.0)
     ideal = qrels.filter("relevance > 0").withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("relevance"), "id")))
-    dcg = judged.groupBy("query_id").agg(
+    dcg = judged.groupBy(*by).agg(
         *[F.sum(F.when(F.col("rank") <= k, gain).otherwise(0.0)).alias(f"dcg_{k}") for k in cutoffs],
         *[F.count_if((F.col("rank") <= k) & (F.col("relevance") > 0)).alias(f"hit_{k}") for k in cutoffs],
     )
@@ -31,11 +31,11 @@ def metrics_at_k(results: DataFrame, qrels: DataFrame, cutoffs: tuple[int, ...]
     at = F.explode(
         F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"dcg_{k}").alias("dcg"), F.col(f"hit_{k}").alias("hit"), F.col(f"ideal_{k}").alias("ideal")) for k in cutoffs])
     )
-    rows = joined.select("query_id", "n_relevant", at.alias("x")).select("query_id", "n_relevant", "x.*")
+    rows = joined.select(*by, "n_relevant", at.alias("x")).select(*by, "n_relevant", "x.*")
     precision = F.col("hit") / F.col("k")
     recall = F.when(F.coalesce("n_relevant", F.lit(0)) == 0, 1.0).otherwise(F.col("hit") / F.col("n_relevant"))
     return rows.select(
-        "query_id",
+        *by,
         "k",
         F.when(F.coalesce("ideal", F.lit(0.0)) == 0, 1.0).otherwise(F.col("dcg") / F.col("ideal")).alias("ndcg"),
         precision.alias("precision"),
@@ -81,6 +81,19 @@ def paired(pairs: DataFrame, by: list[str]) -> DataFrame:
     return rows.select(*by, "n", "mean_difference", t.alias("t"), effect.alias("cohens_d"), "wins", "losses")
 
 
+def significant(p: float | None, alpha: float = 0.05) -> bool:
+    """p strictly below alpha; false without a p."""
+    return p is not None and p < alpha
+
+
+def three_way(metrics: DataFrame, metric: str, system: str, others: list[str]) -> DataFrame:
+    """One row: n_queries, wins (the system strictly above all others), losses (strictly below all); a missing score is 0."""
+    scores = metrics.groupBy("query_id").agg(*[F.coalesce(F.max(F.when(F.col("system") == s, F.col(metric))), F.lit(0.0)).alias(s) for s in (system, *others)])
+    above = reduce(lambda a, b: a & b, [F.col(system) > F.col(o) for o in others])
+    below = reduce(lambda a, b: a & b, [F.col(system) < F.col(o) for o in others])
+    return scores.agg(F.count("*").alias("n_queries"), F.count_if(above).alias("wins"), F.count_if(below).alias("losses"))
+
+
 def effect_label(d: float) -> str:
     """Cut points 0.2, 0.5, 0.8."""
     return next((name for most, name in ((0.2, "negligible"), (0.5, "small"), (0.8, "medium")) if abs(d) < most), "large")
@@ -121,16 +134,25 @@ def t_test_p(t: float | None, n: int) -> float | None:
     return incomplete_beta(df / 2, 0.5, df / (df + t * t))
 
 
+#: Multiplier and increment of the generator, modulo 2^64.
+MULTIPLIER, INCREMENT = 6364136223846793005, 1
+
+
+def draws(seed: int, n: int) -> np.ndarray:
+    """The first n states of the linear congruential generator behind the seed, by doubling."""
+    times, plus = np.array([MULTIPLIER], np.uint64), np.array([INCREMENT], np.uint64)
+    while len(times) < n:  # state i + m is times[i] * (times[m - 1] * s + plus[m - 1]) + plus[i]
+        times, plus = np.concatenate([times, times * times[-1]]), np.concatenate([plus, times * plus[-1] + plus])
+    return times[:n] * np.uint64(seed % 2**64) + plus[:n]
+
+
 def bootstrap_interval(values: list[float], samples: int = 1000, seed: int = 42, level: float = 0.95) -> tuple[float, float, float]:
     """Mean and bounds of the mean over resamples drawn by a 64-bit linear congruential generator; NaN for no values."""
     n = len(values)
     if not n:
         return (math.nan,) * 3
-    state, data, drawn = seed, np.array(values), np.empty((samples, n), np.int64)
-    for i in range(samples):
-        for j in range(n):
-            state = (state * 6364136223846793005 + 1) % 2**64
-            drawn[i, j] = state % n
+    data = np.array(values)
+    drawn = (draws(seed, samples * n) % np.uint64(n)).astype(np.int64).reshape(samples, n)
     resampled = np.sort(data[drawn].mean(axis=1))
     tail = (1 - level) / 2
     return float(data.mean()), float(resampled[int(tail * samples)]), float(resampled[min(int((1 - tail) * samples), samples - 1)])

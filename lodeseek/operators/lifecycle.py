@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 #: Keys of a batch read are broadcast; more than this must come as a table.
 MAX_KEYS = 100_000
@@ -24,19 +23,20 @@ def batch_get(table: DataFrame, key: str, values: list) -> DataFrame:
     return table.join(F.broadcast(wanted), F.col(key) == F.col("wanted")).drop("wanted").orderBy("position")
 
 
-def upsert(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """rows replace those of table with the same key; one shuffle of the keys, no sort of the table."""
-    return table.join(rows.select(key).distinct(), key, "left_anti").unionByName(rows.dropDuplicates([key]))
+def newest_of(rows: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """One row for each key: the last by `order` (ties, and without one, the largest row), so that reruns agree."""
+    whole = F.struct(*([order] if order else []), *[c for c in rows.columns if c != order])
+    picked = rows.groupBy(key).agg(F.max(whole).alias("_row"))
+    return picked.select("_row.*").select(*rows.columns)
 
 
-def delete(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    return table.join(keys.select(key), key, "left_anti")
+def upsert(table: DataFrame, rows: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """rows replace those of table with the same key; of repeated keys within rows the last by `order` wins (a column of both)."""
+    return table.join(rows.select(key).distinct(), key, "left_anti").unionByName(newest_of(rows, key, order))
 
 
-def latest(rows: DataFrame, key: str, version: str) -> DataFrame:
-    """The newest version of each key from an append-only log."""
-    newest = W.partitionBy(key).orderBy(F.desc(version))
-    return rows.withColumn("_newest", F.row_number().over(newest)).filter("_newest = 1").drop("_newest")
+def delete(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    return table.join(keys.select(key), key, "left_anti")
 
 
 def needs_update(old_hash: Column, new_hash: Column) -> Column:
@@ -81,6 +81,40 @@ def compaction_stats(chunks: DataFrame, deleted: DataFrame) -> DataFrame:
     return counted.select("total", "deleted", ratio.alias("ratio"), (ratio > COMPACTION_RATIO).alias("needed"))
 
 
+def compacted(chunks: DataFrame, deleted: DataFrame, force: bool = False) -> DataFrame:
+    """The chunks without the deleted ones where that is needed, or with force; else as they are."""
+    stats = compaction_stats(chunks, deleted).first()
+    return live(chunks, deleted) if stats.needed or force and stats.deleted else chunks
+
+
+def dump(chunks: DataFrame, embeddings: DataFrame, deleted: DataFrame, n: int = 10, preview: int = 100) -> str:
+    """Figures of the index and its first chunks, for people; chunks: chunk_id, filename, source, text."""
+    figures = compaction_stats(chunks, deleted).first()
+    dimension = embeddings.agg(F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()[0]
+    lines = [f"chunks: {figures.total}", f"deleted: {figures.deleted}", f"vectors: {embeddings.count()}", f"dimension: {dimension}"]
+    for r in live(chunks, deleted).orderBy("chunk_id").limit(n).collect():
+        text = r.text or ""
+        lines += [f"[{r.chunk_id}] {r.filename} ({r.source})", "  " + (text if len(text) <= preview else text[:preview] + "...")]
+    return "\n".join(lines if figures.total else [*lines, "no chunks"])
+
+
+class NotFound(LookupError):
+    """A source that isn't registered."""
+
+
+def register(source_id: str, content_hash: str, spark) -> DataFrame:
+    """The record of a source whose rows are still to come."""
+    return spark.createDataFrame([(source_id, content_hash, 1, False)], "source_id string, content_hash string, version long, complete boolean")
+
+
+def complete(sources: DataFrame, source_id: str) -> DataFrame:
+    """The record, complete now; an error if there is none."""
+    found = point_get(sources, "source_id", source_id)
+    if not found.limit(1).count():
+        raise NotFound(source_id)
+    return found.withColumn("complete", F.lit(True))
+
+
 def load(tables: dict[str, DataFrame], dimension: int) -> dict[str, DataFrame]:
     """What a search may see: incomplete sources purged first, then chunks with an embedding of the right dimension."""
     incomplete = tables["sources"].filter("NOT complete").select("source_id")

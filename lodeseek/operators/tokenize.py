@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 
 def tokenize(docs: DataFrame, tokenizer_path: str, max_length: int = 512) -> DataFrame:
     """id, ids (array<int>). docs: id, text; a blank text is an error."""
@@ -21,6 +23,6 @@ def tokenize(docs: DataFrame, tokenizer_path: str, max_length: int = 512) -> Dat
             ids = [e.ids for e in tokenizer.encode_batch(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["id", "ids"])
 
-    checked = F.when(F.trim(F.coalesce("text", F.lit(""))) == "", F.raise_error(F.lit("empty text")).cast("string")).otherwise(F.col("text"))
+    checked = F.when(~T.has_text(F.col("text")), F.raise_error(F.lit("empty text")).cast("string")).otherwise(F.col("text"))
     kind = docs.schema["id"].dataType.simpleString()
     return docs.select("id", checked.alias("text")).mapInArrow(run, f"id {kind}, ids array<int>")

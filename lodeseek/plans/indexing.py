@@ -1,47 +1,72 @@
-"""Indexing a batch of files as one job: hash, compare, chunk only what is new or changed, embed, store."""
+"""Indexing a batch of files or pages as one job: hash, compare, chunk only what is new or changed, embed, append."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import html
 from ..functions import text as T
-from ..operators import chunking, embedders, lifecycle, numbering
+from ..operators import chunking, crawl, embedders, lifecycle, numbering
 from ..sources.catalog import Catalog
 
 
-def index_files(catalog: Catalog, files: DataFrame, load_embedder, now: int, most: int = chunking.MAX_TOKENS) -> DataFrame:
+def index_files(catalog: Catalog, files: DataFrame, load_embedder, now: int, most: int = chunking.MAX_TOKENS, tokenizer_path: str | None = None) -> DataFrame:
     """files: source_id, path, text. Returns source_id, action. Skipped files are neither chunked nor embedded.
 
-    Sources are recorded as incomplete before their rows are written and as complete
-    after, so that a job that dies half-way leaves nothing that a load would show.
+    What a batch writes grows with the batch, not with the store. Sources are recorded as
+    incomplete before their rows are written and as complete after, so that a job that
+    dies half-way leaves nothing that a load would show.
     """
-    old = {t: catalog.scan(t) for t in ("documents", "chunks", "embeddings", "sources")}
-    counts = old["documents"].select("doc_id", "source_id").join(lifecycle.chunk_ids(old["chunks"]).withColumnRenamed("document_id", "doc_id"), "doc_id", "left")
-    sources = old["sources"].join(counts.select("source_id", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count")), "source_id", "left")
-    hashed = files.filter(F.trim("text") != "").withColumn("content_hash", T.content_hash(F.col("text")))
-    plan = lifecycle.change_plan(hashed.select("source_id", "content_hash"), sources).select("source_id", "action")
-    plan = numbering.kept(plan)
+    documents, chunks, sources = (catalog.scan(t) for t in ("documents", "chunks", "sources"))
+    hashed = files.filter(T.has_text(F.col("text"))).withColumn("content_hash", T.content_hash(F.col("text")))
+    known = sources.withColumn("chunk_count", F.lit(0))
+    plan = numbering.kept(lifecycle.change_plan(hashed.select("source_id", "content_hash"), known).select("source_id", "action"))
     todo = hashed.join(plan.filter("action <> 'skip'").select("source_id"), "source_id", "left_semi")
     record = todo.select("source_id", "content_hash", F.lit(1).cast("long").alias("version"), F.lit(False).alias("complete"))
     record = numbering.kept(record)
-    kept = lifecycle.delete_source(old, record.select("source_id"))
-    catalog.overwrite("sources", kept["sources"].unionByName(record))
+    old_docs = numbering.kept(documents.join(record.select("source_id"), "source_id", "left_semi").select("doc_id"))
+    old_chunks = numbering.kept(chunks.join(old_docs.withColumnRenamed("doc_id", "document_id"), "document_id", "left_semi").select("chunk_id"))
+    first_doc, first_chunk = (t.agg(F.coalesce(F.max(k), F.lit(-1))).first()[0] + 1 for t, k in ((documents, "doc_id"), (chunks, "chunk_id")))
+    catalog.upsert("sources", record)
+    for table, keys in (("documents", old_docs), ("chunks", old_chunks), ("embeddings", old_chunks)):
+        if not keys.isEmpty():
+            catalog.delete(table, keys)
 
-    first_doc, first_chunk = (old[t].agg(F.coalesce(F.max(k), F.lit(-1))).first()[0] + 1 for t, k in (("documents", "doc_id"), ("chunks", "chunk_id")))
-    documents = numbering.kept(numbering.number(todo, ["source_id"], "doc_id", first_doc))
-    stored = documents.select(
+    numbered = numbering.kept(numbering.number(todo, ["source_id"], "doc_id", first_doc))
+    stored = numbered.select(
         "doc_id", "source_id", F.col("path").alias("title"), F.lit(None).cast("string").alias("mime_type"), "content_hash",
         F.lit(now).alias("created_at"), F.lit(now).alias("updated_at"), F.octet_length("text").cast("long").alias("char_count"), F.col("text").alias("full_text"),
     )
-    pieces = chunking.chunks(documents.select(F.col("doc_id").alias("id"), "path", "text"), most).join(documents.select(F.col("doc_id").alias("id"), "path", "source_id"), "id")
+    pieces = chunking.chunks(numbered.select(F.col("doc_id").alias("id"), "path", "text"), most, tokenizer_path)
+    pieces = pieces.join(numbered.select(F.col("doc_id").alias("id"), "path", "source_id"), "id")
     pieces = numbering.kept(numbering.number(pieces, ["id", "chunk_index"], "chunk_id", first_chunk))
     chunk_rows = pieces.select(
         "chunk_id", F.col("id").alias("document_id"), "chunk_index", "text", T.chunk_label(F.col("path"), F.col("chunk_index")).alias("filename"),
         F.col("source_id").alias("source"), F.lit(now).alias("created_at"), "token_count",
     )
-    catalog.overwrite("documents", kept["documents"].unionByName(stored.select(kept["documents"].columns)))
-    catalog.overwrite("chunks", kept["chunks"].unionByName(chunk_rows.select(kept["chunks"].columns)))
-    catalog.overwrite("embeddings", kept["embeddings"].unionByName(embedders.embed(pieces, load_embedder).select("chunk_id", "embedding")))
-    catalog.overwrite("sources", kept["sources"].unionByName(record.withColumn("complete", F.lit(True))))
+    catalog.append("documents", stored)
+    catalog.append("chunks", chunk_rows)
+    catalog.append("embeddings", embedders.embed(pieces, load_embedder).select("chunk_id", "embedding"))
+    catalog.upsert("sources", record.withColumn("complete", F.lit(True)))
     return plan
+
+
+def page_files(pages: DataFrame) -> DataFrame:
+    """source_id, path, text of pages (url, html) that hold text."""
+    parsed = pages.select("url", html.extract("html", "url")["text"].alias("text"))
+    return parsed.filter(T.has_text(F.col("text"))).select(F.concat(F.lit("web:"), "url").alias("source_id"), F.col("url").alias("path"), "text")
+
+
+def index_pages(catalog: Catalog, pages: DataFrame, load_embedder, now: int, most: int = chunking.MAX_TOKENS) -> DataFrame:
+    """index_files for pages: url, html, and success (optional: only those count)."""
+    if "success" in pages.columns:
+        pages = pages.filter("success")
+    return index_files(catalog, page_files(pages.dropDuplicates(["url"])), load_embedder, now, most)
+
+
+def crawl_and_index(catalog: Catalog, pages: DataFrame, start: list[str], max_depth: int, load_embedder, now: int, max_pages: int | None = None, scope: str | None = None) -> DataFrame:
+    """Crawl the table of pages and index what is reached; source_id, action."""
+    reached = crawl.crawl(crawl.links(pages), start, max_depth, max_pages, scope).select(F.col("url").alias("_reached"))
+    found = pages.join(reached, T.normalize_url(F.col("url")) == F.col("_reached"), "left_semi")
+    return index_pages(catalog, found, load_embedder, now)

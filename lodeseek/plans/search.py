@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
+from ..functions import text as T
 from ..operators import bm25, fusion, vector_search
 
 
-def check_query(text: str, k: int, vector: list[float], dimension: int) -> None:
+def check_query(text: str | None, k: int, vector: list[float], dimension: int) -> None:
     """Blank text, then k, then the dimension."""
-    if not text.strip():
+    if not (text or "").strip():
         raise ValueError("empty query")
     if k <= 0:
         raise ValueError("k must be positive")
@@ -19,54 +19,72 @@ def check_query(text: str, k: int, vector: list[float], dimension: int) -> None:
         raise ValueError(f"expected dimension {dimension}, got {len(vector)}")
 
 
-def search_chunks(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def check_queries(queries: DataFrame, k: int, dimension: int | None = None) -> None:
+    """The same for a batch of queries; dimension: of the vectors that they are compared with, none for an empty store."""
+    if queries.filter(~T.has_text(F.col("text"))).limit(1).count():
+        raise ValueError("empty query")
+    if k <= 0:
+        raise ValueError("k must be positive")
+    if dimension is not None:
+        wrong = queries.select(F.size("embedding").alias("n")).filter(F.col("n") != dimension).first()
+        if wrong:
+            raise ValueError(f"expected dimension {dimension}, got {wrong.n}")
+
+
+def _checked(vectors: DataFrame, queries: DataFrame, k: int) -> None:
+    first = vectors.select(F.size("embedding").alias("n")).filter("n >= 0").first()
+    check_queries(queries, k, first.n if first else None)
+
+
+def search_chunks(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, counts: bool = False, analyze: bm25.Analyzer = T.tokens) -> DataFrame:
     """query_id, rank, chunk_id, score, vector_score, keyword_score, text of the k best chunks.
 
     chunks: chunk_id, text; vectors: chunk_id, embedding; queries: query_id, text,
     embedding. 2k candidates from each side are fused by rank; the text is joined last.
+    counts: also vector_count and keyword_count, the query's candidates on each side.
     """
+    _checked(vectors, queries, k)
     near = vector_search.search(vectors.withColumnRenamed("chunk_id", "id"), queries, 2 * k)
-    said = bm25.search(chunks.select(F.col("chunk_id").alias("id"), "text"), queries, 2 * k)
-    fused = fusion.fuse([near, said], k)
-    return (
-        fused.join(near.select("query_id", "id", F.col("score").alias("vector_score")), ["query_id", "id"], "left")
-        .join(said.select("query_id", "id", F.col("score").alias("keyword_score")), ["query_id", "id"], "left")
-        .join(chunks.select(F.col("chunk_id").alias("id"), "text"), "id")
-        .select("query_id", "rank", F.col("id").alias("chunk_id"), "score", F.greatest(F.lit(0.0), "vector_score").alias("vector_score"), "keyword_score", "text")
+    said = bm25.search(chunks.select(F.col("chunk_id").alias("id"), "text"), queries, 2 * k, analyze=analyze)
+    own, n = ["vector_score", "keyword_score"], ["vector_count", "keyword_count"] if counts else []
+    fused = fusion.fuse([near, said], k, scores=own, counts=n)
+    return fused.join(chunks.select(F.col("chunk_id").alias("id"), "text"), "id").select(
+        "query_id", "rank", F.col("id").alias("chunk_id"), "score", F.greatest(F.lit(0.0), "vector_score").alias("vector_score"), "keyword_score", "text", *n
     )
 
 
-def search_documents(documents: DataFrame, chunks: DataFrame, vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def search_documents(documents: DataFrame, chunks: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, analyze: bm25.Analyzer = T.tokens) -> DataFrame:
     """query_id, rank, doc_id, score, doc_keyword_score, best_chunk_score and chunks (nested) of the k best documents.
 
     documents: doc_id, text; chunks: chunk_id, document_id, text. The best of 4k chunks
     ranks a document by vector, 2k documents come by keyword; all chunks of a hit are
-    returned, matched ones first. Chunks without a document take no part.
+    returned, matched ones first. Chunks without a document take no part. The matched
+    chunks travel with their document, so that each list is made once.
     """
+    _checked(vectors, queries, k)
     near = vector_search.search(vectors.withColumnRenamed("chunk_id", "id"), queries, 4 * k).select("query_id", F.col("id").alias("chunk_id"), "score")
     owned = chunks.filter("document_id IS NOT NULL").select("chunk_id", "document_id")
-    lifted = near.join(owned, "chunk_id").groupBy("query_id", F.col("document_id").alias("id")).agg(F.max("score").alias("score"))
-    by_vector = bm25.top_k(lifted, 2**31 - 1)
-    by_keyword = bm25.search(documents.select(F.col("doc_id").alias("id"), "text"), queries, 2 * k)
-    hits = (
-        fusion.fuse([by_vector, by_keyword])
-        .join(documents.select(F.col("doc_id").alias("id")), "id", "left_semi")
-        .withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id")))
-        .filter(F.col("rank") <= k)
-        .join(by_keyword.select("query_id", "id", F.col("score").alias("doc_keyword_score")), ["query_id", "id"], "left")
-    )
-    nested = (
-        hits.select("query_id", "id")
-        .join(owned.withColumnRenamed("document_id", "id"), "id")
-        .join(near, ["query_id", "chunk_id"], "left")
-        .groupBy("query_id", "id")
-        .agg(F.collect_list(F.struct(F.col("score").isNull().alias("unmatched"), (-F.coalesce("score", F.lit(0.0))).alias("order"), "chunk_id", F.col("score").alias("vector_score"))).alias("c"))
+    matched = F.map_from_entries(F.collect_list(F.struct("chunk_id", F.col("score").alias("s"))))
+    lifted = near.join(owned, "chunk_id").groupBy("query_id", F.col("document_id").alias("id")).agg(F.max("score").alias("score"), matched.alias("matched"))
+    by_vector = bm25.top_k(lifted, 2**31 - 1).withColumn("doc_keyword_score", F.lit(None).cast("double"))
+    by_keyword = bm25.search(documents.select(F.col("doc_id").alias("id"), "text"), queries, 2 * k, analyze=analyze)
+    by_keyword = by_keyword.select("query_id", "id", "rank", F.lit(None).cast(lifted.schema["matched"].dataType).alias("matched"), F.col("score").alias("doc_keyword_score"))
+    both = by_vector.select("query_id", "id", "rank", "matched", "doc_keyword_score").unionByName(by_keyword)
+    fused = both.groupBy("query_id", "id").agg(
+        F.round(F.sum(1.0 / (fusion.RRF_K + F.col("rank"))), 10).alias("score"), F.first("matched", ignorenulls=True).alias("matched"), F.max("doc_keyword_score").alias("doc_keyword_score")
     )
+    known = fused.join(documents.select(F.col("doc_id").alias("id")), "id", "left_semi")
+    hits = bm25.top_k(known, k)
+    placed = hits.join(owned.withColumnRenamed("document_id", "id"), "id", "left")
+    vector_score = F.when(F.col("matched").isNotNull(), F.try_element_at("matched", F.col("chunk_id")))
+    chunk = F.struct(vector_score.isNull().alias("unmatched"), (-F.coalesce(vector_score, F.lit(0.0))).alias("order"), "chunk_id", vector_score.alias("vector_score"))
+    nested = placed.groupBy("query_id", "rank", "id", "score", "doc_keyword_score").agg(F.collect_list(F.when(F.col("chunk_id").isNotNull(), chunk)).alias("c"))
     in_order = F.transform(
         F.array_sort("c"),
         lambda c: F.struct(c["chunk_id"].alias("chunk_id"), F.coalesce(c["vector_score"], F.lit(0.0)).alias("score"), c["vector_score"].alias("vector_score")),
     )
-    return hits.join(nested.select("query_id", "id", in_order.alias("chunks")), ["query_id", "id"], "left").select(
+    shown = F.when(F.size("c") > 0, in_order)
+    return nested.withColumn("chunks", shown).select(
         "query_id", "rank", F.col("id").alias("doc_id"), "score", "doc_keyword_score", F.try_element_at("chunks", F.lit(1))["score"].alias("best_chunk_score"), "chunks"
     )
 

@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schemas
-from .functions import html
+from .functions import html, stemming
 from .functions import text as T
 from .functions import vectors as V
 from .operators import bm25, chunking, crawl, embedders, evaluate, fusion, lifecycle, rolling, synthetic, tokenize, vector_search
+from .plans import indexing
 from .plans import search as plans
 from .sources import sinks
 from .streaming import rolling as streams
@@ -159,11 +160,7 @@ def rrf_ablation(spark, d):
     q = _queries(spark, d)
     near = vector_search.search(_vectors(spark, d), q, 100)
     said = bm25.search(_read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), q, 100)
-    parts = [fusion.fuse([near, said], K, c).withColumn("constant", F.lit(c)) for c in (10, 30, 60, 100, 200)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return _shown(out, "score")
+    return _shown(fusion.ablation([near, said], K, [10, 30, 60, 100, 200]), "score")
 
 
 @query(f"WITH {QUERIES_SQL}, {CHUNKS_SQL}, {_vector_sql('chunks', 2 * K)}, {_bm25_sql('SELECT chunk_id AS id, text FROM chunks', 2 * K)}, {_fused_sql('near', 'said', 2 * K)} SELECT query_id, rank, id AS chunk_id FROM fused WHERE rank > 5 AND rank <= 15")
@@ -174,6 +171,44 @@ def search_load_more(spark, d):
     return plans.page(_shown(fusion.fuse([near, said], 2 * K)), 5, 10).select("query_id", "rank", F.col("id").alias("chunk_id"))
 
 
+@query(f"""WITH {QUERIES_SQL}, {CHUNKS_SQL}, {_vector_sql('chunks', 2 * K)}, {_bm25_sql('SELECT chunk_id AS id, text FROM chunks', 2 * K)}, {_fused_sql('near', 'said', K)},
+n AS (SELECT query_id, count(*) FILTER (WHERE l = 'v') AS vector_count, count(*) FILTER (WHERE l = 'k') AS keyword_count FROM (SELECT query_id, 'v' AS l FROM near UNION ALL SELECT query_id, 'k' FROM said) GROUP BY 1)
+SELECT f.query_id, f.rank, f.id AS chunk_id, n.vector_count, n.keyword_count FROM fused f JOIN n USING (query_id)""")
+def search_candidate_counts(spark, d):
+    chunks = _chunks(spark, d)
+    found = plans.search_chunks(chunks.select("chunk_id", "text"), chunks.select("chunk_id", "embedding"), _queries(spark, d), K, counts=True)
+    return _shown(found.select("query_id", "rank", "chunk_id", "vector_count", "keyword_count"))
+
+
+@query(f"""WITH {QUERIES_SQL}, {CHUNKS_SQL}, {_vector_sql('chunks', 4 * K)}, {_bm25_sql('SELECT doc_id AS id, text FROM documents', 2 * K)}
+SELECT DISTINCT query_id, id FROM (SELECT n.query_id, c.document_id AS id FROM near n JOIN chunks c ON c.chunk_id = n.id UNION ALL SELECT query_id, id FROM said)""")
+def candidate_documents(spark, d):
+    chunks, q = _chunks(spark, d), _queries(spark, d)
+    near = vector_search.search(chunks.select(F.col("chunk_id").alias("id"), "embedding"), q, 4 * K)
+    lifted = near.join(chunks.select(F.col("chunk_id").alias("id"), "document_id"), "id").select("query_id", F.col("document_id").alias("id"))
+    said = bm25.search(_read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), q, 2 * K)
+    return fusion.candidates([lifted, said])
+
+
+@query(f"""WITH {QUERIES_SQL}, {CHUNKS_SQL}, {_vector_sql('chunks', 4 * K)}, {_bm25_sql('SELECT doc_id AS id, text FROM documents', 2 * K)},
+lifted AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
+  SELECT n.query_id, c.document_id AS id, max(n.score) AS score FROM near n JOIN chunks c ON c.chunk_id = n.id GROUP BY ALL)),
+{_fused_sql('lifted', 'said', K)}, owners AS (SELECT DISTINCT document_id AS id FROM chunks)
+SELECT f.query_id, f.rank, f.id AS doc_id, CASE WHEN o.id IS NOT NULL THEN round(coalesce(l.score, 0), 6) END AS best_chunk_score
+FROM fused f LEFT JOIN lifted l USING (query_id, id) LEFT JOIN owners o ON o.id = f.id""")
+def best_chunk_scores(spark, d):
+    chunks, docs = _chunks(spark, d), _read(spark, d, "documents").select("doc_id", "text")
+    found = plans.search_documents(docs, chunks.select("chunk_id", "document_id", "text"), chunks.select("chunk_id", "embedding"), _queries(spark, d), K)
+    return _shown(found.select("query_id", "rank", "doc_id", "best_chunk_score"), "best_chunk_score")
+
+
+@query()
+def stemmed_search(spark, d):
+    """By keyword, with English stems as terms; tests hold it against brute force."""
+    docs = _read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return _shown(bm25.search(docs, _queries(spark, d), K, analyze=stemming.english_tokens), "score").withColumnRenamed("id", "doc_id")
+
+
 # Terms
 
 TOKENS_SQL = rf"SELECT doc_id AS id, unnest(list_filter(regexp_split_to_array(lower(text), '{PUNCT}'), lambda t: strlen(t) >= 2)) AS term FROM documents"
@@ -247,28 +282,60 @@ def ir_ranking_metrics(spark, d):
 
 
 def _systems(spark, d):
+    """Metrics of three systems; each list is made once, and the fused one from their ranks."""
     q, vectors = _queries(spark, d), _vectors(spark, d)
     near = vector_search.search(vectors, q, 100)
     said = bm25.search(_read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), q, 100)
-    lists = {"vector": near, "keyword": said, "hybrid": fusion.fuse([near, said], 100)}
-    qrels, out = _qrels(spark, d), None
-    for name, found in lists.items():
-        m = evaluate.metrics_at_k(found, qrels, (1, 5, 10, 20)).withColumn("system", F.lit(name))
-        out = m if out is None else out.unionByName(m)
-    return out
-
-
-@query()
+    ranks = [x.withColumn("score", F.col("rank").cast("double")) for x in (near, said)]
+    fused = fusion.fuse(ranks, scores=["vector", "keyword"])
+    own = (("vector", F.col("vector")), ("keyword", F.col("keyword")), ("hybrid", F.col("rank")))
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("system"), c.cast("int").alias("rank")) for n, c in own]))
+    results = fused.select("query_id", "id", each.alias("x")).select("query_id", "id", "x.*").filter("rank <= 100")
+    return evaluate.metrics_at_k(results, _qrels(spark, d), (1, 5, 10, 20), by=("system", "query_id"))
+
+
+SYSTEMS_SQL = f"""{QUERIES_SQL}, {_vector_sql('embeddings', 100, 'vector_list')}, {_bm25_sql('SELECT doc_id AS id, text FROM documents', 100)}, {_fused_sql('vector_list', 'said', 100)}, {QRELS_SQL},
+results AS (SELECT 'vector' AS system, query_id, id, rank FROM vector_list UNION ALL SELECT 'keyword', query_id, id, rank FROM said UNION ALL SELECT 'hybrid', query_id, id, rank FROM fused),
+cutoffs AS (SELECT unnest([1, 5, 10, 20]) AS k),
+gained AS (SELECT r.system, r.query_id, c.k, sum(CASE WHEN r.rank <= c.k THEN (2.0::DOUBLE ** coalesce(j.relevance, 0) - 1) / log2(r.rank + 1) ELSE 0 END) AS dcg,
+  count(*) FILTER (WHERE r.rank <= c.k AND j.relevance > 0) AS hit FROM results r LEFT JOIN qrels j USING (query_id, id), cutoffs c GROUP BY ALL),
+perfect AS (SELECT query_id, k, n_relevant, sum(CASE WHEN rank <= k THEN (2.0::DOUBLE ** relevance - 1) / log2(rank + 1) ELSE 0 END) AS ideal FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, id) AS rank, count(*) OVER (PARTITION BY query_id) AS n_relevant FROM qrels), cutoffs GROUP BY ALL),
+by_query AS (SELECT *, CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM (
+  SELECT g.system, g.query_id, g.k, CASE WHEN coalesce(p.ideal, 0) = 0 THEN 1.0 ELSE g.dcg / p.ideal END AS ndcg, g.hit / g.k::DOUBLE AS precision,
+  CASE WHEN coalesce(p.n_relevant, 0) = 0 THEN 1.0 ELSE g.hit / p.n_relevant END AS recall FROM gained g LEFT JOIN perfect p USING (query_id, k)))"""
+
+
+@query(f"""WITH {SYSTEMS_SQL} SELECT system, k, round(avg(ndcg), 6) AS ndcg, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall,
+round(avg(f1), 6) AS f1, count(*) AS n_queries FROM by_query GROUP BY system, k""")
 def system_evaluation(spark, d):
     means = evaluate.means(_systems(spark, d), ["system", "k"], ["ndcg", "precision", "recall", "f1"])
     return _shown(means, "ndcg", "precision", "recall", "f1")
 
 
+@query(f"""WITH {SYSTEMS_SQL}, pairs AS (SELECT o.system AS other, h.ndcg AS a, o.ndcg AS b FROM by_query h JOIN by_query o USING (query_id, k) WHERE h.system = 'hybrid' AND o.system <> 'hybrid' AND k = 10)
+SELECT other, count(*) AS n, round(avg(a - b), 6) + 0.0 AS mean_difference, round(CASE WHEN stddev_samp(a - b) < 1e-15 THEN 0 ELSE avg(a - b) / (stddev_samp(a - b) / sqrt(count(*))) END, 6) + 0.0 AS t,
+round(CASE WHEN sqrt((var_samp(a) + var_samp(b)) / 2) < 1e-15 THEN 0 ELSE (avg(a) - avg(b)) / sqrt((var_samp(a) + var_samp(b)) / 2) END, 6) + 0.0 AS cohens_d,
+count(*) FILTER (WHERE a > b) AS wins, count(*) FILTER (WHERE a < b) AS losses FROM pairs GROUP BY other""")
+def system_differences(spark, d):
+    found = evaluate.compare(_systems(spark, d).filter("k = 10"), "ndcg", "hybrid", ["vector", "keyword"])
+    return found.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in ("mean_difference", "t", "cohens_d")})
+
+
 @query()
 def system_comparison(spark, d):
+    """The same with p, its significance and the size of the effect in words; tests hold p against numeric integration."""
     compared = evaluate.compare(_systems(spark, d).filter("k = 10"), "ndcg", "hybrid", ["vector", "keyword"]).collect()  # a row for each system
-    rows = [(*r, evaluate.t_test_p(r.t, r.n), evaluate.effect_label(r.cohens_d)) for r in compared]
-    return spark.createDataFrame(rows, "other string, n long, mean_difference double, t double, cohens_d double, wins long, losses long, p double, effect string")
+    ps = [evaluate.t_test_p(r.t, r.n) for r in compared]
+    rows = [(*r, p, evaluate.significant(p), evaluate.effect_label(r.cohens_d)) for r, p in zip(compared, ps)]
+    return spark.createDataFrame(rows, "other string, n long, mean_difference double, t double, cohens_d double, wins long, losses long, p double, significant boolean, effect string")
+
+
+@query(f"""WITH {SYSTEMS_SQL}, s AS (SELECT query_id, coalesce(max(ndcg) FILTER (WHERE system = 'hybrid'), 0) AS h, coalesce(max(ndcg) FILTER (WHERE system = 'vector'), 0) AS v,
+  coalesce(max(ndcg) FILTER (WHERE system = 'keyword'), 0) AS w FROM by_query WHERE k = 10 GROUP BY 1)
+SELECT count(*) AS n_queries, count(*) FILTER (WHERE h > v AND h > w) AS wins, count(*) FILTER (WHERE h < v AND h < w) AS losses FROM s""")
+def three_way_wins(spark, d):
+    return evaluate.three_way(_systems(spark, d).filter("k = 10"), "ndcg", "hybrid", ["vector", "keyword"])
 
 
 @query("""WITH p AS (SELECT a.label, a.vec_id, a.embedding[1]::DOUBLE AS a, a.embedding[2]::DOUBLE AS b FROM embeddings a)
@@ -390,19 +457,78 @@ def file_types(spark, d):
     return _read(spark, d, "documents").select("doc_id", path.alias("path")).withColumn("kind", T.file_type(F.col("path")))
 
 
-@query()
+HTML_SQL = r"""body AS (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS hrefs, regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<body[^>]*>(.*)$', 1),
+  '(?s)<script[^>]*>.*?</script>', '<x>', 'g'), '(?s)<style[^>]*>.*?</style>', '<x>', 'g'), '(?s)<noscript[^>]*>.*?</noscript>', '<x>', 'g') AS b FROM pages),
+pieces AS (SELECT page_id, url, list_transform(hrefs, lambda h: regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || h) AS ls, list_transform(regexp_split_to_array(b, '(?s)<!--.*?-->|<[^>]*>'),
+  lambda t: trim(replace(replace(replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), ' ' || chr(9) || chr(10) || chr(13) || chr(160))) AS ts FROM body),
+parsed AS (SELECT page_id, url, array_to_string(list_filter(ts, lambda t: t <> ''), chr(10)) AS text, list_filter(ls, lambda x, i: list_position(ls, x) = i) AS links FROM pieces)"""
+NORMAL_SQL = "CASE WHEN ends_with({0}, '/') AND length({0}) - length(replace({0}, '/', '')) > 2 THEN regexp_replace({0}, '/+$', '') ELSE {0} END"
+
+
+@query(f"WITH {HTML_SQL} SELECT * FROM parsed")
 def html_text_and_links(spark, d):
     pages = _read(spark, d, "pages").select("page_id", "url", html.extract("html", "url").alias("x"))
     return pages.select("page_id", "url", "x.text", "x.links")
 
 
-@query()
+@query(f"""WITH RECURSIVE {HTML_SQL}, targets AS (SELECT url, regexp_replace(unnest(links), '#.*$', '') AS t FROM parsed),
+edges AS (SELECT DISTINCT {NORMAL_SQL.format('url')} AS url, {NORMAL_SQL.format('t')} AS target FROM targets),
+reached(url, depth) AS (SELECT DISTINCT {NORMAL_SQL.format('url')}, 0 FROM (SELECT url FROM pages ORDER BY page_id LIMIT 3)
+  UNION SELECT e.target, r.depth + 1 FROM reached r JOIN edges e ON e.url = r.url WHERE r.depth < 3)
+SELECT url, min(depth)::INT AS depth FROM reached GROUP BY url""")
 def crawl_pages(spark, d):
     pages = _read(spark, d, "pages")
     start = [r.url for r in pages.orderBy("page_id").limit(3).collect()]
     return crawl.crawl(crawl.links(pages), start, max_depth=3)
 
 
+@query(f"WITH {HTML_SQL} SELECT 'web:' || url AS source_id, url AS path, text FROM parsed WHERE text <> ''")
+def crawled_files(spark, d):
+    """What a crawl hands to the index."""
+    return indexing.page_files(_read(spark, d, "pages"))
+
+
+@query(r"""WITH u AS (SELECT page_id, url, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host,
+  coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), ''), '/') AS path FROM pages)
+SELECT a.page_id, a.scheme = b.scheme AND a.host = b.host AND starts_with(a.path, regexp_replace(b.path, '[^/]*$', '')) AS inside FROM u a JOIN u b ON b.page_id = a.page_id // 10 * 10""")
+def urls_in_scope(spark, d):
+    """Of each ten pages, whether they lie below the folder of the first."""
+    pages = _read(spark, d, "pages").select("page_id", "url")
+    starts = pages.select(F.col("page_id").alias("first"), F.col("url").alias("start"))
+    return pages.join(starts, F.expr("page_id div 10 * 10 = first")).select("page_id", T.in_scope(F.col("url"), F.col("start")).alias("inside"))
+
+
+MARKS_SQL = " + ".join(f"(contains(t, '{m}'))::INT" for m in html.SCRIPT_MARKS)
+
+
+@query(f"SELECT doc_id, {MARKS_SQL} >= 2 AS leaks FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'const x = ' || text WHEN 1 THEN 'let y => ' || text ELSE text END AS t FROM documents)")
+def script_leaks(spark, d):
+    n = F.col("doc_id") % 3
+    text = F.when(n == 0, F.concat(F.lit("const x = "), "text")).when(n == 1, F.concat(F.lit("let y => "), "text")).otherwise(F.col("text"))
+    return _read(spark, d, "documents").select("doc_id", T.script_leak(text, html.SCRIPT_MARKS).alias("leaks"))
+
+
+@query(r"SELECT doc_id, regexp_matches(t, '[^ \t\r\n]') AS has_text FROM (SELECT doc_id, ['', ' ', chr(10) || chr(9), text, chr(9) || text][(doc_id % 5 + 1)::INT] AS t FROM documents)")
+def blank_texts(spark, d):
+    kinds = F.array(F.lit(""), F.lit(" "), F.lit("\n\t"), F.col("text"), F.concat(F.lit("\t"), "text"))
+    return _read(spark, d, "documents").select("doc_id", T.has_text(F.get(kinds, (F.col("doc_id") % 5).cast("int"))).alias("has_text"))
+
+
+@query("""SELECT doc_id // 4 AS document_id, string_agg(source, chr(10) || chr(10) ORDER BY coalesce(CASE WHEN doc_id % 5 <> 0 THEN 4 - doc_id % 4 END, doc_id % 4 + 1), source) AS text FROM documents GROUP BY 1""")
+def labelled_reassembly(spark, d):
+    """Chunks in the order of the number in their label, and of their position where the label has none."""
+    label = F.when(F.col("doc_id") % 5 != 0, T.chunk_label(F.col("lang"), 3 - F.col("doc_id") % 4)).otherwise(F.col("lang"))
+    number = F.coalesce(T.chunk_number(label), F.expr("doc_id % 4 + 1"))
+    chunks = _read(spark, d, "documents").select(F.expr("doc_id div 4").alias("document_id"), F.col("source").alias("text"), number.alias("n"))
+    return lifecycle.reassemble(chunks, "document_id", F.col("n"))
+
+
+@query("SELECT vec_id, len(embedding) = 64 AS right_dimension FROM embeddings")
+def dimension_check(spark, d):
+    checked = V.checked_dimension(F.col("embedding"), 64)
+    return _read(spark, d, "embeddings").select("vec_id", (F.size(checked) == 64).alias("right_dimension"))
+
+
 @query()
 def document_chunks(spark, d):
     ends = F.array(*map(F.lit, [".md", ".py", ".txt"]))
@@ -410,6 +536,15 @@ def document_chunks(spark, d):
     return chunking.chunks(docs, 128).withColumnRenamed("id", "doc_id")
 
 
+@query()
+def token_sized_chunks(spark, d):
+    """Pieces of up to 128 tokens of a tokenizer; tests hold their sizes and bounds against the library."""
+    import public_tokenizers
+
+    docs = _read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat("source", F.lit(".md")).alias("path"), "text")
+    return chunking.chunks(docs, 128, public_tokenizers.path("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
+
+
 @query()
 def hash_embeddings(spark, d):
     docs = _read(spark, d, "documents").select("doc_id", "text")
@@ -544,7 +679,7 @@ def synthetic_query_batch(spark, d):
 def token_ids(spark, d):
     import public_tokenizers
 
-    docs = _read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text").filter("trim(coalesce(text, '')) <> ''")
+    docs = _read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text").filter(T.has_text(F.col("text")))
     return tokenize.tokenize(docs, public_tokenizers.path("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
 
 

@@ -1,12 +1,19 @@
-"""The store: four Parquet tables under one root, each written as immutable versions.
-
-Writes make a new version folder and then move the pointer, a one-row table, so that a
-failed job leaves the old version in place; readers pick up the pointer's version.
+"""The store: four tables under one root, each a log of appended Parquet segments and of deleted keys.
+
+A write adds segments, folders that no reader looks at yet, and then commits them: it
+writes a manifest, the list of all live segments, under a name of its own and renames it to
+the next number. Readers take the highest number. A job that dies before the rename leaves
+the table as it was, after it, as it shall be; there is no moment without a table. An upsert
+or a delete costs what its rows cost: it appends rows and a segment of keys, which hide older
+rows of these keys. Where they hide more than COMPACTION_RATIO of all rows, the live ones
+are written anew. On a store without an atomic rename writers must not run at the same time.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,39 +22,92 @@ from .. import schemas
 from ..operators import lifecycle
 
 
-class Catalog:
-    """Point and batch reads, scans, upserts and deletes on the tables of `schemas.TABLES`."""
+class Conflict(RuntimeError):
+    """Another writer has committed in between."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
 
-    def _pointer(self, table: str) -> str:
-        return f"{self.root}/{table}/_current"
+@dataclass
+class Manifest:
+    """number: of the commit (0: no table yet); data and deleted: segments with rows and with keys, as
+    folder (seq=<commit>/w=<writer>) and number of rows."""
 
-    def _version(self, table: str) -> str | None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._pointer(table))
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
-            return None
-        return self.spark.read.schema("version string").parquet(self._pointer(table)).first()[0]
+    number: int = 0
+    data: list[tuple[str, int]] = field(default_factory=list)
+    deleted: list[tuple[str, int]] = field(default_factory=list)
 
-    def scan(self, table: str) -> DataFrame:
-        schema, version = schemas.TABLES[table], self._version(table)
-        if version is None:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{table}/{version}")
 
-    def overwrite(self, table: str, rows: DataFrame) -> None:
-        version = f"v-{uuid.uuid4().hex}"
-        columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in self.spark.createDataFrame([], schemas.TABLES[table]).schema]
-        rows.select(*columns).write.parquet(f"{self.root}/{table}/{version}")
-        self.spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").parquet(self._pointer(table))
+class Catalog:
+    """Point and batch reads, scans, upserts and deletes on the tables of `schemas.TABLES`."""
 
-    def upsert(self, table: str, rows: DataFrame) -> None:
-        self.overwrite(table, lifecycle.upsert(self.scan(table), rows, schemas.KEYS[table]))
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
 
-    def delete(self, table: str, keys: DataFrame) -> None:
-        """No error if a key is absent."""
-        self.overwrite(table, lifecycle.delete(self.scan(table), keys, schemas.KEYS[table]))
+    # files
+
+    def _path(self, path: str):
+        found = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return found, found.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _log(self, table: str) -> str:
+        return f"{self.root}/{table}/_log"
+
+    def _numbers(self, table: str) -> list[int]:
+        path, fs = self._path(self._log(table))
+        if not fs.exists(path):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(path)]
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n.removesuffix(".json").isdigit())
+
+    def _manifest(self, table: str, number: int | None = None) -> Manifest:
+        numbers = self._numbers(table)
+        if not numbers:
+            return Manifest()
+        number = numbers[-1] if number is None else number
+        path, fs = self._path(f"{self._log(table)}/{number}.json")
+        stream = fs.open(path)
+        try:
+            body = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return Manifest(number, **json.loads(body))
+
+    def _commit(self, table: str, manifest: Manifest) -> None:
+        """The manifest's number is that of the commit that it builds on, plus one."""
+        final, fs = self._path(f"{self._log(table)}/{manifest.number}.json")
+        own, _ = self._path(f"{self._log(table)}/.{manifest.number}-{uuid.uuid4().hex}")
+        out = fs.create(own, False)
+        out.write(bytearray(json.dumps({"data": manifest.data, "deleted": manifest.deleted}).encode()))
+        out.close()
+        if fs.exists(final) or not fs.rename(own, final):
+            fs.delete(own, False)
+            raise Conflict(f"{table}: commit {manifest.number} exists")
+
+    def _write(self, table: str, kind: str, number: int, rows: DataFrame) -> tuple[str, int]:
+        folder = f"seq={number}/w={uuid.uuid4().hex}"
+        path = f"{self.root}/{table}/{kind}/{folder}"
+        rows.write.parquet(path)
+        return folder, self.spark.read.schema(rows.schema).parquet(path).count()  # of the files' footers
+
+    def _read(self, table: str, kind: str, segments: list[tuple[str, int]], schema: str) -> DataFrame:
+        """Rows of the segments and _seq, the commit they come from."""
+        folder = f"{self.root}/{table}/{kind}"
+        rows = self.spark.read.option("basePath", folder).schema(f"{schema}, seq long, w string")
+        return rows.parquet(*[f"{folder}/{s}" for s, _ in segments]).withColumnRenamed("seq", "_seq").drop("w")
+
+    # reading
+
+    def scan(self, table: str, number: int | None = None) -> DataFrame:
+        """The rows of the table, as of its last commit or of the one with this number."""
+        schema, manifest = schemas.TABLES[table], self._manifest(table, number)
+        if not manifest.data:
+            return self.spark.createDataFrame([], schema)
+        rows, key = self._read(table, "data", manifest.data, schema), schemas.KEYS[table]
+        if manifest.deleted:
+            kind = rows.schema[key].dataType.simpleString()
+            gone = self._read(table, "deleted", manifest.deleted, f"{key} {kind}").groupBy(key).agg(F.max("_seq").alias("_gone"))
+            gone = gone.withColumnRenamed(key, "_key")
+            rows = rows.join(gone, (F.col(key) == F.col("_key")) & (F.col("_gone") > F.col("_seq")), "left_anti")
+        return rows.drop("_seq")
 
     def get(self, table: str, key) -> DataFrame:
         return lifecycle.point_get(self.scan(table), schemas.KEYS[table], key)
@@ -61,6 +121,77 @@ class Catalog:
     def keys(self, table: str) -> DataFrame:
         return self.scan(table).select(schemas.KEYS[table])
 
+    # writing
+
+    def _typed(self, table: str, rows: DataFrame) -> DataFrame:
+        return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.spark.createDataFrame([], schemas.TABLES[table]).schema])
+
+    def append(self, table: str, rows: DataFrame) -> None:
+        """Rows with keys that the table does not hold."""
+        old = self._manifest(table)
+        segment = self._write(table, "data", old.number + 1, self._typed(table, rows))
+        self._commit(table, Manifest(old.number + 1, [*old.data, segment], old.deleted))
+
+    def overwrite(self, table: str, rows: DataFrame) -> None:
+        old = self._manifest(table)
+        segment = self._write(table, "data", old.number + 1, self._typed(table, rows))
+        self._commit(table, Manifest(old.number + 1, [segment], []))
+
+    def upsert(self, table: str, rows: DataFrame, order: str | None = None) -> None:
+        """Rows replace those with the same key; of repeated keys within rows the last by the column `order` wins."""
+        old, key = self._manifest(table), schemas.KEYS[table]
+        number = old.number + 1
+        segment = self._write(table, "data", number, self._typed(table, lifecycle.newest_of(rows, key, order)))
+        deleted = old.deleted
+        if old.data:
+            written = self._read(table, "data", [segment], schemas.TABLES[table])
+            deleted = [*deleted, self._write(table, "deleted", number, written.select(key))]
+        self._commit(table, Manifest(number, [*old.data, segment], deleted))
+        self.compact(table)
+
+    def delete(self, table: str, keys: DataFrame) -> None:
+        """No error if a key is absent."""
+        old, key = self._manifest(table), schemas.KEYS[table]
+        if not old.data:
+            return
+        segment = self._write(table, "deleted", old.number + 1, keys.select(key).filter(F.col(key).isNotNull()).distinct())
+        self._commit(table, Manifest(old.number + 1, old.data, [*old.deleted, segment]))
+        self.compact(table)
+
+    def compact(self, table: str, force: bool = False) -> bool:
+        """Write the live rows anew if the hidden ones are more than COMPACTION_RATIO of all, or with force if there are any."""
+        manifest = self._manifest(table)
+        total, keys = (sum(n for _, n in segments) for segments in (manifest.data, manifest.deleted))
+        least = 0 if force else lifecycle.COMPACTION_RATIO * total
+        if keys <= least or total - self.count(table) <= least:  # the rows hidden are no more than the keys
+            return False
+        self.overwrite(table, self.scan(table))
+        return True
+
+    def vacuum(self, table: str, keep: int = 1) -> None:
+        """Remove the manifests before the last `keep`, and the segments that no other lists; not while others write."""
+        numbers = self._numbers(table)
+        listed = {(kind, s) for n in numbers[-keep:] for m in [self._manifest(table, n)] for kind, of in (("data", m.data), ("deleted", m.deleted)) for s, _ in of}
+        for n in numbers[:-keep]:
+            path, fs = self._path(f"{self._log(table)}/{n}.json")
+            fs.delete(path, False)
+        for kind in ("data", "deleted"):
+            folder, fs = self._path(f"{self.root}/{table}/{kind}")
+            for seq in fs.listStatus(folder) if fs.exists(folder) else []:
+                for writer in fs.listStatus(seq.getPath()):
+                    segment = f"{seq.getPath().getName()}/{writer.getPath().getName()}"
+                    if (kind, segment) not in listed:
+                        fs.delete(writer.getPath(), True)
+
     def clear(self) -> None:
         for table, schema in schemas.TABLES.items():
             self.overwrite(table, self.spark.createDataFrame([], schema))
+
+    # sources
+
+    def register(self, source_id: str, content_hash: str) -> None:
+        self.upsert("sources", lifecycle.register(source_id, content_hash, self.spark))
+
+    def complete(self, source_id: str) -> None:
+        """An error if the source isn't registered."""
+        self.upsert("sources", lifecycle.complete(self.scan("sources"), source_id))

@@ -65,6 +65,37 @@ def test_query_checks_in_order():
         search.check_query("x", 1, [1.0], 2)
 
 
+def test_searches_check_their_queries(spark):
+    chunks = spark.createDataFrame([(1, 1, "some text")], "chunk_id long, document_id long, text string")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0])], "chunk_id long, embedding array<float>")
+    docs = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
+    asked = lambda text, v: spark.createDataFrame([(0, "fine", [1.0, 0.0]), (1, text, v)], "query_id long, text string, embedding array<float>")
+    for text, v, k, message in ((" \t", [1.0], 0, "empty"), (None, [1.0], 1, "empty"), ("x", [1.0], 0, "k must"), ("x", [1.0], 1, "expected dimension 2, got 1")):
+        with pytest.raises(ValueError, match=message):
+            search.search_chunks(chunks, vectors, asked(text, v), k)
+        with pytest.raises(ValueError, match=message):
+            search.search_documents(docs, chunks, vectors, asked(text, v), k)
+    assert search.search_chunks(chunks, vectors, asked("some", [0.0, 1.0]), 1).count() == 2
+
+
+def test_lists_are_made_once_each(spark):
+    """The scores travel through the fusion: one scan of the vectors, two of the tokens (statistics and postings)."""
+    chunks = spark.createDataFrame([(1, "some text")], "chunk_id long, text string")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0])], "chunk_id long, embedding array<float>")
+    asked = spark.createDataFrame([(0, "some", [1.0, 0.0])], "query_id long, text string, embedding array<float>")
+    plan = search.search_chunks(chunks, vectors, asked, 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Window [row_number") == 3
+
+
+def test_candidates_and_ablation(spark):
+    a, b = ranked(spark, [1, 2, 3]), ranked(spark, [3, 9])
+    assert sorted(r.id for r in fusion.candidates([a, b]).collect()) == [1, 2, 3, 9]
+    rows = fusion.ablation([a, b], 2, [10, 60]).collect()
+    for c in (10, 60):
+        want = [(r.id, r.score, r.rank) for r in fusion.fuse([a, b], 2, c).collect()]
+        assert sorted((r.id, r.score, r.rank) for r in rows if r.constant == c) == sorted(want)
+
+
 def test_document_search_nests_chunks_and_skips_orphans(spark):
     docs = spark.createDataFrame([(1, "apples and pears"), (2, "trains and planes")], "doc_id long, text string")
     chunks = spark.createDataFrame([(10, 1, "apples"), (11, 1, "pears"), (20, 2, "trains"), (30, None, "orphan")], "chunk_id long, document_id long, text string")

@@ -1,11 +1,12 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lodeseek import schemas
 from lodeseek.operators import embedders, lifecycle, numbering, rolling
-from lodeseek.plans.indexing import index_files
+from lodeseek.plans.indexing import crawl_and_index, index_files, index_pages
 from lodeseek.sources import readers, sinks
-from lodeseek.sources.catalog import Catalog
+from lodeseek.sources.catalog import Catalog, Conflict
 from lodeseek.streaming import rolling as streams
 
 
@@ -23,6 +24,125 @@ def test_catalog_crud(spark, tmp_path):
     assert store.count("embeddings") == 0
 
 
+def segments(tmp_path, table, kind):
+    return sorted(str(p.relative_to(tmp_path)) for p in (tmp_path / table / kind).glob("seq=*/w=*"))
+
+
+def test_a_write_that_dies_leaves_the_table_as_it_was(spark, tmp_path, monkeypatch):
+    """Between the rows and the commit, and between the manifest's file and its rename."""
+    store = Catalog(spark, str(tmp_path))
+    rows = lambda *r: spark.createDataFrame(list(r), schemas.EMBEDDINGS)
+    store.upsert("embeddings", rows((1, [1.0]), (2, [2.0])))
+
+    class Died(Exception):
+        pass
+
+    def die(*_):
+        raise Died
+
+    with monkeypatch.context() as m:
+        m.setattr(Catalog, "_commit", die)
+        for write in (lambda: store.upsert("embeddings", rows((2, [5.0]))), lambda: store.overwrite("embeddings", rows((9, [9.0]))), lambda: store.delete("embeddings", rows((1, [0.0])))):
+            with pytest.raises(Died):
+                write()
+            assert sorted((r.chunk_id, r.embedding) for r in Catalog(spark, str(tmp_path)).scan("embeddings").collect()) == [(1, [1.0]), (2, [2.0])]
+    (tmp_path / "embeddings" / "_log" / ".2-abc").write_text('{"data": []')  # a manifest without its name
+    store.upsert("embeddings", rows((2, [5.0]), (3, [3.0])))
+    assert sorted((r.chunk_id, r.embedding) for r in store.scan("embeddings").collect()) == [(1, [1.0]), (2, [5.0]), (3, [3.0])]
+    assert len(segments(tmp_path, "embeddings", "data")) == 4  # two of them of writes that died
+    store.vacuum("embeddings")
+    assert len(segments(tmp_path, "embeddings", "data")) == 2 and store.count("embeddings") == 3
+
+
+def test_two_writers_of_one_commit(spark, tmp_path):
+    store, other = Catalog(spark, str(tmp_path)), Catalog(spark, str(tmp_path))
+    rows = spark.createDataFrame([(1, [1.0])], schemas.EMBEDDINGS)
+    store.append("embeddings", rows)
+    manifest = other._manifest("embeddings")
+    store.append("embeddings", spark.createDataFrame([(2, [2.0])], schemas.EMBEDDINGS))
+    manifest.number += 1
+    with pytest.raises(Conflict):
+        other._commit("embeddings", manifest)
+    assert sorted(r.chunk_id for r in other.scan("embeddings").collect()) == [1, 2]
+
+
+def test_writes_append_and_compaction_keeps_the_live_rows(spark, tmp_path):
+    store = Catalog(spark, str(tmp_path))
+    rows = lambda ids, v: spark.createDataFrame([(i, [float(v)]) for i in ids], schemas.EMBEDDINGS)
+    store.append("embeddings", rows(range(100), 0))
+    first = segments(tmp_path, "embeddings", "data")
+    store.upsert("embeddings", rows(range(30), 1))
+    assert set(first) < set(segments(tmp_path, "embeddings", "data"))  # nothing is written anew
+    assert len(store._manifest("embeddings").data) == 2
+    old = store._manifest("embeddings").number
+    store.delete("embeddings", rows(range(25, 75), 0))  # 30 + 50 of 130 are hidden: more than 0.30
+    assert len(store._manifest("embeddings").data) == 1 and not store._manifest("embeddings").deleted
+    live = {r.chunk_id: r.embedding[0] for r in store.scan("embeddings").collect()}
+    assert live == {i: float(i < 30) for i in [*range(25), *range(75, 100)]}
+    assert store.scan("embeddings", old).count() == 100  # as it was
+    store.delete("embeddings", rows([0], 0))
+    assert not store.compact("embeddings") and store.compact("embeddings", force=True) and store.count("embeddings") == 49
+    store.upsert("embeddings", rows([0], 7))  # a key comes back
+    assert store.get("embeddings", 0).first().embedding == [7.0]
+
+
+def test_the_last_of_repeated_keys_wins(spark, tmp_path):
+    store = Catalog(spark, str(tmp_path))
+    rows = spark.createDataFrame([("a", "h1", 1, True, 5), ("a", "h2", 1, True, 9), ("a", "h3", 1, True, 7)], schemas.SOURCES + ", n int")
+    store.upsert("sources", rows, order="n")
+    assert [r.content_hash for r in store.scan("sources").collect()] == ["h2"]
+    table = spark.createDataFrame([(1, "x", 0)], "id long, v string, n int")
+    more = spark.createDataFrame([(1, "b", 1), (1, "a", 2), (2, "c", 1)], "id long, v string, n int")
+    assert sorted((r.id, r.v) for r in lifecycle.upsert(table, more, "id", "n").collect()) == [(1, "a"), (2, "c")]
+
+
+def test_sources_are_registered_and_completed(spark, tmp_path):
+    store = Catalog(spark, str(tmp_path))
+    store.register("a", "h")
+    assert store.scan("sources").first().complete is False
+    store.complete("a")
+    assert [tuple(r) for r in store.scan("sources").collect()] == [("a", "h", 1, True)]
+    with pytest.raises(lifecycle.NotFound):
+        store.complete("b")
+
+
+def test_compacted_and_dump(spark):
+    chunks = spark.createDataFrame([(i, f"f{i}", "s", "x" * (150 if i == 2 else 3)) for i in range(20)], "chunk_id long, filename string, source string, text string")
+    gone = lambda n: chunks.filter(F.col("chunk_id") < n).select("chunk_id")
+    assert [lifecycle.compacted(chunks, gone(n)).count() for n in (0, 6, 7)] == [20, 20, 13]
+    assert lifecycle.compacted(chunks, gone(1), force=True).count() == 19
+    vectors = chunks.selectExpr("chunk_id", "array(1f, 2f) AS embedding")
+    text = lifecycle.dump(chunks, vectors, gone(2))
+    assert "chunks: 20" in text and "deleted: 2" in text and "dimension: 2" in text and "[2] f2 (s)" in text and "x" * 100 + "..." in text and text.count("\n[") == 10
+    assert "no chunks" in lifecycle.dump(chunks.limit(0), vectors.limit(0), gone(0))
+
+
+def test_pages_are_crawled_and_indexed(spark, tmp_path):
+    store = Catalog(spark, str(tmp_path))
+    pages = [("https://s/a", '<p>start</p><a href="/b">b</a><a href="/dead">d</a>'), ("https://s/b", "<p>second page</p>"), ("https://s/c", "<p>not linked</p>"), ("https://s/dead", "  ")]
+    df = spark.createDataFrame(pages, "url string, html string")
+    done = crawl_and_index(store, df, ["https://s/a"], 3, lambda: embedders.hash_embedder(8), 1)
+    assert {r.source_id: r.action for r in done.collect()} == {"web:https://s/a": "add", "web:https://s/b": "add"}
+    assert sorted(r.title for r in store.scan("documents").collect()) == ["https://s/a", "https://s/b"]
+    more = index_pages(store, df.selectExpr("*", "url <> 'https://s/b' AS success"), lambda: embedders.hash_embedder(8), 2)
+    assert {r.source_id: r.action for r in more.collect()} == {"web:https://s/a": "skip", "web:https://s/c": "add"}
+
+
+def test_embedding_cache_and_lines_with_ids(spark, tmp_path):
+    values = np.arange(10, dtype="<f4")
+    (tmp_path / "cache.bin").write_bytes(np.array([3, 2, 2], "<u8").tobytes() + values.tobytes())
+    rows = readers.read_embedding_cache(spark, str(tmp_path / "cache.bin")).collect()
+    assert [(r.kind, r.position, r.embedding) for r in rows] == [("document", 0, [0, 1]), ("document", 1, [2, 3]), ("document", 2, [4, 5]), ("query", 0, [6, 7]), ("query", 1, [8, 9])]
+    (tmp_path / "short.bin").write_bytes(np.array([3, 2, 2], "<u8").tobytes() + values[:9].tobytes())
+    with pytest.raises(Exception):
+        readers.read_embedding_cache(spark, str(tmp_path / "short.bin")).collect()
+    (tmp_path / "ids.jsonl").write_text('{"_id": "1", "title": "t", "text": "x"}\n{"_id": "2"}\n')
+    assert [tuple(r) for r in readers.read_jsonl_with_ids(spark, str(tmp_path / "ids.jsonl")).collect()] == [("1", "t", "x"), ("2", None, None)]
+    (tmp_path / "blank.jsonl").write_text('{"_id": "1"}\n\n{"_id": "2"}\n')
+    with pytest.raises(Exception):
+        readers.read_jsonl_with_ids(spark, str(tmp_path / "blank.jsonl")).collect()
+
+
 def test_index_files_adds_skips_updates(spark, tmp_path):
     store = Catalog(spark, str(tmp_path))
     load = lambda: embedders.hash_embedder(8)

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -5,7 +6,8 @@ from pyspark.sql import functions as F
 
 from lodeseek.functions import html
 from lodeseek.functions import text as T
-from lodeseek.operators import chunking, crawl, embedders
+from lodeseek.functions.stemming import english_tokens, stem
+from lodeseek.operators import bm25, chunking, crawl, embedders
 
 
 def one(spark, column):
@@ -48,6 +50,11 @@ def test_small_functions(spark):
         ("<p>no body</p>", "no body", []),
         ("<body><script>var a;</script><style>x{}</style><noscript>n</noscript>ok</body>", "ok", []),
         ("<body>var x = document.y<p>fine</p></body>", "fine", []),
+        ("<body>function() { const x = 1; }<p>window.addEventListener('click', fn)</p><p>document.querySelector('.foo')</p>typeof x !== undefined</body>", "", []),
+        ("<body>{display:none;opacity:0}<p>srcSet=x data-y</p><p>Use the function( carefully</p></body>", "Use the function( carefully", []),
+        ("<body><p>5 &gt; 3 &amp; 2 &lt; 4</p><svg><text>in</text></svg><iframe>f</iframe>日本語 🎉</body>", "5 > 3 & 2 < 4\n日本語 🎉", []),
+        ("<body><span>Hello</span> <span>World</span></body>", "Hello\nWorld", []),
+        ('<a href="page.html">p</a><a href="../other">o</a><a href="tel:+1">t</a><a href="/s?q=1&amp;p=2">s</a><a href="/p#f">f</a><a href="https://k.l">k</a>', "p\no\nt\ns\nf\nk", ["https://h.i/j/page.html", "https://h.i/other", "https://h.i/s?q=1&p=2", "https://h.i/p#f", "https://k.l"]),
         ('<a href="/x">a</a><a href="#f">b</a><a href="javascript:void(0)">c</a><a href="">d</a><a href="mailto:m@n">e</a><a href="/x">f</a>', "a\nb\nc\nd\ne\nf", ["https://h.i/x"]),
         ("", "", []),
     ],
@@ -56,6 +63,20 @@ def test_html(page, text, links):
     assert html.parse(page, "https://h.i/j/") == (text, links)
 
 
+def test_the_marks_of_leaked_script_are_the_eighteen():
+    """Each tells of script with any other, none alone."""
+    assert len(html.SCRIPT_MARKS) == len(set(html.SCRIPT_MARKS)) == 18
+    for mark in html.SCRIPT_MARKS:
+        assert not html.leaks(f"before {mark} behind") and html.leaks(f"{mark} and " + ("=>" if mark != "=>" else "!=="))
+
+
+def test_blank_is_any_white_space(spark):
+    texts = [("", False), (" \n\t\r", False), ("\u00a0\u3000\u2003", False), (" x ", True), (None, False)]
+    for text, want in texts:
+        assert one(spark, T.has_text(F.lit(text).cast("string"))) is want
+    assert one(spark, T.trimmed(F.lit("\u3000\n a b \t"))) == "a b"
+
+
 def test_crawl_depth_pages_and_scope(spark):
     edges = spark.createDataFrame([("https://s/a", "https://s/b"), ("https://s/b", "https://s/c"), ("https://s/c", "https://s/a"), ("https://s/a", "https://x/z")], "url string, target string")
     depths = lambda **k: {r.url: r.depth for r in crawl.crawl(edges, ["https://s/a"], **k).collect()}
@@ -88,3 +109,48 @@ def test_hash_embedder_is_unit_and_alone():
     embed = embedders.hash_embedder(16)
     both, one = embed(["some words here", ""]), embed(["some words here"])
     assert (both[0] == one[0]).all() and abs((one[0] ** 2).sum() - 1) < 1e-9 and not both[1].any()
+
+
+def test_stems():
+    """Words and stems as the published algorithm gives them."""
+    want = {
+        "caresses": "caress", "ponies": "poni", "ties": "tie", "cries": "cri", "gas": "gas", "this": "this", "gaps": "gap", "kiwis": "kiwi", "agreed": "agre",
+        "feed": "feed", "hopping": "hop", "hoping": "hope", "luxuriated": "luxuri", "falling": "fall", "sky": "sky", "dying": "die", "happy": "happi", "say": "say", "by": "by",
+        "relational": "relat", "rationalization": "ration", "hopefulness": "hope", "generously": "generous", "generate": "generat", "communication": "communic",
+        "consistency": "consist", "knightly": "knight", "replacement": "replac", "adoption": "adopt", "controlling": "control", "rolling": "roll", "news": "news",
+        "proceeded": "proceed", "inning": "inning", "dog's": "dog", "youth": "youth", "boy": "boy", "electricity": "electr", "is": "is",
+    }
+    assert {w: stem(w) for w in want} == want
+
+
+def test_stemmed_search_finds_inflected_forms(spark):
+    docs = spark.createDataFrame([(1, "The dogs were running"), (2, "a cat sleeps"), (3, "Runs of a dog")], "id long, text string")
+    asked = spark.createDataFrame([(0, "dog runs")], "query_id long, text string")
+    found = lambda **k: {r.id for r in bm25.search(docs, asked, 5, **k).collect()}
+    assert found(analyze=english_tokens) == {1, 3} and found() == {3}
+
+
+def test_pooled_embedder(spark):
+    """The mean of the tokens' vectors, at unit length; each text for itself, cut at the length."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    table = np.random.default_rng(0).normal(size=(tokenizer.get_vocab_size(), 8))
+    embed = embedders.pooled_embedder(tokenizer, lambda ids: table[ids], 4)
+    texts = ["some words here and more of them", "one"]
+    for text, got in zip(texts, embed(texts)):
+        mean = table[tokenizer.encode(text).ids[:4]].mean(axis=0)
+        assert np.allclose(got, mean / np.linalg.norm(mean))
+    assert np.allclose(embedders.pooled_embedder(tokenizer, lambda ids: table[ids], 4, False)(["one"])[0], table[tokenizer.encode("one").ids].mean(axis=0))
+    with pytest.raises(ValueError):
+        embed([""])
+
+
+def test_models_are_loaded_once_a_process():
+    loads = []
+    load = embedders.once("a test's model", lambda: loads.append(1) or embedders.hash_embedder(4))
+    assert load() is load() and loads == [1]
+    embedders.unload("a test's model")
+    with pytest.raises(KeyError):
+        embedders.unload("a test's model")
