@@ -30,7 +30,7 @@ from .words import per_text, slices, split_words
 
 HEAD, CLASSES, BUCKETS, ROUNDS = 1 << 18, 64, 512, 6
 #: Tokens of a shard, on average; parts of a state, and states added up in one task.
-SHARD_TOKENS, STATE_A_ROW, FAN_IN = 2_000_000, 1 << 16, 64
+SHARD_TOKENS, STATE_A_ROW, FAN_IN = 1_000_000, 1 << 16, 64
 #: Documents are read and scored together up to so many bytes.
 SLICE = 12_000_000
 #: The end of a text; no word is empty.

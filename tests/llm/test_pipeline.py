@@ -2,13 +2,14 @@
 
 import hashlib
 import math
+import os
 import re
 from collections import Counter
 
 import numpy as np
 
 import corpus_pipeline
-from lodeseek.llm import quality
+from lodeseek.llm import common, quality
 
 from ..conftest import DATA
 from .fixtures import clashing, rows
@@ -74,3 +75,25 @@ def test_each_stage_takes_awkward_and_no_rows(spark):
     n = len(rows())
     assert corpus_pipeline.line_dedup(spark, clashing(spark), DATA).count() == n
     assert corpus_pipeline.near_dedup(spark, clashing(spark), DATA).count() < n
+
+
+def test_a_stage_deletes_what_the_ones_before_left_and_it_does_not_read(spark, tmp_path):
+    exists = lambda path: os.path.exists(re.sub("^file:", "", path))
+    docs = clashing(spark)
+    lazy = corpus_pipeline.line_dedup(spark, docs, DATA)
+    before = [p for p in corpus_pipeline._left if exists(p)]
+    assert before and common.paths_read(lazy) & set(before)
+    corpus_pipeline.mixing(spark, lazy, DATA)  # not written: what it reads stays
+    assert lazy.count() == len(rows()) and all(exists(p) for p in set(before) & common.paths_read(lazy))
+    lazy.write.parquet(str(tmp_path / "written"))
+    corpus_pipeline.mixing(spark, spark.read.parquet(str(tmp_path / "written")), DATA).count()
+    assert not any(exists(p) for p in before)
+
+
+def test_scratch_deletes_its_own_tables_alone(spark):
+    kept = common.stage(spark.range(3), "kept")
+    with common.scratch(spark):
+        inside = common.stage(spark.range(5), "inside")
+        assert inside.count() == 5
+    assert kept.count() == 3 and not os.path.exists(inside._lodeseek_path)
+    common.discard(kept)
