@@ -131,6 +131,16 @@ def format_bytes(n: Column) -> Column:
     )
 
 
+def format_metric(value: Column, decimals: int = 1) -> Column:
+    """0, 1 or 2 decimal places, any other number of them as one; null is a dash."""
+    places = decimals if decimals in (0, 1, 2) else 1
+    return F.when(value.isNull(), "-").otherwise(F.format_string(f"%.{places}f", value.cast("double")))
+
+
+def format_count(n: Column) -> Column:
+    return F.coalesce(n.cast("string"), F.lit("-"))
+
+
 def alibi_bytes(heads: Column, length: Column) -> Column:
     return heads.cast("long") * length * length * 4
 

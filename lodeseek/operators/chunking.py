@@ -1,13 +1,15 @@
 """Chunkers: text, Markdown and code cut into pieces of a bounded number of tokens.
 
 Each splits at the largest unit that fits: blank lines, lines, sentences, words,
-characters; Markdown first at headings and fences, code first at top-level definitions.
+characters; Markdown first at headings and fences, code first at top-level definitions
+(of Python by its syntax tree, of other languages by how they begin).
 Chunks are trimmed, in order, don't overlap and hold all that isn't white space.
 Offsets are bytes into the trimmed text.
 """
 
 from __future__ import annotations
 
+import ast
 import re
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
@@ -43,14 +45,47 @@ def count_words(text: str) -> int:
     return len(TOKEN.findall(text))
 
 
-def levels_for(kind: str, language: str | None) -> list[str]:
+def levels_for(kind: str, language: str | None, text: str | None = None) -> list:
+    """Patterns, largest units first; for Python code that parses, the places of its statements before them."""
     if kind == "markdown":
         return MARKDOWN_LEVELS
+    if kind == "code" and language == "python" and text is not None:
+        tree = python_levels(text)
+        if tree is not None:
+            return [*tree, r"\n[ \t]*\n", r"\n", r"\s+"]
     if kind == "code" and language in DEFINITION:
         return [rf"(?m)^(?={DEFINITION[language]})", r"\n[ \t]*\n", r"\n", r"\s+"]
     return TEXT_LEVELS
 
 
+def python_levels(text: str) -> list[str] | None:
+    """The levels of a Python file by its syntax tree: statements of the module, then of classes and functions within, each
+    with its decorators. None for a text that isn't Python."""
+    try:
+        tree = ast.parse(text)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return None
+    lines: list[set[int]] = [set(), set()]
+    for node in tree.body:
+        lines[0].add(min([node.lineno, *(d.lineno for d in getattr(node, "decorator_list", []))]))
+        for inner in getattr(node, "body", []):
+            if isinstance(inner, ast.stmt):
+                lines[1].add(min([inner.lineno, *(d.lineno for d in getattr(inner, "decorator_list", []))]))
+    starts = [0, *(m.end() for m in re.finditer("\n", text))]
+    at = [sorted(starts[n - 1] for n in level if n <= len(starts)) for level in lines]
+    return [At(places) for places in at if places]
+
+
+class At:
+    """Cuts at given places: stands for a compiled pattern among the levels."""
+
+    def __init__(self, places: list[int]):
+        self.places = places
+
+    def ends(self, a: int, b: int) -> list[int]:
+        return [p for p in self.places if a < p < b]
+
+
 def token_starts(tokenizer) -> Callable[[str], list[int]]:
     """Where the tokens of a text begin, special tokens left out, of a tokenizer of the tokenizers library."""
     return lambda text: sorted(a for a, _ in tokenizer.encode(text, add_special_tokens=False).offsets)
@@ -76,7 +111,7 @@ def split_by_tokens(text: str, levels: list[str], most: int, tokenizer) -> list[
         if size(text[a:b]) <= most:
             out.append((a, b))
         else:
-            out += [(a + x, a + y) for x, y in split(text[a:b], levels, most, size)]
+            out += [(a + x, a + y) for x, y in split(text[a:b], [level for level in levels if not isinstance(level, At)], most, size)]
     return out
 
 
@@ -97,7 +132,8 @@ def split(
     def units(a: int, b: int, level: int) -> list[tuple[int, int]]:
         if level == len(levels):
             return [(i, i + 1) for i in range(a, b)]
-        cuts = sorted({a, b, *(m.end() for m in re.compile(levels[level]).finditer(text, a, b) if a < m.end() < b)})
+        found = levels[level].ends(a, b) if isinstance(levels[level], At) else [m.end() for m in re.compile(levels[level]).finditer(text, a, b) if a < m.end() < b]
+        cuts = sorted({a, b, *found})
         return list(zip(cuts, cuts[1:]))
 
     def trimmed(a: int, b: int) -> tuple[int, int]:
@@ -141,7 +177,7 @@ def chunks(docs: DataFrame, most: int = MAX_TOKENS, tokenizer_path: str | None =
         for batch in batches:
             rows: list[tuple] = []
             for i, (kind, language, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)))):
-                levels, at, place = levels_for(kind, language), 0, 0
+                levels, at, place = levels_for(kind, language, text), 0, 0
                 for n, (a, b) in enumerate(split_by_tokens(text, levels, most, tokenizer) if tokenizer else split(text, levels, most)):
                     place += len(text[at:a].encode())
                     end = place + len(text[a:b].encode())

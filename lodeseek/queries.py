@@ -18,7 +18,7 @@ from .functions import vectors as V
 from .operators import bm25, chunking, crawl, embedders, evaluate, fusion, lifecycle, rolling, synthetic, tokenize, vector_search
 from .plans import indexing
 from .plans import search as plans
-from .sources import sinks
+from .sources import catalog, readers, sinks
 from .streaming import rolling as streams
 
 K = 10
@@ -419,6 +419,64 @@ def conversation_reassembly(spark, d):
     return lifecycle.reassemble(_read(spark, d, "conversations"), "conv_id", F.col("turn"))
 
 
+@query("""SELECT vec_id AS chunk_id, CASE WHEN vec_id % 10 = 3 THEN [vec_id::FLOAT] ELSE embedding END AS embedding FROM embeddings WHERE vec_id % 7 <> 0
+UNION ALL SELECT -1, [1.5::FLOAT]""")
+def store_after_writes(spark, d):
+    """A table of the store after appends, an upsert that replaces and adds, and a delete."""
+    store = catalog.Catalog(spark, catalog.temporary_root(spark, "store"))
+    rows = _read(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    store.append("embeddings", rows.filter("chunk_id % 2 = 0"))
+    store.append("embeddings", rows.filter("chunk_id % 2 = 1"))
+    new = rows.filter("chunk_id % 10 = 3").select("chunk_id", F.array(F.col("chunk_id").cast("float")).alias("embedding"))
+    store.upsert("embeddings", new.unionByName(spark.createDataFrame([(-1, [1.5])], schemas.EMBEDDINGS)))
+    store.delete("embeddings", rows.filter("chunk_id % 7 = 0").select("chunk_id"))
+    return store.scan("embeddings")
+
+
+@query("""SELECT source || '/' || doc_id AS source_id, sha256(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END) AS content_hash, 1::BIGINT AS version, true AS complete,
+CASE WHEN doc_id % 3 = 0 OR NOT regexp_matches(text, '[^ \\t\\r\\n]') THEN 'add' WHEN doc_id % 5 = 0 THEN 'update' ELSE 'skip' END AS action, strlen(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END)::BIGINT AS char_count
+FROM documents WHERE regexp_matches(text, '[^ \\t\\r\\n]') OR doc_id % 5 = 0""")
+def indexed_sources(spark, d):
+    """The sources of a store into which two batches of files are indexed, two thirds of them and then all, some changed; and what the second did."""
+    store = catalog.Catalog(spark, catalog.temporary_root(spark, "index"))
+    docs = _read(spark, d, "documents")
+    files = lambda docs, text: docs.select(F.concat("source", F.lit("/"), "doc_id").alias("source_id"), F.concat("doc_id", F.lit(".md")).alias("path"), text.alias("text"))
+    load = lambda: embedders.hash_embedder(16)
+    indexing.index_files(store, files(docs.filter("doc_id % 3 <> 0"), F.col("text")), load, 1)
+    changed = F.when(F.expr("doc_id % 5 = 0"), F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    done = indexing.index_files(store, files(docs, changed), load, 2)
+    return store.scan("sources").join(done, "source_id").join(store.scan("documents").select("source_id", "char_count"), "source_id")
+
+
+@query("SELECT doc_id::VARCHAR AS doc_id, lang AS title, text FROM documents WHERE doc_id % 4 <> 1")
+def json_lines(spark, d):
+    """Written as a report and read back."""
+    path = catalog.temporary_root(spark, "lines")
+    docs = _read(spark, d, "documents").filter("doc_id % 4 <> 1")
+    sinks.write_report(docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("lang").alias("title"), "text"), path)
+    return readers.read_jsonl(spark, path)
+
+
+@query("SELECT query_id::VARCHAR AS query_id, id::VARCHAR AS doc_id, relevance FROM (WITH " + QRELS_SQL + " SELECT * FROM qrels)")
+def judgment_files(spark, d):
+    """Judgments written with a header and a short line, and read back."""
+    path = catalog.temporary_root(spark, "qrels")
+    lines = _qrels(spark, d).select(F.concat_ws("\t", "query_id", "id", "relevance").alias("value"))
+    extra = spark.createDataFrame([("query-id\tcorpus-id\tscore",), ("short line",), ("",)], "value string")
+    lines.unionByName(extra).write.text(path)
+    return readers.read_qrels(spark, path, header=True)
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN '-' ELSE format('{:.0f}', value + 0.3) END AS whole, CASE WHEN event_id % 5 = 0 THEN '-' ELSE format('{:.2f}', value + 0.0013) END AS two,
+CASE WHEN event_id % 5 = 0 THEN '-' ELSE event_id::VARCHAR END AS count FROM (SELECT event_id, floor(value) AS value FROM events)""")
+def metric_columns(spark, d):
+    some = F.expr("event_id % 5 <> 0")
+    value, n = F.floor("value").cast("double"), F.when(some, F.col("event_id"))
+    return _read(spark, d, "events").select(
+        "event_id", T.format_metric(F.when(some, value + 0.3), 0).alias("whole"), T.format_metric(F.when(some, value + 0.0013), 2).alias("two"), T.format_count(n).alias("count")
+    )
+
+
 @query("SELECT doc_id // 4 AS document_id, list(doc_id ORDER BY doc_id) AS chunk_ids, count(*) AS chunk_count FROM documents GROUP BY 1")
 def chunk_lists(spark, d):
     chunks = _read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.expr("doc_id div 4").alias("document_id"), F.col("doc_id").alias("chunk_index"))

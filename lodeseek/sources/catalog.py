@@ -12,6 +12,7 @@ are written anew. On a store without an atomic rename writers must not run at th
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 from dataclasses import dataclass, field
 
@@ -22,6 +23,17 @@ from .. import schemas
 from ..operators import lifecycle
 
 
+def temporary_root(spark: SparkSession, name: str) -> str:
+    """A new folder's path below spark.checkpoint.dir; without it, in local mode, in a temporary folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir isn't set: name a folder that the driver and the executors share")
+        root = tempfile.mkdtemp(prefix="lodeseek-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 class Conflict(RuntimeError):
     """Another writer has committed in between."""
 

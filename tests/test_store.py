@@ -7,11 +7,13 @@ from lodeseek.operators import embedders, lifecycle, numbering, rolling
 from lodeseek.plans.indexing import crawl_and_index, index_files, index_pages
 from lodeseek.sources import readers, sinks
 from lodeseek.sources.catalog import Catalog, Conflict
+from lodeseek.sources.memory import MemoryCatalog
 from lodeseek.streaming import rolling as streams
 
 
-def test_catalog_crud(spark, tmp_path):
-    store = Catalog(spark, str(tmp_path))
+@pytest.mark.parametrize("kind", ["files", "memory"])
+def test_catalog_crud(spark, tmp_path, kind):
+    store = Catalog(spark, str(tmp_path)) if kind == "files" else MemoryCatalog(spark)
     assert store.count("embeddings") == 0
     rows = lambda *r: spark.createDataFrame(list(r), schemas.EMBEDDINGS)
     store.upsert("embeddings", rows((1, [1.0]), (2, [2.0])))
@@ -143,8 +145,9 @@ def test_embedding_cache_and_lines_with_ids(spark, tmp_path):
         readers.read_jsonl_with_ids(spark, str(tmp_path / "blank.jsonl")).collect()
 
 
-def test_index_files_adds_skips_updates(spark, tmp_path):
-    store = Catalog(spark, str(tmp_path))
+@pytest.mark.parametrize("kind", ["files", "memory"])
+def test_index_files_adds_skips_updates(spark, tmp_path, kind):
+    store = Catalog(spark, str(tmp_path)) if kind == "files" else MemoryCatalog(spark)
     load = lambda: embedders.hash_embedder(8)
     files = lambda *r: spark.createDataFrame(list(r), "source_id string, path string, text string")
     first = index_files(store, files(("a", "a.txt", "one two three."), ("b", "b.md", "# t\nfour five"), ("c", "c.txt", "  ")), load, 1)

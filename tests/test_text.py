@@ -154,3 +154,14 @@ def test_models_are_loaded_once_a_process():
     embedders.unload("a test's model")
     with pytest.raises(KeyError):
         embedders.unload("a test's model")
+
+
+def test_python_is_cut_at_its_statements():
+    code = "import os\n\n\n@wraps(f)\ndef one(a):\n    x = 1\n\n    return x\n\n\nclass Two:\n    def method(self):\n        return 'def not one'\n\n    y = 2\n"
+    spans = chunking.split(code, chunking.levels_for("code", "python", code), 14)
+    pieces = [code[a:b] for a, b in spans]
+    assert pieces[0] == "import os" and pieces[1].startswith("@wraps(f)\ndef one") and any(p.startswith("class Two:") for p in pieces)
+    assert "".join("".join(pieces).split()) == "".join(code.split())
+    assert chunking.levels_for("code", "python", "def (") == chunking.levels_for("code", "python")  # not Python: by pattern
+    big = chunking.split(code, chunking.levels_for("code", "python", code), 1000)
+    assert [code[a:b] for a, b in big] == [code.strip()]
