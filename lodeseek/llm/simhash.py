@@ -41,6 +41,9 @@ GOLAY_POLYNOMIAL = 0b110001110101
 POINTS = 4096
 #: Of similar_texts: words a shingle, similarity.
 SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
+#: Words of 64 bits in a set's sketch.
+SKETCH = 8
+SKETCH_COLUMNS = [f"sketch_{i}" for i in range(SKETCH)]
 #: Shingles are counted in 2^BUCKET_BITS buckets, which are added up in chunks and slots; bytes of text taken together.
 BUCKET_BITS, CHUNKS, SLOTS, SLICE = 18, 16, 64, 4_000_000
 
@@ -202,6 +205,24 @@ def majority_bits(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+def sketches(hashes: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """For each stretch of distinct hashes SKETCH words: every hash turns one bit over.
+
+    Two sets whose sketches differ in d bits differ in at least d elements, so they share
+    (n + m - d) / 2 at most.
+    """
+    out, some = [], sizes > 0
+    first = (np.cumsum(sizes) - sizes)[some]
+    place = (hashes >> np.uint64(8)) % np.uint64(64 * SKETCH)  # not the bits that order the hashes
+    bit = np.uint64(1) << place % np.uint64(64)
+    for word in range(SKETCH):
+        turned = np.zeros(len(sizes), np.uint64)
+        if some.any():
+            turned[some] = np.bitwise_xor.reduceat(np.where(place // np.uint64(64) == word, bit, np.uint64(0)), first)
+        out.append(turned.view(np.int64))
+    return out
+
+
 def _counts(shingle: int):
     """From text: how many shingles fall into each bucket of hashes, in chunks."""
 
@@ -252,8 +273,8 @@ def _rare_shingles(common, shingle: int, similarity: float):
                 mine = at < first[text]
                 offsets = np.concatenate([[0], np.cumsum(np.minimum(first, sizes))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found[mine].view(np.int64)))
-                columns = [*batch.columns[:2], pa.array(keys), pa.array(sizes.astype(np.int32)), pa.array(prints.view(np.int64)), lists]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "key", "size", "fingerprint", "rare"])
+                columns = [*batch.columns[:2], pa.array(keys), pa.array(sizes.astype(np.int32)), pa.array(prints.view(np.int64)), *map(pa.array, sketches(found, sizes)), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "key", "size", "fingerprint", *SKETCH_COLUMNS, "rare"])
 
     return tidy(run)
 
@@ -278,8 +299,15 @@ def _can_be_similar(similarity: float):
     return after + 1e-9 >= (F.col("size") + F.col("other_size")) * (similarity / (1 + similarity))
 
 
-def _others(postings: DataFrame) -> DataFrame:
-    return postings.select("shingle", *[F.col(c).alias(f"other_{c}") for c in ("key", "component", "size", "at")])
+def _sketches_allow(similarity: float):
+    """Of texts with sketches: they can share enough. Turns away most pairs of a group whose edits lie in different places."""
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"other_{c}"))) for c in SKETCH_COLUMNS), F.lit(0))
+    both = F.col("size") + F.col("other_size")
+    return both - apart + 1e-9 >= both * (2 * similarity / (1 + similarity))
+
+
+def _others(postings: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    return postings.select("shingle", *[F.col(c).alias(f"other_{c}") for c in ("key", "component", "size", "at", *more)])
 
 
 def _pairs(met: DataFrame) -> DataFrame:
@@ -310,18 +338,20 @@ def meetings(postings: DataFrame, similarity: float, salt: int = 0) -> DataFrame
     return _pairs(met.filter(_can_be_similar(similarity)))
 
 
-def all_meetings(postings: DataFrame, similarity: float) -> DataFrame:
+def all_meetings(postings: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """a < b: keys of all texts of different components that share a rare shingle and can be similar.
 
-    postings as of meetings. At each shingle the texts of the largest component meet the
-    others only, so that a large group is not compared with itself.
+    postings as of meetings; texts: key and sketch. At each shingle the texts of the
+    largest component meet the others only, so that a large group is not compared with itself.
     """
     of_each = postings.groupBy("shingle", "component").agg(F.count("*").alias("n"))
     largest = of_each.groupBy("shingle").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("n"))
-    small = postings.join(largest.filter("n > 1").drop("n"), "shingle").filter(F.col("component") != F.col("largest"))
+    several = postings.join(largest.filter("n > 1").drop("n"), "shingle").join(texts.select("key", *SKETCH_COLUMNS), "key")
+    several = stage(several, "postings-of-several")
+    small = several.filter(F.col("component") != F.col("largest"))
     once = (F.col("other_component") == F.col("largest")) | (F.col("key") < F.col("other_key"))
-    met = small.join(_others(postings), "shingle").filter((F.col("component") != F.col("other_component")) & once)
-    return _pairs(met.filter(_can_be_similar(similarity)))
+    met = small.join(_others(several, tuple(SKETCH_COLUMNS)), "shingle").filter((F.col("component") != F.col("other_component")) & once)
+    return _pairs(met.filter(_can_be_similar(similarity) & _sketches_allow(similarity)))
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -331,11 +361,23 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.filter(shared >= similarity * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b")
 
 
-def _linked(edges: DataFrame) -> DataFrame:
-    """node, component of edges, which may be none."""
-    if edges.isEmpty():
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return stage(components(edges), "text-components")
+def _joined(of: DataFrame | None, links: DataFrame) -> DataFrame:
+    """node, component of all texts linked so far. of: the same before (None for no links), links: the new ones, a and b, at least one.
+
+    Only the components that the new links touch are worked on.
+    """
+    if of is None:
+        return stage(components(links), "text-components")
+    edges = links
+    for side in ("a", "b"):
+        placed = of.toDF("node", f"root_{side}")
+        edges = edges.join(placed, F.col(side) == F.col("node"), "left").withColumn(side, F.coalesce(f"root_{side}", side)).select("a", "b")
+    roots = stage(components(edges.filter("a <> b").distinct()), "text-roots")
+    moved = of.join(roots.toDF("root", "to"), F.col("component") == F.col("root"), "left").select("node", F.coalesce("to", "component").alias("component"))
+    out = stage(moved.union(roots.join(of.select("node"), "node", "left_anti")), "text-components")
+    discard(roots)
+    discard(of)
+    return out
 
 
 def similar_texts(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
@@ -353,17 +395,17 @@ def similar_texts(docs: DataFrame, similarity: float = SIMILARITY, shingle: int
     other: only these are joined, and no link is missed for want of a meeting. The order
     decides how many meet, not which links are found. Rounds keep a large group from
     being all its pairs: every text meets two texts at each of its rare shingles, then two
-    others, then all texts there that are not of its component yet. So the components are
-    those of all links.
+    others, then all texts there that are not of its component yet and whose sketches do not
+    show that they share too little. So the components are those of all links.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text"))
     common = docs.sparkSession.sparkContext.broadcast(bucket_counts(rows, shingle))
-    schema = f"doc_id {id_type}, text_hash long, key long, size int, fingerprint long, rare array<long>"
+    schema = f"doc_id {id_type}, text_hash long, key long, size int, fingerprint long, {', '.join(c + ' long' for c in SKETCH_COLUMNS)}, rare array<long>"
     marked = stage(rows.mapInArrow(_rare_shingles(common, shingle, similarity), schema), "rare-shingles")
     members = stage(marked.select("doc_id", "text_hash", "key"), "texts-of-documents")
     first = F.coalesce(F.min_by("text_hash", "doc_id"), F.min("text_hash")).alias("first_hash")
-    texts = stage(marked.groupBy("key").agg(F.min("doc_id").alias("first_id"), first, F.min("fingerprint").alias("fingerprint")), "distinct-texts")
+    texts = stage(marked.groupBy("key").agg(F.min("doc_id").alias("first_id"), first, *[F.min(c).alias(c) for c in ("fingerprint", *SKETCH_COLUMNS)]), "distinct-texts")
     each = marked.select("key", F.explode("rare").alias("shingle"))
     shared = each.groupBy("shingle").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high").select("shingle")
     shared = stage(shared, "shared-shingles")
@@ -378,12 +420,12 @@ def similar_texts(docs: DataFrame, similarity: float = SIMILARITY, shingle: int
     made = rows.join(able.select("first_id", "first_hash"), one, "left_semi").select("text").mapInArrow(_shingle_sets(shingle), "key long, shingles array<long>")
     sets = stage(made.dropDuplicates(["key"]), "shingle-sets")
 
-    links, compared, of = None, [], None
+    compared, of = [], None
     rounds = (
         lambda _: anchor_meetings(able.select("key", "fingerprint")),
         lambda placed: meetings(placed, similarity),
         lambda placed: meetings(placed, similarity, 1),
-        lambda placed: all_meetings(placed, similarity),
+        lambda placed: all_meetings(placed, able, similarity),
     )
     for meet in rounds:
         if of is None:
@@ -395,15 +437,14 @@ def similar_texts(docs: DataFrame, similarity: float = SIMILARITY, shingle: int
         for before in compared:
             near = near.join(before, ["a", "b"], "left_anti")
         compared.append(stage(near, "text-meetings"))
-        found = _similar(compared[-1], sets, similarity)
-        before, links = links, stage(found if links is None else links.union(found), "text-links")
-        if before is not None:
-            discard(before)
-        before, of = of, _linked(links)
-        if before is not None and hasattr(before, "_lodeseek_path"):
-            discard(before)
-    for table in (postings, sets, *compared):
+        links = stage(_similar(compared[-1], sets, similarity), "text-links")
+        if not links.isEmpty():
+            of = _joined(of, links)
+        discard(links)
+    for table in (postings, sets, texts, *compared):
         discard(table)
+    if of is None:
+        return members.withColumn("component", F.col("key"))
     named = members.join(of, F.col("key") == F.col("node"), "left")
     return named.select("doc_id", "text_hash", "key", F.coalesce("component", "key").alias("component"))
 

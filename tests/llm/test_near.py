@@ -164,6 +164,26 @@ def test_close_fingerprints_are_candidates(spark, monkeypatch):
     assert len({of[i] for i in range(9)}) == 1 and of[20] != of[0] != of[21] == of[22]
 
 
+def test_sketches_never_turn_a_similar_text_away():
+    """The bound holds for every pair, and turns away most of those with twice the difference allowed."""
+    rng = np.random.default_rng(3)
+    away = {0.05: 0, 0.2: 0}
+    for n in (1, 4, 30, 200, 900):
+        for share in (0.0, 0.05, 0.11, 0.2):
+            for _ in range(20):
+                base = rng.integers(0, 2**64, n, dtype=np.uint64)
+                edit = int(n * share)
+                sets = [np.unique(np.concatenate([base[edit:], rng.integers(0, 2**64, edit, dtype=np.uint64)])), np.unique(base)]
+                words = simhash.sketches(np.concatenate(sets), np.array([len(s) for s in sets]))
+                apart = sum(((int(w[0]) ^ int(w[1])) % 2**64).bit_count() for w in words)
+                shared, both = len(np.intersect1d(*sets)), sum(map(len, sets))
+                assert shared <= (both - apart) / 2
+                if n == 200 and share in away:
+                    away[share] += both - apart + 1e-9 < both * 1.6 / 1.8
+    assert away == {0.05: 0, 0.2: 20}
+    assert [w.tolist() for w in simhash.sketches(np.zeros(0, np.uint64), np.array([0, 0]))] == [[0, 0]] * simhash.SKETCH
+
+
 def test_majority_bits_are_fingerprints():
     rng = np.random.default_rng(1)
     sizes = np.array([0, 1, 2, 0, 9, 300])
