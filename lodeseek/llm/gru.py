@@ -11,7 +11,7 @@ import numpy as np
 
 CLASS, HIDDEN, EMBED, STEPS = 64, 32, 24, 16
 #: Texts are read in so many lanes at most, and in so few that a pass has UPDATES updates if the text allows it.
-LANES, UPDATES = 512, 100
+LANES, UPDATES = 1024, 60
 
 
 def shapes(classes: int) -> dict[str, tuple[int, ...]]:
@@ -98,7 +98,7 @@ def _summed(rows: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return placed[first], np.add.reduceat(rows[order], first, axis=0)
 
 
-def train(state: np.ndarray, classes: int, documents: list[np.ndarray], bos: int, rate: float = 0.008) -> tuple[np.ndarray, int]:
+def train(state: np.ndarray, classes: int, documents: list[np.ndarray], bos: int, rate: float = 0.01) -> tuple[np.ndarray, int]:
     """One pass of truncated backpropagation (Adam); documents are arrays of units. Returns the new state and the units read.
 
     Documents follow one another in lanes. The hidden state is carried from window to

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import discard, one_blas_thread, stage, text_of, tidy
+from .common import discard, keep_temporaries, one_blas_thread, stage, text_of, tidy
 from .words import per_text, slices, split_words
 
 HEAD, CLASSES, BUCKETS, ROUNDS = 1 << 18, 64, 512, 6
@@ -179,6 +179,7 @@ def _fit(shared, bos: int):
 
     def run(shard: pa.Table) -> pa.Table:
         one_blas_thread()
+        keep_temporaries()
         shard = shard.sort_by([("place", "ascending")])
         documents = [np.frombuffer(u.as_buffer(), "<u2") for u in shard.column("units").combine_chunks()]
         state, read = gru.train(shared.value, CLASSES, documents, bos)
@@ -220,6 +221,7 @@ def _score(shared_lex, weights):
     names = ["row_id", "doc_id", "held_out", "n_tokens", "head_known", "head_log", "model_log", "tail"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_temporaries()
         lex, part, n_rows = shared_lex.value, TaskContext.get().partitionId(), 0
         scorer = gru.Scorer(weights.value, CLASSES, lex.bos)
         for whole in batches:
