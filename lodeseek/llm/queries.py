@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, licenses, line_dedup, lm_scoring, media, mixing, packing, quality, simhash, token_counts
+from . import ann, chat, licenses, line_dedup, lm_scoring, media, mixing, packing, quality, simhash, token_counts
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_simhash_dedup": simhash.op8_simhash_dedup,
         "op9_media_columns": media.op9_media_columns,
         "op10_quality_classifier": quality.op10_quality_classifier,
+        "op11_chat_formatting": chat.op11_chat_formatting,
     }
 
 
@@ -25,4 +26,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_line_dedup": line_dedup.OP1_SQL,
         "op3_license_scan": licenses.OP3_SQL,
         "op4_mix_sources": mixing.OP4_SQL,
+        "op11_chat_formatting": chat.OP11_SQL,
     }
