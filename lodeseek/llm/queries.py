@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, licenses, line_dedup, lm_scoring, media, mixing, packing, quality, simhash, token_counts
+from . import ann, chat, licenses, line_dedup, lm_scoring, media, mixing, packing, quality, simhash, token_counts, whitening
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_media_columns": media.op9_media_columns,
         "op10_quality_classifier": quality.op10_quality_classifier,
         "op11_chat_formatting": chat.op11_chat_formatting,
+        "op12_embedding_whitening": whitening.op12_embedding_whitening,
     }
 
 
