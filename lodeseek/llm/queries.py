@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, licenses, line_dedup, lm_scoring, media, mixing, packing, quality, simhash, token_counts, whitening
+from . import ann, chat, licenses, line_dedup, lm_scoring, media, mixing, packing, quality, simhash, token_counts, trie, whitening
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_quality_classifier": quality.op10_quality_classifier,
         "op11_chat_formatting": chat.op11_chat_formatting,
         "op12_embedding_whitening": whitening.op12_embedding_whitening,
+        "op13_conversation_trie": trie.op13_conversation_trie,
     }
 
 
@@ -28,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_license_scan": licenses.OP3_SQL,
         "op4_mix_sources": mixing.OP4_SQL,
         "op11_chat_formatting": chat.OP11_SQL,
+        "op13_conversation_trie": trie.OP13_SQL,
     }
