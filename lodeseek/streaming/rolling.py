@@ -15,6 +15,10 @@ def windowed(samples: DataFrame, by: str, window: str = "60 seconds", slide: str
     return grouped.agg(F.count("*").alias("n"), F.avg("duration_ms").alias("average")).select(by, F.col("window.start").alias("window_start"), "n", "average")
 
 
-def index_pages(pages: DataFrame, index: Callable[[DataFrame], None], checkpoint: str):
-    """Start a stream that hands each micro-batch of pages to index; a batch that is repeated after a failure has the same id."""
-    return pages.writeStream.foreachBatch(lambda batch, _: index(batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def index_pages(pages: DataFrame, index: Callable[[DataFrame, int], None], checkpoint: str):
+    """Start a stream that hands each micro-batch of pages and its number to index.
+
+    A batch that is repeated after a failure has the same number: plans.indexing.index_pages,
+    given it as batch=(name, number), writes each batch once.
+    """
+    return pages.writeStream.foreachBatch(index).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -88,6 +90,175 @@ def test_writes_append_and_compaction_keeps_the_live_rows(spark, tmp_path):
     assert store.get("embeddings", 0).first().embedding == [7.0]
 
 
+def rows_of(spark, ids, v=0.0):
+    return spark.createDataFrame([(i, [float(v)]) for i in ids], schemas.EMBEDDINGS)
+
+
+def jobs_of(spark, work):
+    """The number of jobs that work() ran."""
+    group = f"counted-{time.time()}"
+    spark.sparkContext.setJobGroup(group, group)
+    work()
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+    spark.sparkContext.setJobGroup("", "")
+    return len(jobs)
+
+
+def test_a_get_opens_only_files_that_can_hold_the_key(spark, tmp_path):
+    store = Catalog(spark, str(tmp_path))
+    store.append("embeddings", rows_of(spark, range(0, 1000)))
+    store.append("embeddings", rows_of(spark, range(1000, 2000)))
+    store.append("embeddings", rows_of(spark, range(0 - 5, 3000, 3001)))  # -5 alone
+    store.append("embeddings", rows_of(spark, range(2500, 9000, 100)))
+    assert len(store.candidates("embeddings", [500])) == 1 and "seq=1/" in store.candidates("embeddings", [500])[0]
+    assert len(store.candidates("embeddings", [1500])) == 1 and "seq=2/" in store.candidates("embeddings", [1500])[0]
+    assert store.candidates("embeddings", [777_777]) == [] and store.get("embeddings", 777_777).count() == 0
+    # within the last segment's range, but none of its keys
+    assert sum(bool(store.candidates("embeddings", [k])) for k in range(2501, 2600)) < 10
+    assert store.get("embeddings", 2600).count() == 1 and store.get("embeddings", 2601).count() == 0
+    opened = store.get("embeddings", 500).inputFiles()
+    assert len(opened) == 1
+    texts = Catalog(spark, str(tmp_path / "texts"))
+    for n in range(3):
+        texts.append("sources", spark.createDataFrame([(f"s{i}", "h", 1, True) for i in range(n, 300, 3)], schemas.SOURCES))
+    opened = [len(texts.candidates("sources", [f"s{i}"])) for i in range(100)]
+    assert min(opened) == 1 and sum(opened) < 115 and texts.get("sources", "s77").count() == 1
+    got = texts.get_batch("sources", ["s5", None, "nothing", "s4"]).collect()
+    assert [r.source_id for r in got] == ["s5", "s4"] and texts.get_batch("sources", []).count() == 0
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("literal, broadcast", [(10_000, 10), (0, 10), (0, 0)])
+def test_deletes_are_positions(spark, tmp_path, monkeypatch, literal, broadcast):
+    from lodeseek.sources import catalog
+
+    monkeypatch.setattr(catalog, "LITERAL_HIDDEN", literal)
+    monkeypatch.setattr(catalog, "BROADCAST_BLOCKS", broadcast)
+    store = Catalog(spark, str(tmp_path))
+    store.append("embeddings", rows_of(spark, range(70_000)))
+    store.append("embeddings", rows_of(spark, range(70_000, 70_300)))
+    store.delete("embeddings", rows_of(spark, [5, 64, 40_000, 70_001, 999_999]))
+    store.delete("embeddings", rows_of(spark, [5, 6, 69_999]))
+    store.upsert("embeddings", rows_of(spark, [7, 80_000], 9))
+    gone = {5, 64, 40_000, 70_001, 6, 69_999}
+    live = {r.chunk_id: r.embedding[0] for r in store.scan("embeddings").collect()}
+    assert live == {i: 9.0 if i in (7, 80_000) else 0.0 for i in [*range(70_300), 80_000] if i not in gone}
+    assert store.count("embeddings") == len(live) and store._manifest("embeddings").hidden == 7
+    assert store.get("embeddings", 64).count() == 0 and store.get("embeddings", 7).first().embedding == [9.0]
+    plan = plan_of(store.scan("embeddings"))
+    assert ("Exchange" in plan) == (literal == 0) and "Window" not in plan
+    if literal == 0 and broadcast:
+        assert "Exchange hashpartitioning" not in plan
+
+
+def test_an_upsert_of_new_keys_reads_nothing_of_the_table(spark, tmp_path):
+    store = Catalog(spark, str(tmp_path))
+    store.append("sources", spark.createDataFrame([(f"s{i}", "h", 1, True) for i in range(0, 600, 2)], schemas.SOURCES))
+    batch = lambda *ids: spark.createDataFrame([(f"s{i}", "new", 1, True) for i in ids], schemas.SOURCES)
+    parts = []
+    among = Catalog._among
+
+    def seen(self, table, manifest, keys):
+        found = among(self, table, manifest, keys)
+        parts.append(len(found[1]))
+        return found
+
+    Catalog._among = seen
+    try:
+        for i in range(20):
+            store.upsert("sources", batch(1000 + 3 * i, 1001 + 3 * i, 1002 + 3 * i))
+        assert sum(parts) <= 20 and not store._manifest("sources").deleted  # a false positive opens a file, but hides nothing
+        new = jobs_of(spark, lambda: store.upsert("sources", batch(5001)))
+        store.upsert("sources", batch(4))
+        assert parts[-1] >= 1 and store._manifest("sources").hidden == 1
+        assert jobs_of(spark, lambda: store.count("sources")) == 0 and store.count("sources") == 361
+        assert new < jobs_of(spark, lambda: store.upsert("sources", batch(6)))
+    finally:
+        Catalog._among = among
+
+
+def test_writers_side_by_side(spark, tmp_path):
+    """Ids of two writers are disjoint, and no append, upsert or delete of theirs is lost."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    def work(w):
+        store, taken = Catalog(spark, str(tmp_path)), []
+        for i in range(4):
+            first = store.reserve("embeddings", 10)
+            taken += range(first, first + 10)
+            store.append("embeddings", rows_of(spark, range(first, first + 10), w))
+            store.upsert("embeddings", rows_of(spark, [first], 100 + w))
+            store.delete("embeddings", rows_of(spark, [first + 1]))
+        return taken
+
+    with ThreadPoolExecutor(2) as pool:
+        one, two = pool.map(work, [1, 2])
+    assert len(one) == len(two) == 40 and not set(one) & set(two)
+    live = {r.chunk_id: r.embedding[0] for r in Catalog(spark, str(tmp_path)).scan("embeddings").collect()}
+    assert set(live) == {i for ids in (one, two) for at, i in enumerate(ids) if at % 10 != 1}
+    assert all(live[i] == (w if at % 10 else 100 + w) for w, ids in ((1, one), (2, two)) for at, i in enumerate(ids) if at % 10 != 1)
+
+
+def test_matching_shuffles_none_of_the_store(spark, tmp_path):
+    store = Catalog(spark, str(tmp_path))
+    store.append("embeddings", rows_of(spark, range(1000)))
+    store.append("embeddings", rows_of(spark, range(1000, 2000)))
+    keys = spark.createDataFrame([(3,), (4,), (None,), (77_777,)], "anything long")
+    found = store.matching("embeddings", keys)
+    assert sorted(r.chunk_id for r in found.collect()) == [3, 4] and len(found.inputFiles()) < len(store.scan("embeddings").inputFiles())
+    assert "Exchange hashpartitioning" not in plan_of(found)
+    assert store.matching("embeddings", keys.filter("anything > 70000")).count() == 0
+
+
+def test_a_repeated_batch_is_written_once(spark, tmp_path):
+    store = Catalog(spark, str(tmp_path))
+    for number in (0, 0, 1, 0):
+        store.append("embeddings", rows_of(spark, [number]), batch=("s", number))
+    store.append("embeddings", rows_of(spark, [5]), batch=("t", 0))
+    store.upsert("embeddings", rows_of(spark, [0], 1), batch=("s", 1))
+    assert sorted((r.chunk_id, r.embedding[0]) for r in store.scan("embeddings").collect()) == [(0, 0), (1, 0), (5, 0)]
+
+
+@pytest.mark.parametrize("dies_at", ["documents", "embeddings", "complete", None])
+def test_a_page_batch_replayed_after_a_crash_changes_nothing(spark, tmp_path, monkeypatch, dies_at):
+    """The job dies before a commit, or after the last one; the stream hands the same batch over again."""
+    store = Catalog(spark, str(tmp_path))
+    load = lambda: embedders.hash_embedder(8)
+    pages = spark.createDataFrame([(f"u{i}", f"<p>page number {i}</p>") for i in range(4)], "url string, html string")
+    index_pages(store, pages.limit(1), load, 0, batch=("crawl", 0))
+    commit = Catalog._commit
+
+    class Died(Exception):
+        pass
+
+    def dying(self, table, manifest):
+        last = table == "sources" and manifest.batches.get("crawl") == 1
+        if (dies_at == "complete" and last) or (table == dies_at and manifest.data and manifest.next_id and len(manifest.data) > 1):
+            raise Died
+        commit(self, table, manifest)
+
+    if dies_at:
+        with monkeypatch.context() as m:
+            m.setattr(Catalog, "_commit", dying)
+            try:
+                index_pages(store, pages, load, 1, batch=("crawl", 1))
+            except Died:
+                pass
+        index_pages(store, pages, load, 1, batch=("crawl", 1))
+    else:
+        index_pages(store, pages, load, 1, batch=("crawl", 1))
+    state = {t: store._manifest(t).number for t in schemas.TABLES}
+    assert index_pages(store, pages, load, 2, batch=("crawl", 1)).count() == 0
+    assert {t: store._manifest(t).number for t in schemas.TABLES} == state
+    assert sorted(r.title for r in store.scan("documents").collect()) == ["u0", "u1", "u2", "u3"]
+    assert store.count("chunks") == store.count("embeddings") == 4 and store.scan("sources").filter("complete").count() == 4
+    ids = [r.chunk_id for r in store.scan("chunks").collect()]
+    assert len(set(ids)) == 4
+
+
 def test_the_last_of_repeated_keys_wins(spark, tmp_path):
     store = Catalog(spark, str(tmp_path))
     rows = spark.createDataFrame([("a", "h1", 1, True, 5), ("a", "h2", 1, True, 9), ("a", "h3", 1, True, 7)], schemas.SOURCES + ", n int")
@@ -226,7 +397,7 @@ def test_pages_are_indexed_by_batches(spark, tmp_path):
     pages = spark.createDataFrame([("u1", "<p>x</p>")], "url string, html string")
     pages.write.parquet(str(tmp_path / "in"))
     seen = []
-    q = streams.index_pages(spark.readStream.schema(pages.schema).parquet(str(tmp_path / "in")), lambda b: seen.append(b.count()), str(tmp_path / "check"))
+    q = streams.index_pages(spark.readStream.schema(pages.schema).parquet(str(tmp_path / "in")), lambda b, _: seen.append(b.count()), str(tmp_path / "check"))
     q.awaitTermination(60)
     assert sum(seen) == 1
 
