@@ -15,7 +15,7 @@ from . import schemas
 from .functions import html, stemming
 from .functions import text as T
 from .functions import vectors as V
-from .operators import bm25, chunking, crawl, embedders, evaluate, fusion, lifecycle, rolling, synthetic, tokenize, vector_search
+from .operators import bm25, chunking, crawl, embedders, evaluate, fusion, inverted_index, lifecycle, rolling, synthetic, tokenize, vector_index, vector_search
 from .plans import indexing
 from .plans import search as plans
 from .sources import catalog, readers, sinks
@@ -433,6 +433,58 @@ def store_after_writes(spark, d):
     return store.scan("embeddings")
 
 
+STORED_DOCS_SQL = "SELECT doc_id AS id, CASE WHEN doc_id % 13 = 2 THEN text || ' some added words' ELSE text END AS text FROM documents WHERE doc_id % 11 <> 5"
+
+
+def _stored_documents(spark, d):
+    """A store whose documents came in two appends, with some replaced and some deleted."""
+    store = catalog.Catalog(spark, catalog.temporary_root(spark, "stored-documents"))
+    rows = _read(spark, d, "documents").select("doc_id", F.col("text").alias("full_text"))
+    others = [F.lit(None).cast(f.dataType).alias(f.name) for f in spark.createDataFrame([], schemas.DOCUMENTS).schema if f.name not in rows.columns]
+    rows = rows.select("*", *others)
+    store.append("documents", rows.filter("doc_id % 3 <> 0"))
+    store.append("documents", rows.filter("doc_id % 3 = 0"))
+    store.upsert("documents", rows.filter("doc_id % 13 = 2").withColumn("full_text", F.concat("full_text", F.lit(" some added words"))))
+    store.delete("documents", rows.filter("doc_id % 11 = 5").select("doc_id"))
+    return store
+
+
+@query(f"WITH {QUERIES_SQL}, {_bm25_sql(STORED_DOCS_SQL, K)} SELECT query_id, id AS doc_id, round(score, 6) AS score, rank FROM said")
+def stored_keyword_search(spark, d):
+    """BM25 from the stored index of a store after writes, skipping blocks that can't matter."""
+    index = inverted_index.InvertedIndex(_stored_documents(spark, d))
+    return _shown(index.search(_queries(spark, d), K), "score").withColumnRenamed("id", "doc_id")
+
+
+def _stored_vectors(spark, d):
+    """A store whose embeddings came in two appends, with a seventh deleted."""
+    store = catalog.Catalog(spark, catalog.temporary_root(spark, "stored-vectors"))
+    rows = _read(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    store.append("embeddings", rows.filter("chunk_id % 3 <> 0"))
+    store.append("embeddings", rows.filter("chunk_id % 3 = 0"))
+    store.delete("embeddings", rows.filter("chunk_id % 7 = 3").select("chunk_id"))
+    width = rows.filter("embedding IS NOT NULL").select(F.size("embedding")).first()[0]
+    return vector_index.VectorIndex(store, width, list_rows=32)
+
+
+@query(f"WITH {QUERIES_SQL}, {_vector_sql('(SELECT * FROM embeddings WHERE vec_id % 7 <> 3)', K)} SELECT query_id, id AS vec_id, round(score, 6) AS score, rank FROM near")
+def stored_vector_search(spark, d):
+    """All inverted lists of a store after writes: the exact neighbours."""
+    found = _stored_vectors(spark, d).search(_queries(spark, d), K, probes=2**31)
+    return _shown(found, "score").withColumnRenamed("id", "vec_id")
+
+
+@query(f"WITH {QUERIES_SQL} SELECT count(*) AS queries, {K} * count(*) AS found, true AS recall_reached FROM queries")
+def stored_vector_recall(spark, d):
+    """The lists that the index chooses, held against the exact neighbours: at least 0.95 of them are found."""
+    index, q = _stored_vectors(spark, d), _queries(spark, d)
+    found = index.search(q, K).select("query_id", "id", F.lit(1).alias("hit"))
+    exact = vector_search.search(index.vectors(), q, K).select("query_id", "id", F.lit(1).alias("near"))
+    met = exact.join(found, ["query_id", "id"], "full")
+    right = F.count_if(F.col("hit").isNotNull() & F.col("near").isNotNull())
+    return met.agg(F.countDistinct("query_id").alias("queries"), F.count("hit").alias("found"), (right >= 0.95 * F.count("near")).alias("recall_reached"))
+
+
 @query("""SELECT source || '/' || doc_id AS source_id, sha256(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END) AS content_hash, 1::BIGINT AS version, true AS complete,
 CASE WHEN doc_id % 3 = 0 OR NOT regexp_matches(text, '[^ \\t\\r\\n]') THEN 'add' WHEN doc_id % 5 = 0 THEN 'update' ELSE 'skip' END AS action, strlen(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END)::BIGINT AS char_count
 FROM documents WHERE regexp_matches(text, '[^ \\t\\r\\n]') OR doc_id % 5 = 0""")

@@ -257,17 +257,32 @@ class Catalog:
                     places = gone[part[0].name]
                     rows.append(self._read(table, [part]).filter(~F.expr(f"_pos IN ({', '.join(f'{p}L' for p in places)})")))
             else:
-                marked = bitmaps.select(F.col("segment").alias("_segment"), F.col("block").alias("_block"), "words")
-                if sum(h.blocks for h in hidden.values()) <= BROADCAST_BLOCKS:
-                    marked = F.broadcast(marked)
-                joined = self._read(table, touched).join(marked, (F.col("w") == F.col("_segment")) & (_block() == F.col("_block")), "left")
-                bit = F.expr("shiftright(get(words, cast(_place AS int)), cast(_pos & 63 AS int)) & 1")
-                rows.append(joined.withColumn("_place", _word()).filter(F.coalesce(bit, F.lit(0)) == 0).drop("_segment", "_block", "words", "_place"))
+                rows.append(self._by_bit(table, hidden, self._read(table, touched), 0))
         out = rows[0]
         for more in rows[1:]:
             out = out.unionByName(more)
         return out
 
+    def _by_bit(self, table: str, hidden: dict[str, Hidden], rows: DataFrame, bit: int) -> DataFrame:
+        """The rows (with _pos and w) whose bit in these bitmaps is 0, or 1."""
+        marked = self._bitmaps(table, hidden).select(F.col("segment").alias("_segment"), F.col("block").alias("_block"), "words")
+        if sum(h.blocks for h in hidden.values()) <= BROADCAST_BLOCKS:
+            marked = F.broadcast(marked)
+        joined = rows.join(marked, (F.col("w") == F.col("_segment")) & (_block() == F.col("_block")), "inner" if bit else "left")
+        found = F.expr("shiftright(get(words, cast(_place AS int)), cast(_pos & 63 AS int)) & 1")
+        return joined.withColumn("_place", _word()).filter(F.coalesce(found, F.lit(0)) == bit).drop("_segment", "_block", "words", "_place")
+
+    def visible(self, table: str, manifest: Manifest, rows: DataFrame) -> DataFrame:
+        """Those of rows that stand for rows of the table (by w, the segment's name, and _pos) which aren't hidden."""
+        return self._by_bit(table, manifest.deleted, rows, 0) if manifest.deleted else rows
+
+    def hidden_rows(self, table: str, manifest: Manifest) -> DataFrame:
+        """The hidden rows, as long as no compaction has removed them."""
+        touched = [(s, None) for s in manifest.data if s.name in manifest.deleted]
+        if not touched:
+            return self.spark.createDataFrame([], schemas.TABLES[table])
+        return self._by_bit(table, manifest.deleted, self._read(table, touched), 1).drop("_pos", "w")
+
     # reading
 
     def scan(self, table: str, number: int | None = None) -> DataFrame:
