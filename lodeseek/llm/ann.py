@@ -32,7 +32,9 @@ PARTITION_ROWS, MOST_PARTITIONS = 512, 1024
 #: The sample that the graph and the classifier are fitted on: so many vectors, or so many a partition, within so many bytes;
 #: and the part of it held out to choose the number of probes.
 SAMPLE, SAMPLE_A_PARTITION, SAMPLE_BYTES, HELD_OUT = 12_000, 64, 64_000_000, 1_000
-NEIGHBOURS, HIDDEN, EPOCHS, RECALL = 10, 96, 30, 0.97
+NEIGHBOURS, HIDDEN, EPOCHS, RECALL = 10, 96, 30, 0.94
+#: Vectors to learn from that a partition needs; with fewer there are fewer partitions.
+LEARN_A_PARTITION = 8
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 1024
 
 
@@ -131,7 +133,9 @@ def fit_router(x: np.ndarray, parts: int, k: int = 5, recall: float = RECALL) ->
     """The router of a sample of unit vectors, with the probes that its held-out vectors need."""
     held = min(HELD_OUT, len(x) // 4)
     learn = x[held:]
-    if len(learn) < 8 * parts:  # too few to learn from: one partition, an exact search
+    while parts > 1 and len(learn) < LEARN_A_PARTITION * parts:  # fewer, larger partitions, as many as can be learnt
+        parts //= 2
+    if parts <= 1:
         return Router(np.zeros((x.shape[1], 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1))
     graph = neighbour_graph(learn, NEIGHBOURS)
     part = balanced_partition(learn, graph, parts)
@@ -234,9 +238,11 @@ def search(vectors: DataFrame, query_every: int = 50, k: int = 5, parts: int | N
     commonest = classes.groupBy(F.size("embedding").alias("width")).count().orderBy(F.desc("count"), "width").first()
     width, n = commonest if commonest else (0, 0)
     parts = parts or partitions_for(n)
-    drawn = min(max(SAMPLE, SAMPLE_A_PARTITION * parts), max(SAMPLE_BYTES // (8 * max(width, 1)), 1))
-    sample = classes.filter(F.size("embedding") == width).orderBy(F.xxhash64("rep"), "rep").limit(drawn).toArrow()  # bounded
-    x = _unit(_matrix(sample.column("embedding").combine_chunks())) if sample.num_rows else np.zeros((0, 1))
+    drawn = min(max(SAMPLE, SAMPLE_A_PARTITION * parts), max(SAMPLE_BYTES // (4 * max(width, 1)), 1))
+    largest = F.array_max(F.transform("embedding", F.abs))
+    single = F.transform("embedding", lambda x: (x / largest).cast("float")).alias("embedding")
+    sample = classes.filter(F.size("embedding") == width).orderBy(F.xxhash64("rep"), "rep").limit(drawn).select(single).toArrow()  # bounded
+    x = _unit(_matrix(sample.column("embedding").combine_chunks())).astype(np.float32) if sample.num_rows else np.zeros((0, 1), np.float32)
     router = fit_router(x, parts, k, recall)
     model = spark.sparkContext.broadcast(router)
     schema = "rep long, embedding array<double>, part int"

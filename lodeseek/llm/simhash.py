@@ -18,6 +18,7 @@ alike.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import cache
 
@@ -27,10 +28,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, stage, text_of, tidy
+from .common import discard, stage, text_of, tidy, unused
 from .components import components
 from .words import mixed, slices, split_words
 
@@ -44,6 +45,8 @@ SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
 #: Words of 64 bits in a set's sketch.
 SKETCH = 8
 SKETCH_COLUMNS = [f"sketch_{i}" for i in range(SKETCH)]
+#: Texts at a rare shingle above which they meet by bands of size.
+CROWDED = 64
 #: Shingles are counted in 2^BUCKET_BITS buckets, which are added up in chunks and slots; bytes of text taken together.
 BUCKET_BITS, CHUNKS, SLOTS, SLICE = 18, 16, 64, 4_000_000
 
@@ -338,19 +341,43 @@ def meetings(postings: DataFrame, similarity: float, salt: int = 0) -> DataFrame
     return _pairs(met.filter(_can_be_similar(similarity)))
 
 
+def _band(size) -> Column:
+    """Sizes within a twentieth of each other are in one band or in two beside each other."""
+    return F.floor(F.log(F.greatest(size, F.lit(1)).cast("double")) / math.log(1.05))
+
+
+def _bands_to_meet(similarity: float) -> Column:
+    """The bands of the sizes with which a text of (size, at) can be similar, were this their first shared shingle; none is possible.
+
+    Both share size - at shingles at most, and similarity / (1 + similarity) of both sizes
+    at least: so the more of a text's own comes before the shingle, the smaller its partners.
+    """
+    size, left = F.col("size").cast("double"), (F.col("size") - F.col("at")).cast("double")
+    least = F.ceil(size * similarity - 1e-9)
+    most = F.floor(F.least(size / similarity, left * ((1 + similarity) / similarity) - size) + 1e-9)
+    return F.when(most >= least, F.sequence(_band(least), _band(most))).otherwise(F.array().cast("array<bigint>"))
+
+
 def all_meetings(postings: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """a < b: keys of all texts of different components that share a rare shingle and can be similar.
 
     postings as of meetings; texts: key and sketch. At each shingle the texts of the
     largest component meet the others only, so that a large group is not compared with itself.
+    Where more than CROWDED texts share a shingle they meet by bands of size: a text only
+    those whose size allows a link, so that pages of one template, most of each its own,
+    are not compared with each other.
     """
     of_each = postings.groupBy("shingle", "component").agg(F.count("*").alias("n"))
-    largest = of_each.groupBy("shingle").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("n"))
+    largest = of_each.groupBy("shingle").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("n"), F.sum("n").alias("here"))
     several = postings.join(largest.filter("n > 1").drop("n"), "shingle").join(texts.select("key", *SKETCH_COLUMNS), "key")
     several = stage(several, "postings-of-several")
+    crowded = F.col("here") > CROWDED
     small = several.filter(F.col("component") != F.col("largest"))
+    small = small.withColumn("band", F.explode(F.when(crowded, _bands_to_meet(similarity)).otherwise(F.array(F.lit(0).cast("bigint")))))
+    others = several.withColumn("band", F.when(crowded, _band(F.col("size"))).otherwise(F.lit(0).cast("bigint")))
     once = (F.col("other_component") == F.col("largest")) | (F.col("key") < F.col("other_key"))
-    met = small.join(_others(several, tuple(SKETCH_COLUMNS)), "shingle").filter((F.col("component") != F.col("other_component")) & once)
+    met = small.join(_others(others, (*SKETCH_COLUMNS, "band")).withColumnRenamed("other_band", "band"), ["shingle", "band"])
+    met = met.filter((F.col("component") != F.col("other_component")) & once)
     return _pairs(met.filter(_can_be_similar(similarity) & _sketches_allow(similarity)))
 
 
@@ -457,12 +484,13 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
     doc_id stays only where its group has no other. See similar_texts.
     """
     found = stage(similar_texts(docs, similarity, shingle).select("doc_id", "text_hash", "component"), "similar-texts")
-    smallest = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("kept__id"), F.col("text_hash").alias("kept__hash")))
-    first = found.groupBy("component").agg(smallest.alias("first")).select("first.kept__id", "first.kept__hash").distinct()
-    kept = docs.withColumn("own__hash", F.xxhash64(text_of())).join(
-        stage(first, "kept-documents"), F.col("doc_id").eqNullSafe(F.col("kept__id")) & (F.col("own__hash") == F.col("kept__hash")), "left_semi"
+    kept_id, kept_hash, own_hash = (unused(name, docs.columns) for name in ("kept_id", "kept_hash", "own_hash"))
+    smallest = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias(kept_id), F.col("text_hash").alias(kept_hash)))
+    first = found.groupBy("component").agg(smallest.alias("first")).select(f"first.{kept_id}", f"first.{kept_hash}").distinct()
+    kept = docs.withColumn(own_hash, F.xxhash64(text_of())).join(
+        stage(first, "kept-documents"), F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(own_hash) == F.col(kept_hash)), "left_semi"
     )
-    return kept.dropDuplicates(["doc_id", "own__hash"]).select(*docs.columns)
+    return kept.dropDuplicates(["doc_id", own_hash]).select(*docs.columns)
 
 
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

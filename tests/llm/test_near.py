@@ -2,6 +2,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lodeseek.llm import ann, simhash
 from lodeseek.llm.components import components
@@ -73,7 +74,7 @@ def brute_one_of_each(docs):
 
 
 def test_one_of_each(spark):
-    clash = clashing(spark).selectExpr("*", "'x' AS key", "'x' AS kept_id", "'x' AS a")
+    clash = clashing(spark).selectExpr("*", "'x' AS key", "'x' AS kept_id", "'x' AS _KEPT_ID", "'x' AS kept__id", "'x' AS kept_hash", "'x' AS a")
     kept = simhash.one_of_each(clash).collect()
     want = brute_one_of_each([r[:2] for r in rows()])
     assert sorted((r.doc_id, r.text) for r in kept if r.text) == sorted(rows()[i][:2] for i in want if rows()[i][1])
@@ -164,6 +165,40 @@ def test_close_fingerprints_are_candidates(spark, monkeypatch):
     assert len({of[i] for i in range(9)}) == 1 and of[20] != of[0] != of[21] == of[22]
 
 
+def test_bands_of_size_lose_no_pair_that_can_be_similar(spark):
+    rng = np.random.default_rng(12)
+    sizes = rng.integers(1, 400, 300)
+    rows = [(i, int(n), int(rng.integers(0, max(1, n // 5 + 1)))) for i, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "key long, size int, at int")
+    asks = {r.key: set(r.bands) for r in df.select("key", simhash._bands_to_meet(0.8).alias("bands")).collect()}
+    band = {r.key: r.band for r in df.select("key", simhash._band(F.col("size")).alias("band")).collect()}
+    met = df.crossJoin(df.selectExpr("key AS other_key", "size AS other_size", "at AS other_at")).filter(simhash._can_be_similar(0.8)).collect()
+    assert len(met) > 1000 and all(band[r.other_key] in asks[r.key] and band[r.key] in asks[r.other_key] for r in met)
+    pages = spark.createDataFrame([(1, 100, 16), (2, 102, 16)], "key long, size int, at int")  # of one template, 16 shingles of their own
+    found = pages.select(F.array_contains(simhash._bands_to_meet(0.8), simhash._band(F.col("size"))).alias("meet")).collect()
+    assert not any(r.meet for r in found)
+
+
+def test_pages_of_a_template_and_links_among_them(spark):
+    """Unlike pages of one template do not meet; those among them that are linked are found, over many sizes."""
+    rng = np.random.default_rng(13)
+    template = [f"t{i}" for i in range(88)]
+    own = lambda n: [f"w{v}" for v in rng.integers(0, 10**7, n)]
+    docs = [template + own(int(rng.integers(14, 24))) for _ in range(260)]
+    for i in range(0, 200, 10):
+        docs.append(docs[i] + own(2))  # nearly the same
+    docs += [template[:80] + own(3) for _ in range(6)]  # short ones are linked with each other
+    rows = [(i, " ".join(d)) for i, d in enumerate(docs)]
+    found = simhash.similar_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    group = brute_similar(rows)
+    first, last = {}, {}
+    for r in found:
+        first.setdefault(r.component, set()).add(r.doc_id)
+    for i, g in enumerate(group):
+        last.setdefault(g, set()).add(i)
+    assert sorted(map(sorted, first.values())) == sorted(map(sorted, last.values())) and len(last) < len(rows) - 20
+
+
 def test_sketches_never_turn_a_similar_text_away():
     """The bound holds for every pair, and turns away most of those with twice the difference allowed."""
     rng = np.random.default_rng(3)
@@ -299,6 +334,30 @@ def test_partitions_grow_with_the_table():
     assert [ann.partitions_for(n) for n in (0, 500, 2000, 51_000, 10**9)] == [1, 1, 4, 128, 1024]
 
 
+def test_wide_vectors_are_routed_however_small_the_sample(spark, monkeypatch):
+    """A sample too small for the partitions wanted gives fewer of them, not one."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(24, 1024))
+    x = centres[rng.integers(0, 24, 2400)] + 0.7 * rng.normal(size=(2400, 1024))
+    assert len(ann.fit_router(ann._unit(x[:320]), 1024).out_bias) == 16
+    monkeypatch.setattr(ann, "SAMPLE_BYTES", 4 * 1024 * 400)
+    monkeypatch.setattr(ann, "PARTITION_ROWS", 32)  # 64 partitions wanted, 300 vectors to learn from
+    fitted, whole = [], ann.fit_router
+    monkeypatch.setattr(ann, "fit_router", lambda *a: fitted.append(whole(*a)) or fitted[0])
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    found = {}
+    for r in ann.search(df).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    unit = ann._unit(x.astype(np.float32).astype(np.float64))
+    hits = 0
+    for q, ids in found.items():
+        score = unit @ unit[q]
+        score[q] = -2
+        hits += len(ids & set(np.argsort(-score)[:5].tolist()))
+    assert 1 < len(fitted[0].out_bias) < 64 and fitted[0].probes < len(fitted[0].out_bias)
+    assert hits >= 0.9 * 5 * len(found)
+
+
 def test_queries_of_small_partitions_look_further(spark, monkeypatch):
     """Of two partitions one holds three vectors, and one is probed."""
     monkeypatch.setattr(ann, "fit_router", lambda *_: ann.Router(np.eye(2), np.zeros(2), np.eye(2), np.zeros(2)))
