@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import discard, stage, text_of, tidy
+from .common import discard, stage, text_of, tidy, unused
 from .words import mixed, slices
 
 ORDER = 4
@@ -320,9 +320,10 @@ def with_thresholds(scored: DataFrame, labels: DataFrame, quantile: float = QUAN
     """scored (doc_id, lang, perplexity and more) and threshold, keep; see judge."""
     limits = stage(thresholds(scored, labels, quantile, margin), "thresholds")
     largest = limits.agg(F.max("threshold")).first()[0]
-    named = limits.select(F.col("lang").alias("limits_lang"), F.col("threshold").alias("limit"))
-    joined = scored.join(named, F.col("lang").eqNullSafe(F.col("limits_lang")), "left")
-    threshold = F.coalesce("limit", F.lit(largest).cast("double"), F.lit(float("inf")))
+    of_lang, limit = (unused(name, scored.columns) for name in ("limits_lang", "limit"))
+    named = limits.select(F.col("lang").alias(of_lang), F.col("threshold").alias(limit))
+    joined = scored.join(named, F.col("lang").eqNullSafe(F.col(of_lang)), "left")
+    threshold = F.coalesce(limit, F.lit(largest).cast("double"), F.lit(float("inf")))
     keep = F.coalesce(F.col("perplexity") <= threshold, F.lit(False))
     return joined.select(*scored.columns, threshold.alias("threshold"), keep.alias("keep"))
 

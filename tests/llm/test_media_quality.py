@@ -147,6 +147,28 @@ def test_quality_keeps_clean_and_rejects_junk(spark):
     assert kept[1] / share[1] > 0.985 and kept[0] / share[0] < 0.15
 
 
+def test_names_that_judge_uses_inside(spark):
+    rows = [(i, t, "en", "x", "y") for i, t in enumerate(["plain words in a row", "more plain words", "", None])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, limit string, Limits_Lang string")
+    labels = spark.createDataFrame([(0, 1, 0), (1, 1, 0)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.judge(docs, labels).collect()}
+    assert got[0].limit == "x" and got[0].Limits_Lang == "y" and got[0].keep and not got[2].keep
+
+
+def test_thresholds_equal_plain_quantiles(spark):
+    """Against the quantile of the perplexities themselves, within the steps they are counted in."""
+    rng = np.random.default_rng(2)
+    rows = [(i, ("en", "de", None)[i % 3], float(np.exp(rng.normal(2, 0.5)))) for i in range(900)]
+    scored = spark.createDataFrame(rows, "doc_id long, lang string, perplexity double")
+    labels = spark.createDataFrame([(i, int(i % 5 > 0), int(i % 7 == 0)) for i in range(0, 900, 2)], "doc_id long, quality int, toxic int")
+    got = {r.lang: r.threshold for r in quality.thresholds(scored, labels, 0.9, 1.1).collect()}
+    for lang in ("en", "de", None):
+        trusted = [p for i, of, p in rows if of == lang and i % 2 == 0 and i % 5 > 0 and i % 7]
+        assert got[lang] == pytest.approx(np.quantile(trusted, 0.9) * 1.1, rel=0.02)
+    judged = quality.with_thresholds(scored, labels, 0.9, 1.1).collect()
+    assert all(r.threshold == got[r.lang] and r.keep == (r.perplexity <= r.threshold) for r in judged)
+
+
 def test_quality_of_awkward_rows(spark):
     labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (4, 1, None), (5, 1, 0), (6, 1, 1), (None, 1, 0), (9, None, None), (99, 0, 0)], "doc_id long, quality int, toxic int")
     for docs in (documents(spark), clashing(spark)):
