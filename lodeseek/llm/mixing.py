@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import stage, text_of
+from .common import stage, text_of, unused
 
 #: A table of at most so many sources is broadcast; beyond, a shuffle join that adaptive execution splits.
 BROADCAST_SOURCES = 50_000
@@ -76,14 +76,16 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repea
     added = ("size", "source_size", "target", "rate", "copies")
     docs = docs.drop(*added)
     sizes = stage(docs.select("source", word_count(text_of()).alias("size")).groupBy("source").agg(F.sum("size").alias("size")), "source-sizes")
-    rates = source_rates(sizes, weights, max_repeat).select(F.col("source").alias("rates_source"), "source_size", "target", "rate")
-    joined = docs.withColumn("size", word_count(text_of())).join(rates, F.col("source").eqNullSafe(F.col("rates_source")))
+    of_source = unused("rates_source", docs.columns)
+    rates = source_rates(sizes, weights, max_repeat).select(F.col("source").alias(of_source), "source_size", "target", "rate")
+    joined = docs.withColumn("size", word_count(text_of())).join(rates, F.col("source").eqNullSafe(F.col(of_source)))
     return joined.withColumn("copies", copies(seed)).select(*docs.columns, *added)
 
 
 def repeat_rows(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """Each row as many times as `copies` says; none for 0."""
-    return mixed.filter("copies > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*columns)
+    number = unused("copy_no", mixed.columns)
+    return mixed.filter("copies > 0").withColumn(number, F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*columns)
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -125,3 +125,10 @@ def test_mix_of_nothing(spark):
     assert mixing.mix_sources(empty(spark)).count() == 0
     blank = spark.createDataFrame([(1, None, "x", None, 0)], "doc_id long, text string, lang string, source string, n_chars long")
     assert mixing.mix_sources(blank).first()["copies"] == 0
+
+
+def test_names_that_mixing_uses_inside(spark):
+    df = spark.createDataFrame([(i, "w " * (i + 1), "ab"[i % 2], "x", "y") for i in range(20)], "doc_id long, text string, source string, rates_source string, copy_no string")
+    mixed = mixing.mix_sources(df)
+    assert {r.rates_source for r in mixed.collect()} == {"x"}
+    assert {r.copy_no for r in mixing.repeat_rows(mixed, df.columns).collect()} == {"y"}
