@@ -15,8 +15,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType, StringType
 
 from .common import ASCII_SPACE, CLEAN_SHUFFLES, ascii_lower, let, new_path, remove, settings, stage, text_of
 
@@ -131,6 +132,16 @@ def _occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
     )
 
 
+def _order_number(docs: DataFrame) -> Column:
+    """A number that never falls as doc_id rises: itself, of a string its first seven bytes, of other types none (all rows are one batch)."""
+    kind = docs.schema["doc_id"].dataType
+    if isinstance(kind, NumericType):
+        return F.col("doc_id")
+    if isinstance(kind, StringType):
+        return F.conv(F.rpad(F.hex(F.substring(F.encode("doc_id", "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
+    return F.lit(None).cast("long")
+
+
 def dedup_lines(
     docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 3, keep: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -144,15 +155,15 @@ def dedup_lines(
     white space with A-Z lower-cased. Null and empty texts are one empty line, never
     dropped. Each row is a document of its own: rows that repeat a doc_id count each,
     and all rows with the largest doc_id keep the line. A null doc_id sorts below all
-    others. Keys are compared by two 64-bit hashes. An empty table gives an empty one.
+    others; ids may be strings (by code point) or anything else that has an order. Keys are compared by two 64-bit hashes. An empty table gives an empty one.
     """
     spark = docs.sparkSession
     extra = [F.col(c).alias(f"kept__{c}") for c in keep]
     docs = docs.select("doc_id", text_of().alias("text"), *extra)
-    cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)])).first()[0] or []), reverse=True)
+    cuts = sorted(set(docs.agg(F.percentile_approx(_order_number(docs), [i / batches for i in range(1, batches)])).first()[0] or []), reverse=True)
     batch = F.lit(len(cuts))
     for i, cut in reversed(list(enumerate(cuts))):  # the largest ids are batch 0; null, the last
-        batch = F.when(F.col("doc_id") > cut, i).otherwise(batch)
+        batch = F.when(_order_number(docs) > cut, i).otherwise(batch)
     lines = stage(_occurrences(docs, min_chars).withColumn("batch", batch), "lines", ["batch"])
 
     runs = LineRuns(spark, min_docs, fanout)

@@ -70,3 +70,17 @@ def test_empty_table_and_kept_columns(spark):
 def test_query_equals_its_sql(spark):
     assert_same(line_dedup.op1_line_dedup(spark, DATA), connect(DATA), queries.oracle_sql()["op1_line_dedup"])
     assert hashlib.sha256(b"").hexdigest()[:4] == "e3b0"
+
+
+def test_ids_of_other_types(spark):
+    """Of string ids, by code point, the largest keeps the line; of dates the latest."""
+    from datetime import date
+
+    line = "a line that is long enough to be a key"
+    ids = ["b", "a", "é", "aa", "", "zz" * 20, "zz" * 20 + "a"]
+    df = spark.createDataFrame([(i, f"{line}\n{i}") for i in ids], "doc_id string, text string")
+    got = {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(df).collect()}
+    assert got == {i: int(i != max(ids)) for i in ids}
+    days = [date(2020, 1, d) for d in range(1, 6)]
+    df = spark.createDataFrame([(d, line) for d in days], "doc_id date, text string")
+    assert {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(df).collect()} == {d: int(d != days[-1]) for d in days}
