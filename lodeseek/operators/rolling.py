@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from . import numbering
 
 NEWEST, PIPELINE_WINDOW_S, SEARCH_WINDOW_S = 1000, 60, 300
+#: Size of the quantile sketches: errors of rank of about 0.4 % (1.3 % at Spark's default, 200).
+SKETCH_K = 800
 
 
 def newest(samples: DataFrame, by: str, keep: int = NEWEST) -> DataFrame:
@@ -58,6 +60,23 @@ def percentiles(samples: DataFrame, by: str, shares: tuple[float, ...] = (0.5, 0
     return placed.join(wanted, "_i").groupBy(F.col("_kind").alias(by)).agg(*[F.max(F.when(F.col("share") == s, F.col("duration_ms"))).alias(f"p{round(s * 100)}") for s in shares])
 
 
+def quantile_sketches(samples: DataFrame, by: str, window: str, k: int = SKETCH_K) -> DataFrame:
+    """by, window_start, n, sketch: one mergeable quantile sketch (KLL) for each kind and window, summed up before the shuffle.
+
+    A batch or a stream; null durations are left out. k sets a sketch's size and error.
+    """
+    timed = samples.filter("duration_ms IS NOT NULL").withColumn("ts", F.col("ts").cast("timestamp"))
+    grouped = timed.groupBy(F.col(by), F.window("ts", window))
+    sketched = grouped.agg(F.count("*").alias("n"), F.kll_sketch_agg_double(F.col("duration_ms").cast("double"), k).alias("sketch"))
+    return sketched.select(by, F.col("window.start").alias("window_start"), "n", "sketch")
+
+
+def merged_percentiles(sketches: DataFrame, by: str, shares: tuple[float, ...] = (0.5, 0.95, 0.99), k: int = SKETCH_K) -> DataFrame:
+    """by, n, p50, ...: percentiles over any windows whose sketches (of quantile_sketches) are given, without their samples; off by a rank of 1 % at most."""
+    merged = sketches.groupBy(by).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", k).alias("_all"))
+    return merged.select(by, "n", *[F.kll_sketch_get_quantile_double("_all", F.lit(float(s))).alias(f"p{round(s * 100)}") for s in shares])
+
+
 def batch_totals(batches: DataFrame) -> DataFrame:
     """Sums over batches and the tokens a chunk as a whole number, 0 without chunks; batches: n_docs, n_chunks, n_tokens (long, null: no figures yet)."""
     summed = batches.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("n_docs", "n_chunks", "n_tokens")])

@@ -689,6 +689,33 @@ def latency_percentiles(spark, d):
     return rolling.percentiles(_samples(spark, d), "event_type")
 
 
+@query("""SELECT event_type, count(*) AS n, true AS near FROM events GROUP BY event_type""")
+def sketched_percentiles(spark, d):
+    """Percentiles from merged hourly sketches: near, if each lies within 1 % of its rank."""
+    samples = _samples(spark, d)
+    merged = rolling.merged_percentiles(rolling.quantile_sketches(samples, "event_type", "1 hour"), "event_type")
+    placed = samples.select("event_type", "duration_ms").join(F.broadcast(merged), "event_type")  # a row a kind
+    shares = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    counts = [F.struct(F.count_if(F.col("duration_ms") < F.col(p)), F.count_if(F.col("duration_ms") <= F.col(p))).alias(p) for p in shares]
+    counted = placed.groupBy("event_type", "n").agg(*counts)
+    ok = [(F.col(f"{p}.col1") <= (s + 0.01) * F.col("n")) & (F.col(f"{p}.col2") >= (s - 0.01) * F.col("n")) for p, s in shares.items()]
+    return counted.select("event_type", "n", (ok[0] & ok[1] & ok[2]).alias("near"))
+
+
+@query("""WITH newest AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r FROM events),
+now AS (SELECT max(ts) AS now FROM events)
+SELECT event_type, count(*) FILTER (WHERE ts >= now - INTERVAL 86400 SECOND) AS n, round(avg(value) FILTER (WHERE ts >= now - INTERVAL 86400 SECOND), 6) AS average,
+round(count(*) FILTER (WHERE ts >= now - INTERVAL 86400 SECOND) / 86400.0::DOUBLE, 6) AS throughput FROM newest, now WHERE r <= 1000 GROUP BY event_type""")
+def streamed_snapshot(spark, d):
+    """The rolling snapshot of a stream of the events, from its state."""
+    samples = _samples(spark, d)
+    root = catalog.temporary_root(spark, "snapshots")
+    samples.write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(samples.schema).parquet(f"{root}/in")
+    streams.keep_snapshots(stream, "event_type", 86400, f"{root}/states", f"{root}/checkpoint").awaitTermination()
+    return _shown(streams.Snapshots(spark, f"{root}/states").read("event_type", 86400), "average", "throughput")
+
+
 @query("SELECT event_type, time_bucket(INTERVAL 60 SECOND, ts) AS window_start, count(*) AS n, round(avg(value), 6) AS average FROM events GROUP BY ALL")
 def rolling_windows(spark, d):
     """The batch form of the stream in streaming.rolling."""
