@@ -1,8 +1,9 @@
 """Chunkers: text, Markdown and code cut into pieces of a bounded number of tokens.
 
 Each splits at the largest unit that fits: blank lines, lines, sentences, words,
-characters; Markdown first at headings and fences, code first at top-level definitions
-(of Python by its syntax tree, of other languages by how they begin).
+characters; Markdown first at headings and fences, code first at top-level definitions,
+then at what is one level deeper (of Python by its syntax tree, of other languages by a
+scan that knows strings, comments and brackets).
 Chunks are trimmed, in order, don't overlap and hold all that isn't white space.
 Offsets are bytes into the trimmed text.
 """
@@ -11,7 +12,7 @@ from __future__ import annotations
 
 import ast
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import code_scan
 
 MAX_TOKENS = 512
 TEXT_LEVELS = [r"\n[ \t]*\n\s*", r"\n", r"(?<=[.!?])\s+", r"\s+"]
@@ -46,13 +48,16 @@ def count_words(text: str) -> int:
 
 
 def levels_for(kind: str, language: str | None, text: str | None = None) -> list:
-    """Patterns, largest units first; for Python code that parses, the places of its statements before them."""
+    """Patterns, largest units first; for code the places of its definitions before them."""
     if kind == "markdown":
         return MARKDOWN_LEVELS
     if kind == "code" and language == "python" and text is not None:
         tree = python_levels(text)
         if tree is not None:
             return [*tree, r"\n[ \t]*\n", r"\n", r"\s+"]
+    if kind == "code" and language in code_scan.SCANS and text is not None:
+        found = code_scan.places(text, language, DEFINITION[language])
+        return [*(At(p) for p in (found.definitions, found.members, found.lines)), r"\n[ \t]*\n", r"\n", r"\s+"]
     if kind == "code" and language in DEFINITION:
         return [rf"(?m)^(?={DEFINITION[language]})", r"\n[ \t]*\n", r"\n", r"\s+"]
     return TEXT_LEVELS
@@ -83,7 +88,7 @@ class At:
         self.places = places
 
     def ends(self, a: int, b: int) -> list[int]:
-        return [p for p in self.places if a < p < b]
+        return self.places[bisect_right(self.places, a) : bisect_left(self.places, b)]
 
 
 def token_starts(tokenizer) -> Callable[[str], list[int]]:

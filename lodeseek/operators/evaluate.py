@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from . import numbering
+
 CUTOFFS = (1, 3, 5, 10, 20, 100)
 
 
@@ -136,6 +140,8 @@ def t_test_p(t: float | None, n: int) -> float | None:
 
 #: Multiplier and increment of the generator, modulo 2^64.
 MULTIPLIER, INCREMENT = 6364136223846793005, 1
+#: Draws made together.
+DRAWS = 1 << 16
 
 
 def draws(seed: int, n: int) -> np.ndarray:
@@ -158,6 +164,62 @@ def bootstrap_interval(values: list[float], samples: int = 1000, seed: int = 42,
     return float(data.mean()), float(resampled[int(tail * samples)]), float(resampled[min(int((1 - tail) * samples), samples - 1)])
 
 
+def state_after(seed: int, steps: int) -> int:
+    """The generator's state so many steps behind the seed, by doubling."""
+    times, plus, state, mask = MULTIPLIER, INCREMENT, seed, 2**64 - 1
+    while steps:
+        if steps & 1:
+            state = (times * state + plus) & mask
+        times, plus, steps = times * times & mask, (times * plus + plus) & mask, steps >> 1
+    return state
+
+
+def _draw(seed: int):
+    """From group, n, resample, block: how often each of n values is drawn in a block of a resample."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                group, (n, resample, block) = batch.column(0).slice(i, 1), (batch.column(c)[i].as_py() for c in (1, 2, 3))
+                first = block * DRAWS
+                states = draws(state_after(seed, resample * n + first), min(DRAWS, n - first))
+                place, times = np.unique(states % np.uint64(n), return_counts=True)
+                size = len(place)
+                yield pa.RecordBatch.from_arrays(
+                    [group.take(pa.array(np.zeros(size, np.int64))), pa.array(np.full(size, resample)), pa.array(place.astype(np.int64)), pa.array(times.astype(np.int64))],
+                    names=["group", "resample", "place", "times"],
+                )
+
+    return run
+
+
+def bootstrap(values: DataFrame, by: str, value: str, order: str, samples: int = 1000, seed: int = 42, level: float = 0.95) -> DataFrame:
+    """by, mean, low, high: bootstrap_interval of each group's values, in the order of the column `order`, as a job.
+
+    Tasks jump ahead in the generator to the resamples that they draw, in blocks of DRAWS,
+    and send on how often they drew each value; values meet them by their number, so no
+    task needs all values. Null values are left out; a group without any has no row.
+    """
+    known = values.filter(F.col(value).isNotNull()).select(F.col(by).alias("group"), F.col(order).alias("order"), F.col(value).cast("double").alias("value"))
+    numbered = numbering.kept(numbering.number(known, ["group", "order"], "i"))
+    groups = numbered.groupBy("group").agg(F.min("i").alias("start"), F.count("*").alias("n"), F.avg("value").alias("mean"))
+    groups = numbering.kept(groups)
+    blocks = F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / DRAWS))
+    asked = groups.select("group", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(samples - 1).cast("long"))).alias("resample"), blocks.alias("blocks"))
+    asked = asked.select("group", "n", "resample", F.explode("blocks").alias("block")).repartition("group", "resample", "block")
+    kind = values.schema[by].dataType.simpleString()
+    drawn = asked.mapInArrow(_draw(seed), f"group {kind}, resample long, place long, times long")
+    starts = groups.select(F.col("group").alias("of"), "start")
+    placed = numbered.join(starts, F.col("group").eqNullSafe(F.col("of"))).select("of", (F.col("i") - F.col("start")).alias("at"), "value")
+    met = drawn.join(placed, F.col("group").eqNullSafe(F.col("of")) & (F.col("place") == F.col("at")))
+    means = met.groupBy("group", "resample").agg((F.sum(F.col("value") * F.col("times")) / F.sum("times")).alias("m"))
+    sorted_means = means.groupBy("group").agg(F.array_sort(F.collect_list("m")).alias("m"))  # `samples` of them
+    tail = (1 - level) / 2
+    low, high = (F.get("m", F.lit(min(int(t * samples), samples - 1))) for t in (tail, 1 - tail))
+    named = sorted_means.select(F.col("group").alias("of"), low.alias("low"), high.alias("high"))
+    return groups.join(named, F.col("group").eqNullSafe(F.col("of"))).select(F.col("group").alias(by), "mean", "low", "high")
+
+
 def compare(metrics: DataFrame, metric: str, baseline: str, others: list[str]) -> DataFrame:
     """paired() of each other system against the baseline; metrics: system, query_id and the metric."""
     base = metrics.filter(F.col("system") == baseline).select("query_id", F.col(metric).alias("a"))

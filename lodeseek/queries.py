@@ -822,7 +822,4 @@ def token_ids(spark, d):
 
 @query()
 def bootstrap_of_ndcg(spark, d):
-    """Of each system; the values are one for each of the queries, whose number has a limit."""
-    by_system = _systems(spark, d).filter("k = 10").groupBy("system").agg(F.array_sort(F.collect_list(F.struct("query_id", "ndcg"))).alias("v"))
-    rows = [(r.system, *evaluate.bootstrap_interval([v.ndcg for v in r.v])) for r in by_system.orderBy("system").collect()]
-    return spark.createDataFrame(rows, "system string, mean double, low double, high double")
+    return evaluate.bootstrap(_systems(spark, d).filter("k = 10"), "system", "ndcg", "query_id")

@@ -56,3 +56,23 @@ def test_paired_without_spread(spark):
     rows = spark.createDataFrame([("x", 2.0, 1.0), ("x", 3.0, 2.0), ("y", 1.0, 1.0)], "g string, a double, b double")
     found = {r.g: r for r in evaluate.paired(rows, ["g"]).collect()}
     assert found["x"].t == 0 and found["x"].wins == 2 and found["y"].t is None and found["y"].cohens_d == 0
+
+
+def test_jumps_in_the_generator():
+    states = evaluate.draws(42, 1000)
+    assert [evaluate.state_after(42, n) for n in (1, 2, 17, 1000)] == [int(states[n - 1]) for n in (1, 2, 17, 1000)] and evaluate.state_after(42, 0) == 42
+
+
+def test_bootstrap_as_a_job_equals_that_of_a_list(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(evaluate, "DRAWS", 64)  # a resample in several blocks
+    rng = random.Random(1)
+    groups = {"a": 150, "b": 1, None: 7, "c": 64}
+    rows = [(g, i, rng.random()) for g, n in groups.items() for i in range(n)] + [("a", 999, None), ("none", 0, None)]
+    df = spark.createDataFrame(rows, "g string, i long, v double").repartition(5)
+    got = {r.g: (r["mean"], r.low, r.high) for r in evaluate.bootstrap(df, "g", "v", "i", samples=200, seed=9, level=0.9).collect()}
+    assert got.keys() == groups.keys()
+    for g in groups:
+        values = [v for of, _, v in rows if of == g and v is not None]
+        assert got[g] == pytest.approx(evaluate.bootstrap_interval(values, 200, 9, 0.9), abs=1e-12)
