@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import bm25, fusion, vector_search
+from ..operators import bm25, fusion, numbering, rolling, vector_search
+from ..operators.inverted_index import InvertedIndex
+from ..operators.vector_index import VectorIndex
 
 
 def check_query(text: str | None, k: int, vector: list[float], dimension: int) -> None:
@@ -46,13 +50,53 @@ def search_chunks(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, k:
     _checked(vectors, queries, k)
     near = vector_search.search(vectors.withColumnRenamed("chunk_id", "id"), queries, 2 * k)
     said = bm25.search(chunks.select(F.col("chunk_id").alias("id"), "text"), queries, 2 * k, analyze=analyze)
-    own, n = ["vector_score", "keyword_score"], ["vector_count", "keyword_count"] if counts else []
-    fused = fusion.fuse([near, said], k, scores=own, counts=n)
+    return _hydrated(_fused_chunks(near, said, k, counts), chunks, counts)
+
+
+def _fused_chunks(near: DataFrame, said: DataFrame, k: int, counts: bool) -> DataFrame:
+    return fusion.fuse([near, said], k, scores=["vector_score", "keyword_score"], counts=["vector_count", "keyword_count"] if counts else [])
+
+
+def _hydrated(fused: DataFrame, chunks: DataFrame, counts: bool = False) -> DataFrame:
+    n = ["vector_count", "keyword_count"] if counts else []
     return fused.join(chunks.select(F.col("chunk_id").alias("id"), "text"), "id").select(
         "query_id", "rank", F.col("id").alias("chunk_id"), "score", F.greatest(F.lit(0.0), "vector_score").alias("vector_score"), "keyword_score", "text", *n
     )
 
 
+def search_stored(keyword: InvertedIndex, vector: VectorIndex, queries: DataFrame, k: int, counts: bool = False, probes: int | None = None) -> DataFrame:
+    """What search_chunks gives, from the stored indexes of a store's chunks and embeddings; texts are read from files that can hold a hit only.
+
+    `probes`: lists a segment that the vector index asks, by default as many as its recall needs.
+    """
+    check_queries(queries, k, vector.width)
+    fused = _fused_chunks(vector.search(queries, 2 * k, probes), keyword.search(queries, 2 * k), k, counts)
+    fused = numbering.kept(fused)  # k rows a query: read for their ids, then joined
+    return _hydrated(fused, keyword.catalog.matching(keyword.table, fused.select("id")), counts)
+
+
+def search_with_timings(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, analyze: bm25.Analyzer = T.tokens) -> tuple[DataFrame, DataFrame]:
+    """search_chunks with counts, one job a part, and one row of how long each took for the batch: n_queries, vector_ms,
+    keyword_ms, fusion_ms, hydrate_ms, total_ms, and the candidates and results of all queries."""
+    _checked(vectors, queries, k)
+    spent, sizes = {}, {}
+
+    def timed(name: str, df: DataFrame) -> DataFrame:
+        began = time.monotonic()
+        made = numbering.kept(df)
+        sizes[name] = made.count()
+        spent[f"{name}_ms"] = (time.monotonic() - began) * 1000
+        return made
+
+    near = timed("vector", vector_search.search(vectors.withColumnRenamed("chunk_id", "id"), queries, 2 * k))
+    said = timed("keyword", bm25.search(chunks.select(F.col("chunk_id").alias("id"), "text"), queries, 2 * k, analyze=analyze))
+    fused = timed("fusion", _fused_chunks(near, said, k, True))
+    found = timed("hydrate", _hydrated(fused, chunks, True))
+    row = (queries.count(), *(spent[f"{n}_ms"] for n in ("vector", "keyword", "fusion", "hydrate")), sizes["vector"], sizes["keyword"], sizes["hydrate"])
+    schema = "n_queries long, vector_ms double, keyword_ms double, fusion_ms double, hydrate_ms double, vector_count long, keyword_count long, result_count long"
+    return found, rolling.search_records(chunks.sparkSession.createDataFrame([row], schema))
+
+
 def search_documents(documents: DataFrame, chunks: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, analyze: bm25.Analyzer = T.tokens) -> DataFrame:
     """query_id, rank, doc_id, score, doc_keyword_score, best_chunk_score and chunks (nested) of the k best documents.
 

@@ -127,9 +127,12 @@ def bm25_documents(spark, d):
     return _shown(bm25.search(docs, _queries(spark, d), K), "score").withColumnRenamed("id", "doc_id")
 
 
-@query(f"""WITH {QUERIES_SQL}, {CHUNKS_SQL}, {_vector_sql('chunks', 2 * K)}, {_bm25_sql('SELECT chunk_id AS id, text FROM chunks', 2 * K)}, {_fused_sql('near', 'said', K)}
+HYBRID_SQL = f"""WITH {QUERIES_SQL}, {CHUNKS_SQL}, {_vector_sql('chunks', 2 * K)}, {_bm25_sql('SELECT chunk_id AS id, text FROM chunks', 2 * K)}, {_fused_sql('near', 'said', K)}
 SELECT f.query_id, f.rank, f.id AS chunk_id, round(f.score, 6) AS score, round(greatest(0, n.score), 6) AS vector_score, round(s.score, 6) AS keyword_score, c.text
-FROM fused f LEFT JOIN near n USING (query_id, id) LEFT JOIN said s USING (query_id, id) JOIN chunks c ON c.chunk_id = f.id""".replace("greatest(0, n.score)", "CASE WHEN n.score IS NULL THEN 0 ELSE greatest(0, n.score) END"))
+FROM fused f LEFT JOIN near n USING (query_id, id) LEFT JOIN said s USING (query_id, id) JOIN chunks c ON c.chunk_id = f.id""".replace("greatest(0, n.score)", "CASE WHEN n.score IS NULL THEN 0 ELSE greatest(0, n.score) END")
+
+
+@query(HYBRID_SQL)
 def hybrid_chunk_search(spark, d):
     chunks = _chunks(spark, d)
     found = plans.search_chunks(chunks.select("chunk_id", "text"), chunks.select("chunk_id", "embedding"), _queries(spark, d), K)
@@ -456,6 +459,20 @@ def stored_keyword_search(spark, d):
     return _shown(index.search(_queries(spark, d), K), "score").withColumnRenamed("id", "doc_id")
 
 
+@query(HYBRID_SQL)
+def stored_hybrid_search(spark, d):
+    """Hybrid search from the stored indexes of chunks and embeddings that came in two appends; all lists are probed, so the rows are the exact ones."""
+    store = catalog.Catalog(spark, catalog.temporary_root(spark, "stored-chunks"))
+    chunks = _chunks(spark, d)
+    others = [F.lit(None).cast(f.dataType).alias(f.name) for f in spark.createDataFrame([], schemas.CHUNKS).schema if f.name not in ("chunk_id", "document_id", "text")]
+    for part in ("chunk_id % 3 <> 0", "chunk_id % 3 = 0"):
+        store.append("chunks", chunks.filter(part).select("chunk_id", "document_id", "text", *others))
+        store.append("embeddings", chunks.filter(part).select("chunk_id", "embedding"))
+    width = chunks.select(F.size("embedding")).first()[0]
+    keyword, vector = inverted_index.InvertedIndex(store, "chunks", "text"), vector_index.VectorIndex(store, width)
+    return _shown(plans.search_stored(keyword, vector, _queries(spark, d), K, probes=2**31), "score", "vector_score", "keyword_score")
+
+
 def _stored_vectors(spark, d):
     """A store whose embeddings came in two appends, with a seventh deleted."""
     store = catalog.Catalog(spark, catalog.temporary_root(spark, "stored-vectors"))

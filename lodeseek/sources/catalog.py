@@ -251,8 +251,10 @@ class Catalog:
             touched = [p for p in parts if p[0].name in hidden]
             if sum(h.n for h in hidden.values()) <= LITERAL_HIDDEN:
                 gone: dict[str, list[int]] = {name: [] for name in hidden}
-                for r in bitmaps.collect():  # LITERAL_HIDDEN bits at most
-                    gone[r.segment] += [(r.block << BLOCK_BITS) + (i << 6) + b for i, w in enumerate(r.words) if w for b in range(64) if w >> b & 1]
+                words = bitmaps.select("segment", "block", F.posexplode("words").alias("i", "word")).filter("word <> 0")
+                bits = F.expr(f"filter(transform(sequence(0, 63), b -> if(shiftright(word, b) & 1 = 1, block * {2**BLOCK_BITS} + i * 64 + b, NULL)), p -> p IS NOT NULL)")
+                for name, place in words.select("segment", F.explode(bits)).collect():  # LITERAL_HIDDEN rows at most
+                    gone[name].append(place)
                 for part in touched:
                     places = gone[part[0].name]
                     rows.append(self._read(table, [part]).filter(~F.expr(f"_pos IN ({', '.join(f'{p}L' for p in places)})")))

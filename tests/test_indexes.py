@@ -164,3 +164,18 @@ def test_best_of_blocks_with_ties():
     for i, query in enumerate((10, 11, 12)):
         want = sorted((-s, 1000 - j) for j, s in enumerate(score[i]) if not np.isnan(s))[:7]
         assert [(-r.score, r.id) for r in got[got.query_id == query].itertuples()] == want
+
+
+def test_timed_search_gives_the_same_rows(spark):
+    from lodeseek.plans import search
+
+    rng = np.random.default_rng(1)
+    chunks = spark.createDataFrame(zipf_texts(60), "chunk_id long, text string")
+    embedded = vectors(spark, enumerate(rng.normal(size=(60, 4))))
+    q = spark.createDataFrame([(i, f"w{i} w0", [float(v) for v in rng.normal(size=4)]) for i in range(3)], "query_id long, text string, embedding array<double>")
+    found, timings = search.search_with_timings(chunks, embedded, q, 5)
+    key = lambda r: (r.query_id, r.rank)
+    assert sorted(found.collect(), key=key) == sorted(search.search_chunks(chunks, embedded, q, 5, counts=True).collect(), key=key)
+    row = timings.first()
+    parts = [row.vector_ms, row.keyword_ms, row.fusion_ms, row.hydrate_ms]
+    assert row.n_queries == 3 and min(parts) > 0 and row.total_ms == pytest.approx(sum(parts)) and row.result_count == 15 and row.vector_count == 30
