@@ -93,15 +93,24 @@ def integral_rows(pixels: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return out
 
 
-def area_resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean grey level over each cell's area, cells of any fraction of a pixel: differences of the interpolated integral image."""
+def area_resizes(pixels: np.ndarray, sizes: list[tuple[int, int]]) -> list[np.ndarray]:
+    """For each height and width the mean grey level over each cell's area, cells of any fraction of a pixel: differences of
+    the interpolated integral image, of which all sizes' rows are made in one pass."""
     h, w = pixels.shape[:2]
-    y, fy = _cumulative(h, height)
-    x, fx = _cumulative(w, width)
-    low, high = (integral_rows(pixels, np.minimum(r, h)) for r in (y, y + 1))
-    rows = low + fy[:, None] * (high - low)
-    at = rows[:, x] + fx * (rows[:, np.minimum(x + 1, w)] - rows[:, x])
-    return np.diff(np.diff(at, axis=0), axis=1) / ((h / height) * (w / width))
+    heights = [_cumulative(h, height) for height, _ in sizes]
+    wanted = np.unique(np.concatenate([np.minimum(r, h) for y, _ in heights for r in (y, y + 1)]))
+    made, out = integral_rows(pixels, wanted), []
+    for (y, fy), (height, width) in zip(heights, sizes):
+        x, fx = _cumulative(w, width)
+        low, high = (made[np.searchsorted(wanted, np.minimum(r, h))] for r in (y, y + 1))
+        rows = low + fy[:, None] * (high - low)
+        at = rows[:, x] + fx * (rows[:, np.minimum(x + 1, w)] - rows[:, x])
+        out.append(np.diff(np.diff(at, axis=0), axis=1) / ((h / height) * (w / width)))
+    return out
+
+
+def area_resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
+    return area_resizes(pixels, [(height, width)])[0]
 
 
 def npy(array: np.ndarray) -> bytes:
@@ -112,8 +121,8 @@ def npy(array: np.ndarray) -> bytes:
 
 def features(pixels: np.ndarray) -> tuple[bytes, str]:
     """An NPY tile of 8-bit grey levels and the 64-bit difference hash (a bit for each cell darker than its right neighbour)."""
-    tile = np.clip(np.rint(area_resize(pixels, *TILE)), 0, 255).astype(np.uint8)
-    grid = area_resize(pixels, *GRID)
+    resized, grid = area_resizes(pixels, [TILE, GRID])
+    tile = np.clip(np.rint(resized), 0, 255).astype(np.uint8)
     return npy(tile), np.packbits(grid[:, 1:] > grid[:, :-1] + 1e-9).tobytes().hex()
 
 
