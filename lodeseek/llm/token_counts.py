@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import text_of, tidy
+from .words import slices
 
 SPACE = "▁"
 #: Columns of the transition table: a document's start, a space that begins or goes on, unknown characters by bytes.
@@ -220,6 +221,10 @@ class CountingTransducer:
         total, state, before = 0, self.unknown_entry, ""
         for a in range(0, len(text) + 1, BATCH):  # the start is a character more
             part = text[max(a - 1, 0) : a + BATCH - 1]
+            if a and len(self.states) * self.width > TABLE_LIMIT:
+                key = self.states[state]
+                self.reset()
+                state = self._state(key)
             if not a:
                 columns = self._laid_out("\0" + part, np.zeros(1, np.int64))
             else:
@@ -335,9 +340,10 @@ def transducer(path: str) -> CountingTransducer:
 def _count(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(path)
-        for batch in batches:
-            tokens = machine.count(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(tokens)], names=["doc_id", "n_bytes", "n_tokens"])
+        for whole in batches:
+            for batch in slices(whole, 1):
+                tokens = machine.count(batch.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(tokens)], names=["doc_id", "n_bytes", "n_tokens"])
 
     return tidy(run)
 

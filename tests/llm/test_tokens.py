@@ -73,6 +73,18 @@ def test_long_texts_are_run_in_parts(monkeypatch):
     assert token_counts.transducer(PIECES).count(texts).tolist() == [len(LIBRARY.encode(t)) for t in texts]
 
 
+def test_a_long_text_cannot_outgrow_the_tables(monkeypatch):
+    """The tables begin anew between the parts of one text, from the state that it is in."""
+    machine = token_counts.CountingTransducer(PIECES)
+    monkeypatch.setattr(token_counts, "BATCH", token_counts.CHUNK)
+    monkeypatch.setattr(token_counts, "TABLE_LIMIT", 40_000)
+    resets, whole = [], machine.reset
+    machine.reset = lambda: resets.append(len(machine.states) * machine.width) or whole()
+    texts = [unspaced(6000), " ".join(unspaced(40, s) for s in range(200)), "short"]
+    assert machine.count(texts).tolist() == [len(LIBRARY.encode(t)) for t in texts]
+    assert len(resets) > 10
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(max_size=80), max_size=6))
 def test_transducer_on_any_text(texts):
