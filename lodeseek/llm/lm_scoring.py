@@ -146,29 +146,49 @@ def lexicon(counts: DataFrame, head: int) -> tuple[Lexicon, DataFrame]:
     return Lexicon(words, n, bucket_n, bucket_words), tail
 
 
-def _units(shared_lex):
-    """From copy_key, text: copy_key, units (little-endian, two bytes each) of a document."""
+READ = "row_id long, doc_id {}, held_out boolean, copy_key long, n_tokens long, head_known long, head_log double, within double, tail array<binary>, units binary"
+
+
+def _read(shared_lex):
+    """From doc_id, held_out, copy_key, text: the columns of READ. Texts are split once here, for training and for scoring."""
+    names = [c.split()[0] for c in READ.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex = shared_lex.value
-        for batch in batches:
-            for part in slices(batch, 1, SLICE):
-                tokens = lex.read(part.column(1))
-                flat, ends = tokens.units[tokens.number].astype("<u2"), np.concatenate([[0], np.cumsum(tokens.sizes)]) * 2
-                units = pa.Array.from_buffers(pa.binary(), len(tokens.sizes), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(flat)])
-                yield pa.RecordBatch.from_arrays([part.column(0), units], names=["copy_key", "units"])
+        lex, part, n_rows = shared_lex.value, TaskContext.get().partitionId(), 0
+        for whole in batches:
+            for batch in slices(whole, 3, SLICE):
+                tokens = lex.read(batch.column(3))
+                number, sizes = tokens.number, tokens.sizes
+                # the share of a bucket that the words of the head in it take is settled here, that of the others by the join
+                known, head_log, within = (per_text(v[number], sizes) for v in (tokens.known.astype(np.int64), tokens.log_n, tokens.within))
+                behind = tokens.missing[number]
+                offsets = np.concatenate([[0], np.cumsum(per_text(behind.astype(np.int64), sizes))]).astype(np.int32)
+                tails = pa.array(tokens.words, pa.binary()).take(pa.array(number[behind]))
+                flat, ends = tokens.units[number].astype("<u2"), np.concatenate([[0], np.cumsum(sizes)]) * 2
+                units = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(flat)])
+                ids = np.arange(n_rows, n_rows + len(sizes), dtype=np.int64) + (part << 33)
+                n_rows += len(sizes)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids), *batch.columns[:3], pa.array(sizes), pa.array(known), pa.array(head_log), pa.array(within), pa.ListArray.from_arrays(pa.array(offsets), tails), units],
+                    names=names,
+                )
 
     return tidy(run)
 
 
-def training_units(docs: DataFrame, shared_lex, shards: int, rounds: int) -> DataFrame:
+def read_documents(docs: DataFrame, shared_lex) -> DataFrame:
+    """READ of each row: what scoring takes from its words, and its units (little-endian, two bytes each)."""
+    rows = docs.select("doc_id", is_held_out().alias("held_out"), F.xxhash64("doc_id", "text").alias("copy_key"), text_of().alias("text"))
+    return rows.mapInArrow(_read(shared_lex), READ.format(docs.schema["doc_id"].dataType.simpleString()))
+
+
+def training_units(read: DataFrame, shards: int, rounds: int) -> DataFrame:
     """round, shard, place, units of each document to learn from.
 
     Round and shard are by hash of id and text; rows that repeat both go to one shard after
     another, so that a shard's size is bounded however often a row is repeated.
     """
-    rows = docs.filter(~is_held_out()).select(F.xxhash64("doc_id", "text").alias("copy_key"), text_of().alias("text"))
-    each = rows.mapInArrow(_units(shared_lex), "copy_key long, units binary").groupBy("copy_key").agg(F.count("*").alias("n"), F.min("units").alias("units"))
+    each = read.filter(~F.col("held_out")).groupBy("copy_key").agg(F.count("*").alias("n"), F.min("units").alias("units"))
     copies = each.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     place = F.pmod(F.pmod(F.col("copy_key"), F.lit(rounds * shards)) + F.col("copy"), F.lit(rounds * shards))
     return copies.select((place % rounds).cast("int").alias("round"), F.floor(place / rounds).alias("shard"), F.col("copy_key").alias("place"), "units")
@@ -217,29 +237,17 @@ def train(units: DataFrame, lex: Lexicon, shards: int, rounds: int) -> np.ndarra
     return gru.weights(state)
 
 
-def _score(shared_lex, weights):
-    names = ["row_id", "doc_id", "held_out", "n_tokens", "head_known", "head_log", "model_log", "tail"]
+def _score(weights, bos: int):
+    """From row_id, n_tokens, units: row_id and the model's log10 probability of the units."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_temporaries()
-        lex, part, n_rows = shared_lex.value, TaskContext.get().partitionId(), 0
-        scorer = gru.Scorer(weights.value, CLASSES, lex.bos)
+        scorer = gru.Scorer(weights.value, CLASSES, bos)
         for whole in batches:
-            for batch in slices(whole, 2, SLICE):
-                tokens = lex.read(batch.column(2))
-                number, sizes = tokens.number, tokens.sizes
-                model = scorer.score(tokens.units[number], sizes)
-                # the share of a bucket that the words of the head in it take is settled here, that of the others by the join
-                known, head_log, within = (per_text(v[number], sizes) for v in (tokens.known.astype(np.int64), tokens.log_n, tokens.within))
-                behind = tokens.missing[number]
-                offsets = np.concatenate([[0], np.cumsum(per_text(behind.astype(np.int64), sizes))]).astype(np.int32)
-                tails = pa.array(tokens.words, pa.binary()).take(pa.array(number[behind]))
-                ids = np.arange(n_rows, n_rows + len(sizes), dtype=np.int64) + (part << 33)
-                n_rows += len(sizes)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids), batch.column(0), batch.column(1), pa.array(sizes), pa.array(known), pa.array(head_log), pa.array(model + within), pa.ListArray.from_arrays(pa.array(offsets), tails)],
-                    names=names,
-                )
+            for batch in slices(whole, 2, SLICE // 2):
+                units = np.concatenate([np.frombuffer(u.as_buffer(), "<u2") for u in batch.column(2)])
+                model = scorer.score(units.astype(np.int64), batch.column(1).to_numpy())
+                yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[3:], pa.array(model)], names=["row_id", *batch.schema.names[3:], "units_log"])
 
     return tidy(run)
 
@@ -265,35 +273,32 @@ def score_documents(docs: DataFrame, head: int = HEAD, rounds: int = ROUNDS, sha
     shared_lex = spark.sparkContext.broadcast(lex)
 
     shards = max(1, -(-int(total) // (rounds * shard_tokens)))
-    units = stage(training_units(docs, shared_lex, shards, rounds), "training-units", ["round"])
-    flat = train(units, lex, shards, rounds)
+    read = stage(read_documents(docs, shared_lex), "read-documents")
+    units = stage(training_units(read, shards, rounds), "training-units", ["round"])
+    flat = spark.sparkContext.broadcast(train(units, lex, shards, rounds))
     discard(units)
 
-    rows = docs.select("doc_id", is_held_out().alias("held_out"), text_of().alias("text"))
-    scored = stage(
-        rows.mapInArrow(
-            _score(shared_lex, spark.sparkContext.broadcast(flat)),
-            f"row_id long, doc_id {id_type}, held_out boolean, n_tokens long, head_known long, head_log double, model_log double, tail array<binary>",
-        ),
-        "scored",
-    )
+    passed = ["doc_id", "held_out", "n_tokens", "head_known", "head_log", "within"]
+    rows = read.select("row_id", F.col("n_tokens").alias("size"), "units", *passed)
+    schema = f"row_id long, doc_id {id_type}, held_out boolean, n_tokens long, head_known long, head_log double, within double, units_log double"
+    scored = rows.mapInArrow(_score(flat, lex.bos), schema)
     n = F.coalesce("n", F.lit(0))
     rest = (
-        scored.select("row_id", F.explode("tail").alias("word"))
+        read.select("row_id", F.explode("tail").alias("word"))
         .join(tail.select("word", "n"), "word", "left")
         .groupBy("row_id")
         .agg(F.sum(F.log10(n + 1.0)).alias("tail_log"), F.count_if(n > 0).alias("tail_known"))
     )
     tail_log = F.coalesce("tail_log", F.lit(0.0))
     base = F.col("head_log") + tail_log - F.col("n_tokens") * F.log10(F.lit(float(total + distinct + 1)))
-    return scored.drop("tail").join(rest, "row_id", "left").select(
+    return scored.join(rest, "row_id", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("head_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         base.alias("base_score"),
-        (F.col("model_log") + tail_log).alias("score"),
+        (F.col("units_log") + F.col("within") + tail_log).alias("score"),
     )
 
 
