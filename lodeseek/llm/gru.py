@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-CLASS, HIDDEN, EMBED, STEPS = 64, 32, 24, 16
+CLASS, HIDDEN, EMBED, STEPS = 64, 16, 16, 16
 #: Texts are read in so many lanes at most, and in so few that a pass has UPDATES updates if the text allows it.
 LANES, UPDATES = 1024, 60
 
