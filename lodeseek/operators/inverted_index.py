@@ -123,10 +123,14 @@ class InvertedIndex(SegmentIndex):
         """query_id, id, score, rank: the same rows as bm25.search on the live rows. queries: query_id, text."""
         if k <= 0:
             raise ValueError("k must be positive")
-        chosen = self._choose(queries, k, k1, b, average)
+        asked = bm25.alike(queries, self.analyze)  # queries with the same terms are searched once
+        texts = queries.join(asked.filter("query_id = first").select("query_id"), "query_id", "left_semi").select("query_id", "text")
+        chosen = self._choose(texts, k, k1, b, average)
         if chosen is None:
             return bm25.top_k(queries.sparkSession.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, id long, score double"), k)
-        return bm25.top_k(self._scores(chosen, chosen.blocks.filter("needed").select("query_id", "w", "range"), k1, b), k)
+        found = bm25.top_k(self._scores(chosen, chosen.blocks.filter("needed").select("query_id", "w", "range"), k1, b), k)
+        found = found.withColumnRenamed("query_id", "first")
+        return asked.select("query_id", "first").join(found, "first").select("query_id", "id", "score", "rank")
 
     def blocks_read(self, queries: DataFrame, k: int, k1: float = bm25.K1, b: float = bm25.B, average: float | None = None) -> DataFrame:
         """query_id, blocks (of its terms), read (those that a search scores)."""
