@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 
+from lodeseek.functions import html
 from lodeseek.operators import bm25
 
 
@@ -49,3 +50,9 @@ def test_keyword_search_shuffles_no_postings(spark):
     asked = spark.createDataFrame([(i, "some words") for i in range(50)], "query_id long, text string")
     plan = bm25.search(docs, asked, 3)._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [query_id" not in plan and "Aggregate [id" not in plan
+
+
+def test_unclosed_character_references_stay():
+    """As in the SQL of html_text_and_links: a reference that was cut before its semicolon is text."""
+    page = '<body><a href="/x?a=1&copy=2">AT&T</a><h1>a &amp;&amp</h1><p>&lt;b&gt; &copy; &#169; &amp;copy; &lt</p></body>'
+    assert html.parse(page, "https://a.example/") == ("AT&T\na &&amp\n<b> © © &copy; &lt", ["https://a.example/x?a=1&copy=2"])
