@@ -10,6 +10,7 @@ all segments are merged. Ranking is by the cosine, in double precision, as in ve
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,18 +34,28 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.where(norm > 0, norm, 1)
 
 
+def nearest(rows: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's nearest centroid and its cosine, in blocks of bounded size."""
+    cell, near = np.zeros(len(rows), np.int64), np.zeros(len(rows))
+    step = max(1, vector_search.CELLS // len(centroids))
+    for i in range(0, len(rows), step):
+        part = rows[i : i + step] @ centroids.T
+        cell[i : i + step] = part.argmax(axis=1)
+        near[i : i + step] = part.max(axis=1)
+    return cell, near
+
+
 def fit_lists(sample: np.ndarray, lists: int, seed: int = 5) -> np.ndarray:
     """Unit centroids by spherical k-means; an empty cell takes the vector that is farthest from its own."""
     rng = np.random.default_rng(seed)
     centroids = sample[rng.choice(len(sample), lists, replace=False)].copy()
     for _ in range(ROUNDS):
-        near = sample @ centroids.T
-        cell = near.argmax(axis=1)
+        cell, near = nearest(sample, centroids)
         sums = np.zeros_like(centroids)
         np.add.at(sums, cell, sample)
         empty = np.bincount(cell, minlength=lists) == 0
         if empty.any():
-            sums[empty] = sample[np.argsort(near.max(axis=1))[: empty.sum()]]
+            sums[empty] = sample[np.argsort(near)[: empty.sum()]]
         centroids = unit(sums)
     return centroids
 
@@ -52,17 +63,21 @@ def fit_lists(sample: np.ndarray, lists: int, seed: int = 5) -> np.ndarray:
 def probes_needed(sample: np.ndarray, centroids: np.ndarray, aim: float = RECALL) -> int:
     """The lists that the last HELD_OUT vectors of the sample need to find `aim` of their nearest others in it."""
     n = max(1, min(HELD_OUT, len(sample) // 4))
-    asked, cell = sample[-n:], (sample @ centroids.T).argmax(axis=1)
-    near = asked @ sample.T
-    near[np.arange(n), np.arange(len(sample) - n, len(sample))] = -np.inf
     k = min(NEAREST, len(sample) - 1)
     if k < 1:
         return len(centroids)
-    found = cell[np.argpartition(-near, k - 1, axis=1)[:, :k]]
-    order = np.argsort(-(asked @ centroids.T), axis=1, kind="stable")
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.arange(order.shape[1])[None, :], axis=1)
-    place = np.sort(np.take_along_axis(rank, found, axis=1).ravel())
+    cell, places = nearest(sample, centroids)[0], []
+    step = max(1, vector_search.CELLS // len(sample))
+    for i in range(len(sample) - n, len(sample), step):
+        asked = sample[i : i + step]
+        near = asked @ sample.T
+        near[np.arange(len(asked)), np.arange(i, i + len(asked))] = -np.inf
+        found = cell[np.argpartition(-near, k - 1, axis=1)[:, :k]]
+        order = np.argsort(-(asked @ centroids.T), axis=1, kind="stable")
+        rank = np.empty_like(order)
+        np.put_along_axis(rank, order, np.arange(order.shape[1])[None, :], axis=1)
+        places.append(np.take_along_axis(rank, found, axis=1).ravel())
+    place = np.sort(np.concatenate(places))
     return int(place[max(0, int(np.ceil(aim * len(place))) - 1)]) + 1
 
 
@@ -71,7 +86,7 @@ def _assign(shared):
         centroids = shared.value
         for batch in batches:
             rows = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            yield pa.RecordBatch.from_arrays([pa.array((unit(rows) @ centroids.T).argmax(axis=1).astype(np.int32)), *batch.columns], names=["list", "id", "_pos", "embedding"])
+            yield pa.RecordBatch.from_arrays([pa.array(nearest(unit(rows), centroids)[0].astype(np.int32)), *batch.columns], names=["list", "id", "_pos", "embedding"])
 
     return run
 
@@ -90,9 +105,9 @@ def _search(shared, k: int):
             segment, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
             cuts = np.flatnonzero(np.diff(segment) | np.diff(lists)) + 1
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(lists)]):
-                who = asking.get((names[segment[a]], int(lists[a])))
-                if who is not None:
-                    best.add(who, matrix[who] @ rows[a:b].T, ids[a:b])
+                bits = asking.get((names[segment[a]], int(lists[a])))
+                if bits is not None:
+                    best.compare(matrix, rows[a:b], ids[a:b], np.flatnonzero(np.unpackbits(bits, count=len(matrix))))
         yield best.batch()
 
     return run
@@ -128,29 +143,33 @@ class VectorIndex(SegmentIndex):
         self.put("centroids", segment, self.spark.createDataFrame(table, CENTROIDS).coalesce(1))
 
     def probed(self, matrix: np.ndarray, k: int, probes: int | None = None) -> tuple[dict[tuple[str, int], np.ndarray], int, int]:
-        """The rows of the matrix (unit vectors) that ask each (segment, list); the number of such pairs, and of all there could be."""
+        """Packed bits of the rows of the matrix (unit vectors) that ask each (segment, list); the number of such pairs, and of all there could be."""
         manifest, segments = self.current()
         by_segment: dict[str, list] = {}
         for r in self.read("centroids", segments, CENTROIDS).collect() if segments else []:  # MOST_LISTS rows a segment at most
-            by_segment.setdefault(r.w, []).append(r)
+            by_segment.setdefault(r.w, []).append((r.list, r.n, r.probes, np.array(r.centroid, np.float64)))
         asking: dict[tuple[str, int], np.ndarray] = {}
         asked = every = 0
         for w, rows in sorted(by_segment.items()):
-            rows.sort(key=lambda r: r.list)
-            sizes = np.array([r.n for r in rows])
-            order = np.argsort(-(matrix @ np.array([r.centroid for r in rows], np.float64).T), axis=1, kind="stable")
+            rows.sort(key=lambda r: r[0])
+            sizes, centroids = np.array([n for _, n, _, _ in rows]), np.array([c for *_, c in rows])
             hidden = manifest.deleted[w].n if w in manifest.deleted else 0
-            # lists until the probes are made and k live rows are certain
-            before = np.cumsum(sizes[order], axis=1) - sizes[order]
-            wanted = (np.arange(len(rows))[None, :] < (probes or rows[0].probes)) | (before - hidden < k)
-            wanted &= sizes[order] > 0
-            who, place = np.nonzero(wanted)
-            of = order[who, place]
-            by_list = np.argsort(of, kind="stable")
-            lists, first = np.unique(of[by_list], return_index=True)
-            asking |= {(w, int(i)): who[part] for i, part in zip(lists, np.split(by_list, first[1:]))}
-            asked += int(wanted.sum())
+            bits = []
+            step = max(8, vector_search.CELLS // len(rows) // 8 * 8)
+            for i in range(0, len(matrix), step):
+                order = np.argsort(-(matrix[i : i + step] @ centroids.T), axis=1, kind="stable")
+                # lists until the probes are made and k live rows are certain
+                before = np.cumsum(sizes[order], axis=1) - sizes[order]
+                wanted = (np.arange(len(rows))[None, :] < (probes or rows[0][2])) | (before - hidden < k)
+                wanted &= sizes[order] > 0
+                asked += int(wanted.sum())
+                of = np.zeros_like(wanted)
+                np.put_along_axis(of, order, wanted, axis=1)
+                bits.append(np.packbits(of, axis=0))
             every += len(matrix) * int((sizes > 0).sum())
+            for place, packed in enumerate(np.concatenate(bits).T if bits else []):
+                if packed.any():
+                    asking[w, rows[place][0]] = np.ascontiguousarray(packed)
         return asking, asked, every
 
     def search(self, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
@@ -158,11 +177,19 @@ class VectorIndex(SegmentIndex):
 
         queries: query_id (long), embedding. `probes`: lists a segment, instead of those found at the build.
         """
+        parts, _ = vector_search.batches(queries, k, self.width)
+        found = [x for part in parts if (x := self._found(part, k, probes)) is not None]
+        if not found:
+            found = [self.spark.createDataFrame([], "query_id long, id long, score double")]
+        return bm25.top_k(reduce(DataFrame.unionByName, found), k)
+
+    def _found(self, queries: DataFrame, k: int, probes: int | None) -> DataFrame | None:
+        """query_id, id, score: the best of each task, for queries that travel to every task."""
         query_ids, matrix = vector_search.checked(queries, k, self.width)
         manifest, segments = self.current()
         asking = self.probed(matrix, k, probes)[0]
         if not asking:
-            return bm25.top_k(self.spark.createDataFrame([], "query_id long, id long, score double"), k)
+            return None
         wanted = [(s, sorted(i for w, i in asking if w == s.name)) for s in segments]
         chosen = F.lit(False)
         for s, lists in wanted:
@@ -170,7 +197,7 @@ class VectorIndex(SegmentIndex):
         rows = self.read("lists", [s for s, lists in wanted if lists], LISTS).filter(chosen)
         live = self.catalog.visible(self.table, manifest, rows).select("w", "list", "id", "embedding")
         shared = self.spark.sparkContext.broadcast((query_ids, matrix, asking))
-        return bm25.top_k(live.mapInArrow(_search(shared, k), "query_id long, id long, score double"), k)
+        return live.mapInArrow(_search(shared, k), "query_id long, id long, score double")
 
     def vectors(self) -> DataFrame:
         """id, embedding of the live rows, for an exact search."""

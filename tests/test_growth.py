@@ -1,12 +1,14 @@
 """What must not grow with queries times rows, and results across the bounds of a batch or a pass."""
 
 import math
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 
 from lodeseek.functions import html
-from lodeseek.operators import bm25
+from lodeseek.operators import bm25, vector_index, vector_search
+from lodeseek.sources.catalog import Catalog
 
 
 def plain_bm25(texts, queries, k):
@@ -56,3 +58,33 @@ def test_unclosed_character_references_stay():
     """As in the SQL of html_text_and_links: a reference that was cut before its semicolon is text."""
     page = '<body><a href="/x?a=1&copy=2">AT&T</a><h1>a &amp;&amp</h1><p>&lt;b&gt; &copy; &#169; &amp;copy; &lt</p></body>'
     assert html.parse(page, "https://a.example/") == ("AT&T\na &&amp\n<b> © © &copy; &lt", ["https://a.example/x?a=1&copy=2"])
+
+
+def test_vector_search_of_more_queries_than_a_pass_holds(spark, monkeypatch, tmp_path):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(700, 8))
+    x[::5] = x[0]
+    rows = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "chunk_id long, embedding array<float>")
+    store = Catalog(spark, str(tmp_path))
+    store.append("embeddings", rows)
+    index = vector_index.VectorIndex(store, 8, list_rows=20)
+    vectors, asked = rows.withColumnRenamed("chunk_id", "id"), rows.withColumnRenamed("chunk_id", "query_id")
+    key = lambda df: sorted(map(tuple, df.select("query_id", "rank", "id", "score").collect()))
+    want = key(vector_search.search(vectors, asked, 5))
+    monkeypatch.setattr(vector_search, "QUERY_BYTES", 20_000)
+    monkeypatch.setattr(vector_search, "CELLS", 3_000)
+    assert len(vector_search.batches(asked, 5)[0]) > 1
+    got = key(vector_search.search(vectors, asked, 5)), key(index.search(asked, 5, probes=10**6))
+    for found in got:
+        assert [r[:3] for r in found] == [r[:3] for r in want] and np.allclose([r[3] for r in found], [r[3] for r in want])
+
+
+def test_lists_are_fitted_in_bounded_memory():
+    rng = np.random.default_rng(7)
+    sample = vector_index.unit(rng.normal(size=(20_000, 16)))
+    tracemalloc.start()
+    centroids = vector_index.fit_lists(sample, 1000)
+    probes = vector_index.probes_needed(sample, centroids)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 1 <= probes <= 1000 and peak < 60_000_000  # 160 MB for the whole table of samples by lists
