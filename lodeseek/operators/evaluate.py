@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import reduce
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +26,17 @@ def metrics_at_k(results: DataFrame, qrels: DataFrame, cutoffs: tuple[int, ...]
     """
     judged = results.join(qrels, ["query_id", "id"], "left").select(*by, "rank", F.coalesce("relevance", F.lit(0)).alias("relevance"))
     gain = (F.pow(F.lit(2.0), F.col("relevance")) - 1) / F.log2(F.col("rank") + 1.0)
-    ideal = qrels.filter("relevance > 0").withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("relevance"), "id")))
+    # the best order needs the number of each relevance alone, so that no judgment is sorted
+    levels = qrels.filter("relevance > 0").groupBy("query_id", "relevance").agg(F.count("*").alias("n"))
+    levels = levels.withColumn("end", F.sum("n").over(W.partitionBy("query_id").orderBy(F.desc("relevance"))))
+    weights = [0.0, *accumulate(1 / math.log2(r + 1) for r in range(1, max(cutoffs) + 1))]
+    upto = lambda place, k: F.get(F.array(*map(F.lit, weights[: k + 1])), F.least(place, F.lit(k)).cast("int"))
+    worth = lambda k: (F.pow(F.lit(2.0), F.col("relevance")) - 1) * (upto(F.col("end"), k) - upto(F.col("end") - F.col("n"), k))
     dcg = judged.groupBy(*by).agg(
         *[F.sum(F.when(F.col("rank") <= k, gain).otherwise(0.0)).alias(f"dcg_{k}") for k in cutoffs],
         *[F.count_if((F.col("rank") <= k) & (F.col("relevance") > 0)).alias(f"hit_{k}") for k in cutoffs],
     )
-    best = ideal.groupBy("query_id").agg(F.count("*").alias("n_relevant"), *[F.sum(F.when(F.col("rank") <= k, gain).otherwise(0.0)).alias(f"ideal_{k}") for k in cutoffs])
+    best = levels.groupBy("query_id").agg(F.sum("n").alias("n_relevant"), *[F.sum(worth(k)).alias(f"ideal_{k}") for k in cutoffs])
     joined = dcg.join(best, "query_id", "left")
     at = F.explode(
         F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"dcg_{k}").alias("dcg"), F.col(f"hit_{k}").alias("hit"), F.col(f"ideal_{k}").alias("ideal")) for k in cutoffs])
