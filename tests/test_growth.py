@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 
 from lodeseek.functions import html
-from lodeseek.operators import bm25, vector_index, vector_search
+from lodeseek.operators import bm25, evaluate, synthetic, vector_index, vector_search
 from lodeseek.sources.catalog import Catalog
 
 
@@ -88,3 +88,33 @@ def test_lists_are_fitted_in_bounded_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert 1 <= probes <= 1000 and peak < 60_000_000  # 160 MB for the whole table of samples by lists
+
+
+def test_best_order_is_counted_not_sorted(spark):
+    """Ideal gains from the number of each relevance: as from the sorted judgments, and without a window over them."""
+    rng = np.random.default_rng(9)
+    judged = [(q, i, int(rng.integers(0, 4))) for q in range(4) for i in range(30 + q)]
+    results = [(q, int(i), r) for q in range(4) for r, i in enumerate(rng.permutation(40)[:12], 1)]
+    found = evaluate.metrics_at_k(
+        spark.createDataFrame(results, "query_id long, id long, rank int"), spark.createDataFrame(judged, "query_id long, id long, relevance int"), (1, 5, 10)
+    )
+    assert "row_number" not in found._jdf.queryExecution().optimizedPlan().toString()
+    gain = lambda rels: sum((2**x - 1) / math.log2(r + 1) for r, x in enumerate(rels, 1))
+    of = {(q, i): x for q, i, x in judged}
+    for row in found.collect():
+        best = sorted((x for q, _, x in judged if q == row.query_id), reverse=True)[: row.k]
+        got = [of.get((q, i), 0) for q, i, r in results if q == row.query_id and r <= row.k]
+        assert math.isclose(row.ndcg, gain(got) / gain(best), rel_tol=1e-9, abs_tol=1e-12)
+
+
+def test_synthetic_queries_in_passes(spark, monkeypatch):
+    """The same queries and judgments, however many terms a pass takes; terms meet documents without a shuffle of postings."""
+    rng = np.random.default_rng(3)
+    docs = spark.createDataFrame([(i, " ".join(f"w{w}" for w in rng.zipf(1.5, 25) % 60 + 10)) for i in range(200)], "id long, text string")
+    rows = lambda x: [sorted(map(tuple, t.collect())) for t in x]
+    want = rows(synthetic.queries_of(docs, docs.filter("id % 5 = 0"), 4))
+    monkeypatch.setattr(synthetic, "MAX_PAIRS", 50)
+    assert rows(synthetic.queries_of(docs, docs.filter("id % 5 = 0"), 4)) == want
+    texts, words = dict(want[0]), {r.id: set(r.text.split()) for r in docs.collect()}
+    plain = [(q, i, 2 if q == i else 1) for q, t in texts.items() for i, held in words.items() if q == i or 2 * len(held & set(t.split())) >= len(t.split())]
+    assert len(texts) == 40 and want[1] == sorted(plain)
