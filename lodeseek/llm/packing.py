@@ -20,14 +20,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, text_of, tidy
+from .common import settings, stage, text_of, tidy
 from .words import per_text, slices, split_words
 
 #: Words are remembered until there are so many, then only those of the last rows; longer ones than MEMO_BYTES never are.
 MEMO_WORDS, MEMO_BYTES, WORDS_A_CALL = 400_000, 64, 256
 PLAIN = re.compile("[a-zß-öø-ÿ]+")
 #: Bytes of text, and of ids, taken together.
-TEXT_SLICE, IDS_SLICE = 6_000_000, 8_000_000
+TEXT_SLICE, IDS_SLICE = 3_000_000, 8_000_000
+#: Rows that Spark hands over together while texts are tokenized: they lie in memory on both sides.
+BATCH_ROWS = "4096"
 #: The steps before the model of tokenizers whose words can be taken one by one.
 WORD_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
 WORD_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
@@ -198,12 +200,13 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1
     spark = docs.sparkSession
     width = 2 if Tokenizer.from_file(tokenizer_path).get_vocab_size() < 1 << 16 else 4
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    ids = stage(
-        docs.select("doc_id", text_of().alias("text")).mapInArrow(
-            _tokenize(tokenizer_path, end_id), f"doc_id {id_type}, part long, part_start long, doc_tokens long, ids binary"
-        ),
-        "packed-ids",
-    )
+    with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS}):
+        ids = stage(
+            docs.select("doc_id", text_of().alias("text")).mapInArrow(
+                _tokenize(tokenizer_path, end_id), f"doc_id {id_type}, part long, part_start long, doc_tokens long, ids binary"
+            ),
+            "packed-ids",
+        )
     offsets, at = {}, 0
     for part, total in sorted(map(tuple, ids.groupBy("part").agg(F.sum("doc_tokens")).collect())):  # a row for each partition
         offsets[part], at = at, at + total
