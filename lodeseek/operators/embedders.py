@@ -6,10 +6,12 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.slices import cuts
+
 BATCH = 64
 
 
@@ -77,11 +79,15 @@ def unload(name: str) -> None:
 def embed(docs: DataFrame, load: Callable[[], Callable[[list[str]], np.ndarray]], text: str = "text") -> DataFrame:
     """docs and embedding. load is called once a task, where a model is read (see `once`); each text is embedded for itself."""
 
-    @F.pandas_udf("array<float>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<float>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = load()
         for batch in batches:
-            rows = [v for i in range(0, len(batch), BATCH) for v in model(batch.iloc[i : i + BATCH].fillna("").tolist()).astype(np.float32)]
-            yield pd.Series(rows, index=batch.index)
+            parts = [pa.array([], pa.list_(pa.float32()))]
+            for a, b in cuts(batch, rows=BATCH):
+                rows = np.asarray(model([t or "" for t in batch.slice(a, b - a).to_pylist()]), np.float32)
+                ends = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+                parts.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(rows.ravel())))
+            yield pa.concat_arrays(parts)
 
     return docs.withColumn("embedding", run(text))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.slices import cuts
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, max_length: int = 512) -> DataFrame:
@@ -19,9 +20,12 @@ def tokenize(docs: DataFrame, tokenizer_path: str, max_length: int = 512) -> Dat
 
         tokenizer = Tokenizer.from_file(tokenizer_path)
         tokenizer.enable_truncation(max_length)
-        for batch in batches:
-            ids = [e.ids for e in tokenizer.encode_batch(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["id", "ids"])
+        for whole in batches:
+            for a, b in cuts(whole.column(1)):
+                batch = whole.slice(a, b - a)
+                # a text at a time: the library keeps what it cuts off until the ids are taken
+                ids = [tokenizer.encode(text).ids for text in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["id", "ids"])
 
     checked = F.when(~T.has_text(F.col("text")), F.raise_error(F.lit("empty text")).cast("string")).otherwise(F.col("text"))
     kind = docs.schema["id"].dataType.simpleString()

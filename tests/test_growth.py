@@ -1,13 +1,17 @@
 """What must not grow with queries times rows, and results across the bounds of a batch or a pass."""
 
+import inspect
 import math
 import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from lodeseek.functions import html
-from lodeseek.operators import bm25, evaluate, synthetic, vector_index, vector_search
+from lodeseek.functions.slices import cuts
+from lodeseek.llm import quality
+from lodeseek.operators import bm25, evaluate, synthetic, tokenize, vector_index, vector_search
 from lodeseek.sources.catalog import Catalog
 
 
@@ -118,3 +122,29 @@ def test_synthetic_queries_in_passes(spark, monkeypatch):
     texts, words = dict(want[0]), {r.id: set(r.text.split()) for r in docs.collect()}
     plain = [(q, i, 2 if q == i else 1) for q, t in texts.items() for i, held in words.items() if q == i or 2 * len(held & set(t.split())) >= len(t.split())]
     assert len(texts) == 40 and want[1] == sorted(plain)
+
+
+def test_batches_are_cut_by_bytes_and_rows():
+    """Python objects are made of slices of a batch: by bytes, by rows, and a long text alone."""
+    texts = pa.array(["a" * 10] * 5 + ["b" * 1000, None, ""] + ["c"] * 7)
+    found = list(cuts(texts, 25, 4))
+    assert [a for a, _ in found[1:]] == [b for _, b in found[:-1]] and found[0][0] == 0 and found[-1][1] == len(texts)
+    assert all(b - a <= 4 and (b - a == 1 or sum(len(t or "") for t in texts[a:b].to_pylist()) <= 25) for a, b in found)
+    assert list(cuts(texts[3:6], 25, 4)) == [(0, 2), (2, 3)] and list(cuts(texts[:0])) == []
+
+
+def test_token_ids_of_long_texts_are_cut(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    plain.enable_truncation(16)
+    texts = ["some words " * n for n in (1, 3, 4000)] * 5
+    got = tokenize.tokenize(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), path, 16).collect()
+    assert [r.ids for r in sorted(got)] == [plain.encode(t).ids for t in texts]
+
+
+def test_quality_model_is_fitted_on_all_trusted_texts():
+    assert inspect.signature(quality.fit).parameters["fit_rows"].default is None
+    assert inspect.signature(quality.judge).parameters["fit_rows"].default is None
