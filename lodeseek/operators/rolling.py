@@ -35,15 +35,20 @@ def snapshot(samples: DataFrame, by: str, window_s: int, keep: int = NEWEST) ->
 def trailing(samples: DataFrame, by: str, window_s: int) -> DataFrame:
     """Each sample with the count and average over the window_s seconds up to it.
 
-    A kind's history is cut into stretches of window_s seconds; each also gets the rows
-    of the one before as context, so that a task holds two stretches, not a whole kind.
+    Samples are summed up by second first, so that a frame holds at most window_s + 1 rows
+    however dense they are. A kind's history is cut into stretches of window_s seconds;
+    each also gets the seconds of the one before as context, so that a task holds two
+    stretches, not a whole kind.
     """
     second = F.floor(F.col("ts").cast("timestamp").cast("double")).cast("long")
-    timed = samples.withColumn("_s", second).withColumn("_own", F.floor(F.col("_s") / window_s).cast("long"))
-    placed = timed.withColumn("_stretch", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
-    w = W.partitionBy(by, "_stretch").orderBy("_s").rangeBetween(-window_s, 0)
-    rolled = placed.withColumn("n", F.count("*").over(w)).withColumn("average", F.avg("duration_ms").over(w))
-    return rolled.filter("_stretch = _own").drop("_s", "_own", "_stretch")
+    timed = samples.withColumn("_s", second)
+    summed = timed.groupBy(F.col(by).alias("_kind"), F.col("_s").alias("_second")).agg(F.count("*").alias("_n"), F.count("duration_ms").alias("_sized"), F.sum("duration_ms").alias("_total"))
+    summed = summed.withColumn("_own", F.floor(F.col("_second") / window_s).cast("long"))
+    placed = summed.withColumn("_stretch", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
+    w = W.partitionBy("_kind", "_stretch").orderBy("_second").rangeBetween(-window_s, 0)
+    rolled = placed.select("_kind", "_second", "_own", "_stretch", F.sum("_n").over(w).alias("n"), F.try_divide(F.sum("_total").over(w), F.sum("_sized").over(w)).alias("average"))
+    rolled = rolled.filter("_stretch = _own").select("_kind", "_second", "n", "average")
+    return timed.join(rolled, F.col(by).eqNullSafe(F.col("_kind")) & (F.col("_s") == F.col("_second"))).drop("_s", "_kind", "_second")
 
 
 def percentiles(samples: DataFrame, by: str, shares: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:

@@ -7,11 +7,12 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from lodeseek.functions import html
 from lodeseek.functions.slices import cuts
 from lodeseek.llm import quality
-from lodeseek.operators import bm25, evaluate, synthetic, tokenize, vector_index, vector_search
+from lodeseek.operators import bm25, evaluate, rolling, synthetic, tokenize, vector_index, vector_search
 from lodeseek.sources.catalog import Catalog
 
 
@@ -148,3 +149,19 @@ def test_token_ids_of_long_texts_are_cut(spark):
 def test_quality_model_is_fitted_on_all_trusted_texts():
     assert inspect.signature(quality.fit).parameters["fit_rows"].default is None
     assert inspect.signature(quality.judge).parameters["fit_rows"].default is None
+
+
+def test_trailing_figures_of_dense_samples(spark):
+    """Many samples a second, null durations and a null kind: as by brute force, and no window over the samples themselves."""
+    rng = np.random.default_rng(2)
+    rows = [(i, [None, "a", "b"][i % 3], 1_700_000_000 + float(rng.integers(0, 400)) / 4, None if i % 7 == 0 else float(i % 11)) for i in range(900)]
+    samples = spark.createDataFrame(rows, "id long, kind string, t double, duration_ms double").withColumn("ts", F.col("t").cast("timestamp"))
+    found = rolling.trailing(samples, "kind", 10)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate [kind") > plan.index("Window [")  # what the window reads is summed up
+    got = {r.id: (r.n, r.average) for r in found.collect()}
+    for i, kind, t, _ in rows:
+        near = [v for _, k, u, v in rows if k == kind and int(t) - 10 <= int(u) <= int(t)]
+        some = [v for v in near if v is not None]
+        assert got[i][0] == len(near) and math.isclose(got[i][1], sum(some) / len(some), rel_tol=1e-12)
+    assert len(got) == len(rows)
