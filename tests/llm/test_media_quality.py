@@ -178,3 +178,25 @@ def test_quality_of_awkward_rows(spark):
         assert all(r.keep for r in got if r.doc_id in (1, 4, 5))
     assert quality.judge(empty(spark), labels).count() == 0
     assert all(r.keep for r in quality.judge(documents(spark), labels.limit(0)).collect() if r.text)
+
+
+def test_texts_without_trust_are_not_shuffled_to_fit(spark, tmp_path, monkeypatch):
+    """Where the trusted ids are too many to broadcast, a Bloom filter leaves the others out before the shuffle."""
+    before, plans = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), []
+    staged = quality.stage
+    monkeypatch.setattr(quality, "stage", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or staged(df, name))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.createDataFrame(list(enumerate([*TRUSTED, *OTHERS])), "doc_id long, text string")
+        labels = docs.selectExpr("doc_id", f"IF(doc_id < {len(TRUSTED)}, 1, 0) AS quality", "0 AS toxic")
+        labels.union(labels).write.parquet(f"{tmp_path}/labels")
+        docs.write.parquet(f"{tmp_path}/docs")
+        model = quality.fit(spark.read.parquet(f"{tmp_path}/docs"), spark.read.parquet(f"{tmp_path}/labels"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" in plans[0] and "might_contain" in plans[0]
+    want = fitted(spark, TRUSTED)
+    by_key = lambda m: sorted(m.table.collect(), key=lambda r: r.key)
+    assert model.floor == want.floor and len(by_key(model)) == len(by_key(want))
+    for a, b in zip(by_key(model), by_key(want)):
+        assert (a.key, a.p, a.left) == (b.key, b.p and pytest.approx(b.p), b.left and pytest.approx(b.left))
