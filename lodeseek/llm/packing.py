@@ -12,20 +12,23 @@ import json
 import re
 import zlib
 from collections.abc import Callable, Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import settings, stage, text_of, tidy
-from .words import per_text, slices, split_words
+from .words import per_text, slices, split_distinct
 
 #: Words are remembered until there are so many, then only those of the last rows; longer ones than MEMO_BYTES never are.
 MEMO_WORDS, MEMO_BYTES, WORDS_A_CALL = 400_000, 64, 256
 PLAIN = re.compile("[a-zß-öø-ÿ]+")
+#: A word that ends in a comma or full stop behind a letter or digit.
+ENDED = "[0-9a-z][,.]$"
 #: Bytes of text, and of ids, taken together.
 TEXT_SLICE, IDS_SLICE = 3_000_000, 8_000_000
 #: Rows that Spark hands over together while texts are tokenized: they lie in memory on both sides.
@@ -57,6 +60,12 @@ def _tokenizers(path: str):
     return whole, bare, between, [content.encode() for content in special.values()]
 
 
+def _gathered(ids: np.ndarray, length: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """The stretches of ids with these numbers, one after another; length: of each stretch."""
+    first, n = np.cumsum(length) - length, length[number]
+    return ids[np.repeat(first[number] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+
+
 class WordEncoder:
     """Ids of whole texts by those of their distinct words.
 
@@ -75,49 +84,63 @@ class WordEncoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() < 1 << 16 else "<u4")
         self.memo: dict[bytes, bytes] = {}
 
-    def _learn(self, words: list[str], tokenizer) -> None:
+    def _learn(self, words: list[bytes], tokenizer) -> None:
         width, mark = self.dtype.itemsize, tokenizer.token_to_id(self.between)
         for i in range(0, len(words), WORDS_A_CALL):
             part = words[i : i + WORDS_A_CALL]
-            text = f" {self.between} ".join(part)
+            text = f" {self.between} ".encode().join(part).decode()
             ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
             cuts = [0, *(np.flatnonzero(ids == mark) + 1).tolist(), len(ids) + 1]
             data = ids.tobytes()
             for w, a, b in zip(part, cuts, cuts[1:]):
-                self.memo[w.encode()] = data[a * width : (b - 1) * width]
-
-    def word_ids(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each of these distinct words."""
-        memo, stems, ends, odd = self.memo, [], [], {}
-        for i, w in enumerate(words):
-            low = w.lower()
-            end = b""
-            if low[-1:] in (b",", b".") and low[-2:-1].isalnum():
-                low, end = low[:-1], low[-1:]
-            elif b"<|" in low and any(s in low for s in self.special):
-                odd[i] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, self.dtype).tobytes()
-                low = b""
-            stems.append(low)
-            ends.append(end)
-        if b"<|" in b" ".join(words):  # a special string before a last full stop
-            for i, w in enumerate(words):
-                if i not in odd and any(s in w.lower() for s in self.special):
-                    odd[i] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, self.dtype).tobytes()
-                    stems[i] = ends[i] = b""
-        new = [w.decode() for w in {w for w in (*stems, b".", b",") if w not in memo and w}]
-        plain = [w for w in new if PLAIN.fullmatch(w)]
+                self.memo[w] = data[a * width : (b - 1) * width]
+
+    def _odd(self, low: pa.Array) -> pa.Array | None:
+        """Which of these lower-cased words hold a special string, None if none does."""
+        marked = pc.match_substring(low, "<|")
+        if not pc.any(marked).as_py():
+            return None
+        found = [pc.match_substring(low, s.decode()) for s in self.special]
+        return pc.and_(marked, reduce(pc.or_, found))
+
+    def word_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these distinct words one after another, and how many each has."""
+        memo, low = self.memo, pc.ascii_lower(words)
+        ended, stems = pc.match_substring_regex(low, ENDED), low.cast(pa.binary())
+        odd = self._odd(low)
+        if odd is not None:
+            ended = pc.and_not(ended, odd)
+        stems = pc.if_else(ended, pc.binary_slice(stems, 0, -1), stems)
+        own = {}
+        if odd is not None:
+            stems = pc.if_else(odd, words.cast(pa.binary()), stems)
+            for w in words.filter(odd).cast(pa.binary()).to_pylist():
+                own[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, self.dtype).tobytes()
+        coded = stems.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        of = [own[w] if w in own else memo.get(w) for w in distinct] if own else list(map(memo.get, distinct))
+        ends_of = (b".", b",")
+        plain, other = [], [w for w in ends_of if w not in memo]
+        missing = [i for i, x in enumerate(of) if x is None]
+        for i in missing:
+            w = distinct[i]
+            if w not in ends_of:
+                (plain if PLAIN.fullmatch(w.decode()) else other).append(w)
         self._learn(plain, self.bare)
-        self._learn([w for w in new if not PLAIN.fullmatch(w)], self.tokenizer)
-        memo[b""] = b""
-        out = [memo[w] + memo[e] if e else memo[w] for w, e in zip(stems, ends)]
-        for i, ids in odd.items():
-            out[i] = ids
-        for w in new:
+        self._learn(other, self.tokenizer)
+        ends = [b"", *(memo[w] for w in ends_of)]  # what stands behind a stem
+        for i in missing:
+            of[i] = memo[distinct[i]]
+        for w in (*plain, *other):
             if len(w) > MEMO_BYTES:
-                del memo[w.encode()]
+                del memo[w]
         if len(memo) > MEMO_WORDS:
-            self.memo = {w: memo[w] for w in stems if w in memo}
-        return out
+            self.memo = {w: memo[w] for w in distinct if w in memo}
+        length = np.array([len(x) for x in (*of, *ends)], np.int64) // self.dtype.itemsize
+        ids = np.frombuffer(b"".join([*of, *ends]), self.dtype)
+        behind = np.where(ended, np.where(pc.ends_with(low, "."), 1, 2), 0)
+        parts = np.stack([coded.indices.to_numpy(), len(of) + behind], 1)
+        return _gathered(ids, length, parts.ravel()), length[parts].sum(1)
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by end_id, and how many each has."""
@@ -126,13 +149,10 @@ class WordEncoder:
             totals = np.array([len(x) for x in found], np.int64)
             flat = np.concatenate([np.zeros(0, self.dtype), *found])
             return np.insert(flat, np.cumsum(totals), end_id), totals + 1
-        number, words, sizes = split_words(texts)
-        of = self.word_ids(words)
-        length = np.array([len(x) for x in of], np.int64) // self.dtype.itemsize
-        ids, first = np.frombuffer(b"".join(of), self.dtype), np.cumsum(length) - length
-        n = length[number]
-        flat = ids[np.repeat(first[number] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-        totals = per_text(n, sizes)
+        number, words, sizes = split_distinct(texts)
+        ids, length = self.word_ids(words)
+        flat = _gathered(ids, length, number)
+        totals = per_text(length[number], sizes)
         return np.insert(flat, np.cumsum(totals), end_id), totals + 1
 
 

@@ -25,7 +25,7 @@ def slices(batch: pa.RecordBatch, column: int, size: int = SLICE_BYTES) -> Itera
         at = to
 
 
-def split_words(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+def split_distinct(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Number of each word in order, the distinct words in order of first appearance, and the words of each text.
 
     Words are what lies between ASCII white space; no word is empty. No text is null.
@@ -34,18 +34,24 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     coded = pc.list_flatten(lists).dictionary_encode()
     number = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    words = coded.dictionary.cast(pa.binary()).to_pylist()
-    if b"" in words:  # white space at either end of a text
-        empty = words.index(b"")
+    words = coded.dictionary
+    empty = pc.index(words, pa.scalar("", words.type)).as_py()
+    if empty >= 0:  # white space at either end of a text
         real = number != empty
         text = np.repeat(np.arange(len(sizes)), sizes)
         sizes = np.bincount(text[real], minlength=len(sizes))
         number = number[real]
         number[number > empty] -= 1
-        del words[empty]
+        words = words.filter(pc.not_equal(words, pa.scalar("", words.type)))
     return number, words, sizes
 
 
+def split_words(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """The same with the distinct words as bytes."""
+    number, words, sizes = split_distinct(texts)
+    return number, words.cast(pa.binary()).to_pylist(), sizes
+
+
 def per_text(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Sums of consecutive stretches of values, empty ones too."""
     ends = np.cumsum(sizes)

@@ -1,4 +1,5 @@
 import random
+import sys
 import time
 import zlib
 from collections import defaultdict
@@ -164,3 +165,18 @@ def test_packing_query(spark):
 def test_unsupported_models_are_refused(tmp_path):
     with pytest.raises(Exception):
         token_counts.CountingTransducer(str(tmp_path / "none.model"))
+
+
+def test_known_words_take_no_steps_of_python_each():
+    """But for one length: forms, last stops and special strings are found for whole columns."""
+    encoder, calls = packing.WordEncoder(WORDS), []
+    texts = pa.array([" ".join(f"Word{i}x, word{i}x w{i}." for i in range(2000)), "a <|endoftext|>b. <|EndOfText|>. end."])
+    want, n = encoder.encode(texts, 1)
+    for t, b, k in zip(texts.to_pylist(), np.cumsum(n), n):
+        assert want[b - k : b].tolist() == [*TOKENIZER.encode(t, add_special_tokens=False).ids, 1]
+    sys.setprofile(lambda frame, event, arg: calls.append(event))
+    try:
+        again, _ = encoder.encode(texts, 1)
+    finally:
+        sys.setprofile(None)
+    assert (again == want).all() and len(calls) < 2 * 2 * 6000
