@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lodeseek.llm import media, quality
+from lodeseek.llm import common, media, quality
 
 from ..conftest import DATA
 from .fixtures import clashing, documents, empty, rows
@@ -200,3 +200,9 @@ def test_texts_without_trust_are_not_shuffled_to_fit(spark, tmp_path, monkeypatc
     assert model.floor == want.floor and len(by_key(model)) == len(by_key(want))
     for a, b in zip(by_key(model), by_key(want)):
         assert (a.key, a.p, a.left) == (b.key, b.p and pytest.approx(b.p), b.left and pytest.approx(b.left))
+
+
+def test_scored_slices_give_their_memory_back(monkeypatch):
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(1))
+    assert common.tidy_cogroup(lambda a, b: a + b)(1, 2) == 3 and calls == [1]
