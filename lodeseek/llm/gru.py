@@ -12,6 +12,8 @@ import numpy as np
 CLASS, HIDDEN, EMBED, STEPS = 64, 16, 16, 16
 #: Texts are read in so many lanes at most, and in so few that a pass has UPDATES updates if the text allows it.
 LANES, UPDATES = 1024, 60
+#: Rows whose logits are made at a time, so that they stay in the processor's cache.
+BLOCK = 2048
 
 
 def shapes(classes: int) -> dict[str, tuple[int, ...]]:
@@ -55,8 +57,38 @@ def initial(counts: np.ndarray, seed: int = 11) -> np.ndarray:
     return flat
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def _bordered(weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """The weights with the bias as their last row, for states whose last column is 1."""
+    return np.concatenate([weights, bias[..., None, :]], axis=-2)
+
+
+def _gates(w: dict[str, np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """What each unit adds to the gates z, r and to the new state, and the weights of the state before; z and r negated, as _advance takes them."""
+    parts = [(slice(0, HIDDEN), -1), (slice(HIDDEN, 2 * HIDDEN), -1), (slice(2 * HIDDEN, 3 * HIDDEN), 1)]
+    tables = [w["embed"] @ (sign * w["gates"][:, part]) + sign * w["gates_bias"][part] for part, sign in parts]
+    return tables, [*(-w["recur"][:, part] for part, _ in parts[:2]), w["recur_new"]]
+
+
+def _gate(h: np.ndarray, recur: np.ndarray, pre: np.ndarray) -> np.ndarray:
+    """sigmoid(x) is 1 / (1 + exp(-x)); recur and pre are negated."""
+    out = h @ recur
+    out += pre
+    np.exp(out, out=out)
+    out += 1
+    return np.reciprocal(out, out=out)
+
+
+def _advance(h: np.ndarray, pre: list[np.ndarray], recur: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """The next state of each row; the gates z and r, what r lets pass, and the new state that z mixes in."""
+    z, r = _gate(h, recur[0], pre[0]), _gate(h, recur[1], pre[1])
+    passed = r * h
+    n = passed @ recur[2]
+    n += pre[2]
+    np.tanh(n, out=n)
+    out = h - n
+    out *= z
+    out += n
+    return out, z, r, passed, n
 
 
 def _less_target(logits: np.ndarray, target: np.ndarray, scale: np.ndarray, safe: bool) -> np.ndarray:
@@ -69,6 +101,18 @@ def _less_target(logits: np.ndarray, target: np.ndarray, scale: np.ndarray, safe
     return logits
 
 
+def _output(h: np.ndarray, target: np.ndarray, scale: np.ndarray, weights: np.ndarray, to_weights: np.ndarray, to_bias: np.ndarray, safe: bool) -> np.ndarray:
+    """The rows' gradient; that of the bordered weights goes to to_weights and to_bias."""
+    dh, of_weights = np.empty((len(h), HIDDEN), h.dtype), 0
+    for a in range(0, len(h), BLOCK):
+        b = a + BLOCK
+        d = _less_target(h[a:b] @ weights, target[a:b], scale[a:b], safe)
+        of_weights = of_weights + d.T @ h[a:b]
+        np.matmul(d, weights[:HIDDEN].T, out=dh[a:b])
+    to_weights[:], to_bias[:] = of_weights[:, :HIDDEN].T, of_weights[:, HIDDEN]
+    return dh
+
+
 def _safe(w: dict[str, np.ndarray]) -> bool:
     """Hidden states lie within [-1, 1], so the logits have bounds; whether exp() of these needs no shift."""
     bounds = [np.abs(w["to_class"]).sum(axis=0) + np.abs(w["class_bias"]), np.abs(w["to_unit"]).sum(axis=1) + np.abs(w["unit_bias"])]
@@ -95,7 +139,7 @@ def _summed(rows: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(at.astype(np.uint16), kind="stable")
     placed = at[order]
     first = np.flatnonzero(np.concatenate([[True], placed[1:] != placed[:-1]]))
-    return placed[first], np.add.reduceat(rows[order], first, axis=0)
+    return placed[first], np.add.reduceat(rows.take(order, axis=0), first, axis=0)
 
 
 def train(state: np.ndarray, classes: int, documents: list[np.ndarray], bos: int, rate: float = 0.01) -> tuple[np.ndarray, int]:
@@ -121,69 +165,66 @@ def train(state: np.ndarray, classes: int, documents: list[np.ndarray], bos: int
     length = -(-total // lanes)  # the last lanes can be shorter
     grid = np.arange(lanes) * length
     grad, work = np.empty_like(flat), np.empty_like(flat)
-    g, ones = unpack(grad, classes), np.ones(lanes * STEPS, flat.dtype)
+    g = unpack(grad, classes)
     h = np.zeros((lanes, HIDDEN), flat.dtype)
     for t0 in range(0, length, STEPS):
         steps = min(STEPS, length - t0)
         at = grid[None, :] + np.arange(t0, t0 + steps)[:, None]
         counts = (at < total).ravel()
         at = np.minimum(at, total - 1)
-        x, y, carry = before[at], units[at], (~begins[at]).astype(flat.dtype)[:, :, None]
-        e = w["embed"][x]
-        pre = e @ w["gates"] + w["gates_bias"]
-        tape = []
-        hs = np.empty((steps, lanes, HIDDEN), flat.dtype)
+        x, y, starts = before[at], units[at], [np.flatnonzero(b) for b in begins[at]]
+        tables, recur = _gates(w)
+        tape, hs = [], np.ones((steps, lanes, HIDDEN + 1), flat.dtype)
         for t in range(steps):
-            h = h * carry[t]
-            zr = h @ w["recur"]
-            zr += pre[t, :, : 2 * HIDDEN]
-            zr = _sigmoid(zr)
-            z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-            n = (r * h) @ w["recur_new"]
-            n += pre[t, :, 2 * HIDDEN :]
-            np.tanh(n, out=n)
-            tape.append((h, z, r, n))
-            h = hs[t] = n + z * (h - n)
-        flat_h, target = hs.reshape(-1, HIDDEN), y.ravel()
+            if len(starts[t]):
+                h = h.copy()
+                h[starts[t]] = 0
+            after, *kept = _advance(h, [table.take(x[t], axis=0) for table in tables], recur)
+            tape.append((h, *kept))
+            h = hs[t, :, :HIDDEN] = after
+        flat_h, target = hs.reshape(-1, HIDDEN + 1), y.ravel()
         cls, inside = target // CLASS, target % CLASS
         scale, safe = (counts / counts.sum()).astype(flat.dtype), _safe(w)
         grad[:] = 0
-        d = flat_h @ w["to_class"]
-        d += w["class_bias"]
-        d = _less_target(d, cls, scale, safe)
-        np.matmul(flat_h.T, d, out=g["to_class"])
-        g["class_bias"][:] = ones[: len(d)] @ d
-        dh_out = d @ w["to_class"].T
+        dh_out = _output(flat_h, cls, scale, _bordered(w["to_class"], w["class_bias"]), g["to_class"], g["class_bias"], safe)
         order, parts = _by_class(cls)
-        sorted_h, sorted_in, scale = flat_h[order], inside[order], scale[order]
-        sorted_dh = np.empty_like(sorted_h)
+        sorted_h, sorted_in, scale = flat_h.take(order, axis=0), inside[order], scale[order]
+        sorted_dh, to_unit = np.empty_like(dh_out), _bordered(w["to_unit"], w["unit_bias"])
         for c, a, b in parts:
-            d = sorted_h[a:b] @ w["to_unit"][c]
-            d += w["unit_bias"][c]
-            d = _less_target(d, sorted_in[a:b], scale[a:b], safe)
-            np.matmul(sorted_h[a:b].T, d, out=g["to_unit"][c])
-            g["unit_bias"][c] = ones[: b - a] @ d
-            np.matmul(d, w["to_unit"][c].T, out=sorted_dh[a:b])
-        dh_out[order] += sorted_dh
+            sorted_dh[a:b] = _output(sorted_h[a:b], sorted_in[a:b], scale[a:b], to_unit[c], g["to_unit"][c], g["unit_bias"][c], safe)
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        dh_out += sorted_dh.take(place, axis=0)
         dh_out = dh_out.reshape(steps, lanes, HIDDEN)
-        d_pre, rh = np.empty_like(pre), np.empty_like(hs)
+        d_gates = np.empty((3, steps, lanes, HIDDEN), flat.dtype)
+        back = [np.ascontiguousarray(part.T) for part in (w["recur"][:, :HIDDEN], w["recur"][:, HIDDEN:], w["recur_new"])]
         dh = np.zeros((lanes, HIDDEN), flat.dtype)
         for t in range(steps - 1, -1, -1):
-            h0, z, r, n = tape[t]
-            dh = dh + dh_out[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            d_rh = dn @ w["recur_new"].T
-            d_zr = d_pre[t, :, : 2 * HIDDEN]
-            d_zr[:, :HIDDEN] = dh * (h0 - n) * z * (1 - z)
-            d_zr[:, HIDDEN:] = d_rh * h0 * r * (1 - r)
-            d_pre[t, :, 2 * HIDDEN :], rh[t] = dn, r * h0
-            dh = (dh * z + d_rh * r + d_zr @ w["recur"].T) * carry[t]
-        d_flat = d_pre.reshape(-1, 3 * HIDDEN)
-        g["recur_new"][:] = rh.reshape(-1, HIDDEN).T @ d_flat[:, 2 * HIDDEN :]
-        g["recur"][:] = np.concatenate([s[0] for s in tape]).T @ d_flat[:, : 2 * HIDDEN]
-        g["gates"][:] = e.reshape(-1, EMBED).T @ d_flat
-        g["gates_bias"][:] = d_flat.sum(axis=0)
-        found, sums = _summed(d_flat @ w["gates"].T, x.ravel())
+            (h0, z, r, passed, n), (dz, dr, dn) = tape[t], d_gates[:, t]
+            dh += dh_out[t]
+            np.subtract(1, z, out=dn)
+            dn *= dh
+            np.subtract(h0, n, out=dz)
+            dz *= z
+            dz *= dn
+            dn *= 1 - n * n
+            d_passed = dn @ back[2]
+            np.subtract(1, r, out=dr)
+            dr *= passed
+            dr *= d_passed
+            d_passed *= r
+            dh *= z
+            dh += d_passed
+            dh += dz @ back[0]
+            dh += dr @ back[1]
+            dh[starts[t]] = 0
+        h0, passed = (np.concatenate([kept[i] for kept in tape]) for i in (0, 3))
+        d, x = np.concatenate(d_gates.reshape(3, -1, HIDDEN), axis=1), x.ravel()
+        g["recur"][:] = (d[:, : 2 * HIDDEN].T @ h0).T
+        g["recur_new"][:] = (d_gates[2].reshape(-1, HIDDEN).T @ passed).T
+        g["gates"][:] = (d.T @ w["embed"].take(x, axis=0)).T
+        g["gates_bias"][:] = np.ones(len(d), flat.dtype) @ d
+        found, sums = _summed(d @ w["gates"].T, x)
         g["embed"][found] = sums
         norm = float(np.sqrt(np.dot(grad, grad)))
         if norm > 1:
@@ -210,47 +251,32 @@ class Scorer:
     """log10 probabilities of whole documents; the state goes from each document's first unit to its last."""
 
     def __init__(self, flat: np.ndarray, classes: int, bos: int):
-        self.w, self.bos = unpack(flat, classes), bos
-        self.pre = self.w["embed"] @ self.w["gates"] + self.w["gates_bias"]
-        self.pre[:, : 2 * HIDDEN] *= -1  # sigmoid(x) is 1 / (1 + exp(-x))
-        self.recur = -self.w["recur"]
-        self.safe = _safe(self.w)
+        w, self.bos = unpack(flat, classes), bos
+        self.tables, self.recur = _gates(w)
+        self.to_class, self.to_unit = _bordered(w["to_class"], w["class_bias"]), _bordered(w["to_unit"], w["unit_bias"])
+        self.safe, self.type = _safe(w), flat.dtype
 
     def score(self, units: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """units: of all documents one after another; sizes: units of each. All documents advance together, longest first."""
-        w = self.w
         out = np.zeros(len(sizes))
         order = np.argsort(-sizes, kind="stable")
         length, start = sizes[order], (np.cumsum(sizes) - sizes)[order]
-        h = np.zeros((len(sizes), HIDDEN), np.float32)
+        h = np.zeros((len(sizes), HIDDEN), self.type)
         last = np.full(len(sizes), self.bos, np.int64)
-        t, longest = 0, int(length.max(initial=0))
+        t, longest, room = 0, int(length.max(initial=0)), 1 << 15
+        hs, target = np.ones((room + len(sizes), HIDDEN + 1), self.type), np.empty(room + len(sizes), np.int64)
         while t < longest:
-            hs, target, who = [], [], []
-            room = 1 << 15
-            while t < longest and room > 0:
+            who, end = [], 0
+            while t < longest and end < room:
                 n = int(np.searchsorted(-length, -t, side="left"))
-                hn = h[:n]
-                pre = self.pre.take(last[:n], axis=0)
-                zr = hn @ self.recur
-                zr += pre[:, : 2 * HIDDEN]
-                np.exp(zr, out=zr)
-                zr += 1
-                np.reciprocal(zr, out=zr)
-                new = (zr[:, HIDDEN:] * hn) @ w["recur_new"]
-                new += pre[:, 2 * HIDDEN :]
-                np.tanh(new, out=new)
-                hn = hn - new
-                hn *= zr[:, :HIDDEN]
-                hn += new
-                h[:n] = hn
-                last[:n] = units[start[:n] + t]
-                hs.append(hn)
-                target.append(last[:n].copy())
+                last = last[:n]
+                h = _advance(h[:n], [table.take(last, axis=0) for table in self.tables], self.recur)[0]
+                last = units.take(start[:n] + t)
+                hs[end : end + n, :HIDDEN], target[end : end + n] = h, last
                 who.append(n)
-                room -= n
+                end += n
                 t += 1
-            logs = self._logs(np.concatenate(hs), np.concatenate(target))
+            logs = self._logs(hs[:end], target[:end])
             at = 0
             for n in who:
                 out[:n] += logs[at : at + n]
@@ -260,25 +286,26 @@ class Scorer:
         return result
 
     def _logs(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
-        w = self.w
         cls, inside = target // CLASS, target % CLASS
-        z = h @ w["to_class"]
-        z += w["class_bias"]
-        logs = z[np.arange(len(z)), cls].astype(np.float64)
-        logs -= self._log_sum(z)
+        logs = self._log_shares(h, cls, self.to_class)
         order, parts = _by_class(cls)
+        h, inside, of_unit = h.take(order, axis=0), inside[order], np.empty(len(h))
         for c, a, b in parts:
-            rows = order[a:b]
-            z = h.take(rows, axis=0) @ w["to_unit"][c]
-            z += w["unit_bias"][c]
-            picked = z[np.arange(len(rows)), inside[rows]]
-            logs[rows] += picked - self._log_sum(z)
+            of_unit[a:b] = self._log_shares(h[a:b], inside[a:b], self.to_unit[c])
+        logs[order] += of_unit
         return logs
 
-    def _log_sum(self, z: np.ndarray) -> np.ndarray:
-        """log of the sum of exp over each row; overwrites z."""
-        most = 0 if self.safe else z.max(axis=1)
-        if not self.safe:
-            z -= most[:, None]
-        np.exp(z, out=z)
-        return np.log(z @ np.ones(z.shape[1], np.float32)) + most
+    def _log_shares(self, h: np.ndarray, target: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """log of each row's softmax at its target."""
+        size = weights.shape[1]
+        picked, sums, ones, rows = np.empty(len(h)), np.empty(len(h), self.type), np.ones(size, self.type), np.arange(min(BLOCK, len(h)))
+        logits = np.empty((len(rows), size), self.type)
+        for a in range(0, len(h), BLOCK):
+            b = min(a + BLOCK, len(h))
+            z = np.matmul(h[a:b], weights, out=logits[: b - a])
+            if not self.safe:
+                z -= z.max(axis=1, keepdims=True)
+            picked[a:b] = z[rows[: b - a], target[a:b]]
+            np.exp(z, out=z)
+            np.matmul(z, ones, out=sums[a:b])
+        return picked - np.log(sums)

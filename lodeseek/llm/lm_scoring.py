@@ -16,6 +16,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import gru
 from .common import discard, keep_temporaries, one_blas_thread, stage, text_of, tidy
-from .words import per_text, slices, split_words
+from .words import slices, split_distinct
 
 HEAD, CLASSES, BUCKETS, ROUNDS = 1 << 18, 64, 512, 6
 #: Tokens of a shard, on average; parts of a state, and states added up in one task.
@@ -42,18 +43,22 @@ def is_held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
+def split_with_end(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """split_distinct of the A-Z lower-cased texts, the words binary; behind them stands the end, which no token is yet."""
+    number, words, sizes = split_distinct(pc.ascii_lower(texts))
+    return number, pa.concat_arrays([words.cast(pa.binary()), pa.array([END], pa.binary())]), sizes
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words of texts, those to learn from and all, as partial counts."""
     for whole in batches:
         for batch in slices(whole, 0, SLICE):
-            number, words, sizes = split_words(pc.ascii_lower(batch.column(0)))
+            number, words, sizes = split_with_end(batch.column(0))
             learnt = ~batch.column(1).to_numpy(zero_copy_only=False)
             n = np.bincount(number[np.repeat(learnt, sizes)], minlength=len(words))
             n_all = np.bincount(number, minlength=len(words))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([*words, END], pa.binary()), pa.array(np.append(n, learnt.sum())), pa.array(np.append(n_all, len(sizes)))],
-                names=["word", "n", "n_all"],
-            )
+            n[-1], n_all[-1] = learnt.sum(), len(sizes)
+            yield pa.RecordBatch.from_arrays([words, pa.array(n), pa.array(n_all)], names=["word", "n", "n_all"])
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -67,20 +72,26 @@ def bucket(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % BUCKETS
 
 
+def buckets_of(words: pa.Array) -> np.ndarray:
+    """The same of each word."""
+    endings = pc.binary_slice(words, -3).dictionary_encode()
+    return np.array([bucket(e) for e in endings.dictionary.to_pylist()], np.int64)[endings.indices.to_numpy()]
+
+
 class Lexicon:
     """The head words' counts and units, and what the buckets hold."""
 
     def __init__(self, words: list[bytes], n: np.ndarray, bucket_n: np.ndarray, bucket_words: np.ndarray, classes: int = CLASSES):
         """words: END and the head, n: their counts to learn from; bucket_n, bucket_words: of the words that aren't in the head."""
-        self.index = {w: i for i, w in enumerate(words)}
+        self.words, end = pa.array(words, pa.binary()), words.index(END)
         self.log_n = np.log10(n + 1.0)
         self.known = n > 0
         named = np.argsort(-n, kind="stable")
         named = named[n[named] > 0][: classes * gru.CLASS - BUCKETS - 1]
-        if END in self.index and self.index[END] not in named:
-            named = np.append(named, self.index[END])
+        if end not in named:
+            named = np.append(named, end)
         rare = np.setdiff1d(np.arange(len(words)), named)
-        of = np.array([bucket(words[i]) for i in rare], np.int64) if len(rare) else np.zeros(0, np.int64)
+        of = buckets_of(self.words.take(pa.array(rare)))
         self.bucket_n = bucket_n + np.bincount(of, n[rare], BUCKETS)
         in_bucket = bucket_words + np.bincount(of, n[rare] > 0, BUCKETS)
         self.bucket_log = np.log10(self.bucket_n + in_bucket + 1.0)
@@ -96,16 +107,20 @@ class Lexicon:
         self.unit[rare] = self.bucket_unit[of]
         self.bucket_of = np.full(len(words), -1)
         self.bucket_of[rare] = of
-        self.bos = int(self.unit[self.index[END]])
+        self.bos = int(self.unit[end])
+
+    @cached_property
+    def index(self) -> dict[bytes, int]:
+        """The place of each head word. Tasks look up whole columns of words instead, which takes no Python object for a word."""
+        return {w: i for i, w in enumerate(self.words.to_pylist())}
 
     def read(self, texts: pa.Array) -> "Tokens":
         """All tokens of the texts, the ends among them."""
-        number, words, sizes = split_words(pc.ascii_lower(texts))
-        words.append(END)
-        place = np.array([self.index.get(w, -1) for w in words], np.int64)
+        number, words, sizes = split_with_end(texts)
+        place = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy()
         missing = place < 0
         buckets = self.bucket_of[place]
-        buckets[missing] = [bucket(words[i]) for i in np.flatnonzero(missing).tolist()]
+        buckets[missing] = buckets_of(words.filter(pa.array(missing)))
         units = self.unit[place]
         units[missing] = self.bucket_unit[buckets[missing]]
         number = np.insert(number, np.cumsum(sizes), len(words) - 1)
@@ -121,7 +136,7 @@ class Tokens:
 
     number: np.ndarray
     sizes: np.ndarray
-    words: list[bytes]
+    words: pa.Array
     missing: np.ndarray
     units: np.ndarray
     known: np.ndarray
@@ -160,11 +175,12 @@ def _read(shared_lex):
                 tokens = lex.read(batch.column(3))
                 number, sizes = tokens.number, tokens.sizes
                 # the share of a bucket that the words of the head in it take is settled here, that of the others by the join
-                known, head_log, within = (per_text(v[number], sizes) for v in (tokens.known.astype(np.int64), tokens.log_n, tokens.within))
-                behind = tokens.missing[number]
-                offsets = np.concatenate([[0], np.cumsum(per_text(behind.astype(np.int64), sizes))]).astype(np.int32)
-                tails = pa.array(tokens.words, pa.binary()).take(pa.array(number[behind]))
-                flat, ends = tokens.units[number].astype("<u2"), np.concatenate([[0], np.cumsum(sizes)]) * 2
+                begins = np.cumsum(sizes) - sizes  # each text has its end, so none is empty
+                known, head_log, within = (np.add.reduceat(v.take(number), begins) for v in (tokens.known.astype(np.int64), tokens.log_n, tokens.within))
+                behind = tokens.missing.take(number)
+                offsets = np.concatenate([[0], np.cumsum(np.add.reduceat(behind, begins, dtype=np.int64))]).astype(np.int32)
+                tails = tokens.words.take(pa.array(number[behind]))
+                flat, ends = tokens.units.astype("<u2").take(number), np.concatenate([[0], np.cumsum(sizes)]) * 2
                 units = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(flat)])
                 ids = np.arange(n_rows, n_rows + len(sizes), dtype=np.int64) + (part << 33)
                 n_rows += len(sizes)

@@ -1,8 +1,10 @@
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodeseek.llm import gru, lm_scoring
@@ -178,3 +180,37 @@ def test_a_bucket_is_a_distribution():
     # known words of a bucket and one unseen: (3 + 2 * 1 + 1) / (3 + 2 + 1)
     assert 10 ** lex.bucket_log[lm_scoring.bucket(b"zz")] == pytest.approx(6)
     assert lex.unit[2] == lex.bucket_unit[lm_scoring.bucket(b"bb")]
+
+
+def test_words_are_looked_up_as_a_column_and_equal_a_plain_lookup():
+    """Of the distinct words, those of the head too, no Python object is made."""
+    head = [b"", b"the", b"of", "é".encode(), b"rare", b"never"]
+    lex = lm_scoring.Lexicon(head, np.array([5.0, 9, 7, 2, 1, 0]), np.full(lm_scoring.BUCKETS, 3.0), np.full(lm_scoring.BUCKETS, 2.0))
+    texts = ["The of THE é unseen", "", " \n", "x ab \u00c9t\u00e9 euro\u20ac never rare"]
+    got = lex.read(pa.array(texts))
+    assert isinstance(got.words, pa.Array)
+    want = [w for t in texts for w in tokens(t)]
+    assert got.words.take(pa.array(got.number)).to_pylist() == want
+    assert got.sizes.tolist() == [len(tokens(t)) for t in texts]
+    places = [head.index(w) if w in head else None for w in want]
+    assert got.missing[got.number].tolist() == [p is None for p in places]
+    assert got.known[got.number].tolist() == [p is not None and w != b"never" for p, w in zip(places, want)]
+    assert got.units[got.number].tolist() == [lex.bucket_unit[lm_scoring.bucket(w)] if p is None else lex.unit[p] for p, w in zip(places, want)]
+    assert got.log_n[got.number].tolist() == [0 if p is None else lex.log_n[p] for p in places]
+    held = [lm_scoring.bucket(w) if p is None else lex.bucket_of[p] for p, w in zip(places, want)]
+    assert got.within[got.number] == pytest.approx([0 if b < 0 else (0 if p is None else lex.log_n[p]) - lex.bucket_log[b] for p, b in zip(places, held)])
+
+
+def test_scoring_makes_few_logits_at_a_time():
+    """Arrays of all logits of a step are mapped and zeroed anew each time, and leave the cache."""
+    scorer, n = gru.Scorer(gru.initial(np.ones(4096)), 64, 0), 30_000
+    units, sizes = np.random.default_rng(0).integers(0, 4096, 2 * n), np.full(n, 2)
+    tracemalloc.start()
+    try:
+        scores = scorer.score(units, sizes)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < n * 2 * 64 * 4 * 1.8
+    few = slice(0, 50)
+    assert scores[few] == pytest.approx(scorer.score(units[:100], sizes[few]), rel=1e-5)
