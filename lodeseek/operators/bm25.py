@@ -87,7 +87,8 @@ def _best(shared, k: int, k1: float, b: float, mean: float):
             parts = [part(ids.slice(i, step), tokens.slice(i, step)) for i in range(0, len(ids), step)]
             yield pa.concat_arrays(parts) if parts else term_table.lists(0, np.zeros(0, np.int64), ["text", "score"], [pa.array([], pa.int32()), pa.array([], pa.float64())])
 
-    return run
+    # what it gives depends on the rows before: else Spark runs it a second time beneath a join, over rows that the join leaves out
+    return run.asNondeterministic()
 
 
 def _search_texts(docs: DataFrame, texts: DataFrame, k: int, k1: float, b: float, average: float | None, analyze: Analyzer) -> DataFrame:

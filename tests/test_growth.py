@@ -52,6 +52,17 @@ def test_keyword_search_in_passes_and_of_equal_queries(spark, monkeypatch):
     assert np.allclose([r[2] for r in got], [r[2] for r in want], atol=1e-9)
 
 
+def test_keyword_search_of_joined_documents(spark):
+    """Documents that a join leaves out take no place among the k best: nothing is scored beneath the join."""
+    texts = [(i, f"apple {'pear ' * (i % 5)}plum{i}") for i in range(60)]
+    asked = [(1, "apple pear")]
+    docs = spark.createDataFrame(texts, "id long, text string").repartition(1)
+    some = docs.join(spark.createDataFrame([(i,) for i in range(1, 60, 9)], "id long"), "id")
+    found = bm25.search(some, spark.createDataFrame(asked, "query_id long, text string"), 3)
+    want = plain_bm25([t for t in texts if t[0] % 9 == 1], asked, 3)
+    assert [(q, i, r) for q, i, _, r in sorted(map(tuple, found.collect()), key=lambda r: r[3])] == [(q, i, r) for q, i, _, r in sorted(want, key=lambda r: r[3])]
+
+
 def test_keyword_search_shuffles_no_postings(spark):
     docs = spark.createDataFrame([(i, "some words") for i in range(50)], "id long, text string")
     asked = spark.createDataFrame([(i, "some words") for i in range(50)], "query_id long, text string")
