@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, stage, text_of, tidy, unused
+from .common import discard, shuffled, stage, text_of, tidy, unused
 from .components import components
 from .words import mixed, slices, split_words
 
@@ -150,6 +150,7 @@ def near_fingerprints(points: DataFrame, threshold: int = THRESHOLD) -> DataFram
         raise ValueError(f"the anchors cover differences of up to {THRESHOLD} bits")
     homes = points.mapInArrow(_replicas(True), "anchor long, point long").select("anchor", F.col("point").alias("a"))
     visits = points.mapInArrow(_replicas(False), "anchor long, point long").select("anchor", F.col("point").alias("b"))
+    visits = shuffled(visits)  # up to 69 rows a point, which Spark's guess takes for one
     met = homes.join(visits, "anchor").filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold))
     return met.select("a", "b")
 

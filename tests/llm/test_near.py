@@ -49,6 +49,13 @@ def test_query_equals_brute_force(spark):
     assert got == want and all(len(r.fingerprint) == 16 for r in simhash.op8_simhash_dedup(spark, DATA).collect())
 
 
+def test_growing_tables_are_not_broadcast(spark):
+    """A point makes up to 69 replicas, which Spark takes for one: like postings by band, they are shuffled however small they seem."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    numbers = spark.range(50)
+    assert "Broadcast" not in plan(simhash.near_fingerprints(numbers.select(F.xxhash64("id").alias("point"))))
+
+
 def brute_similar(docs, similarity=0.8):
     """docs: (doc_id, text); a group for each, by position, of texts linked by shingles of five words."""
     words = [(t or "").encode().lower().split() for _, t in docs]
