@@ -338,7 +338,7 @@ def meetings(postings: DataFrame, similarity: float, salt: int = 0) -> DataFrame
     columns = ("key", "component", "size", "at")
     ends = postings.groupBy("shingle").agg(*[F.struct(*[of(c, place).alias(c) for c in columns]).alias(name) for name, of in (("low", F.min_by), ("high", F.max_by))])
     stands = ends.select("shingle", F.explode(F.array_distinct(F.array("low", "high"))).alias("one")).select("shingle", "one.*")
-    met = stands.join(_others(postings), "shingle").filter(F.col("component") != F.col("other_component"))
+    met = stands.join(shuffled(_others(postings)), "shingle").filter(F.col("component") != F.col("other_component"))
     return _pairs(met.filter(_can_be_similar(similarity)))
 
 
@@ -377,7 +377,7 @@ def all_meetings(postings: DataFrame, texts: DataFrame, similarity: float) -> Da
     small = small.withColumn("band", F.explode(F.when(crowded, _bands_to_meet(similarity)).otherwise(F.array(F.lit(0).cast("bigint")))))
     others = several.withColumn("band", F.when(crowded, _band(F.col("size"))).otherwise(F.lit(0).cast("bigint")))
     once = (F.col("other_component") == F.col("largest")) | (F.col("key") < F.col("other_key"))
-    met = small.join(_others(others, (*SKETCH_COLUMNS, "band")).withColumnRenamed("other_band", "band"), ["shingle", "band"])
+    met = small.join(shuffled(_others(others, (*SKETCH_COLUMNS, "band")).withColumnRenamed("other_band", "band")), ["shingle", "band"])
     met = met.filter((F.col("component") != F.col("other_component")) & once)
     return _pairs(met.filter(_can_be_similar(similarity) & _sketches_allow(similarity)))
 
@@ -437,7 +437,7 @@ def similar_texts(docs: DataFrame, similarity: float = SIMILARITY, shingle: int
     each = marked.select("key", F.explode("rare").alias("shingle"))
     shared = each.groupBy("shingle").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high").select("shingle")
     shared = stage(shared, "shared-shingles")
-    each = marked.select("key", "size", F.posexplode("rare").alias("at", "shingle")).join(shared, "shingle")
+    each = marked.select("key", "size", F.posexplode("rare").alias("at", "shingle")).join(shuffled(shared), "shingle")
     postings = stage(each.distinct(), "postings")
     discard(shared)
     discard(marked)
@@ -445,7 +445,7 @@ def similar_texts(docs: DataFrame, similarity: float = SIMILARITY, shingle: int
     # the sets of the texts that share a rare shingle with another: no other has a link
     able = texts.join(postings.select("key").distinct(), "key", "left_semi")
     one = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))
-    made = rows.join(able.select("first_id", "first_hash"), one, "left_semi").select("text").mapInArrow(_shingle_sets(shingle), "key long, shingles array<long>")
+    made = rows.join(shuffled(able.select("first_id", "first_hash")), one, "left_semi").select("text").mapInArrow(_shingle_sets(shingle), "key long, shingles array<long>")
     sets = stage(made.dropDuplicates(["key"]), "shingle-sets")
 
     compared, of = [], None
@@ -463,7 +463,7 @@ def similar_texts(docs: DataFrame, similarity: float = SIMILARITY, shingle: int
             placed = joined.select("shingle", "key", "size", "at", F.coalesce("component", "key").alias("component"))
         near = meet(placed)
         for before in compared:
-            near = near.join(before, ["a", "b"], "left_anti")
+            near = near.join(shuffled(before), ["a", "b"], "left_anti")
         compared.append(stage(near, "text-meetings"))
         links = stage(_similar(compared[-1], sets, similarity), "text-links")
         if not links.isEmpty():
@@ -489,7 +489,7 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
     smallest = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias(kept_id), F.col("text_hash").alias(kept_hash)))
     first = found.groupBy("component").agg(smallest.alias("first")).select(f"first.{kept_id}", f"first.{kept_hash}").distinct()
     kept = docs.withColumn(own_hash, F.xxhash64(text_of())).join(
-        stage(first, "kept-documents"), F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(own_hash) == F.col(kept_hash)), "left_semi"
+        shuffled(stage(first, "kept-documents")), F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(own_hash) == F.col(kept_hash)), "left_semi"
     )
     return kept.dropDuplicates(["doc_id", own_hash]).select(*docs.columns)
 

@@ -54,6 +54,9 @@ def test_growing_tables_are_not_broadcast(spark):
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
     numbers = spark.range(50)
     assert "Broadcast" not in plan(simhash.near_fingerprints(numbers.select(F.xxhash64("id").alias("point"))))
+    postings = numbers.select((F.col("id") % 9).alias("shingle"), F.col("id").alias("key"), F.col("id").alias("component"), F.lit(5).alias("size"), F.lit(0).alias("at"))
+    texts = numbers.select(F.col("id").alias("key"), *[F.lit(0).cast("long").alias(c) for c in simhash.SKETCH_COLUMNS])
+    assert "Broadcast" not in plan(simhash.meetings(postings, 0.8)) and "Broadcast" not in plan(simhash.all_meetings(postings, texts, 0.8))
 
 
 def brute_similar(docs, similarity=0.8):
