@@ -148,6 +148,8 @@ def t_test_p(t: float | None, n: int) -> float | None:
 MULTIPLIER, INCREMENT = 6364136223846793005, 1
 #: Draws made together.
 DRAWS = 1 << 16
+#: Values that travel to the tasks that drew them; more are met in a shuffle.
+MAX_VALUES = 100_000
 
 
 def draws(seed: int, n: int) -> np.ndarray:
@@ -203,8 +205,9 @@ def bootstrap(values: DataFrame, by: str, value: str, order: str, samples: int =
     """by, mean, low, high: bootstrap_interval of each group's values, in the order of the column `order`, as a job.
 
     Tasks jump ahead in the generator to the resamples that they draw, in blocks of DRAWS,
-    and send on how often they drew each value; values meet them by their number, so no
-    task needs all values. Null values are left out; a group without any has no row.
+    and send on how often they drew each value; values meet them by their number. Up to
+    MAX_VALUES values go to every task, more are joined in a shuffle, so no task needs all
+    of them. What was drawn is never broadcast: it is `samples` times the values. Null values are left out; a group without any has no row.
     """
     known = values.filter(F.col(value).isNotNull()).select(F.col(by).alias("group"), F.col(order).alias("order"), F.col(value).cast("double").alias("value"))
     numbered = numbering.kept(numbering.number(known, ["group", "order"], "i"))
@@ -217,7 +220,8 @@ def bootstrap(values: DataFrame, by: str, value: str, order: str, samples: int =
     drawn = asked.mapInArrow(_draw(seed), f"group {kind}, resample long, place long, times long")
     starts = groups.select(F.col("group").alias("of"), "start")
     placed = numbered.join(starts, F.col("group").eqNullSafe(F.col("of"))).select("of", (F.col("i") - F.col("start")).alias("at"), "value")
-    met = drawn.join(placed, F.col("group").eqNullSafe(F.col("of")) & (F.col("place") == F.col("at")))
+    few = numbered.count() <= MAX_VALUES
+    met = (drawn if few else drawn.hint("merge")).join(F.broadcast(placed) if few else placed, F.col("group").eqNullSafe(F.col("of")) & (F.col("place") == F.col("at")))
     means = met.groupBy("group", "resample").agg((F.sum(F.col("value") * F.col("times")) / F.sum("times")).alias("m"))
     sorted_means = means.groupBy("group").agg(F.array_sort(F.collect_list("m")).alias("m"))  # `samples` of them
     tail = (1 - level) / 2

@@ -76,3 +76,16 @@ def test_bootstrap_as_a_job_equals_that_of_a_list(spark, monkeypatch):
     for g in groups:
         values = [v for of, _, v in rows if of == g and v is not None]
         assert got[g] == pytest.approx(evaluate.bootstrap_interval(values, 200, 9, 0.9), abs=1e-12)
+
+
+def test_bootstrap_never_broadcasts_what_was_drawn(spark, monkeypatch):
+    """It is `samples` times the values, which Spark does not see: few values are broadcast to it, more are met in a shuffle."""
+    df = spark.createDataFrame([(g, i, float(i % 7)) for g in "ab" for i in range(40)], "g string, i long, v double")
+    found = []
+    for most, hint in ((100, "rightHint=(strategy=broadcast)"), (10, "leftHint=(strategy=merge)")):
+        monkeypatch.setattr(evaluate, "MAX_VALUES", most)
+        of = evaluate.bootstrap(df, "g", "v", "i", samples=50)
+        joins = [x for x in of._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x and "place#" in x]
+        assert len(joins) == 1 and hint in joins[0]
+        found.append(sorted((r.g, round(r.low, 10), round(r.high, 10)) for r in of.collect()))
+    assert found[0] == found[1]
