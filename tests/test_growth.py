@@ -4,6 +4,7 @@ import inspect
 import math
 import tracemalloc
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from lodeseek.functions import html
 from lodeseek.functions.slices import cuts
 from lodeseek.llm import quality
-from lodeseek.operators import bm25, evaluate, rolling, synthetic, tokenize, vector_index, vector_search
+from lodeseek.operators import bm25, evaluate, rolling, synthetic, term_table, tokenize, vector_index, vector_search
 from lodeseek.sources.catalog import Catalog
 
 
@@ -136,6 +137,18 @@ def test_synthetic_queries_in_passes(spark, monkeypatch):
     assert len(texts) == 40 and want[1] == sorted(plain)
 
 
+def test_judgments_are_sent_on_in_small_batches(monkeypatch):
+    """However many queries a batch of documents meets: pieces of whole documents, of bounded size."""
+    monkeypatch.setattr(term_table, "CELLS", 1_000)
+    lists = [["aa", f"t{i}"] for i in range(400)]
+    shared = SimpleNamespace(value=(term_table.TermTable(lists), pa.array(range(1000, 1400)), np.full(400, 2)))
+    docs = [["aa"], None, [], ["bb"], ["aa", "aa", "t7"]] * 60
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array(docs, pa.list_(pa.string()))], names=["id", "tokens"])
+    found = list(synthetic._sharing(shared)(iter([batch])))
+    assert max(b.num_rows for b in found) <= 1_000 and sum(b.num_rows for b in found) == 120 * 400
+    assert sorted({i for b in found for i in b.column("id").to_pylist()}) == [i for i in range(300) if i % 5 in (0, 4)]
+
+
 def test_batches_are_cut_by_bytes_and_rows():
     """Python objects are made of slices of a batch: by bytes, by rows, and a long text alone."""
     texts = pa.array(["a" * 10] * 5 + ["b" * 1000, None, ""] + ["c"] * 7)
