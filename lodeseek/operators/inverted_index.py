@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 
 from ..functions import text as T
 from ..sources.catalog import Catalog, Manifest, Segment
-from . import bm25, numbering
+from . import bm25, numbering, term_table
 from .segment_index import SegmentIndex
 
 #: A range has 2^RANGE_BITS positions; distinct terms of a batch that are pushed down to the scan.
@@ -54,16 +54,18 @@ class InvertedIndex(SegmentIndex):
 
     def build(self, segment: Segment, rows: DataFrame) -> None:
         tokens = self._tokens(rows, "_pos", F.col(self.key).alias("id"))
-        tf = tokens.select("_pos", "id", "length", F.explode("tokens").alias("term")).groupBy("_pos", "id", "length", "term").agg(F.count("*").alias("tf"))
+        counted = tokens.select("_pos", "id", "length", term_table.counted()("tokens").alias("found")).select("_pos", "id", "length", F.explode("found").alias("f"))
+        # the only shuffle: ranges of terms and positions, so that blocks are made where they are written
+        tf = counted.select("_pos", "id", "length", "f.term", "f.tf", F.shiftright("_pos", RANGE_BITS).alias("range")).repartitionByRange("term", "range")
         one = F.struct("_pos", "id", "tf", "length")
-        blocks = tf.groupBy("term", F.shiftright("_pos", RANGE_BITS).alias("range")).agg(F.array_sort(F.collect_list(one)).alias("postings"))  # 2^RANGE_BITS at most
+        blocks = tf.groupBy("term", "range").agg(F.array_sort(F.collect_list(one)).alias("postings"))  # 2^RANGE_BITS at most
         frequencies = F.array_distinct(F.transform("postings", lambda p: p["tf"]))
         best = F.transform(
             frequencies, lambda t: F.struct(t.alias("tf"), F.array_min(F.transform(F.filter("postings", lambda p: p["tf"] == t), lambda p: p["length"])).alias("length"))
         )
         headed = blocks.select("term", "range", F.size("postings").cast("long").alias("n"), F.array_min("postings.id").alias("least_id"), best.alias("best"), "postings")
         # in order, with short pages, so that a scan for some terms and ranges skips most of the rest
-        self.put("postings", segment, headed.repartitionByRange("term", "range").sortWithinPartitions("term", "range"), **{"parquet.page.row.count.limit": "1000"})
+        self.put("postings", segment, headed.sortWithinPartitions("term", "range"), **{"parquet.page.row.count.limit": "1000"})
         self.put("stats", segment, self._totals(tokens).coalesce(1))
 
     @staticmethod
@@ -114,9 +116,12 @@ class InvertedIndex(SegmentIndex):
         wanted = bm25.checked_queries(chosen.terms.select("term").distinct(), bm25.MAX_QUERIES * 10)
         postings = self._of_terms(self.read("postings", chosen.segments, POSTINGS), wanted).select("w", "term", "range", "postings")
         asked = ranges.join(bm25.checked_queries(chosen.terms, bm25.MAX_QUERIES * 100), "query_id")
-        met = postings.join(asked, ["w", "range", "term"]).select("query_id", "w", "idf", F.explode("postings").alias("p"))
-        parts = met.select("query_id", "w", F.col("p._pos").alias("_pos"), F.col("p.id").alias("id"), _part(F.col("idf"), F.col("p.tf"), F.col("p.length"), k1, b, chosen.mean).alias("part"))
-        scored = parts.groupBy("query_id", "w", "_pos", "id").agg(F.round(F.sum("part"), 10).alias("score"))
+        asked = asked.groupBy("w", "range", "term").agg(F.collect_list(F.struct("query_id", "idf")).alias("asked"))  # a batch's queries at most
+        # all blocks of a range meet in one task, and postings are dealt out to queries there: what is shuffled doesn't grow with the queries
+        here = postings.join(asked, ["w", "range", "term"]).repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "w", "range")
+        met = here.select("w", "range", "postings", F.explode("asked").alias("q")).select("w", "range", "q.query_id", "q.idf", F.explode("postings").alias("p"))
+        parts = met.select("query_id", "w", "range", F.col("p._pos").alias("_pos"), F.col("p.id").alias("id"), _part(F.col("idf"), F.col("p.tf"), F.col("p.length"), k1, b, chosen.mean).alias("part"))
+        scored = parts.groupBy("query_id", "w", "range", "_pos", "id").agg(F.round(F.sum("part"), 10).alias("score"))
         return self.catalog.visible(self.table, chosen.manifest, scored).select("query_id", "id", "score")
 
     def search(self, queries: DataFrame, k: int, k1: float = bm25.K1, b: float = bm25.B, average: float | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from .. import schemas
-from ..sources.catalog import Catalog, Manifest, Segment
+from ..sources.catalog import Catalog, Manifest, Segment, short_shuffles
 
 
 class SegmentIndex:
@@ -27,7 +27,8 @@ class SegmentIndex:
         raise NotImplementedError
 
     def put(self, kind: str, segment: Segment, rows: DataFrame, **options) -> None:
-        rows.write.mode("overwrite").options(**options).parquet(f"{self.root}/{kind}/w={segment.name}")
+        with short_shuffles(self.spark):
+            rows.write.mode("overwrite").options(**options).parquet(f"{self.root}/{kind}/w={segment.name}")
 
     def read(self, kind: str, segments: list[Segment], schema: str) -> DataFrame:
         """The rows of a kind, with w."""

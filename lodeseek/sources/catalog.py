@@ -21,7 +21,8 @@ import json
 import os
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,6 +51,18 @@ def temporary_root(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def short_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Inside, a query's shuffle files go when it ends: a write's rows stand in the store then."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 class Conflict(RuntimeError):
     """Another writer has committed in between."""
 
@@ -188,7 +201,8 @@ class Catalog:
         key, folder = schemas.KEYS[table], f"seq={number}/w={uuid.uuid4().hex}"
         path = f"{self.root}/{table}/data/{folder}"
         placed = rows.repartitionByRange(key).sortWithinPartitions(key).withColumn("_pos", F.monotonically_increasing_id())
-        placed.write.parquet(path)
+        with short_shuffles(self.spark):
+            placed.write.parquet(path)
         written = self.spark.read.schema(placed.schema).parquet(path).select(key, F.col("_metadata.file_name").alias("file"))
         files = sorted(map(list, written.groupBy("file").agg(F.count("*"), F.min(key), F.max(key)).collect()))  # a row a file
         n = sum(f[1] for f in files)

@@ -6,7 +6,7 @@ from lodeseek import schemas
 from lodeseek.operators import bm25, inverted_index, vector_index, vector_search
 from lodeseek.operators.inverted_index import InvertedIndex
 from lodeseek.operators.vector_index import VectorIndex
-from lodeseek.sources.catalog import Catalog
+from lodeseek.sources.catalog import Catalog, short_shuffles
 
 
 def documents(spark, rows):
@@ -179,3 +179,17 @@ def test_timed_search_gives_the_same_rows(spark):
     row = timings.first()
     parts = [row.vector_ms, row.keyword_ms, row.fusion_ms, row.hydrate_ms]
     assert row.n_queries == 3 and min(parts) > 0 and row.total_ms == pytest.approx(sum(parts)) and row.result_count == 15 and row.vector_count == 30
+
+
+def test_an_index_part_is_shuffled_once(spark, tmp_path, monkeypatch):
+    """Postings go to the task that writes their block, once; so do texts, of which no shuffle files are left."""
+    store = Catalog(spark, str(tmp_path))
+    store.append("documents", documents(spark, [(i, f"apple pear{i % 3}") for i in range(20)]))
+    index, plans = InvertedIndex(store), {}
+    monkeypatch.setattr(index, "put", lambda kind, segment, rows, **_: plans.update({kind: rows._jdf.queryExecution().executedPlan().toString()}))
+    index.build(store._manifest("documents").data[0], store._read("documents", [(store._manifest("documents").data[0], None)]))
+    assert plans["postings"].count("Exchange ") == 1
+    name, seen = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", []
+    with short_shuffles(spark):
+        seen.append(spark.conf.get(name))
+    assert seen == ["true"] and spark.conf.get(name, "false") == "false"
