@@ -195,3 +195,21 @@ def test_tokens_that_a_cut_parts_are_counted_again():
             spans = chunking.split_by_tokens(text, chunking.TEXT_LEVELS, most, tokenizer)
             assert all(len(tokenizer.encode(text[a:b], add_special_tokens=False).ids) <= most or b - a == 1 for a, b in spans)
             assert "".join("".join(text[a:b].split()) for a, b in spans) == "".join(text.split())
+
+
+def test_token_sized_spans_are_encoded_twice():
+    """Whole and by span, not again for the count that is returned."""
+    encoded = []
+
+    class Counting:
+        def __init__(self):
+            self.of = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+        def encode(self, text, **options):
+            encoded.append(text)
+            return self.of.encode(text, **options)
+
+    text, tokenizer = "some words, and others. " * 200, Counting()
+    spans = chunking.sized_by_tokens(text, chunking.TEXT_LEVELS, 32, tokenizer)
+    assert len(encoded) <= 1 + 1.1 * len(spans) and all(n <= 32 for *_, n in spans)
+    assert [n for *_, n in spans] == [len(tokenizer.of.encode(text[a:b], add_special_tokens=False).ids) for a, b, _ in spans]
